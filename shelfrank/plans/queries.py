@@ -54,3 +54,202 @@ def q_abc_classes(spark, sf):
     return abc_frame(spark, sf).select(
         "store_id", "product", dbl("value").alias("total_value"), "rank",
         "share_pct", "cum_pct", "abc_class")
+
+
+# --------------------------------------------------------------------------- marts
+
+MONTH_MART_CTE = """,
+m AS (SELECT store_id, product, strftime(d, '%Y-%m') AS month, SUM(value) AS value
+      FROM sales GROUP BY store_id, product, strftime(d, '%Y-%m'))
+"""
+
+
+def month_mart(spark, sf):
+    return marts.product_month_sales(sales_fact(spark, sf))
+
+
+@query("product_month_sales", with_sales(MONTH_MART_CTE + """
+SELECT store_id, product, month, CAST(value AS DOUBLE) AS value FROM m"""))
+def q_product_month_sales(spark, sf):
+    return month_mart(spark, sf).select("store_id", "product", "month", dbl("value").alias("value"))
+
+
+@query("product_month_history", with_sales(MONTH_MART_CTE + """
+SELECT store_id, product, CAST(SUM(value) AS DOUBLE) AS total_value,
+       CAST(COUNT(*) AS INTEGER) AS n_months,
+       string_agg(month || '=' || CAST(value AS VARCHAR), ';' ORDER BY month) AS history
+FROM m GROUP BY store_id, product"""))
+def q_product_month_history(spark, sf):
+    h = marts.product_history(month_mart(spark, sf))
+    text = F.array_join(F.transform(F.map_entries("history"),
+                                    lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return h.select("store_id", "product", dbl("value").alias("total_value"),
+                    F.size("history").alias("n_months"), text.alias("history"))
+
+
+PERIOD_SQL = {
+    "day": "strftime(d, '%Y-%m-%d')",
+    "week": "strftime(d, '%Y-W%W')",
+    "month": "strftime(d, '%Y-%m')",
+}
+
+
+def _mart_sql(g: str) -> str:
+    return with_sales(f"""
+SELECT store_id, {PERIOD_SQL[g]} AS period, product, CAST(SUM(value) AS DOUBLE) AS value
+FROM sales GROUP BY store_id, {PERIOD_SQL[g]}, product""", daily=True)
+
+
+def _register_mart(g: str):
+    @query(f"{g}_mart", _mart_sql(g))
+    def q(spark, sf):
+        return marts.period_mart(daily_fact(spark, sf), g).select(
+            "store_id", "period", "product", dbl("value").alias("value"))
+    return q
+
+
+for _g in ("day", "week", "month"):
+    _register_mart(_g)
+
+
+MULTI_CTE = f""",
+mm AS (
+  SELECT 'day' AS granularity, store_id, {PERIOD_SQL['day']} AS period, product, SUM(value) AS value
+  FROM sales GROUP BY store_id, {PERIOD_SQL['day']}, product
+  UNION ALL
+  SELECT 'week', store_id, {PERIOD_SQL['week']}, product, SUM(value)
+  FROM sales GROUP BY store_id, {PERIOD_SQL['week']}, product
+  UNION ALL
+  SELECT 'month', store_id, {PERIOD_SQL['month']}, product, SUM(value)
+  FROM sales GROUP BY store_id, {PERIOD_SQL['month']}, product)
+"""
+
+
+def multi_mart(spark, sf):
+    return marts.multi_granularity_mart(daily_fact(spark, sf))
+
+
+@query("all_granularities", with_sales(MULTI_CTE + """
+SELECT granularity, store_id, period, product, CAST(value AS DOUBLE) AS value FROM mm""", daily=True))
+def q_all_granularities(spark, sf):
+    return multi_mart(spark, sf).select("granularity", "store_id", "period", "product",
+                                        dbl("value").alias("value"))
+
+
+@query("period_totals", with_sales(MULTI_CTE + """
+SELECT granularity, store_id, period, CAST(SUM(value) AS DOUBLE) AS total
+FROM mm GROUP BY granularity, store_id, period""", daily=True))
+def q_period_totals(spark, sf):
+    t = marts.period_totals(multi_mart(spark, sf), ("granularity", "store_id", "period"))
+    return t.select("granularity", "store_id", "period", dbl("total").alias("total"))
+
+
+# --------------------------------------------------------------------------- rankings
+
+MONTHLY_RANK_CTES = MONTH_MART_CTE + """,
+rr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, month ORDER BY value DESC, product) AS rn,
+              COUNT(*) OVER (PARTITION BY store_id, month) AS n_products,
+              SUM(value) OVER (PARTITION BY store_id, month) AS period_total
+       FROM m),
+tb AS (SELECT store_id, month, product,
+              CASE WHEN n_products <= 20 THEN 'GERAL' WHEN rn <= 10 THEN 'TOP 10' ELSE 'BOTTOM 10' END AS kind,
+              value, CAST(rn AS INTEGER) AS rank, n_products, period_total
+       FROM rr WHERE n_products <= 20 OR rn <= 10 OR n_products - rn < 10)
+"""
+
+MONTHLY_RANK_SELECT = """
+SELECT store_id, month, product, kind, CAST(value AS DOUBLE) AS value, rank, n_products,
+       CAST(period_total AS DOUBLE) AS month_total
+FROM tb"""
+
+
+def monthly_ranking(spark, sf):
+    from shelfrank.operators import ranking
+    return ranking.monthly_top_bottom(month_mart(spark, sf), ("store_id", "month"))
+
+
+def _monthly_out(df):
+    return df.select("store_id", "month", "product", "kind", dbl("value").alias("value"), "rank",
+                     "n_products", dbl("period_total").alias("month_total"))
+
+
+@query("monthly_top_bottom", with_sales(MONTHLY_RANK_CTES + MONTHLY_RANK_SELECT))
+def q_monthly_top_bottom(spark, sf):
+    return _monthly_out(monthly_ranking(spark, sf))
+
+
+# One store, one store-month, a month range — the filters are the
+# operators; Catalyst pushes the store filter below the aggregate.
+SINGLE_STORE = "1"
+SINGLE_MONTH = "1997-06"
+RANGE_LO, RANGE_HI = "1996-01", "1996-12"
+
+
+@query("single_store_monthly", with_sales(MONTHLY_RANK_CTES + MONTHLY_RANK_SELECT
+                                          + f"\nWHERE store_id = '{SINGLE_STORE}'"))
+def q_single_store_monthly(spark, sf):
+    from shelfrank.operators import ranking
+    m = month_mart(spark, sf).filter(F.col("store_id") == SINGLE_STORE)
+    return _monthly_out(ranking.monthly_top_bottom(m, ("store_id", "month")))
+
+
+@query("single_period", with_sales(MONTHLY_RANK_CTES + MONTHLY_RANK_SELECT
+                                   + f"\nWHERE store_id = '{SINGLE_STORE}' AND month = '{SINGLE_MONTH}'"))
+def q_single_period(spark, sf):
+    return _monthly_out(monthly_ranking(spark, sf)).filter(
+        (F.col("store_id") == SINGLE_STORE) & (F.col("month") == SINGLE_MONTH))
+
+
+@query("period_range", with_sales(MONTHLY_RANK_CTES + MONTHLY_RANK_SELECT
+                                  + f"\nWHERE month BETWEEN '{RANGE_LO}' AND '{RANGE_HI}'"))
+def q_period_range(spark, sf):
+    return _monthly_out(monthly_ranking(spark, sf)).filter(F.col("month").between(RANGE_LO, RANGE_HI))
+
+
+@query("top_bottom_sums", with_sales(MONTHLY_RANK_CTES + """
+SELECT store_id, month,
+       CAST(COALESCE(SUM(CASE WHEN kind LIKE '%TOP%' THEN value END), 0) AS DOUBLE) AS top_sum,
+       CAST(COALESCE(SUM(CASE WHEN kind LIKE '%BOTTOM%' THEN value END), 0) AS DOUBLE) AS bottom_sum,
+       COUNT(*) AS n_items
+FROM tb GROUP BY store_id, month"""))
+def q_top_bottom_sums(spark, sf):
+    from shelfrank.operators import ranking
+    s = ranking.kind_sums(monthly_ranking(spark, sf), ("store_id", "month"))
+    return s.select("store_id", "month", dbl("top_sum").alias("top_sum"),
+                    dbl("bottom_sum").alias("bottom_sum"), "n_items")
+
+
+@query("period_top_bottom_overlap", with_sales(MULTI_CTE + """,
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period ORDER BY value DESC, product) AS rn,
+             COUNT(*) OVER (PARTITION BY granularity, store_id, period) AS n
+      FROM mm)
+SELECT granularity, store_id, period, product, 'TOP' AS kind, CAST(value AS DOUBLE) AS value,
+       CAST(rn AS INTEGER) AS pos FROM o WHERE rn <= 10
+UNION ALL
+SELECT granularity, store_id, period, product, 'BOTTOM', CAST(value AS DOUBLE),
+       CAST(rn - GREATEST(n - 10, 0) AS INTEGER) FROM o WHERE n - rn < 10 AND value > 0""", daily=True))
+def q_period_top_bottom_overlap(spark, sf):
+    from shelfrank.operators import ranking
+    r = ranking.top_bottom_overlap(multi_mart(spark, sf), ("granularity", "store_id", "period"))
+    return r.select("granularity", "store_id", "period", "product", "kind",
+                    dbl("value").alias("value"), "pos")
+
+
+@query("last_seven_periods", with_sales(MULTI_CTE + """
+SELECT granularity, store_id, period,
+       CAST(ROW_NUMBER() OVER (PARTITION BY granularity, store_id ORDER BY period DESC) AS INTEGER) AS recency,
+       ROW_NUMBER() OVER (PARTITION BY granularity, store_id ORDER BY period DESC) <= 7 AS annotated
+FROM (SELECT DISTINCT granularity, store_id, period FROM mm) p""", daily=True))
+def q_last_seven_periods(spark, sf):
+    from shelfrank.operators import ranking
+    t = marts.period_totals(multi_mart(spark, sf), ("granularity", "store_id", "period"))
+    return ranking.recent_periods(t, ("granularity", "store_id")).select(
+        "granularity", "store_id", "period", "recency", "annotated")
+
+
+@query("latest_period", with_sales(MULTI_CTE + """
+SELECT granularity, store_id, MAX(period) AS latest_period FROM mm GROUP BY granularity, store_id""",
+                                   daily=True))
+def q_latest_period(spark, sf):
+    from shelfrank.operators import ranking
+    return ranking.latest_period(multi_mart(spark, sf), ("granularity", "store_id"))
