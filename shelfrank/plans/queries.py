@@ -253,3 +253,123 @@ SELECT granularity, store_id, MAX(period) AS latest_period FROM mm GROUP BY gran
 def q_latest_period(spark, sf):
     from shelfrank.operators import ranking
     return ranking.latest_period(multi_mart(spark, sf), ("granularity", "store_id"))
+
+
+# --------------------------------------------------------------------------- variation, dims, labels
+
+@query("month_over_month", with_sales(MONTH_MART_CTE + """,
+j AS (SELECT a.store_id, a.product, a.month, a.value, COALESCE(b.value, 0) AS previous,
+             CAST(a.value * 100 AS BIGINT) AS cur_c, CAST(COALESCE(b.value, 0) * 100 AS BIGINT) AS prev_c
+      FROM m a LEFT JOIN m b
+        ON a.store_id = b.store_id AND a.product = b.product
+       AND b.month = strftime(CAST(a.month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m')),
+k AS (SELECT *, (cur_c - prev_c) * 1000 AS num FROM j),
+t AS (SELECT *, CASE WHEN prev_c > 0 THEN (2 * abs(num) + prev_c) // (2 * prev_c) END AS tenths FROM k)
+SELECT store_id, product, month, CAST(value AS DOUBLE) AS value, CAST(previous AS DOUBLE) AS previous,
+       CASE WHEN prev_c > 0 THEN CAST(CASE WHEN num < 0 THEN -tenths ELSE tenths END AS DOUBLE) / 10.0
+            WHEN cur_c > 0 THEN 100.0 ELSE 0.0 END AS change_pct,
+       CASE WHEN prev_c > 0 THEN (CASE WHEN num < 0 THEN '-' ELSE '+' END) || CAST(tenths // 10 AS VARCHAR)
+                                 || '.' || CAST(tenths % 10 AS VARCHAR) || '%'
+            WHEN cur_c > 0 THEN 'Novo (sem vendas anteriores)' ELSE 'Sem dados' END AS change_text
+FROM t"""))
+def q_month_over_month(spark, sf):
+    from shelfrank.operators import variation
+    v = variation.month_over_month(month_mart(spark, sf))
+    return v.select("store_id", "product", "month", dbl("value").alias("value"),
+                    dbl("previous").alias("previous"), "change_pct", "change_text")
+
+
+def _season_values() -> str:
+    from shelfrank.sources.dims import SEASONS
+
+    def q(s):
+        return "'" + s.replace("'", "''") + "'"
+    return ", ".join(f"({q(m)}, {q(a)}, {q(b)}, {q(c)})" for m, a, b, c in SEASONS)
+
+
+def _month_names_sql() -> str:
+    from shelfrank.functions.periods import MONTH_NAMES
+    return "[" + ", ".join(f"'{n}'" for n in MONTH_NAMES) + "]"
+
+
+@query("season_context", with_sales(f""",
+mt AS (SELECT store_id, strftime(d, '%Y-%m') AS month, SUM(value) AS total FROM sales
+       GROUP BY store_id, strftime(d, '%Y-%m')),
+se(mm, season, events, trend) AS (VALUES {_season_values()})
+SELECT mt.store_id, mt.month, CAST(mt.total AS DOUBLE) AS total,
+       {_month_names_sql()}[CAST(substr(mt.month, 6, 2) AS INTEGER)] || '/' || substr(mt.month, 1, 4) AS label,
+       COALESCE(se.season, 'N/A') AS season, COALESCE(se.events, 'Período padrão') AS events,
+       COALESCE(se.trend, 'análise geral') AS trend
+FROM mt LEFT JOIN se ON substr(mt.month, 6, 2) = se.mm"""))
+def q_season_context(spark, sf):
+    from shelfrank.functions.periods import month_label
+    from shelfrank.sources.dims import with_season
+    t = marts.period_totals(month_mart(spark, sf), ("store_id", "month"))
+    return with_season(t, spark).select(
+        "store_id", "month", dbl("total").alias("total"), month_label("month").alias("label"),
+        "season", "events", "trend")
+
+
+def _store_names_values() -> str:
+    from shelfrank.sources.dims import STORE_NAMES
+    return ", ".join(f"('{i}', '{n}')" for i, n in STORE_NAMES)
+
+
+@query("store_names", with_sales(f""",
+st AS (SELECT DISTINCT store_id FROM sales),
+nm(store_id, store_name) AS (VALUES {_store_names_values()})
+SELECT st.store_id, COALESCE(nm.store_name, 'Loja ' || st.store_id) AS store_name
+FROM st LEFT JOIN nm ON st.store_id = nm.store_id"""))
+def q_store_names(spark, sf):
+    from shelfrank.sources.dims import with_store_name
+    st = sales_fact(spark, sf).select("store_id").distinct()
+    return with_store_name(st, spark).select("store_id", "store_name")
+
+
+@query("store_order", with_sales(""",
+st AS (SELECT DISTINCT store_id FROM sales)
+SELECT store_id,
+       CAST(ROW_NUMBER() OVER (ORDER BY store_id) AS INTEGER) AS text_order,
+       CAST(ROW_NUMBER() OVER (ORDER BY TRY_CAST(store_id AS INTEGER) NULLS FIRST, store_id) AS INTEGER)
+         AS numeric_order
+FROM st"""))
+def q_store_order(spark, sf):
+    # T3/T4 over the distinct stores (one row per store: dimension-sized).
+    from pyspark.sql import Window
+    st = sales_fact(spark, sf).select("store_id").distinct()
+    num = F.expr("try_cast(store_id AS INT)")
+    return st.select(
+        "store_id",
+        F.row_number().over(Window.orderBy("store_id")).alias("text_order"),
+        F.row_number().over(Window.orderBy(num.asc_nulls_first(), F.col("store_id"))).alias("numeric_order"))
+
+
+def _week_label_sql(iso: bool) -> str:
+    y = "CAST(substr(period, 1, 4) AS INTEGER)"
+    w = "CAST(substr(period, 7, 2) AS INTEGER)"
+    if iso:
+        base = f"(make_date({y}, 1, 4) - CAST(isodow(make_date({y}, 1, 4)) - 1 AS INTEGER))"
+    else:
+        base = f"(make_date({y}, 1, 1) + CAST((8 - isodow(make_date({y}, 1, 1))) % 7 AS INTEGER))"
+    start = f"({base} + CAST(7 * ({w} - 1) AS INTEGER))"
+    return (f"'Semana ' || substr(period, 7, 2) || ' (' || strftime({start}, '%d/%m') || ' - ' "
+            f"|| strftime({start} + 6, '%d/%m') || ')'")
+
+
+def _label_sql(iso: bool) -> str:
+    return f"""CASE WHEN period LIKE '%W%' THEN {_week_label_sql(iso)}
+     WHEN regexp_matches(period, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')
+       THEN substr(period, 9, 2) || '/' || substr(period, 6, 2) || '/' || substr(period, 1, 4)
+     WHEN regexp_matches(period, '^\\d{{4}}-\\d{{2}}$')
+       THEN {_month_names_sql()}[CAST(substr(period, 6, 2) AS INTEGER)] || '/' || substr(period, 1, 4)
+     ELSE period END"""
+
+
+@query("period_labels", with_sales(MULTI_CTE + f"""
+SELECT granularity, period, {_label_sql(False)} AS label, {_label_sql(True)} AS label_iso
+FROM (SELECT DISTINCT granularity, period FROM mm) p""", daily=True))
+def q_period_labels(spark, sf):
+    from shelfrank.functions.periods import period_label
+    p = multi_mart(spark, sf).select("granularity", "period").distinct()
+    return p.select("granularity", "period", period_label("period").alias("label"),
+                    period_label("period", iso_label=True).alias("label_iso"))
