@@ -373,3 +373,136 @@ def q_period_labels(spark, sf):
     p = multi_mart(spark, sf).select("granularity", "period").distinct()
     return p.select("granularity", "period", period_label("period").alias("label"),
                     period_label("period", iso_label=True).alias("label_iso"))
+
+
+# --------------------------------------------------------------------------- cleaning
+
+from shelfrank.functions import clean as C  # noqa: E402
+from shelfrank.sources import tables as T  # noqa: E402
+
+
+def raw_sql(rest: str) -> str:
+    return f"WITH raw AS ({T.RAW_SALES_SQL}){rest}"
+
+
+@query("money_parse", raw_sql(f""",
+p AS (SELECT l_orderkey, l_linenumber, value_raw, {T.money_sql('value_raw')} AS value FROM raw)
+SELECT l_orderkey, l_linenumber, value_raw, CAST(value AS DOUBLE) AS value FROM p WHERE value > 0"""))
+def q_money_parse(spark, sf):
+    r = T.raw_sales_text(spark, sf).withColumn("value", C.parse_money("value_raw"))
+    return r.filter(F.col("value") > 0).select("l_orderkey", "l_linenumber", "value_raw",
+                                               dbl("value").alias("value"))
+
+
+@query("money_parse_currency", raw_sql(f""",
+p AS (SELECT l_orderkey, l_linenumber, value_raw, {T.money_sql('value_raw', True)} AS value FROM raw)
+SELECT l_orderkey, l_linenumber, value_raw, CAST(value AS DOUBLE) AS value,
+       'R$ ' || translate(format('{{:,.2f}}', value), ',.', '.,') AS brl_text,
+       'R$ ' || format('{{:,.2f}}', value) AS grouped_text
+FROM p WHERE value > 0"""))
+def q_money_parse_currency(spark, sf):
+    r = T.raw_sales_text(spark, sf).withColumn("value", C.parse_money("value_raw", currency=True))
+    return r.filter(F.col("value") > 0).select(
+        "l_orderkey", "l_linenumber", "value_raw", dbl("value").alias("value"),
+        C.brl_text(F.col("value")).alias("brl_text"), C.usd_grouped_text(F.col("value")).alias("grouped_text"))
+
+
+@query("date_parse", raw_sql(f"""
+SELECT l_orderkey, l_linenumber, date_raw, {T.date_sql('date_raw')} AS d,
+       COALESCE(strftime({T.date_sql('date_raw')}, '%Y-%m'), 'NaT') AS month
+FROM raw"""))
+def q_date_parse(spark, sf):
+    r = T.raw_sales_text(spark, sf).withColumn("d", C.parse_date("date_raw"))
+    return r.select("l_orderkey", "l_linenumber", "date_raw", "d", C.month_bucket("d").alias("month"))
+
+
+CLEAN_CTE = f""",
+f AS (SELECT store_id, {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
+             {T.date_sql('date_raw')} AS d FROM raw),
+cs AS (SELECT *, COALESCE(strftime(d, '%Y-%m'), 'NaT') AS month FROM f
+       WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN')
+"""
+
+
+@query("invalid_dates", raw_sql(CLEAN_CTE + """
+SELECT 'bucket' AS policy, store_id, month, COUNT(*) AS n_rows, CAST(SUM(value) AS DOUBLE) AS value
+FROM cs GROUP BY store_id, month
+UNION ALL
+SELECT 'drop', store_id, month, COUNT(*), CAST(SUM(value) AS DOUBLE)
+FROM cs WHERE d IS NOT NULL GROUP BY store_id, month"""))
+def q_invalid_dates(spark, sf):
+    from shelfrank.operators.clean import clean_sales
+    raw = T.raw_sales_text(spark, sf)
+    out = None
+    for policy in ("bucket", "drop"):
+        c = clean_sales(raw, invalid_dates=policy)
+        g = c.groupBy("store_id", "month").agg(F.count(F.lit(1)).alias("n_rows"),
+                                               dbl_sum("value"))
+        g = g.select(F.lit(policy).alias("policy"), "store_id", "month", "n_rows", "value")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def dbl_sum(c):
+    return F.sum(c).cast("double").alias(c)
+
+
+@query("product_normalise", f"""
+WITH pr AS (
+  SELECT p_partkey,
+         CASE WHEN p_partkey % 97 = 0 THEN ' '
+              WHEN p_partkey % 4 = 0 THEN p_name
+              WHEN p_partkey % 4 = 1 THEN upper(replace(p_name, ' ', '  '))
+              WHEN p_partkey % 4 = 2 THEN chr(160) || ' ' || p_name || ' '
+              ELSE p_name || chr(9) END AS raw
+  FROM part)
+SELECT p_partkey, raw, {T.product_sql('raw')} AS clean, {T.product_sql('raw', False)} AS light,
+       ({T.product_sql('raw')} IS NOT NULL AND {T.product_sql('raw')} <> ''
+        AND {T.product_sql('raw')} <> 'NAN') AS valid
+FROM pr""")
+def q_product_normalise(spark, sf):
+    p = T.table(spark, sf, "part").select("p_partkey", "p_name")
+    k = F.col("p_partkey") % 4
+    name = F.col("p_name")
+    raw = (F.when(F.col("p_partkey") % 97 == 0, F.lit(" ")).when(k == 0, name)
+           .when(k == 1, F.upper(F.replace(name, F.lit(" "), F.lit("  "))))
+           .when(k == 2, F.concat(F.lit("\u00a0 "), name, F.lit(" ")))
+           .otherwise(F.concat(name, F.lit("\t"))))
+    p = p.select("p_partkey", raw.alias("raw"))
+    clean = C.normalise_product("raw")
+    return p.select("p_partkey", "raw", clean.alias("clean"),
+                    C.normalise_product("raw", collapse_ws=False).alias("light"),
+                    C.valid_product(clean).alias("valid"))
+
+
+@query("store_id_cast", """
+WITH s AS (
+  SELECT s_suppkey,
+         CASE s_suppkey % 3 WHEN 0 THEN CAST(s_nationkey AS VARCHAR)
+                            WHEN 1 THEN lpad(CAST(s_nationkey AS VARCHAR), 3, '0')
+                            ELSE 'L' || CAST(s_nationkey AS VARCHAR) END AS store_id
+  FROM supplier)
+SELECT s_suppkey, store_id, TRY_CAST(store_id AS INTEGER) AS store_num FROM s""")
+def q_store_id_cast(spark, sf):
+    s = T.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    nk = F.col("s_nationkey").cast("string")
+    k = F.col("s_suppkey") % 3
+    sid = F.when(k == 0, nk).when(k == 1, F.lpad(nk, 3, "0")).otherwise(F.concat(F.lit("L"), nk))
+    s = s.select("s_suppkey", sid.alias("store_id"))
+    return s.withColumn("store_num", C.store_number("store_id"))
+
+
+@query("data_quality", raw_sql(f""",
+f AS (SELECT {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
+             {T.date_sql('date_raw')} AS d FROM raw)
+SELECT COUNT(*) AS rows_read,
+       COUNT(*) FILTER (WHERE NOT value > 0) AS non_positive_values,
+       COUNT(*) FILTER (WHERE value > 0 AND d IS NULL) AS invalid_dates,
+       COUNT(*) FILTER (WHERE value > 0 AND NOT (product IS NOT NULL AND product <> '' AND product <> 'NAN'))
+         AS invalid_products,
+       COUNT(*) FILTER (WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN')
+         AS valid_rows
+FROM f"""))
+def q_data_quality(spark, sf):
+    from shelfrank.operators.clean import quality_counts
+    return quality_counts(T.raw_sales_text(spark, sf))

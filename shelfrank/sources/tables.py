@@ -81,3 +81,98 @@ SELECT event_type AS store_id,
        CAST(ts AS DATE) AS d
 FROM events
 """
+
+
+def raw_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales fact re-rendered as the reference's raw export text.
+
+    Every lineitem row is kept; a deterministic rule on the row's keys picks
+    the text variant, so the cleaning operators meet every case they handle:
+    money ``1.234,56`` / ``1234,56`` / ``R$ 1.234,56`` / negative / ``0,00``,
+    dates ``dd/MM/yyyy`` / ``d/M/yyyy`` / ISO (invalid) / ``31/02`` (invalid),
+    products with case, doubled spaces, NBSP and tab noise, or blank.
+    Columns: store_id, product, value_raw, date_raw (all strings) + keys.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    df = li.join(sup, li.l_suppkey == sup.s_suppkey).join(part, li.l_partkey == part.p_partkey)
+    v = F.col("l_extendedprice").cast(MONEY)
+    br = F.translate(F.format_number(v, 2), ",.", ".,")
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 10
+    money = (F.when(k <= 5, br)
+             .when(k == 6, F.replace(v.cast("string"), F.lit("."), F.lit(",")))
+             .when(k == 7, F.concat(F.lit("R$ "), br))
+             .when(k == 8, F.concat(F.lit("-"), br))
+             .otherwise(F.lit("0,00")))
+    d = F.col("l_shipdate").cast("date")
+    m = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10
+    date = (F.when(m <= 6, F.date_format(d, "dd/MM/yyyy"))
+            .when(m == 7, F.date_format(d, "d/M/yyyy"))
+            .when(m == 8, F.date_format(d, "yyyy-MM-dd"))
+            .otherwise(F.concat(F.lit("31/02/"), F.date_format(d, "yyyy"))))
+    p = F.col("l_partkey") % 4
+    name = F.col("p_name")
+    product = (F.when(F.col("l_partkey") % 97 == 0, F.lit(" "))
+               .when(p == 0, name)
+               .when(p == 1, F.upper(F.replace(name, F.lit(" "), F.lit("  "))))
+               .when(p == 2, F.concat(F.lit("\u00a0 "), name, F.lit(" ")))
+               .otherwise(F.concat(name, F.lit("\t"))))
+    return df.select(
+        "l_orderkey", "l_linenumber",
+        F.col("s_nationkey").cast("string").alias("store_id"),
+        product.alias("product"), money.alias("value_raw"), date.alias("date_raw"))
+
+
+RAW_SALES_SQL = r"""
+SELECT l.l_orderkey, l.l_linenumber,
+       CAST(s.s_nationkey AS VARCHAR) AS store_id,
+       CASE WHEN l.l_partkey % 97 = 0 THEN ' '
+            WHEN l.l_partkey % 4 = 0 THEN p.p_name
+            WHEN l.l_partkey % 4 = 1 THEN upper(replace(p.p_name, ' ', '  '))
+            WHEN l.l_partkey % 4 = 2 THEN chr(160) || ' ' || p.p_name || ' '
+            ELSE p.p_name || chr(9) END AS product,
+       CASE WHEN (l.l_orderkey + l.l_linenumber) % 10 <= 5
+              THEN translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,')
+            WHEN (l.l_orderkey + l.l_linenumber) % 10 = 6
+              THEN replace(CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',')
+            WHEN (l.l_orderkey + l.l_linenumber) % 10 = 7
+              THEN 'R$ ' || translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,')
+            WHEN (l.l_orderkey + l.l_linenumber) % 10 = 8
+              THEN '-' || translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,')
+            ELSE '0,00' END AS value_raw,
+       CASE WHEN (l.l_orderkey * 7 + l.l_linenumber) % 10 <= 6 THEN strftime(l.l_shipdate, '%d/%m/%Y')
+            WHEN (l.l_orderkey * 7 + l.l_linenumber) % 10 = 7 THEN strftime(l.l_shipdate, '%-d/%-m/%Y')
+            WHEN (l.l_orderkey * 7 + l.l_linenumber) % 10 = 8 THEN strftime(l.l_shipdate, '%Y-%m-%d')
+            ELSE '31/02/' || strftime(l.l_shipdate, '%Y') END AS date_raw
+FROM lineitem l
+JOIN supplier s ON l.l_suppkey = s.s_suppkey
+JOIN part p ON l.l_partkey = p.p_partkey
+"""
+
+# DuckDB twins of the cleaning expressions (functions.clean).
+WS_SQL = r"[\s\x{00A0}]"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{WS_SQL}+|{WS_SQL}+$', '', 'g')"
+
+
+def money_sql(c: str, currency: bool = False) -> str:
+    s = strip_sql(c)
+    if currency:
+        s = f"replace(replace({s}, 'R$', ''), ' ', '')"
+    s = f"replace(replace({s}, '.', ''), ',', '.')"
+    return (f"COALESCE(CASE WHEN regexp_matches({s}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') "
+            f"THEN TRY_CAST({s} AS DECIMAL(18,2)) END, CAST(0 AS DECIMAL(18,2)))")
+
+
+def date_sql(c: str) -> str:
+    return f"CAST(TRY_STRPTIME({c}, '%d/%m/%Y') AS DATE)"
+
+
+def product_sql(c: str, collapse_ws: bool = True) -> str:
+    if collapse_ws:
+        return f"upper(trim(regexp_replace({c}, '{WS_SQL}+', ' ', 'g')))"
+    return f"upper({strip_sql(c)})"

@@ -30,11 +30,24 @@ def duck(sf_dir):
 
 
 def norm(v):
+    import datetime
+
+    import pandas as pd
+
     if v is None:
         return None
-    if isinstance(v, float):
-        if math.isnan(v):
+    if isinstance(v, (list, tuple, dict)) or hasattr(v, "__array__") and not hasattr(v, "item"):
+        return str(v)
+    try:
+        if pd.isna(v):
             return None
+    except (TypeError, ValueError):
+        pass
+    if isinstance(v, pd.Timestamp):
+        v = v.to_pydatetime()
+    if isinstance(v, datetime.datetime) and v.time() == datetime.time(0):
+        return v.date()
+    if isinstance(v, float):
         return v
     if hasattr(v, "item"):
         return norm(v.item())
