@@ -506,3 +506,173 @@ FROM f"""))
 def q_data_quality(spark, sf):
     from shelfrank.operators.clean import quality_counts
     return quality_counts(T.raw_sales_text(spark, sf))
+
+
+# --------------------------------------------------------------------------- run statistics
+
+@query("run_statistics", with_sales(MONTHLY_RANK_CTES + """,
+pm AS (SELECT store_id, month, COUNT(*) AS items, MIN(period_total) AS period_total FROM tb
+       GROUP BY store_id, month)
+SELECT COUNT(DISTINCT store_id) AS stores, COUNT(*) AS store_months, COALESCE(SUM(items), 0) AS items,
+       CAST(COALESCE(SUM(period_total), 0) AS DOUBLE) AS revenue,
+       COALESCE(CAST(SUM(items) AS DOUBLE) / NULLIF(COUNT(*), 0), 0.0) AS items_per_month
+FROM pm"""))
+def q_run_statistics(spark, sf):
+    from shelfrank.operators import quality
+    s = quality.run_statistics(monthly_ranking(spark, sf))
+    return s.select("stores", "store_months", "items", dbl("revenue").alias("revenue"),
+                    dbl("items_per_month").alias("items_per_month"))
+
+
+@query("data_span", with_sales("""
+SELECT MIN(d) AS first_day, MAX(d) AS last_day, strftime(MIN(d), '%Y-%m') AS first_month,
+       strftime(MAX(d), '%Y-%m') AS last_month, CAST(SUM(value) AS DOUBLE) AS total_value,
+       COUNT(*) AS fact_rows
+FROM sales"""))
+def q_data_span(spark, sf):
+    from shelfrank.operators import quality
+    s = sales_fact(spark, sf)
+    span = quality.data_span(s)
+    tot = s.agg(F.sum("value").cast("double").alias("total_value"), F.count(F.lit(1)).alias("fact_rows"))
+    # both sides are one-row aggregates; a join on a constant key keeps them together
+    return span.withColumn("_k", F.lit(1)).join(tot.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@query("distinct_stores", with_sales(MULTI_CTE + """
+SELECT granularity, store_id, COUNT(DISTINCT period) AS n_periods, COUNT(*) AS n_rows
+FROM mm GROUP BY granularity, store_id""", daily=True))
+def q_distinct_stores(spark, sf):
+    m = multi_mart(spark, sf)
+    return m.groupBy("granularity", "store_id").agg(F.countDistinct("period").alias("n_periods"),
+                                                    F.count(F.lit(1)).alias("n_rows"))
+
+
+# --------------------------------------------------------------------------- cache
+
+# The "previous run" cache: ABC texts of the sales shipped before this day;
+# every 7th product of a store has an empty text (a miss by rule J2).
+CACHE_CUTOFF = "1998-01-01"
+
+
+def _abc_sql(name: str, where: str = "") -> str:
+    return f""",
+{name}_t AS (SELECT store_id, product, SUM(value) AS value FROM sales {where} GROUP BY store_id, product),
+{name} AS (
+  SELECT store_id, product, value,
+         ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY value DESC, product) AS rank,
+         CASE WHEN SUM(value) OVER (PARTITION BY store_id ORDER BY value DESC, product
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100
+                   <= SUM(value) OVER (PARTITION BY store_id) * 80 THEN 'A'
+              WHEN SUM(value) OVER (PARTITION BY store_id ORDER BY value DESC, product
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100
+                   <= SUM(value) OVER (PARTITION BY store_id) * 95 THEN 'B' ELSE 'C' END AS abc_class
+  FROM {name}_t)"""
+
+
+CACHE_CTES = (_abc_sql("cur") + _abc_sql("prev", f"WHERE d < DATE '{CACHE_CUTOFF}'") + """,
+cache AS (SELECT store_id, product, abc_class,
+                 CASE WHEN rank % 7 = 0 THEN '' ELSE 'Análise anterior ' || abc_class END AS analysis
+          FROM prev),
+hits AS (SELECT c.store_id, c.product, c.abc_class, c.rank, k.analysis
+         FROM cur c JOIN cache k USING (store_id, product, abc_class) WHERE k.analysis <> ''),
+miss AS (SELECT c.* FROM cur c WHERE NOT EXISTS (
+           SELECT 1 FROM cache k WHERE k.store_id = c.store_id AND k.product = c.product
+                                   AND k.abc_class = c.abc_class AND k.analysis <> '')),
+mb AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY rank, product) AS mpos FROM miss),
+mb2 AS (SELECT *, CAST((mpos - 1) // 15 AS INTEGER) AS batch, CAST((mpos - 1) % 15 + 1 AS INTEGER) AS i FROM mb),
+fresh AS (SELECT store_id, product, abc_class, rank,
+                 CASE WHEN i = 3 THEN 'Análise indisponível'
+                      ELSE 'Classe ' || abc_class || ' item ' || CAST(i AS VARCHAR) END AS analysis
+          FROM mb2),
+new AS (SELECT store_id, product, abc_class, analysis FROM fresh WHERE analysis <> 'Análise indisponível'),
+upserted AS (SELECT * FROM cache k WHERE NOT EXISTS (
+               SELECT 1 FROM new n WHERE n.store_id = k.store_id AND n.product = k.product
+                                     AND n.abc_class = k.abc_class)
+             UNION ALL SELECT * FROM new)
+""")
+
+
+def _abc_items(spark, sf):
+    return abc_frame(spark, sf).select("store_id", "product", "abc_class", "rank", "value")
+
+
+def _prev_cache(spark, sf):
+    s = sales_fact(spark, sf).filter(F.col("d") < F.lit(CACHE_CUTOFF).cast("date"))
+    p = abc.classify(marts.product_totals(s))
+    text = F.when(F.col("rank") % 7 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("Análise anterior "), F.col("abc_class")))
+    return p.select("store_id", "product", "abc_class", text.alias("analysis"))
+
+
+@query("cache_hits", with_sales(CACHE_CTES + """
+SELECT store_id, product, abc_class, rank, analysis FROM hits"""))
+def q_cache_hits(spark, sf):
+    from shelfrank.operators import cache
+    return cache.hits(_abc_items(spark, sf), _prev_cache(spark, sf)).select(
+        "store_id", "product", "abc_class", "rank", "analysis")
+
+
+@query("cache_misses", with_sales(CACHE_CTES + """
+SELECT store_id, product, abc_class, rank FROM miss"""))
+def q_cache_misses(spark, sf):
+    from shelfrank.operators import cache
+    return cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf)).select(
+        "store_id", "product", "abc_class", "rank")
+
+
+@query("annotation_batches", with_sales(CACHE_CTES + """
+SELECT store_id, batch, COUNT(*) AS n_items, MIN(rank) AS first_rank, MAX(rank) AS last_rank,
+       to_json(list({'produto': product, 'classe': abc_class} ORDER BY i)) AS items_json
+FROM mb2 GROUP BY store_id, batch"""))
+def q_annotation_batches(spark, sf):
+    from shelfrank.operators import annotate, cache
+    b = annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf)))
+    js = annotate.items_json(b, ["store_id", "batch"],
+                             [("produto", F.col("product")), ("classe", F.col("abc_class"))])
+    rk = b.groupBy("store_id", "batch").agg(F.min("rank").alias("first_rank"),
+                                            F.max("rank").alias("last_rank"))
+    return js.join(rk, ["store_id", "batch"]).select(
+        "store_id", "batch", "n_items", "first_rank", "last_rank", "items_json")
+
+
+def _abc_annotated(spark, sf):
+    from shelfrank.operators import annotate, cache
+    return cache.annotate_abc(_abc_items(spark, sf), _prev_cache(spark, sf), annotate.stub_annotator)
+
+
+@query("annotate_abc_items", with_sales(CACHE_CTES + """
+SELECT store_id, product, abc_class, rank, analysis, true AS from_cache FROM hits
+UNION ALL
+SELECT store_id, product, abc_class, rank, analysis, false FROM fresh"""))
+def q_annotate_abc_items(spark, sf):
+    out, _ = _abc_annotated(spark, sf)
+    return out.select("store_id", "product", "abc_class", "rank", "analysis", "from_cache")
+
+
+@query("cache_upsert", with_sales(CACHE_CTES + """
+SELECT store_id, product, abc_class, analysis FROM upserted"""))
+def q_cache_upsert(spark, sf):
+    from shelfrank.operators import cache
+    _, new = _abc_annotated(spark, sf)
+    return cache.upsert(_prev_cache(spark, sf), new)
+
+
+@query("cache_stats", with_sales(CACHE_CTES + """,
+hm AS (SELECT store_id, COUNT(*) AS hits, 0 AS misses FROM hits GROUP BY store_id
+       UNION ALL SELECT store_id, 0, COUNT(*) FROM fresh GROUP BY store_id)
+SELECT hm.store_id, CAST(SUM(hits) AS BIGINT) AS hits, CAST(SUM(misses) AS BIGINT) AS misses,
+       (SELECT COUNT(*) FROM cache) AS entries_before,
+       (SELECT COUNT(*) FROM upserted) AS entries_after,
+       (SELECT COUNT(DISTINCT store_id) FROM upserted) AS stores_after
+FROM hm GROUP BY hm.store_id"""))
+def q_cache_stats(spark, sf):
+    from shelfrank.operators import cache
+    out, new = _abc_annotated(spark, sf)
+    prev = _prev_cache(spark, sf)
+    per_store = cache.hit_miss_by_store(out)
+    before = cache.stats(prev).select(F.col("entries").alias("entries_before"))
+    after = cache.stats(cache.upsert(prev, new)).select(F.col("entries").alias("entries_after"),
+                                                        F.col("stores").alias("stores_after"))
+    one = before.withColumn("_k", F.lit(1)).join(after.withColumn("_k", F.lit(1)), "_k")
+    # the one-row totals are joined on a constant key (a broadcast of one row)
+    return per_store.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
