@@ -68,30 +68,29 @@ def class_mix(classified: DataFrame, group_cols=("store_id",)) -> DataFrame:
     )
 
 
-def merge_selection(items: DataFrame, dedupe: bool = True) -> DataFrame:
+def merge_selection(items: DataFrame, keys=("store_id", "period"), order_col: str = "i",
+                    dedupe: bool = True) -> DataFrame:
     """Merge duplicate products of a store-period selection.
 
-    ``items`` has store_id, period, product, kind, value, pos (list position)
-    and diagnosis/action. Value is summed over distinct (kind) entries when
-    ``dedupe`` (a product in both TOP and BOTTOM counts once), or over every
-    entry as the dashboard does (D7). Kind is the first entry's kind; the
-    insights list keeps list order and skips the "no model" text (F17).
+    ``items`` has the keys, product, kind, value, a list order and
+    diagnosis/action. With ``dedupe`` a product listed in both TOP and BOTTOM
+    counts once; ``dedupe=False`` adds its value twice, as the dashboard does
+    (D7). Kind is the first entry's; ``insights`` keeps list order and skips
+    entries without a diagnosis or with the "no model" text (F17).
     """
-    keys = ["store_id", "period", "product"]
-    if dedupe:
-        value = F.max("value")
-    else:
-        value = F.sum("value")
+    g = [*keys, "product"]
+    value = F.max("value") if dedupe else F.sum("value")
     insight = F.when(
         F.col("diagnosis").isNotNull() & (F.col("diagnosis") != F.lit(NO_MODEL)),
-        F.struct(F.col("pos"), F.col("diagnosis").alias("text"), F.col("action")),
+        F.struct(F.col(order_col).alias("_o"), F.col("diagnosis").alias("text"), F.col("action")),
     )
-    return items.groupBy(*keys).agg(
+    by_pos = F.array_sort(F.collect_list(insight), lambda a, b: F.when(a["_o"] < b["_o"], -1)
+                          .when(a["_o"] > b["_o"], 1).otherwise(0))
+    return items.groupBy(*g).agg(
         value.alias("value"),
-        F.min_by("kind", "pos").alias("kind"),
-        F.min("pos").alias("first_pos"),
-        F.transform(F.array_sort(F.collect_list(insight)),
-                    lambda s: s.dropFields("pos")).alias("insights"),
+        F.min_by("kind", order_col).alias("kind"),
+        F.min(order_col).alias("first_pos"),
+        F.transform(by_pos, lambda s: s.dropFields("_o")).alias("insights"),
     )
 
 
@@ -99,14 +98,14 @@ def merge_selection(items: DataFrame, dedupe: bool = True) -> DataFrame:
 NO_MODEL = "IA não disponível"
 
 
-def selection_abc(merged: DataFrame, totals: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def selection_abc(merged: DataFrame, totals: DataFrame, keys=("store_id", "period"),
+                  params: Params = DEFAULT) -> DataFrame:
     """W8 + W9: ABC inside each store-period selection, denominator = the full
     period total (A7). A zero total gives class A, as the dashboard's pct = 0."""
-    joined = merged.join(totals.select("store_id", "period", F.col("total").alias("period_total")),
-                         ["store_id", "period"], "inner")
+    k = list(keys)
+    joined = merged.join(totals.select(*k, F.col("total").alias("period_total")), k, "inner")
     order = [F.col("value").desc(), F.col("product").asc()]
-    ranked = running_totals(joined, ["store_id", "period"], order, "value",
-                            total_col="_sel_total")
+    ranked = running_totals(joined, k, order, "value", total_col="_sel_total")
     tot = F.col("period_total")
     cls = F.when(tot > 0, abc_class(F.col("cum_value"), tot, params)).otherwise(F.lit("A"))
     return ranked.drop("_sel_total").withColumn("abc_class", cls)

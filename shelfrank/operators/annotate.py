@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from shelfrank.config import DEFAULT, Params
 from shelfrank.functions.clean import brl_text
 from shelfrank.operators.prefix import running_totals
+from shelfrank.session import materialize
 
 # Status texts and defaults of the reference's annotated items.
 NO_MODEL = "IA não disponível"
@@ -204,7 +205,8 @@ def annotate_periods(items: DataFrame, totals: DataFrame, annotator, keys: list[
         "annotated", F.lit(True))
     asked = flagged.filter(F.col("annotated"))
     prompts = period_prompts(asked, totals, keys)
-    replies = call_annotator(prompts, annotator, keys)
+    # replies are read by two branches; a model's reply is not repeatable
+    replies = materialize(call_annotator(prompts, annotator, keys))
     parsed = parse_replies(replies, keys)
     got = attach(asked, parsed, keys)
     # a null reply means the call failed for the whole group

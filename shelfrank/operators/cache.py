@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from shelfrank.config import DEFAULT, Params
 from shelfrank.operators import annotate as A
+from shelfrank.session import materialize
 
 KEYS = ["store_id", "product", "abc_class"]
 CACHE_SCHEMA = "store_id string, product string, abc_class string, analysis string"
@@ -47,7 +48,8 @@ def annotate_abc(items: DataFrame, cache: DataFrame, annotator, params: Params =
         fresh = m.withColumn("analysis", F.lit(None).cast("string"))
     else:
         b = A.abc_batches(m, params)
-        replies = A.call_annotator(A.abc_prompts(b), annotator, ["store_id", "batch"])
+        # fixed once: the items and the new cache entries both read the replies
+        replies = materialize(A.call_annotator(A.abc_prompts(b), annotator, ["store_id", "batch"]))
         parsed = A.parse_replies(replies, ["store_id", "batch"])
         fresh = A.attach(b, parsed, ["store_id", "batch"], fields=("analise",))
         fresh = fresh.withColumn("analysis", F.coalesce(F.col("_analise"), F.lit(A.UNAVAILABLE))) \

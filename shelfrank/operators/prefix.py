@@ -7,8 +7,12 @@ holds a third of all rows is spread over many slices. Each slice computes
 local running sums; per-slice totals (at most partitions + groups rows) give
 each slice its offset. Result = local + offset, identical to the plain window.
 
-Both branches read one range exchange (Spark reuses it), so the slice id of
-a row is fixed even when a task is recomputed after an executor loss.
+The sliced rows are checkpointed to the shared checkpoint folder before the
+two branches read them: range bounds come from a sample, so recomputing the
+exchange (exchange reuse is not guaranteed, e.g. above a Python UDF) could
+put a row in another slice. The checkpoint fixes every row's slice, and a
+lost executor recomputes nothing below it. The rows are post-aggregate
+(one per group member), so the write is small next to the fact scan.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfrank.session import materialize
+
 
 def running_totals(
     df: DataFrame,
@@ -35,7 +41,7 @@ def running_totals(
     """
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
+    ranged = materialize(
         df.repartitionByRange(n, *[F.col(c).asc() for c in group_cols], *order_cols)
         .withColumn("_slice", F.spark_partition_id())
     )

@@ -1,0 +1,27 @@
+"""Dashboard search over annotated selections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def with_insights(merged: DataFrame) -> DataFrame:
+    """F17 + F21: products that have at least one insight, with the first one."""
+    first = F.try_element_at(F.col("insights"), F.lit(1))
+    return (merged.filter(F.size("insights") > 0)
+            .withColumn("first_insight", first["text"])
+            .withColumn("action", F.nullif(first["action"], F.lit("-")))  # F20
+            .withColumn("n_insights", F.size("insights")))
+
+
+def search_insights(merged: DataFrame, term: str) -> DataFrame:
+    """case-insensitive substring in the product or in any insight text;
+    a blank term keeps every product with an insight."""
+    df = with_insights(merged)
+    t = term.strip().lower()
+    if not t:
+        return df
+    hit = F.lower(F.col("product")).contains(t) | F.exists(
+        "insights", lambda x: F.coalesce(F.lower(x["text"]).contains(t), F.lit(False)))
+    return df.filter(hit)

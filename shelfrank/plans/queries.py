@@ -676,3 +676,185 @@ def q_cache_stats(spark, sf):
     one = before.withColumn("_k", F.lit(1)).join(after.withColumn("_k", F.lit(1)), "_k")
     # the one-row totals are joined on a constant key (a broadcast of one row)
     return per_store.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+
+
+# --------------------------------------------------------------------------- period annotation (X4) and dashboard
+
+PKEYS = ["granularity", "store_id", "period"]
+
+ANNOT_CTES = MULTI_CTE + """,
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period ORDER BY value DESC, product) AS rn,
+             COUNT(*) OVER (PARTITION BY granularity, store_id, period) AS n
+      FROM mm),
+it AS (SELECT granularity, store_id, period, product, 'TOP' AS kind, value, CAST(rn AS INTEGER) AS pos, n
+       FROM o WHERE rn <= 10
+       UNION ALL
+       SELECT granularity, store_id, period, product, 'BOTTOM', value, CAST(rn - GREATEST(n - 10, 0) AS INTEGER), n
+       FROM o WHERE n - rn < 10 AND value > 0),
+li AS (SELECT *, CAST(CASE WHEN kind = 'TOP' THEN pos ELSE LEAST(n, 10) + pos END AS INTEGER) AS i FROM it),
+rec AS (SELECT granularity, store_id, period,
+               ROW_NUMBER() OVER (PARTITION BY granularity, store_id ORDER BY period DESC) <= 7 AS annotated
+        FROM (SELECT DISTINCT granularity, store_id, period FROM mm) p),
+lj AS (SELECT li.*, MAX(i) OVER (PARTITION BY granularity, store_id, period, product) AS j,
+              FIRST_VALUE(product) OVER (PARTITION BY granularity, store_id, period ORDER BY i) AS p1,
+              COUNT(*) OVER (PARTITION BY granularity, store_id, period) AS n_items
+       FROM li),
+ai AS (SELECT lj.granularity, lj.store_id, lj.period, product, kind, value, pos, i, n_items, p1, rec.annotated,
+              CASE WHEN NOT rec.annotated THEN 'Período histórico'
+                   WHEN product = p1 THEN 'revisado'
+                   ELSE (CASE WHEN j > LEAST(n, 10) THEN 'BOTTOM' ELSE 'TOP' END) || ' #' || CAST(j AS VARCHAR)
+              END AS diagnosis,
+              CASE WHEN NOT rec.annotated THEN '-' WHEN product = p1 THEN 'rever'
+                   WHEN j % 3 <> 0 THEN 'manter' ELSE '-' END AS action
+       FROM lj JOIN rec USING (granularity, store_id, period))
+"""
+
+
+def _period_ranking(spark, sf):
+    from shelfrank.operators import annotate, ranking
+    m = multi_mart(spark, sf)
+    r = annotate.list_order(ranking.top_bottom_overlap(m, PKEYS), PKEYS)
+    totals = marts.period_totals(m, PKEYS)
+    recent = ranking.recent_periods(totals, ("granularity", "store_id")).select(*PKEYS, "annotated")
+    return r, totals, recent
+
+
+def annotated_items(spark, sf, annotator="stub"):
+    from shelfrank.operators import annotate
+    r, totals, recent = _period_ranking(spark, sf)
+    fn = annotate.stub_annotator if annotator == "stub" else annotator
+    return annotate.annotate_periods(r, totals, fn, PKEYS, recent), totals
+
+
+@query("annotate_items", with_sales(ANNOT_CTES + """
+SELECT granularity, store_id, period, product, kind, CAST(value AS DOUBLE) AS value, pos, diagnosis, action
+FROM ai""", daily=True))
+def q_annotate_items(spark, sf):
+    a, _ = annotated_items(spark, sf)
+    return a.select(*PKEYS, "product", "kind", dbl("value").alias("value"), "pos", "diagnosis", "action")
+
+
+@query("json_repair_parse", with_sales(ANNOT_CTES + """
+SELECT granularity, store_id, period, CAST(i AS INTEGER) AS pos, product AS produto,
+       kind || ' #' || CAST(i AS VARCHAR) AS diagnostico,
+       CASE WHEN i % 3 <> 0 THEN 'manter' ELSE '-' END AS acao
+FROM ai WHERE annotated
+UNION ALL
+SELECT DISTINCT granularity, store_id, period, CAST(n_items + 1 AS INTEGER), p1, 'revisado', 'rever'
+FROM ai WHERE annotated""", daily=True))
+def q_json_repair_parse(spark, sf):
+    from shelfrank.operators import annotate
+    r, totals, recent = _period_ranking(spark, sf)
+    asked = r.join(recent.filter("annotated"), PKEYS).drop("annotated")
+    replies = annotate.call_annotator(annotate.period_prompts(asked, totals, PKEYS),
+                                      annotate.stub_annotator, PKEYS)
+    p = annotate.parse_replies(replies, PKEYS)
+    return p.select(*PKEYS, F.col("pos").cast("int").alias("pos"), "produto",
+                    F.coalesce("diagnostico", F.lit(annotate.UNAVAILABLE)).alias("diagnostico"),
+                    F.coalesce("acao", F.lit(annotate.NO_ACTION)).alias("acao"))
+
+
+@query("prompt_text")
+def q_prompt_text(spark, sf):
+    """every prompt the three jobs would send (rows-only check)."""
+    from shelfrank.functions.periods import month_label
+    from shelfrank.operators import annotate, cache, ranking
+    from shelfrank.sources.dims import with_season
+    r, totals, recent = _period_ranking(spark, sf)
+    asked = r.join(recent.filter("annotated"), PKEYS).drop("annotated")
+    p15 = annotate.period_prompts(asked, totals, PKEYS).select(
+        F.lit("period").alias("prompt_kind"), "store_id", F.concat_ws(":", "granularity", "period").alias("key"),
+        "prompt")
+    mr = monthly_ranking(spark, sf)
+    mk = ["store_id", "month"]
+    items = mr.withColumn("i", F.col("rank"))
+    ctx = (ranking.kind_sums(mr, mk).drop("n_items")
+           .join(mr.groupBy(*mk).agg(F.first("period_total").alias("period_total")), mk)
+           .withColumn("label", month_label("month")))
+    ctx = with_season(ctx, spark)
+    p14 = annotate.month_prompts(items, ctx, mk).select(
+        F.lit("month").alias("prompt_kind"), "store_id", F.col("month").alias("key"), "prompt")
+    b = annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf)))
+    p13 = annotate.abc_prompts(b).select(F.lit("abc").alias("prompt_kind"), "store_id",
+                                         F.col("batch").cast("string").alias("key"), "prompt")
+    return p15.unionByName(p14).unionByName(p13)
+
+
+SELECTION_CTES = ANNOT_CTES + """,
+tot AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period),
+mg AS (SELECT granularity, store_id, period, product, MAX(value) AS value, arg_min(kind, i) AS kind,
+              COUNT(*) FILTER (WHERE diagnosis IS NOT NULL AND diagnosis <> 'IA não disponível') AS n_insights
+       FROM ai GROUP BY granularity, store_id, period, product),
+sel AS (SELECT mg.*, tot.total,
+               CAST(ROW_NUMBER() OVER (PARTITION BY mg.granularity, mg.store_id, mg.period
+                                       ORDER BY value DESC, product) AS INTEGER) AS rank,
+               SUM(value) OVER (PARTITION BY mg.granularity, mg.store_id, mg.period ORDER BY value DESC, product
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+        FROM mg JOIN tot USING (granularity, store_id, period)),
+sc AS (SELECT *, CASE WHEN total > 0 THEN (CASE WHEN cum * 100 <= total * 80 THEN 'A'
+                                                WHEN cum * 100 <= total * 95 THEN 'B' ELSE 'C' END)
+                      ELSE 'A' END AS abc_class FROM sel)
+"""
+
+
+def selection(spark, sf):
+    a, totals = annotated_items(spark, sf)
+    merged = abc.merge_selection(a, PKEYS, order_col="i")
+    return abc.selection_abc(merged, totals, PKEYS)
+
+
+@query("selection_abc", with_sales(SELECTION_CTES + """
+SELECT granularity, store_id, period, product, CAST(value AS DOUBLE) AS value, kind, abc_class, rank,
+       CAST(n_insights AS INTEGER) AS n_insights, n_insights > 0 AS has_insight
+FROM sc""", daily=True))
+def q_selection_abc(spark, sf):
+    s = selection(spark, sf)
+    return s.select(*PKEYS, "product", dbl("value").alias("value"), "kind", "abc_class", "rank",
+                    F.size("insights").alias("n_insights"), (F.size("insights") > 0).alias("has_insight"))
+
+
+@query("class_best_worst", with_sales(SELECTION_CTES + """,
+bw AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period, abc_class
+                                    ORDER BY value DESC, product) AS bpos,
+              ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period, abc_class
+                                 ORDER BY value ASC, product DESC) AS wpos
+       FROM sc)
+SELECT granularity, store_id, period, abc_class, 'best' AS list, CAST(bpos AS INTEGER) AS pos, product,
+       CAST(value AS DOUBLE) AS value FROM bw WHERE bpos <= 10
+UNION ALL
+SELECT granularity, store_id, period, abc_class, 'worst', CAST(wpos AS INTEGER), product, CAST(value AS DOUBLE)
+FROM bw WHERE wpos <= 10 AND value > 0""", daily=True))
+def q_class_best_worst(spark, sf):
+    s = selection(spark, sf).select(*PKEYS, "abc_class", "product", "value")
+    bw = abc.best_worst(s, [*PKEYS, "abc_class"])
+    return bw.select(*PKEYS, "abc_class", "list", F.col("pos").cast("int").alias("pos"), "product",
+                     dbl("value").alias("value"))
+
+
+@query("abc_class_mix", with_sales(ABC_CTES + """
+SELECT store_id, abc_class, COUNT(*) AS products, CAST(SUM(value) AS DOUBLE) AS class_value,
+       CAST(floor(CAST(SUM(value) AS DOUBLE) / CAST(MIN(group_total) AS DOUBLE) * 100.0 + 0.5) AS INTEGER)
+         AS share_int
+FROM c GROUP BY store_id, abc_class"""))
+def q_abc_class_mix(spark, sf):
+    m = abc.class_mix(abc_frame(spark, sf))
+    return m.select("store_id", "abc_class", "products", dbl("class_value").alias("class_value"), "share_int")
+
+
+SEARCH_TERM = "#2"
+
+
+@query("insight_search", with_sales(SELECTION_CTES + f""",
+ins AS (SELECT granularity, store_id, period, product,
+               arg_min(diagnosis, i) AS first_insight, arg_min(action, i) AS first_action,
+               COUNT(*) AS n_insights,
+               bool_or(contains(lower(diagnosis), '{SEARCH_TERM}')) AS text_hit
+        FROM ai WHERE diagnosis IS NOT NULL AND diagnosis <> 'IA não disponível'
+        GROUP BY granularity, store_id, period, product)
+SELECT granularity, store_id, period, product, first_insight, NULLIF(first_action, '-') AS action,
+       CAST(n_insights AS INTEGER) AS n_insights
+FROM ins WHERE contains(lower(product), '{SEARCH_TERM}') OR text_hit""", daily=True))
+def q_insight_search(spark, sf):
+    from shelfrank.operators import search
+    s = search.search_insights(selection(spark, sf), SEARCH_TERM)
+    return s.select(*PKEYS, "product", "first_insight", "action", "n_insights")

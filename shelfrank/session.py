@@ -67,3 +67,11 @@ def is_local_path(path: str) -> bool:
 def ensure_dir(path: str) -> None:
     if is_local_path(path):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` to the shared checkpoint folder (never
+    ``localCheckpoint``): later branches read the same rows, and a lost
+    executor recomputes nothing before this point."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
