@@ -194,34 +194,52 @@ def attach(items: DataFrame, parsed: DataFrame, keys: list[str], fields=("diagno
     return out
 
 
-def annotate_periods(items: DataFrame, totals: DataFrame, annotator, keys: list[str],
-                     recent: DataFrame | None = None) -> DataFrame:
-    """X4 on the overlap ranking: prompts for recent periods only, replies
-    attached, status texts for the rest. ``items`` needs keys, product, kind,
-    value and a list order ``i``; output adds diagnosis and action."""
-    if annotator is None:
-        return items.withColumn("diagnosis", F.lit(NO_MODEL)).withColumn("action", F.lit(NO_ACTION))
-    flagged = items.join(recent, keys, "inner") if recent is not None else items.withColumn(
-        "annotated", F.lit(True))
-    asked = flagged.filter(F.col("annotated"))
-    prompts = period_prompts(asked, totals, keys)
+def annotate_groups(items: DataFrame, prompts: DataFrame, annotator, keys: list[str]) -> DataFrame:
+    """X4 core: call the annotator once per prompt group, attach the replies
+    (last entry per product wins) and fill the status texts (F11, F16)."""
     # replies are read by two branches; a model's reply is not repeatable
     replies = materialize(call_annotator(prompts, annotator, keys))
     parsed = parse_replies(replies, keys)
-    got = attach(asked, parsed, keys)
+    got = attach(items, parsed, keys)
     # a null reply means the call failed for the whole group
     failed = replies.filter(F.col("reply").isNull()).select(*keys).withColumn("_failed", F.lit(True))
     got = got.join(failed, keys, "left")
     diag = (F.when(F.col("_failed"), F.lit(CALL_ERROR))
             .otherwise(F.coalesce(F.col("_diagnostico"), F.lit(UNAVAILABLE))))
     act = F.when(F.col("_failed"), F.lit(NO_ACTION)).otherwise(F.coalesce(F.col("_acao"), F.lit(NO_ACTION)))
-    done = got.withColumn("diagnosis", diag).withColumn("action", act) \
+    return got.withColumn("diagnosis", diag).withColumn("action", act) \
               .drop("_diagnostico", "_acao", "_failed")
+
+
+def no_model(items: DataFrame) -> DataFrame:
+    """F16: without a model every item says so."""
+    return items.withColumn("diagnosis", F.lit(NO_MODEL)).withColumn("action", F.lit(NO_ACTION))
+
+
+def annotate_periods(items: DataFrame, totals: DataFrame, annotator, keys: list[str],
+                     recent: DataFrame | None = None) -> DataFrame:
+    """X4 on the overlap ranking: prompts for recent periods only, replies
+    attached, status texts for the rest. ``items`` needs keys, product, kind,
+    value and a list order ``i``; output adds diagnosis and action."""
+    if annotator is None:
+        return no_model(items)
+    flagged = items.join(recent, keys, "inner") if recent is not None else items.withColumn(
+        "annotated", F.lit(True))
+    asked = flagged.filter(F.col("annotated"))
+    done = annotate_groups(asked, period_prompts(asked, totals, keys), annotator, keys)
     old = (flagged.filter(~F.col("annotated"))
            .withColumn("diagnosis", F.lit(HISTORICAL)).withColumn("action", F.lit(NO_ACTION)))
     return done.unionByName(old).drop("annotated", "recency")
 
 
+def annotate_months(ranking: DataFrame, context: DataFrame, annotator, keys: list[str]) -> DataFrame:
+    """X4 on the monthly ranking (every month is asked, F14 prompts)."""
+    items = ranking.withColumn("i", F.col("rank"))
+    if annotator is None:
+        return no_model(items)
+    return annotate_groups(items, month_prompts(items, context, keys), annotator, keys)
+
+
 def list_order(ranking: DataFrame, keys: list[str]) -> DataFrame:
     """Position ``i`` of an item in the emitted list: TOP rows first, then
     BOTTOM rows, each in its own order (at most top_n + bottom_n per group)."""

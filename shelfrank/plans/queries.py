@@ -858,3 +858,132 @@ def q_insight_search(spark, sf):
     from shelfrank.operators import search
     s = search.search_insights(selection(spark, sf), SEARCH_TERM)
     return s.select(*PKEYS, "product", "first_insight", "action", "n_insights")
+
+
+# --------------------------------------------------------------------------- documents, sinks, sources
+
+def _scratch(spark, name):
+    from shelfrank.session import scratch_path
+    return scratch_path(spark, name)
+
+
+@query("abc_documents")
+def q_abc_documents(spark, sf):
+    """A19 + P19: ABC documents with month history and cached/new analyses (rows-only)."""
+    from shelfrank.operators import cache, documents
+    hist = marts.product_history(month_mart(spark, sf))
+    classified = abc.classify(hist)
+    from shelfrank.operators import annotate
+    items, _ = cache.annotate_abc(classified, _prev_cache(spark, sf), annotate.stub_annotator)
+    return documents.abc_documents(items)
+
+
+@query("monthly_documents")
+def q_monthly_documents(spark, sf):
+    """A20 + P19 + X4 (month prompts): one line per store-month (rows-only)."""
+    from shelfrank.functions.periods import month_label
+    from shelfrank.operators import annotate, documents, ranking
+    from shelfrank.sources.dims import with_season
+    rk = monthly_ranking(spark, sf)
+    keys = ["store_id", "month"]
+    ctx = (ranking.kind_sums(rk, keys).drop("n_items")
+           .join(rk.groupBy(*keys).agg(F.first("period_total").alias("period_total")), keys)
+           .withColumn("label", month_label("month")))
+    ann = annotate.annotate_months(rk, with_season(ctx, spark), annotate.stub_annotator, keys)
+    return documents.monthly_documents(ann)
+
+
+@query("period_documents")
+def q_period_documents(spark, sf):
+    """One line per granularity-store-period (rows-only)."""
+    from shelfrank.operators import documents
+    a, totals = annotated_items(spark, sf)
+    return documents.period_documents(a, totals)
+
+
+@query("index_document", with_sales("""
+SELECT ['periods/granularidade=day', 'periods/granularidade=week', 'periods/granularidade=month'] AS arquivos,
+       list(DISTINCT store_id ORDER BY store_id) AS lojas,
+       strftime(MIN(d), '%Y-%m-%d') AS inicio, strftime(MAX(d), '%Y-%m-%d') AS fim
+FROM sales""", daily=True))
+def q_index_document(spark, sf):
+    from shelfrank.operators import documents
+    files = [f"periods/granularidade={g}" for g in ("day", "week", "month")]
+    d = documents.index_document(daily_fact(spark, sf), files)
+    return d.select("arquivos", "lojas", "periodo_dados.inicio", "periodo_dados.fim")
+
+
+RAW_CLEAN_AGG = f""",
+f AS (SELECT store_id, {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
+             {T.date_sql('date_raw')} AS d FROM raw),
+cs AS (SELECT * FROM f WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN')
+SELECT store_id, COUNT(*) AS n_rows, COUNT(d) AS dated_rows, CAST(SUM(value) AS DOUBLE) AS value,
+       COUNT(DISTINCT product) AS products
+FROM cs GROUP BY store_id"""
+
+
+def _raw_export(spark, sf):
+    """The raw text fact with the export's bracketed column names."""
+    from shelfrank.config import DATE_RAW, PRODUCT, RAW_COLUMNS, STORE, VALUE_RAW
+    names = dict(zip((STORE, PRODUCT, VALUE_RAW, DATE_RAW), RAW_COLUMNS))
+    raw = T.raw_sales_text(spark, sf)
+    return raw.select(*[F.col(c).alias(names[c]) for c in (STORE, PRODUCT, VALUE_RAW, DATE_RAW)])
+
+
+def _clean_agg(fact):
+    return fact.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("d").alias("dated_rows"),
+        F.sum("value").cast("double").alias("value"), F.countDistinct("product").alias("products"))
+
+
+@query("csv_round_trip", raw_sql(RAW_CLEAN_AGG))
+def q_csv_round_trip(spark, sf):
+    """Write the export as `;` CSV (ISO-8859-1), read it back with
+    encoding detection, clean and aggregate."""
+    from shelfrank.plans.jobs import load_fact
+    path = _scratch(spark, "csv-export")
+    _raw_export(spark, sf).write.option("sep", ";").option("header", True) \
+        .option("encoding", "ISO-8859-1").csv(path)
+    return _clean_agg(load_fact(spark, path, encoding="auto"))
+
+
+@query("xlsx_read", raw_sql(RAW_CLEAN_AGG))
+def q_xlsx_read(spark, sf):
+    """The export written as several workbooks, read one task per file."""
+    from shelfrank.plans.jobs import load_fact
+    from shelfrank.sources.files import write_xlsx_parts
+    path = _scratch(spark, "xlsx-export")
+    write_xlsx_parts(_raw_export(spark, sf).repartition(4), path).collect()
+    return _clean_agg(load_fact(spark, path, fmt="xlsx"))
+
+
+@query("result_reload", with_sales(ANNOT_CTES + """
+SELECT granularity AS granularidade, store_id, period AS periodo, COUNT(*) AS items,
+       CAST(SUM(value) AS DOUBLE) AS listed_value
+FROM ai GROUP BY granularity, store_id, period""", daily=True))
+def q_result_reload(spark, sf):
+    """K4 + S7 + U4: write period documents per granularity, read them back
+    (one reader over all folders) and count the items."""
+    from shelfrank.operators import documents
+    a, totals = annotated_items(spark, sf)
+    path = documents.write_documents(documents.period_documents(a, totals), _scratch(spark, "periods"),
+                                     partition_by="granularidade")
+    back = documents.read_period_documents(spark, path)
+    return back.groupBy("granularidade", "store_id", "periodo").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum(F.col("valor").cast("decimal(18,2)")).cast("double").alias("listed_value"))
+
+
+@query("output_check")
+def q_output_check(spark, sf):
+    """K1–K7: run the three jobs on the fact (stub annotator) and check what
+    they wrote: files, bytes, records, corrupt records (rows-only)."""
+    from shelfrank.operators import annotate, documents
+    from shelfrank.plans import jobs
+    out = _scratch(spark, "jobs")
+    stub = annotate.stub_annotator
+    r1 = jobs.abc_job(spark, sales_fact(spark, sf), f"{out}/abc", annotator=stub,
+                      cache_in=_prev_cache(spark, sf))
+    r2 = jobs.monthly_job(spark, sales_fact(spark, sf), f"{out}/monthly", annotator=stub)
+    r3 = jobs.multi_job(spark, daily_fact(spark, sf), f"{out}/multi", annotator=stub)
+    return documents.output_check(spark, {**r1.outputs, **r2.outputs, **r3.outputs})

@@ -36,8 +36,12 @@ def norm(v):
 
     if v is None:
         return None
-    if isinstance(v, (list, tuple, dict)) or hasattr(v, "__array__") and not hasattr(v, "item"):
-        return str(v)
+    import numpy as np
+
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return tuple(norm(x) for x in v)
+    if isinstance(v, dict):
+        return str(sorted(v.items()))
     try:
         if pd.isna(v):
             return None
