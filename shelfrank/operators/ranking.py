@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 from shelfrank.config import DEFAULT, Params
 
-DESC = [F.col("value").desc(), F.col("product").asc()]
-# exact reverse of DESC, so "first n ascending" = "last n descending"
-ASC = [F.col("value").asc(), F.col("product").desc()]
+
+def _desc():
+    return [F.col("value").desc(), F.col("product").asc()]
+
+
+def _asc():
+    # exact reverse of _desc(), so "first n ascending" = "last n descending"
+    return [F.col("value").asc(), F.col("product").desc()]
 
 
 def _first_n(mart: DataFrame, keys: list[str], order, n: int, col: str) -> DataFrame:
@@ -38,9 +43,9 @@ def monthly_top_bottom(mart: DataFrame, keys=("store_id", "period"),
     """
     k = list(keys)
     tn, bn = params.top_n, params.bottom_n
-    top = _first_n(mart, k, DESC, tn, "_r").select(*k, "product", "value", F.lit(True).alias("_top"),
+    top = _first_n(mart, k, _desc(), tn, "_r").select(*k, "product", "value", F.lit(True).alias("_top"),
                                                     F.lit(False).alias("_bot"))
-    bot = _first_n(mart, k, ASC, bn, "_r").select(*k, "product", "value", F.lit(False).alias("_top"),
+    bot = _first_n(mart, k, _asc(), bn, "_r").select(*k, "product", "value", F.lit(False).alias("_top"),
                                                    F.lit(True).alias("_bot"))
     stats = group_stats(mart, k)
     # A product of a small period can be in both lists: merge (<= 20 rows per group).
@@ -52,7 +57,7 @@ def monthly_top_bottom(mart: DataFrame, keys=("store_id", "period"),
     kind = (F.when(n <= tn + bn, F.lit("GERAL"))
             .when(F.col("_top"), F.lit(f"TOP {tn}"))
             .otherwise(F.lit(f"BOTTOM {bn}")))
-    rank = F.row_number().over(Window.partitionBy(*k).orderBy(*DESC))
+    rank = F.row_number().over(Window.partitionBy(*k).orderBy(*_desc()))
     ranked = out.withColumn("kind", kind).withColumn("_pos", rank)
     # rank in the full descending list: bottom rows sit at n - (#bottom) + pos
     n_sel = F.count(F.lit(1)).over(Window.partitionBy(*k))
@@ -71,8 +76,8 @@ def top_bottom_overlap(mart: DataFrame, keys=("store_id", "period"),
     both lists in descending value order as the reference emits them).
     """
     k = list(keys)
-    top = _first_n(mart, k, DESC, params.top_n, "pos").withColumn("kind", F.lit("TOP"))
-    bot = _first_n(mart.filter(F.col("value") > 0), k, ASC, params.bottom_n, "_up")
+    top = _first_n(mart, k, _desc(), params.top_n, "pos").withColumn("kind", F.lit("TOP"))
+    bot = _first_n(mart.filter(F.col("value") > 0), k, _asc(), params.bottom_n, "_up")
     # the BOTTOM list is the tail of the descending order: reverse the positions
     bot = bot.withColumn("pos", (F.count(F.lit(1)).over(Window.partitionBy(*k)) - F.col("_up") + 1)
                          .cast("int")).drop("_up").withColumn("kind", F.lit("BOTTOM"))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt"
+# One column past the header: filled only by a line with too many fields.
+EXTRA = "_extra"
 # Spark's CSV source accepts only a few charset names; map the usual aliases.
 _CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1",
              "iso-8859-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1"}
@@ -33,11 +34,10 @@ def _header(spark: SparkSession, path: str, sep: str, charset: str) -> list[str]
 
 def _read_native(spark, path, sep, charset) -> DataFrame:
     cols = _header(spark, path, sep, charset)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols]
-                          + [T.StructField(CORRUPT, T.StringType())])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cols, EXTRA]])
+    # PERMISSIVE pads short lines with nulls and keeps them
     return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("encoding", charset).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+            .option("encoding", charset).option("mode", "PERMISSIVE").csv(path))
 
 
 @F.pandas_udf(T.StringType())
@@ -57,7 +57,7 @@ def _read_cp1252(spark, path, sep) -> DataFrame:
     body = lines.filter(F.col("ln") > 0)
     parsed = body.select(F.from_csv(F.col("line"), schema, {"sep": sep}).alias("r"), F.col("line"))
     n_sep = F.size(F.split(F.col("line"), re.escape(sep)))
-    return parsed.select("r.*", F.when(n_sep != len(cols), F.col("line")).alias(CORRUPT))
+    return parsed.select("r.*", F.when(n_sep > len(cols), F.col("line")).alias(EXTRA))
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "auto",
@@ -76,16 +76,16 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "au
         charset = "UTF-8" if enc == "auto" else _CHARSETS.get(enc, encoding)
         df = _read_native(spark, path, sep, charset)
         if enc == "auto":
-            data = [c for c in df.columns if c != CORRUPT]
+            data = [c for c in df.columns if c != EXTRA]
             bad = df.filter(F.exists(F.array(*[F.col(f"`{c}`") for c in data]),
                                      lambda x: F.coalesce(x.contains("�"), F.lit(False)))).limit(1)
             if bad.count() > 0:
                 df = _read_native(spark, path, sep, "ISO-8859-1")
     n_cols = len(df.columns) - 1
-    too_many = F.col(CORRUPT).isNotNull() & (F.size(F.split(F.col(CORRUPT), re.escape(sep))) > n_cols)
+    too_many = F.col(EXTRA).isNotNull()
     if strict and df.filter(too_many).limit(1).count() > 0:
         raise MalformedFile(f"{path}: a line has more than {n_cols} fields")
-    return df.filter(~too_many | F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return df.filter(~too_many).drop(EXTRA)
 
 
 # ----------------------------------------------------------------------------- Excel

@@ -1,5 +1,7 @@
 """Reply repair/parse (F-F), cache joins (F-G), annotation with a stub."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from shelfrank.operators import annotate as A
@@ -64,24 +66,27 @@ ITEMS = "store_id string, product string, abc_class string, rank int, value deci
 
 
 def test_cache_hits_misses_upsert(spark):
-    items = spark.createDataFrame([("1", "A", "A", 1, 10), ("1", "B", "B", 2, 5), ("1", "C", "C", 3, 1),
-                                   ("2", "A", "A", 1, 9)], ITEMS)
+    D = Decimal
+    items = spark.createDataFrame([("1", "A", "A", 1, D(10)), ("1", "B", "B", 2, D(5)), ("1", "C", "C", 3, D(1)),
+                                   ("1", "E", "C", 4, D(1)), ("2", "A", "A", 1, D(9))], ITEMS)
     old = spark.createDataFrame([("1", "A", "A", "cached A"), ("1", "B", "A", "class changed"),
                                  ("1", "C", "C", ""), ("3", "A", "A", "other store")], cache.CACHE_SCHEMA)
     hits = {(r.store_id, r.product) for r in cache.hits(items, old).collect()}
     assert hits == {("1", "A")}
     miss = {(r.store_id, r.product) for r in cache.misses(items, old).collect()}
-    assert miss == {("1", "B"), ("1", "C"), ("2", "A")}
+    assert miss == {("1", "B"), ("1", "C"), ("1", "E"), ("2", "A")}
     out, new = cache.annotate_abc(items, old, A.stub_annotator)
     got = {(r.store_id, r.product): (r.analysis, r.from_cache) for r in out.collect()}
     assert got[("1", "A")] == ("cached A", True)
-    assert got[("1", "C")] == (A.UNAVAILABLE, False)  # third item of its batch: no reply entry
+    assert got[("1", "C")] == ("Classe C item 2", False)
+    assert got[("1", "E")] == (A.UNAVAILABLE, False)  # third item of its batch: the stub skips it
     up = {(r.store_id, r.product, r.abc_class): r.analysis for r in cache.upsert(old, new).collect()}
     assert up[("1", "B", "B")].startswith("Classe B")
-    assert up[("1", "C", "C")] == ""  # unavailable text is not stored, old entry kept
+    assert up[("1", "C", "C")] == "Classe C item 2"  # overwrites the empty text
+    assert ("1", "E", "C") not in up  # the unavailable text is not stored
     assert up[("3", "A", "A")] == "other store"
     stats = {r.store_id: (r.hits, r.misses) for r in cache.hit_miss_by_store(out).collect()}
-    assert stats == {"1": (1, 2), "2": (0, 1)}
+    assert stats == {"1": (1, 3), "2": (0, 1)}
 
 
 def test_cache_json_round_trip(spark, tmp_dir):
