@@ -37,14 +37,14 @@ def flag_sales(raw: DataFrame, money: str = "br", currency: bool = False,
         C.normalise_product(F.col(PRODUCT), collapse_ws).alias("product"),
         C.parse_money(F.col(VALUE_RAW), money, currency).alias("value"),
         C.parse_date(F.col(DATE_RAW), date_formats).alias("d"),
-    ).withColumn("month", C.month_bucket("d"))
+    )
 
 
 def clean_sales(raw: DataFrame, money: str = "br", currency: bool = False,
                 invalid_dates: str = "bucket", collapse_ws: bool = True,
                 drop_invalid_products: bool = True,
                 date_formats=C.DEFAULT_DATE_FORMATS) -> DataFrame:
-    """Raw text -> fact (store_id, product, value, d, month).
+    """Raw text -> fact (store_id, product, value, d).
 
     ``invalid_dates='bucket'`` keeps undated sales in month ``NaT`` (ABC and
     monthly jobs), ``'drop'`` removes them (multi-granularity job), D1.

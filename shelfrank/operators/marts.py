@@ -19,10 +19,14 @@ def _sum(df: DataFrame, keys: list[str], out: str = "value") -> DataFrame:
 
 def product_month_sales(sales: DataFrame, date_col: str = "d") -> DataFrame:
     """A1: store × product × month. Rows without a date go to month ``NaT``
-    when the cleaning used ``invalid_dates='bucket'`` (D1)."""
-    if "month" not in sales.columns:
-        sales = sales.withColumn("month", month_key(date_col))
-    return _sum(sales, ["store_id", "product", "month"])
+    (the cleaning's ``invalid_dates='bucket'`` policy, D1).
+
+    Grouping is on the truncated date (a fixed-width key); the text key is
+    formatted on the aggregated rows only.
+    """
+    agg = _sum(sales.withColumn("_m", F.trunc(F.col(date_col), "month")), ["store_id", "product", "_m"])
+    return agg.select("store_id", "product",
+                      F.coalesce(month_key("_m"), F.lit("NaT")).alias("month"), "value")
 
 
 def product_totals(sales: DataFrame) -> DataFrame:
@@ -46,11 +50,21 @@ def product_history(month_sales: DataFrame) -> DataFrame:
 
 
 def period_mart(sales: DataFrame, granularity: str, date_col: str = "d") -> DataFrame:
-    """A3/A4: store × period × product for one granularity (P17: ``period``)."""
-    return _sum(
-        sales.withColumn("period", period_key(date_col, granularity)),
-        ["store_id", "period", "product"],
-    )
+    """A3/A4: store × period × product for one granularity (P17: ``period``).
+
+    Groups on date keys — the day, (year, Monday) for %W weeks, or the
+    month's first day — and formats the text key after the aggregate.
+    """
+    d = F.col(date_col)
+    if granularity == "week":
+        # a %W week is fixed by the calendar year and the Monday that starts it
+        keyed = sales.withColumn("_y", F.year(d)).withColumn("_k", F.date_sub(d, F.weekday(d)))
+        agg = _sum(keyed, ["store_id", "_y", "_k", "product"])
+        first_day = F.greatest(F.col("_k"), F.make_date(F.col("_y"), F.lit(1), F.lit(1)))
+        return agg.select("store_id", week_key(first_day).alias("period"), "product", "value")
+    trunc = d if granularity == "day" else F.trunc(d, "month")
+    agg = _sum(sales.withColumn("_k", trunc), ["store_id", "_k", "product"])
+    return agg.select("store_id", period_key("_k", granularity).alias("period"), "product", "value")
 
 
 def multi_granularity_mart(sales: DataFrame, granularities=GRANULARITIES,

@@ -435,7 +435,7 @@ def q_invalid_dates(spark, sf):
     raw = T.raw_sales_text(spark, sf)
     out = None
     for policy in ("bucket", "drop"):
-        c = clean_sales(raw, invalid_dates=policy)
+        c = clean_sales(raw, invalid_dates=policy).withColumn("month", C.month_bucket("d"))
         g = c.groupBy("store_id", "month").agg(F.count(F.lit(1)).alias("n_rows"),
                                                dbl_sum("value"))
         g = g.select(F.lit(policy).alias("policy"), "store_id", "month", "n_rows", "value")

@@ -31,22 +31,21 @@ def sales_fact(spark: SparkSession, sf_dir: str, stores: str = "nation") -> Data
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
     )
-    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    df = li.join(sup, li.l_suppkey == sup.s_suppkey).join(
-        part, li.l_partkey == part.p_partkey
-    )
+    # per-row text work happens on the dimension side, before the join
+    part = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("product"))
     if stores == "region":
-        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-        df = df.join(nation, df.s_nationkey == nation.n_nationkey)
-        store = F.col("n_regionkey").cast("string")
+        sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+        nation = table(spark, sf_dir, "nation").select(
+            "n_nationkey", F.col("n_regionkey").cast("string").alias("store_id"))
+        sup = sup.join(nation, sup.s_nationkey == nation.n_nationkey).select("s_suppkey", "store_id")
     elif stores == "nation":
-        store = F.col("s_nationkey").cast("string")
+        sup = table(spark, sf_dir, "supplier").select(
+            "s_suppkey", F.col("s_nationkey").cast("string").alias("store_id"))
     else:
         raise ValueError(f"stores must be 'nation' or 'region', not {stores!r}")
+    df = li.join(sup, li.l_suppkey == sup.s_suppkey).join(part, li.l_partkey == part.p_partkey)
     return df.select(
-        store.alias("store_id"),
-        F.upper("p_name").alias("product"),
+        "store_id", "product",
         F.col("l_extendedprice").cast(MONEY).alias("value"),
         F.col("l_shipdate").cast("date").alias("d"),
     )
