@@ -40,31 +40,23 @@ def monthly_top_bottom(mart: DataFrame, keys=("store_id", "period"),
     top_n + bottom_n products is listed whole as ``GERAL``.
 
     Output: keys, product, kind, value, rank (1 = best), n_products, period_total.
+    The rank of a bottom row is n - (its ascending position) + 1, so no
+    window over the whole group is needed; a row already in the top list is
+    dropped from the bottom list (small periods), so no de-duplication either.
     """
     k = list(keys)
     tn, bn = params.top_n, params.bottom_n
-    top = _first_n(mart, k, _desc(), tn, "_r").select(*k, "product", "value", F.lit(True).alias("_top"),
-                                                    F.lit(False).alias("_bot"))
-    bot = _first_n(mart, k, _asc(), bn, "_r").select(*k, "product", "value", F.lit(False).alias("_top"),
-                                                   F.lit(True).alias("_bot"))
     stats = group_stats(mart, k)
-    # A product of a small period can be in both lists: merge (<= 20 rows per group).
-    cand = (top.unionByName(bot)
-            .groupBy(*k, "product")
-            .agg(F.max("value").alias("value"), F.max("_top").alias("_top"), F.max("_bot").alias("_bot")))
-    out = cand.join(stats, k, "inner")
     n = F.col("n_products")
-    kind = (F.when(n <= tn + bn, F.lit("GERAL"))
-            .when(F.col("_top"), F.lit(f"TOP {tn}"))
-            .otherwise(F.lit(f"BOTTOM {bn}")))
-    rank = F.row_number().over(Window.partitionBy(*k).orderBy(*_desc()))
-    ranked = out.withColumn("kind", kind).withColumn("_pos", rank)
-    # rank in the full descending list: bottom rows sit at n - (#bottom) + pos
-    n_sel = F.count(F.lit(1)).over(Window.partitionBy(*k))
-    full_rank = F.when(F.col("_top") | (n <= tn + bn), F.col("_pos")).otherwise(
-        n - n_sel + F.col("_pos"))
-    return ranked.withColumn("rank", full_rank.cast("int")).select(
-        *k, "product", "kind", "value", "rank", "n_products", "period_total")
+    top = _first_n(mart, k, _desc(), tn, "rank").join(stats, k)
+    bot = (_first_n(mart, k, _asc(), bn, "_up").join(stats, k)
+           .withColumn("rank", (n - F.col("_up") + 1).cast("int"))
+           .filter(F.col("rank") > tn).drop("_up"))
+    kind_top = F.when(n <= tn + bn, F.lit("GERAL")).otherwise(F.lit(f"TOP {tn}"))
+    kind_bot = F.when(n <= tn + bn, F.lit("GERAL")).otherwise(F.lit(f"BOTTOM {bn}"))
+    cols = [*k, "product", "kind", "value", F.col("rank").cast("int").alias("rank"), "n_products", "period_total"]
+    return top.withColumn("kind", kind_top).select(*cols).unionByName(
+        bot.withColumn("kind", kind_bot).select(*cols))
 
 
 def top_bottom_overlap(mart: DataFrame, keys=("store_id", "period"),
