@@ -21,12 +21,14 @@ def product_month_sales(sales: DataFrame, date_col: str = "d") -> DataFrame:
     """A1: store × product × month. Rows without a date go to month ``NaT``
     (the cleaning's ``invalid_dates='bucket'`` policy, D1).
 
-    Grouping is on the truncated date (a fixed-width key); the text key is
-    formatted on the aggregated rows only.
+    Grouping is on the month's first day (``month_start``, kept in the
+    output); the text key is formatted on the aggregated rows only.
     """
-    agg = _sum(sales.withColumn("_m", F.trunc(F.col(date_col), "month")), ["store_id", "product", "_m"])
+    agg = _sum(sales.withColumn("month_start", F.trunc(F.col(date_col), "month")),
+               ["store_id", "product", "month_start"])
     return agg.select("store_id", "product",
-                      F.coalesce(month_key("_m"), F.lit("NaT")).alias("month"), "value")
+                      F.coalesce(month_key("month_start"), F.lit("NaT")).alias("month"), "value",
+                      "month_start")
 
 
 def product_totals(sales: DataFrame) -> DataFrame:

@@ -56,9 +56,16 @@ def month_over_month(month_sales: DataFrame, keys=("store_id", "product")) -> Da
     """Adds ``previous`` (value of the previous calendar month, 0 if none),
     ``change_pct`` and ``change_text`` to a store × product × month mart."""
     k = list(keys)
-    prev = month_sales.select(*k, shift_month(F.col("month"), 1).alias("month"),
-                              F.col("value").alias("previous"))
-    j = month_sales.join(prev, [*k, "month"], "left")
+    if "month_start" in month_sales.columns:
+        # join on the mart's own date key: the left side keeps the aggregate's
+        # partitioning, and no month text is parsed
+        prev = month_sales.select(*k, F.add_months("month_start", 1).alias("month_start"),
+                                  F.col("value").alias("previous"))
+        j = month_sales.join(prev, [*k, "month_start"], "left")
+    else:
+        prev = month_sales.select(*k, shift_month(F.col("month"), 1).alias("month"),
+                                  F.col("value").alias("previous"))
+        j = month_sales.join(prev, [*k, "month"], "left")
     pct, txt = change_columns(F.col("value"), F.col("previous"))
     return j.select(*k, "month", "value",
                     F.coalesce(F.col("previous"), F.lit(0).cast("decimal(18,2)")).alias("previous"),

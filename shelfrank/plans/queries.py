@@ -987,3 +987,50 @@ def q_output_check(spark, sf):
     r2 = jobs.monthly_job(spark, sales_fact(spark, sf), f"{out}/monthly", annotator=stub)
     r3 = jobs.multi_job(spark, daily_fact(spark, sf), f"{out}/multi", annotator=stub)
     return documents.output_check(spark, {**r1.outputs, **r2.outputs, **r3.outputs})
+
+
+@query("selection_lists", with_sales(SELECTION_CTES + """,
+ls AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period, kind
+                                    ORDER BY value DESC, product) AS lpos
+       FROM sc)
+SELECT granularity, store_id, period, kind AS list, CAST(lpos AS INTEGER) AS pos, product,
+       CAST(value AS DOUBLE) AS value, abc_class
+FROM ls WHERE lpos <= 10""", daily=True))
+def q_selection_lists(spark, sf):
+    """First 10 of the TOP list and of the BOTTOM list of each selection
+    (both in descending value order, as the dashboard shows them)."""
+    from pyspark.sql import Window
+    s = selection(spark, sf)
+    w = Window.partitionBy(*PKEYS, "kind").orderBy(F.col("value").desc(), F.col("product").asc())
+    out = s.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= 10)
+    return out.select(*PKEYS, F.col("kind").alias("list"), F.col("pos").cast("int").alias("pos"), "product",
+                      dbl("value").alias("value"), "abc_class")
+
+
+@query("selection_summary", with_sales(SELECTION_CTES + """
+SELECT granularity, store_id, period, COUNT(*) AS n_products,
+       COUNT(*) FILTER (WHERE n_insights > 0) AS n_with_insight,
+       CAST(SUM(n_insights) AS BIGINT) AS n_insights,
+       COUNT(*) FILTER (WHERE abc_class = 'A') AS n_a,
+       COUNT(*) FILTER (WHERE abc_class = 'B') AS n_b,
+       COUNT(*) FILTER (WHERE abc_class = 'C') AS n_c,
+       CAST(floor(COALESCE(CAST(SUM(CASE WHEN abc_class = 'A' THEN value END) AS DOUBLE), 0.0)
+                  / CAST(MIN(total) AS DOUBLE) * 100.0 + 0.5) AS INTEGER) AS share_a,
+       CAST(MIN(total) AS DOUBLE) AS total
+FROM sc GROUP BY granularity, store_id, period""", daily=True))
+def q_selection_summary(spark, sf):
+    """A17 + A14 on a selection: products, products with an insight, insight
+    count, class counts and the integer share of class A (F19)."""
+    s = selection(spark, sf)
+    a_val = F.coalesce(F.sum(F.when(F.col("abc_class") == "A", F.col("value"))).cast("double"), F.lit(0.0))
+    g = s.groupBy(*PKEYS).agg(
+        F.count(F.lit(1)).alias("n_products"),
+        F.count_if(F.size("insights") > 0).alias("n_with_insight"),
+        F.sum(F.size("insights")).cast("bigint").alias("n_insights"),
+        F.count_if(F.col("abc_class") == "A").alias("n_a"),
+        F.count_if(F.col("abc_class") == "B").alias("n_b"),
+        F.count_if(F.col("abc_class") == "C").alias("n_c"),
+        a_val.alias("_a"),
+        F.min("period_total").cast("double").alias("total"))
+    share = F.floor(F.col("_a") / F.col("total") * F.lit(100.0) + F.lit(0.5)).cast("int")
+    return g.withColumn("share_a", share).drop("_a")
