@@ -1,9 +1,9 @@
 """Month-on-month change per product.
 
 "Previous" is the previous *calendar* month: a plain ``lag`` would pick the
-last month with sales, which may be years back (SURVEY D13). We equi-join
-the month mart with itself shifted by one month instead — no window, so no
-group has to fit in one task.
+last month with sales, which may be years back (SURVEY D13). Each mart row
+is sent to its own month and to the next one, and one aggregate pairs them —
+no window, so no group has to fit in one task, and no self-join.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfrank.functions.periods import month_key
+
 # The reference's texts for a product without a previous month
 # and for a product without sales.
 NEW_TEXT = "Novo (sem vendas anteriores)"
@@ -18,7 +20,9 @@ NO_DATA_TEXT = "Sem dados"
 
 
 def shift_month(month: Column, months: int) -> Column:
-    return F.date_format(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), months), "yyyy-MM")
+    """``yyyy-MM`` text shifted by ``months``; null for a malformed key (``NaT``)."""
+    first = F.try_to_timestamp(F.concat(month, F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date")
+    return F.date_format(F.add_months(first, months), "yyyy-MM")
 
 
 def _cents(c: Column) -> Column:
@@ -54,18 +58,38 @@ def _int_div(a: Column, b: Column) -> Column:
 
 def month_over_month(month_sales: DataFrame, keys=("store_id", "product")) -> DataFrame:
     """Adds ``previous`` (value of the previous calendar month, 0 if none),
-    ``change_pct`` and ``change_text`` to a store × product × month mart."""
+    ``change_pct`` and ``change_text`` to a store × product × month mart.
+
+    One pass, no self-join: every mart row is sent once as the current value
+    of its month and once as the previous value of the next month; one
+    aggregate on (keys, month) brings each pair together. The mart is read
+    once (a self-join reads it twice, and the shifted side is not a reusable
+    exchange), and the only shuffle carries mart rows, with map-side partial
+    sums. Months that only received a "previous" row are dropped. Undated
+    rows (month ``NaT``) have no next month.
+    """
     k = list(keys)
+    dec = month_sales.schema["value"].dataType
+    none = F.lit(None).cast(dec)
     if "month_start" in month_sales.columns:
-        # join on the mart's own date key: the left side keeps the aggregate's
-        # partitioning, and no month text is parsed
-        prev = month_sales.select(*k, F.add_months("month_start", 1).alias("month_start"),
-                                  F.col("value").alias("previous"))
-        j = month_sales.join(prev, [*k, "month_start"], "left")
+        # the mart's own date key: no month text is parsed
+        m, nxt, out_month = F.col("month_start"), F.add_months("month_start", 1), "month_start"
+    else:
+        m, nxt, out_month = F.col("month"), shift_month(F.col("month"), 1), "month"
+    pair = F.array(
+        F.struct(m.alias("_m"), F.col("value").alias("_cur"), none.alias("_prev")),
+        F.when(nxt.isNotNull(), F.struct(nxt.alias("_m"), none.alias("_cur"), F.col("value").alias("_prev"))),
+    )
+    sent = (month_sales.select(*k, F.explode(pair).alias("_e"))
+            .filter(F.col("_e").isNotNull()).select(*k, "_e.*"))
+    j = (sent.groupBy(*k, "_m")
+         .agg(F.sum("_cur").alias("value"), F.sum("_prev").alias("previous"),
+              F.count("_cur").alias("_n"))
+         .filter(F.col("_n") > 0))
+    if out_month == "month_start":
+        j = j.withColumn("month", F.coalesce(month_key("_m"), F.lit("NaT")))
     else:
-        prev = month_sales.select(*k, shift_month(F.col("month"), 1).alias("month"),
-                                  F.col("value").alias("previous"))
-        j = month_sales.join(prev, [*k, "month"], "left")
+        j = j.withColumnRenamed("_m", "month")
     pct, txt = change_columns(F.col("value"), F.col("previous"))
     return j.select(*k, "month", "value",
                     F.coalesce(F.col("previous"), F.lit(0).cast("decimal(18,2)")).alias("previous"),

@@ -30,11 +30,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must name shared storage; we only fill it in
-    when it is unset (local tests), with a fresh folder under the system temp.
+    On a cluster the setting must name shared storage. Only a local-mode
+    session (tests, bench) with the setting unset gets a fresh folder under
+    the system temp; a cluster session without it is an error, since a
+    machine-local folder would not survive the loss of an executor.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...)")
         d = tempfile.mkdtemp(prefix="shelfrank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext

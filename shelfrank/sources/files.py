@@ -40,24 +40,28 @@ def _read_native(spark, path, sep, charset) -> DataFrame:
             .option("encoding", charset).option("mode", "PERMISSIVE").csv(path))
 
 
-@F.pandas_udf(T.StringType())
-def _decode_cp1252(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else bytes(x).decode("cp1252", errors="replace"))
+# cp1252 and ISO-8859-1 agree on every byte except 0x80-0x9F, where ISO-8859-1
+# has C1 control characters and cp1252 has printable ones (euro sign, curly
+# quotes, dashes, ...). Both tables come from Python's own codecs; the five
+# bytes cp1252 leaves undefined become U+FFFD.
+_C1_BYTES = bytes(range(0x80, 0xA0))
+_C1_LATIN1 = _C1_BYTES.decode("iso-8859-1")
+_C1_CP1252 = "".join(bytes([b]).decode("cp1252", errors="replace") for b in _C1_BYTES)
+
+
+def _latin1_to_cp1252(s: str) -> str:
+    return s.translate(str.maketrans(_C1_LATIN1, _C1_CP1252))
 
 
 def _read_cp1252(spark, path, sep) -> DataFrame:
-    """cp1252 has no Spark charset: decode each file in a pandas UDF (one task
-    per file), split lines and parse them with the built-in ``from_csv``."""
-    files = spark.read.format("binaryFile").load(path).select("path", _decode_cp1252("content").alias("txt"))
-    lines = files.select("path", F.posexplode(F.split(F.col("txt"), r"\r?\n")).alias("ln", "line")) \
-                 .filter(F.col("line") != "")
-    first = files.limit(1).select(F.split(F.col("txt"), r"\r?\n").getItem(0).alias("h")).first()
-    cols = [c.strip() for c in (first["h"] if first else "").lstrip("﻿").split(sep)]
-    schema = ", ".join(f"`{c}` string" for c in cols)
-    body = lines.filter(F.col("ln") > 0)
-    parsed = body.select(F.from_csv(F.col("line"), schema, {"sep": sep}).alias("r"), F.col("line"))
-    n_sep = F.size(F.split(F.col("line"), re.escape(sep)))
-    return parsed.select("r.*", F.when(n_sep > len(cols), F.col("line")).alias(EXTRA))
+    """cp1252 has no Spark charset: scan as ISO-8859-1 (one byte per
+    character, so the scan stays splittable and the bad-line rule is the
+    same), then map the 32 differing code points with ``translate``."""
+    df = _read_native(spark, path, sep, "ISO-8859-1")
+    return df.select(*[
+        F.col(f"`{c}`") if c == EXTRA else
+        F.translate(F.col(f"`{c}`"), _C1_LATIN1, _C1_CP1252).alias(_latin1_to_cp1252(c))
+        for c in df.columns])
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "auto",
@@ -67,7 +71,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "au
     Bad lines (D8): a line with *more* fields than the header is dropped
     (S1) or fails the read (``strict=True``, S2); a short line is kept with
     nulls. ``encoding='auto'`` reads UTF-8 and, if any U+FFFD shows up,
-    re-reads as ISO-8859-1 (D9); ``'cp1252'`` goes through a decode step.
+    re-reads as ISO-8859-1 (D9); ``'cp1252'`` is an ISO-8859-1 scan plus a
+    character map.
     """
     enc = encoding.lower()
     if enc == "cp1252" or enc == "windows-1252":

@@ -96,3 +96,16 @@ def test_month_over_month_uses_calendar_month(spark):
     assert got[("a", "2024-05")][2] == "Novo (sem vendas anteriores)"  # April had no sales
     assert got[("a", "2024-01")][1] == 100.0
     assert got[("b", "2024-02")][2] == "Sem dados"
+
+
+def test_month_over_month_text_months_and_nat(spark):
+    # text month keys (no month_start column), an undated bucket, a year boundary
+    rows = [("s", "a", "2023-12", Decimal(10)), ("s", "a", "2024-01", Decimal(20)),
+            ("s", "a", "NaT", Decimal(5)), ("s", "b", "2024-01", Decimal(7))]
+    df = spark.createDataFrame(rows, "store_id string, product string, month string, value decimal(18,2)")
+    got = {(r.product, r.month): (r.value, r.previous, r.change_text)
+           for r in variation.month_over_month(df).collect()}
+    assert set(got) == {("a", "2023-12"), ("a", "2024-01"), ("a", "NaT"), ("b", "2024-01")}
+    assert got[("a", "2024-01")] == (Decimal("20.00"), Decimal("10.00"), "+100.0%")
+    assert got[("a", "NaT")][1:] == (Decimal("0.00"), "Novo (sem vendas anteriores)")
+    assert got[("b", "2024-01")][2] == "Novo (sem vendas anteriores)"

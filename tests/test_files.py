@@ -59,3 +59,11 @@ def test_xlsx_two_workbooks(spark, tmp_dir):
     assert df.count() == 3
     fact = clean_sales(rename_raw(df.drop("source_file")))
     assert sorted(r.product for r in fact.collect()) == ["A", "B", "C"]
+
+
+def test_cp1252_only_characters(spark, tmp_dir):
+    # euro sign, curly quotes and en dash are bytes 0x80-0x9F in cp1252
+    p = os.path.join(tmp_dir, "win.csv")
+    write(p, HEADER + "\n1;\u201cpão\u201d \u2013 €;1,00;05/01/2024\n", "cp1252")
+    rows = files.read_csv(spark, p, encoding="cp1252").collect()
+    assert [r[1] for r in rows] == ["\u201cpão\u201d \u2013 €"]
