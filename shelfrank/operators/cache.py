@@ -79,13 +79,19 @@ def hit_miss_by_store(items_out: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- JSON form
 
-def to_json_lines(cache: DataFrame, chunks: int = 16) -> DataFrame:
+def to_json_lines(cache: DataFrame, chunk_size: int = 1000) -> DataFrame:
     """F12 + K6: ``{"store": {"product|class": text}}`` objects, one per
-    (store, chunk of products) so no line holds a whole store; readers merge."""
+    (store, chunk of about ``chunk_size`` entries), so no line or group
+    holds a whole store; readers merge. A store's chunk count comes from its
+    entry count (a per-store partial aggregate); entries are spread over the
+    chunks by a hash of their key."""
     key = F.concat_ws("|", "product", "abc_class")
-    g = cache.withColumn("_chunk", F.pmod(F.hash("product"), F.lit(chunks))) \
-             .groupBy("store_id", "_chunk") \
-             .agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("analysis")))).alias("m"))
+    chunks = cache.groupBy("store_id").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(chunk_size))).alias("_chunks"))
+    g = (cache.join(chunks, "store_id")
+         .withColumn("_chunk", F.pmod(F.xxhash64("product", "abc_class"), F.col("_chunks")))
+         .groupBy("store_id", "_chunk")
+         .agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("analysis")))).alias("m")))
     return g.select(F.to_json(F.create_map(F.col("store_id"), F.col("m"))).alias("value"))
 
 

@@ -1,5 +1,6 @@
 """Reply repair/parse (F-F), cache joins (F-G), annotation with a stub."""
 
+import json
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -96,3 +97,14 @@ def test_cache_json_round_trip(spark, tmp_dir):
     back = cache.read_json(spark, f"{tmp_dir}/cache")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in old.collect())
     assert cache.read_json(spark, f"{tmp_dir}/missing").count() == 0
+
+
+def test_cache_json_lines_are_bounded(spark, tmp_dir):
+    # one store with 5,000 entries is split into lines of about chunk_size entries
+    big = spark.range(5000).select(F.lit("7").alias("store_id"), F.concat(F.lit("P"), F.col("id").cast("string"))
+                                   .alias("product"), F.lit("C").alias("abc_class"), F.lit("t").alias("analysis"))
+    lines = cache.to_json_lines(big, chunk_size=500).collect()
+    sizes = [len(json.loads(r.value)["7"]) for r in lines]
+    assert sum(sizes) == 5000 and len(sizes) == 10 and max(sizes) < 650
+    cache.write_json(big, f"{tmp_dir}/big")
+    assert cache.read_json(spark, f"{tmp_dir}/big").count() == 5000
