@@ -27,6 +27,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Runtime SQL settings for a cluster run over ``input_bytes`` of fact data
+    on ``cores`` executor cores (pass them to the session builder or
+    ``spark.conf.set``).
+
+    * scan splits of ``partition_bytes`` (256 MiB: about 400k tasks for 100 TB);
+    * shuffle partitions: one per GiB of input, kept between 3 and 20 waves
+      of the cores (100 TB on 4,000 cores: 80,000). Every shuffle here carries
+      map-side partial aggregates, a fraction of the input, so a reducer gets
+      far less than a GiB; AQE coalesces small stages to the advisory size and
+      splits skewed join partitions;
+    * broadcast joins only below 64 MiB: of our joins only fixed dimensions
+      (months, store names, one-row totals) are hinted.
+    """
+    shuffle = min(20 * cores, max(3 * cores, -(-input_bytes // (1 << 30))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
