@@ -901,6 +901,65 @@ def q_period_documents(spark, sf):
     return documents.period_documents(a, totals)
 
 
+# Flat views of the three nested documents: every item of every written line,
+# with its line's header fields and its position in the line's list, so the
+# nesting, chunking and item order are value-checked against DuckDB.
+
+def _doc_items(doc, head, fields):
+    ex = doc.select(*head, F.posexplode("itens").alias("pos", "it"))
+    return ex.select(*head, "pos", *[c.alias(n) for n, c in fields])
+
+
+@query("abc_document_items", with_sales(CACHE_CTES + """,
+ann AS (SELECT store_id, product, abc_class, rank, analysis FROM hits
+        UNION ALL SELECT store_id, product, abc_class, rank, analysis FROM fresh),
+hm AS (SELECT store_id, product, COUNT(DISTINCT strftime(d, '%Y-%m')) AS n_months
+       FROM sales GROUP BY store_id, product)
+SELECT TRY_CAST(a.store_id AS INTEGER) AS id_loja, a.store_id,
+       CAST((a.rank - 1) // 1000 AS INTEGER) AS chunk, CAST((a.rank - 1) % 1000 AS INTEGER) AS pos,
+       a.product AS produto, CAST(c.value AS DOUBLE) AS valor_total, a.abc_class AS classe,
+       CAST(hm.n_months AS INTEGER) AS n_historico, a.analysis AS analise_ia
+FROM ann a JOIN cur c USING (store_id, product) JOIN hm USING (store_id, product)"""))
+def q_abc_document_items(spark, sf):
+    """A19 + P19, flattened: item order = ABC rank, 1000 items per line."""
+    it = F.col("it")
+    return _doc_items(q_abc_documents(spark, sf), ["id_loja", "store_id", "chunk"], [
+        ("produto", it["produto"]), ("valor_total", it["valor_total"]), ("classe", it["classe"]),
+        ("n_historico", F.size(it["historico"])), ("analise_ia", it["analise_ia"])])
+
+
+@query("monthly_document_items", with_sales(MONTHLY_RANK_CTES + """,
+lp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, month ORDER BY rank) AS lpos FROM tb)
+SELECT TRY_CAST(store_id AS INTEGER) AS id_loja, store_id, month AS mes,
+       CAST(period_total AS DOUBLE) AS total_mensal, CAST(lpos - 1 AS INTEGER) AS pos,
+       product AS produto, kind AS tipo, CAST(value AS DOUBLE) AS venda_este_mes,
+       CASE WHEN lpos = 1 THEN 'revisado' ELSE kind || ' #' || CAST(lpos AS VARCHAR) END AS diagnostico,
+       CASE WHEN lpos = 1 THEN 'rever' WHEN lpos % 3 <> 0 THEN 'manter' ELSE '-' END AS acao
+FROM lp"""))
+def q_monthly_document_items(spark, sf):
+    """A20 + P19 + X4 (month prompts, stub annotator), flattened."""
+    it = F.col("it")
+    return _doc_items(q_monthly_documents(spark, sf), ["id_loja", "store_id", "mes", "total_mensal"], [
+        ("produto", it["produto"]), ("tipo", it["tipo"]), ("venda_este_mes", it["venda_este_mes"]),
+        ("diagnostico", it["analise_ia"]["diagnostico"]), ("acao", it["analise_ia"]["acao"])])
+
+
+@query("period_document_items", with_sales(ANNOT_CTES + """,
+pt AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period)
+SELECT ai.granularity AS granularidade, TRY_CAST(ai.store_id AS INTEGER) AS id_loja, ai.store_id,
+       ai.period AS periodo, CAST(pt.total AS DOUBLE) AS total, CAST(ai.i - 1 AS INTEGER) AS pos,
+       ai.product AS produto, CAST(ai.value AS DOUBLE) AS valor, ai.kind AS tipo,
+       ai.diagnosis AS diagnostico, ai.action AS acao
+FROM ai JOIN pt USING (granularity, store_id, period)""", daily=True))
+def q_period_document_items(spark, sf):
+    """A20 (multi-granularity), flattened: TOP items first, then BOTTOM items."""
+    it = F.col("it")
+    return _doc_items(q_period_documents(spark, sf),
+                      ["granularidade", "id_loja", "store_id", "periodo", "total"], [
+        ("produto", it["produto"]), ("valor", it["valor"]), ("tipo", it["tipo"]),
+        ("diagnostico", it["analise_ia"]["diagnostico"]), ("acao", it["analise_ia"]["acao"])])
+
+
 @query("index_document", with_sales("""
 SELECT ['periods/granularidade=day', 'periods/granularidade=week', 'periods/granularidade=month'] AS arquivos,
        list(DISTINCT store_id ORDER BY store_id) AS lojas,
