@@ -780,6 +780,67 @@ def q_prompt_text(spark, sf):
     return p15.unionByName(p14).unionByName(p13)
 
 
+@query("period_prompt_text", with_sales(ANNOT_CTES + """,
+pt AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period),
+ln AS (SELECT li.granularity, li.store_id, li.period,
+              string_agg('- ' || product || ': R$ ' || printf('%.2f', CAST(value AS DOUBLE))
+                         || ' (' || kind || ')', chr(10) ORDER BY i) AS lines
+       FROM li JOIN rec USING (granularity, store_id, period) WHERE rec.annotated
+       GROUP BY li.granularity, li.store_id, li.period)
+SELECT granularity, store_id, period,
+       'Store ' || store_id || ', period ' || period || ' (' || granularity || ').' || chr(10) || 'Items:'
+       || chr(10) || lines || chr(10) || 'Period total: R$ ' || printf('%.2f', CAST(total AS DOUBLE))
+       || chr(10) || 'For every item give a short diagnosis (at most 80 characters) and one practical '
+       || 'action (at most 60). Answer with a JSON array of objects with the keys produto, diagnostico, acao.'
+       AS prompt
+FROM ln JOIN pt USING (granularity, store_id, period)""", daily=True))
+def q_period_prompt_text(spark, sf):
+    """F15 (+ W6): the prompt of every store-period among each store's newest
+    seven, items in list order (TOP, then BOTTOM)."""
+    from shelfrank.operators import annotate
+    r, totals, recent = _period_ranking(spark, sf)
+    asked = r.join(recent.filter("annotated"), PKEYS).drop("annotated")
+    return annotate.period_prompts(asked, totals, PKEYS).select(*PKEYS, "prompt")
+
+
+def _brl_sql(c: str) -> str:
+    return f"'R$ ' || translate(format('{{:,.2f}}', CAST({c} AS DECIMAL(18,2))), ',.', '.,')"
+
+
+@query("monthly_prompt_text", with_sales(MONTHLY_RANK_CTES + f""",
+se(mm, season, events, trend) AS (VALUES {_season_values()}),
+ks AS (SELECT store_id, month, MIN(period_total) AS period_total,
+              COALESCE(SUM(CASE WHEN kind LIKE '%TOP%' THEN value END), 0) AS top_sum,
+              COALESCE(SUM(CASE WHEN kind LIKE '%BOTTOM%' THEN value END), 0) AS bottom_sum,
+              COUNT(*) AS n_items,
+              to_json(list(struct_pack(produto := product, tipo := kind,
+                                       venda_este_mes := CAST(value AS DOUBLE)) ORDER BY rank)) AS items_json
+       FROM tb GROUP BY store_id, month)
+SELECT store_id, month,
+       'Monthly menu review for store ' || store_id || ', '
+       || {_month_names_sql()}[CAST(substr(month, 6, 2) AS INTEGER)] || '/' || substr(month, 1, 4)
+       || '.' || chr(10) || 'Season: ' || COALESCE(se.season, 'N/A') || '. Context: '
+       || COALESCE(se.events, 'Período padrão') || '.' || chr(10) || 'Month revenue, all products: '
+       || {_brl_sql('period_total')} || chr(10) || 'Top items: ' || {_brl_sql('top_sum')}
+       || '; bottom items: ' || {_brl_sql('bottom_sum')} || '; items listed: ' || CAST(n_items AS VARCHAR)
+       || chr(10) || 'ITEMS_JSON: ' || CAST(items_json AS VARCHAR) || chr(10)
+       || 'Judge each item on its own. Answer with a JSON array of objects with the keys produto, '
+       || 'diagnostico, acao.' AS prompt
+FROM ks LEFT JOIN se ON substr(ks.month, 6, 2) = se.mm"""))
+def q_monthly_prompt_text(spark, sf):
+    """F14 (+ J5, A7, A9, F2, F7, F8): the prompt of every store-month."""
+    from shelfrank.functions.periods import month_label
+    from shelfrank.operators import annotate, ranking
+    from shelfrank.sources.dims import with_season
+    mr = monthly_ranking(spark, sf)
+    mk = ["store_id", "month"]
+    ctx = (ranking.kind_sums(mr, mk).drop("n_items")
+           .join(mr.groupBy(*mk).agg(F.first("period_total").alias("period_total")), mk)
+           .withColumn("label", month_label("month")))
+    return annotate.month_prompts(mr.withColumn("i", F.col("rank")), with_season(ctx, spark), mk) \
+        .select(*mk, "prompt")
+
+
 SELECTION_CTES = ANNOT_CTES + """,
 tot AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period),
 mg AS (SELECT granularity, store_id, period, product, MAX(value) AS value, arg_min(kind, i) AS kind,
