@@ -841,6 +841,20 @@ def q_monthly_prompt_text(spark, sf):
         .select(*mk, "prompt")
 
 
+@query("abc_prompt_text", with_sales(CACHE_CTES + """
+SELECT store_id, batch,
+       'ABC review for store ' || store_id || '. One line of advice per product, no comparisons, no trends.'
+       || chr(10) || 'ITEMS_JSON: '
+       || CAST(to_json(list(struct_pack(produto := product, classe := abc_class) ORDER BY i)) AS VARCHAR)
+       || chr(10) || 'Answer with a JSON array of objects with the keys produto, analise.' AS prompt
+FROM mb2 GROUP BY store_id, batch"""))
+def q_abc_prompt_text(spark, sf):
+    """F13 (+ W10, J3): one prompt per batch of 15 cache misses of a store."""
+    from shelfrank.operators import annotate, cache
+    b = annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf)))
+    return annotate.abc_prompts(b).select("store_id", "batch", "prompt")
+
+
 SELECTION_CTES = ANNOT_CTES + """,
 tot AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period),
 mg AS (SELECT granularity, store_id, period, product, MAX(value) AS value, arg_min(kind, i) AS kind,
