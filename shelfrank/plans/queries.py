@@ -878,6 +878,27 @@ def selection(spark, sf):
     return abc.selection_abc(merged, totals, PKEYS)
 
 
+@query("selection_merge_modes", with_sales(ANNOT_CTES + """
+SELECT 'dedupe' AS mode, granularity, store_id, period, product, CAST(MAX(value) AS DOUBLE) AS value,
+       arg_min(kind, i) AS kind, CAST(MIN(i) AS INTEGER) AS first_pos
+FROM ai GROUP BY granularity, store_id, period, product
+UNION ALL
+SELECT 'sum', granularity, store_id, period, product, CAST(SUM(value) AS DOUBLE),
+       arg_min(kind, i), CAST(MIN(i) AS INTEGER)
+FROM ai GROUP BY granularity, store_id, period, product""", daily=True))
+def q_selection_merge_modes(spark, sf):
+    """A15 + D7: a product listed in both TOP and BOTTOM of a small period
+    counts once (``dedupe=True``) or twice, as the dashboard adds it."""
+    a, _ = annotated_items(spark, sf)
+    out = None
+    for mode, dedupe in (("dedupe", True), ("sum", False)):
+        m = abc.merge_selection(a, PKEYS, order_col="i", dedupe=dedupe).select(
+            F.lit(mode).alias("mode"), *PKEYS, "product", dbl("value").alias("value"), "kind",
+            F.col("first_pos").cast("int").alias("first_pos"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 @query("selection_abc", with_sales(SELECTION_CTES + """
 SELECT granularity, store_id, period, product, CAST(value AS DOUBLE) AS value, kind, abc_class, rank,
        CAST(n_insights AS INTEGER) AS n_insights, n_insights > 0 AS has_insight

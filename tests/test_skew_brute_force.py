@@ -110,3 +110,12 @@ def test_week_and_month_sums_equal_day_sums(spark):
     keys = {r.period for r in m.filter("granularity = 'week'").collect()}
     assert "2024-W00" not in keys and "2023-W51" in keys  # 2024 starts on a Monday
     assert {r.period for r in m.filter("granularity = 'day' AND period = '2024-01-01'").collect()}
+
+
+def test_granularity_subset_equals_full_mart_rows(spark):
+    rows = [("s", f"p{i % 7}", Decimal(i), date(2024, 1, 1) + timedelta(days=i % 40)) for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "store_id string, product string, value decimal(18,2), d date")
+    full = marts.multi_granularity_mart(df)
+    only = marts.multi_granularity_mart(df, granularities=("week",))
+    assert {r.granularity for r in only.collect()} == {"week"}
+    assert sorted(only.collect()) == sorted(full.filter("granularity = 'week'").collect())
