@@ -125,8 +125,12 @@ mm AS (
 """
 
 
-def multi_mart(spark, sf):
-    return marts.multi_granularity_mart(daily_fact(spark, sf))
+def multi_mart(spark, sf, fact: str = "daily"):
+    """Day/week/month mart of the events fact (``daily``) or of the lineitem
+    fact (``sales``: about one product per store-day at sf0.01, so small
+    periods where TOP and BOTTOM overlap)."""
+    f = daily_fact(spark, sf) if fact == "daily" else sales_fact(spark, sf)
+    return marts.multi_granularity_mart(f)
 
 
 @query("all_granularities", with_sales(MULTI_CTE + """
@@ -710,18 +714,18 @@ ai AS (SELECT lj.granularity, lj.store_id, lj.period, product, kind, value, pos,
 """
 
 
-def _period_ranking(spark, sf):
+def _period_ranking(spark, sf, fact: str = "daily"):
     from shelfrank.operators import annotate, ranking
-    m = multi_mart(spark, sf)
+    m = multi_mart(spark, sf, fact)
     r = annotate.list_order(ranking.top_bottom_overlap(m, PKEYS), PKEYS)
     totals = marts.period_totals(m, PKEYS)
     recent = ranking.recent_periods(totals, ("granularity", "store_id")).select(*PKEYS, "annotated")
     return r, totals, recent
 
 
-def annotated_items(spark, sf, annotator="stub"):
+def annotated_items(spark, sf, annotator="stub", fact: str = "daily"):
     from shelfrank.operators import annotate
-    r, totals, recent = _period_ranking(spark, sf)
+    r, totals, recent = _period_ranking(spark, sf, fact)
     fn = annotate.stub_annotator if annotator == "stub" else annotator
     return annotate.annotate_periods(r, totals, fn, PKEYS, recent), totals
 
@@ -885,11 +889,12 @@ FROM ai GROUP BY granularity, store_id, period, product
 UNION ALL
 SELECT 'sum', granularity, store_id, period, product, CAST(SUM(value) AS DOUBLE),
        arg_min(kind, i), CAST(MIN(i) AS INTEGER)
-FROM ai GROUP BY granularity, store_id, period, product""", daily=True))
+FROM ai GROUP BY granularity, store_id, period, product"""))
 def q_selection_merge_modes(spark, sf):
     """A15 + D7: a product listed in both TOP and BOTTOM of a small period
-    counts once (``dedupe=True``) or twice, as the dashboard adds it."""
-    a, _ = annotated_items(spark, sf)
+    counts once (``dedupe=True``) or twice, as the dashboard adds it. Runs
+    on the lineitem fact, whose store-days hold a few products each."""
+    a, _ = annotated_items(spark, sf, fact="sales")
     out = None
     for mode, dedupe in (("dedupe", True), ("sum", False)):
         m = abc.merge_selection(a, PKEYS, order_col="i", dedupe=dedupe).select(
