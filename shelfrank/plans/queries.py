@@ -428,6 +428,24 @@ cs AS (SELECT *, COALESCE(strftime(d, '%Y-%m'), 'NaT') AS month FROM f
 """
 
 
+@query("aggregation_counts", raw_sql(CLEAN_CTE + """,
+m AS (SELECT store_id, product, month, COUNT(*) AS n FROM cs GROUP BY store_id, product, month)
+SELECT CAST(SUM(n) AS BIGINT) AS valid_rows, COUNT(*) AS store_month_products,
+       COUNT(DISTINCT (store_id, product)) AS store_products
+FROM m"""))
+def q_aggregation_counts(spark, sf):
+    """A13, the counts logged after aggregation: cleaned rows, store × month ×
+    product rows (monthly job) and store × product rows ("unique products",
+    ABC job), undated sales in month ``NaT``. One month-level aggregate,
+    re-aggregated; no pass over the fact per count."""
+    from shelfrank.operators.clean import clean_sales
+    f = clean_sales(T.raw_sales_text(spark, sf)).withColumn("month", C.month_bucket("d"))
+    m = f.groupBy("store_id", "product", "month").agg(F.count(F.lit(1)).alias("n"))
+    return m.agg(F.sum("n").cast("bigint").alias("valid_rows"),
+                 F.count(F.lit(1)).alias("store_month_products"),
+                 F.count_distinct("store_id", "product").alias("store_products"))
+
+
 @query("invalid_dates", raw_sql(CLEAN_CTE + """
 SELECT 'bucket' AS policy, store_id, month, COUNT(*) AS n_rows, CAST(SUM(value) AS DOUBLE) AS value
 FROM cs GROUP BY store_id, month
