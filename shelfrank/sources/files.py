@@ -106,14 +106,20 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def _first_sheet_rows(data: bytes) -> list[list[str | None]]:
-    """Cells of the first worksheet of an .xlsx as text (stdlib only)."""
+def _first_sheet_rows(data: bytes):
+    """Cells of the first worksheet of an .xlsx as text, one list per row,
+    streamed (``iterparse``) so memory holds the shared strings and one row,
+    not the sheet (stdlib only)."""
+    m = f"{{{_NS['m']}}}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, el in ET.iterparse(f):
+                    if el.tag == f"{m}si":
+                        shared.append("".join(t.text or "" for t in el.iter(f"{m}t")))
+                        el.clear()
         wb = ET.fromstring(z.read("xl/workbook.xml"))
         first = wb.find("m:sheets/m:sheet", _NS)
         target = "worksheets/sheet1.xml"
@@ -123,28 +129,30 @@ def _first_sheet_rows(data: bytes) -> list[list[str | None]]:
                 if r.get("Id") == first.get(_REL):
                     target = r.get("Target")
         path = posixpath.normpath(posixpath.join("xl", target.lstrip("/").removeprefix("xl/")))
-        sheet = ET.fromstring(z.read(path))
-        rows = []
-        for row in sheet.iter(f"{{{_NS['m']}}}row"):
-            vals: dict[int, str | None] = {}
-            for c in row.findall("m:c", _NS):
-                t = c.get("t")
-                if t == "inlineStr":
-                    v = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-                else:
-                    ve = c.find("m:v", _NS)
-                    v = None if ve is None else ve.text
-                    if t == "s" and v is not None:
-                        v = shared[int(v)]
-                vals[_col_index(c.get("r"))] = v
-            width = max(vals) + 1 if vals else 0
-            rows.append([vals.get(i) for i in range(width)])
-        return rows
-
-
-def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """First sheet of every workbook under ``path`` (one task per file),
-    header row matched by name to ``columns``; all values as text."""
+        with z.open(path) as f:
+            for _, row in ET.iterparse(f):
+                if row.tag != f"{m}row":
+                    continue
+                vals: dict[int, str | None] = {}
+                for c in row.findall("m:c", _NS):
+                    t = c.get("t")
+                    if t == "inlineStr":
+                        v = "".join(x.text or "" for x in c.iter(f"{m}t"))
+                    else:
+                        ve = c.find("m:v", _NS)
+                        v = None if ve is None else ve.text
+                        if t == "s" and v is not None:
+                            v = shared[int(v)]
+                    vals[_col_index(c.get("r"))] = v
+                row.clear()
+                width = max(vals) + 1 if vals else 0
+                yield [vals.get(i) for i in range(width)]
+
+
+def read_xlsx(spark: SparkSession, path: str, columns: list[str], batch_rows: int = 10_000) -> DataFrame:
+    """First sheet of every workbook under ``path`` (one task per file,
+    as the zip container forces), header row matched by name to ``columns``;
+    all values as text. Rows leave the task in batches of ``batch_rows``."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
                           + [T.StructField("source_file", T.StringType())])
 
@@ -152,13 +160,19 @@ def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
                 rows = _first_sheet_rows(bytes(content))
-                if not rows:
+                head = next(rows, None)
+                if head is None:
                     continue
-                head = [str(h).strip() if h is not None else "" for h in rows[0]]
+                head = [str(h).strip() if h is not None else "" for h in head]
                 idx = [head.index(c) if c in head else None for c in columns]
-                out = [[(r[i] if i is not None and i < len(r) else None) for i in idx] + [p]
-                       for r in rows[1:]]
-                yield pd.DataFrame(out, columns=[*columns, "source_file"])
+                out = []
+                for r in rows:
+                    out.append([(r[i] if i is not None and i < len(r) else None) for i in idx] + [p])
+                    if len(out) >= batch_rows:
+                        yield pd.DataFrame(out, columns=[*columns, "source_file"])
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=[*columns, "source_file"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     return files.select("path", "content").mapInPandas(parse, schema)

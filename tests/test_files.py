@@ -67,3 +67,15 @@ def test_cp1252_only_characters(spark, tmp_dir):
     write(p, HEADER + "\n1;\u201cpão\u201d \u2013 €;1,00;05/01/2024\n", "cp1252")
     rows = files.read_csv(spark, p, encoding="cp1252").collect()
     assert [r[1] for r in rows] == ["\u201cpão\u201d \u2013 €"]
+
+
+def test_xlsx_streams_in_batches(spark, tmp_dir):
+    # 2,500 rows of one workbook leave the task in batches of 1,000
+    d = os.path.join(tmp_dir, "big")
+    os.makedirs(d)
+    rows = [[str(i % 5), f"item {i}", f"{i},00", "01/02/2024"] for i in range(1, 2501)]
+    with open(os.path.join(d, "w.xlsx"), "wb") as f:
+        f.write(files._xlsx_bytes(list(RAW_COLUMNS), rows))
+    got = files.read_xlsx(spark, d, list(RAW_COLUMNS), batch_rows=1000)
+    assert got.count() == 2500
+    assert got.filter(got[RAW_COLUMNS[1]] == "item 2500").count() == 1
