@@ -31,6 +31,22 @@ def product_month_sales(sales: DataFrame, date_col: str = "d") -> DataFrame:
                       "month_start")
 
 
+def in_month_range(sales: DataFrame, lo: str, hi: str, date_col: str = "d") -> DataFrame:
+    """Sales of the months ``lo`` .. ``hi`` (``yyyy-MM``, inclusive).
+
+    Written as a date range on the fact, not as a test of the month text
+    after the aggregate: Spark pushes ``d >= first day of lo`` and
+    ``d < first day after hi`` into the parquet scan (row groups and files
+    outside the range are skipped), and every month in the range stays
+    whole, so month totals and rankings are unchanged. Undated sales fall
+    outside every range.
+    """
+    d = F.col(date_col)
+    start = F.to_date(F.lit(f"{lo}-01"))
+    end = F.add_months(F.to_date(F.lit(f"{hi}-01")), 1)
+    return sales.filter((d >= start) & (d < end))
+
+
 def product_totals(sales: DataFrame) -> DataFrame:
     """A2: store × product."""
     return _sum(sales, ["store_id", "product"])

@@ -62,10 +62,14 @@ def abc_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=None,
 
 
 def monthly_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=None,
-                store: str | None = None, params: Params = DEFAULT) -> JobResult:
-    """3.2 (and the single-store variant, P13 + K3)."""
+                store: str | None = None, months: tuple[str, str] | None = None,
+                params: Params = DEFAULT) -> JobResult:
+    """3.2 (and the single-store variant, P13 + K3; ``months=(lo, hi)`` keeps
+    a month range, P15, as a date filter the scan can use)."""
     if store is not None:
         sales = sales.filter(F.col("store_id") == store)  # pushed below the aggregate
+    if months is not None:
+        sales = marts.in_month_range(sales, *months)
     month = persist_table(marts.product_month_sales(sales), spark, "monthly-mart")
     keys = ["store_id", "month"]
     rk = ranking.monthly_top_bottom(month, keys, params)

@@ -200,14 +200,18 @@ def q_single_store_monthly(spark, sf):
 @query("single_period", with_sales(MONTHLY_RANK_CTES + MONTHLY_RANK_SELECT
                                    + f"\nWHERE store_id = '{SINGLE_STORE}' AND month = '{SINGLE_MONTH}'"))
 def q_single_period(spark, sf):
-    return _monthly_out(monthly_ranking(spark, sf)).filter(
-        (F.col("store_id") == SINGLE_STORE) & (F.col("month") == SINGLE_MONTH))
+    from shelfrank.operators import ranking
+    s = marts.in_month_range(sales_fact(spark, sf), SINGLE_MONTH, SINGLE_MONTH)
+    m = marts.product_month_sales(s.filter(F.col("store_id") == SINGLE_STORE))
+    return _monthly_out(ranking.monthly_top_bottom(m, ("store_id", "month")))
 
 
 @query("period_range", with_sales(MONTHLY_RANK_CTES + MONTHLY_RANK_SELECT
                                   + f"\nWHERE month BETWEEN '{RANGE_LO}' AND '{RANGE_HI}'"))
 def q_period_range(spark, sf):
-    return _monthly_out(monthly_ranking(spark, sf)).filter(F.col("month").between(RANGE_LO, RANGE_HI))
+    from shelfrank.operators import ranking
+    s = marts.in_month_range(sales_fact(spark, sf), RANGE_LO, RANGE_HI)
+    return _monthly_out(ranking.monthly_top_bottom(marts.product_month_sales(s), ("store_id", "month")))
 
 
 @query("top_bottom_sums", with_sales(MONTHLY_RANK_CTES + """

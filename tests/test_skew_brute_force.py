@@ -119,3 +119,13 @@ def test_granularity_subset_equals_full_mart_rows(spark):
     only = marts.multi_granularity_mart(df, granularities=("week",))
     assert {r.granularity for r in only.collect()} == {"week"}
     assert sorted(only.collect()) == sorted(full.filter("granularity = 'week'").collect())
+
+
+def test_month_range_keeps_whole_months(spark):
+    rows = [("s", "a", Decimal(1), date(2024, 1, 31)), ("s", "a", Decimal(2), date(2024, 2, 1)),
+            ("s", "a", Decimal(4), date(2024, 3, 31)), ("s", "a", Decimal(8), date(2024, 4, 1)),
+            ("s", "a", Decimal(16), None)]
+    df = spark.createDataFrame(rows, "store_id string, product string, value decimal(18,2), d date")
+    got = {r.month: r.value for r in marts.product_month_sales(marts.in_month_range(df, "2024-02", "2024-03"))
+           .collect()}
+    assert got == {"2024-02": Decimal("2.00"), "2024-03": Decimal("4.00")}
