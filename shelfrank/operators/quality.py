@@ -24,11 +24,13 @@ def run_statistics(ranking: DataFrame, keys=("store_id", "month")) -> DataFrame:
 
 
 def data_span(sales: DataFrame, date_col: str = "d") -> DataFrame:
-    """first/last day and first/last month of the dated sales."""
+    """first/last day and first/last month of the dated sales, with the
+    total value and row count of the fact — one aggregate, one scan."""
     return sales.agg(
         F.min(date_col).alias("first_day"), F.max(date_col).alias("last_day"),
         F.date_format(F.min(date_col), "yyyy-MM").alias("first_month"),
         F.date_format(F.max(date_col), "yyyy-MM").alias("last_month"),
+        F.sum("value").alias("total_value"), F.count(F.lit(1)).alias("fact_rows"),
     )
 
 

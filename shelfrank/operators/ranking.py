@@ -29,9 +29,19 @@ def _first_n(mart: DataFrame, keys: list[str], order, n: int, col: str) -> DataF
 
 
 def group_stats(mart: DataFrame, keys: list[str]) -> DataFrame:
-    """Products and total per store-period (A7), one partial aggregate."""
+    """Products and total per store-period (A7), one partial aggregate.
+
+    ``n_products`` is ``count(value)``: a mart's value is a sum of cleaned,
+    non-null sales values, so this is the row count, and it reads ``value``.
+    That matters for the plan: with ``count(*)``, a caller that drops the
+    total lets column pruning strip the sum out of this branch's mart, the
+    mart no longer equals the ranking branches' and Spark scans and
+    aggregates the fact a second time instead of reusing one exchange.
+    (Catalyst turns a count of a provably non-null expression into
+    ``count(1)``, so ``count(coalesce(value, 0))`` would not do.)
+    """
     return mart.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_products"), F.sum("value").alias("period_total"))
+        F.count("value").alias("n_products"), F.sum("value").alias("period_total"))
 
 
 def monthly_top_bottom(mart: DataFrame, keys=("store_id", "period"),

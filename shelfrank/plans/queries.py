@@ -557,11 +557,7 @@ SELECT MIN(d) AS first_day, MAX(d) AS last_day, strftime(MIN(d), '%Y-%m') AS fir
 FROM sales"""))
 def q_data_span(spark, sf):
     from shelfrank.operators import quality
-    s = sales_fact(spark, sf)
-    span = quality.data_span(s)
-    tot = s.agg(F.sum("value").cast("double").alias("total_value"), F.count(F.lit(1)).alias("fact_rows"))
-    # both sides are one-row aggregates; a join on a constant key keeps them together
-    return span.withColumn("_k", F.lit(1)).join(tot.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return quality.data_span(sales_fact(spark, sf)).withColumn("total_value", dbl("total_value"))
 
 
 @query("distinct_stores", with_sales(MULTI_CTE + """
@@ -741,7 +737,11 @@ def _period_ranking(spark, sf, fact: str = "daily"):
     m = multi_mart(spark, sf, fact)
     r = annotate.list_order(ranking.top_bottom_overlap(m, PKEYS), PKEYS)
     totals = marts.period_totals(m, PKEYS)
-    recent = ranking.recent_periods(totals, ("granularity", "store_id")).select(*PKEYS, "annotated")
+    # the periods of a store are those with a TOP list (every period has one);
+    # taken from the ranking, not from the totals, so the branch reads the same
+    # mart (with its value column) and Spark reuses it instead of re-reading the fact
+    periods = r.filter(F.col("kind") == "TOP").select(*PKEYS).distinct()
+    recent = ranking.recent_periods(periods, ("granularity", "store_id")).select(*PKEYS, "annotated")
     return r, totals, recent
 
 
