@@ -104,11 +104,16 @@ def selection_abc(merged: DataFrame, totals: DataFrame, keys=("store_id", "perio
     period total (A7). A zero total gives class A, as the dashboard's pct = 0."""
     k = list(keys)
     joined = merged.join(totals.select(*k, F.col("total").alias("period_total")), k, "inner")
-    order = [F.col("value").desc(), F.col("product").asc()]
-    ranked = running_totals(joined, k, order, "value", total_col="_sel_total")
+    # a selection is one period's TOP and BOTTOM lists: at most top_n + bottom_n
+    # products, so a plain window holds a bounded group (no range slicing needed)
+    w = Window.partitionBy(*k).orderBy(F.col("value").desc(), F.col("product").asc())
+    ranked = joined.select(
+        "*",
+        F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum_value"),
+        F.row_number().over(w).alias("rank"))
     tot = F.col("period_total")
     cls = F.when(tot > 0, abc_class(F.col("cum_value"), tot, params)).otherwise(F.lit("A"))
-    return ranked.drop("_sel_total").withColumn("abc_class", cls)
+    return ranked.withColumn("abc_class", cls)
 
 
 def best_worst(df: DataFrame, group_cols, n: int = 10) -> DataFrame:
