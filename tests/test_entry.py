@@ -25,3 +25,14 @@ def test_monthly_ranking_counts_sf001(spark):
     df = e.queries()["monthly_top_bottom"](spark, "/root/testdata/sf0.01")
     got = {r.kind: r.n for r in df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == {"TOP 10": 11230, "BOTTOM 10": 11230, "GERAL": 12480}
+
+
+def test_scale_conf_bounds():
+    from shelfrank.session import scale_conf
+    big = scale_conf(100 * 10**12, 4000)  # 100 TB on 4,000 cores: capped at 20 waves
+    assert big["spark.sql.shuffle.partitions"] == "80000"
+    assert big["spark.sql.adaptive.enabled"] == "true"
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = scale_conf(10**9, 8)  # 1 GB on 8 cores: at least 3 waves
+    assert small["spark.sql.shuffle.partitions"] == "24"
+    assert int(scale_conf(50 * 2**30, 8)["spark.sql.shuffle.partitions"]) == 50
