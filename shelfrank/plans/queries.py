@@ -657,9 +657,10 @@ def q_annotation_batches(spark, sf):
         "store_id", "batch", "n_items", "first_rank", "last_rank", "items_json")
 
 
-def _abc_annotated(spark, sf):
+def _abc_annotated(spark, sf, prev=None):
     from shelfrank.operators import annotate, cache
-    return cache.annotate_abc(_abc_items(spark, sf), _prev_cache(spark, sf), annotate.stub_annotator)
+    prev = _prev_cache(spark, sf) if prev is None else prev
+    return cache.annotate_abc(_abc_items(spark, sf), prev, annotate.stub_annotator)
 
 
 @query("annotate_abc_items", with_sales(CACHE_CTES + """
@@ -675,8 +676,9 @@ def q_annotate_abc_items(spark, sf):
 SELECT store_id, product, abc_class, analysis FROM upserted"""))
 def q_cache_upsert(spark, sf):
     from shelfrank.operators import cache
-    _, new = _abc_annotated(spark, sf)
-    return cache.upsert(_prev_cache(spark, sf), new)
+    prev = _prev_cache(spark, sf)
+    _, new = _abc_annotated(spark, sf, prev)
+    return cache.upsert(prev, new)
 
 
 @query("cache_stats", with_sales(CACHE_CTES + """,
@@ -689,8 +691,8 @@ SELECT hm.store_id, CAST(SUM(hits) AS BIGINT) AS hits, CAST(SUM(misses) AS BIGIN
 FROM hm GROUP BY hm.store_id"""))
 def q_cache_stats(spark, sf):
     from shelfrank.operators import cache
-    out, new = _abc_annotated(spark, sf)
     prev = _prev_cache(spark, sf)
+    out, new = _abc_annotated(spark, sf, prev)
     per_store = cache.hit_miss_by_store(out)
     before = cache.stats(prev).select(F.col("entries").alias("entries_before"))
     after = cache.stats(cache.upsert(prev, new)).select(F.col("entries").alias("entries_after"),
