@@ -1,0 +1,8 @@
+"""Streaming: nothing to build.
+
+The workload has no unbounded source, event-time window, watermark or
+per-key state: its schedule is one full recompute per day over the whole
+sales export. That run is the batch jobs in :mod:`shelfrank.plans.jobs`
+(read the day's files, clean, aggregate, rank, annotate, write documents),
+each an ordinary Spark plan that a scheduler starts once a day.
+"""
