@@ -64,28 +64,49 @@ def _read_cp1252(spark, path, sep) -> DataFrame:
         for c in df.columns])
 
 
+def _utf8_or_latin1(name: str) -> str:
+    try:
+        return name.encode("iso-8859-1").decode("utf-8").lstrip("\ufeff")
+    except UnicodeError:
+        return name
+
+
+def _read_auto(spark, path, sep) -> DataFrame:
+    """One scan, any mix of UTF-8 and ISO-8859-1 files: read as ISO-8859-1
+    (one character per byte, so every field holds its file bytes), then
+    take a value's bytes as UTF-8 when they are valid UTF-8, else keep the
+    ISO-8859-1 reading. No extra pass to guess one encoding for all files.
+    ASCII separators and line ends never occur inside a UTF-8 multi-byte
+    sequence, so fields split the same way under both readings."""
+    df = _read_native(spark, path, sep, "ISO-8859-1")
+    out = []
+    for c in df.columns:
+        raw = F.col(f"`{c}`")
+        if c == EXTRA:
+            out.append(raw)
+            continue
+        as_utf8 = F.encode(raw, "ISO-8859-1").cast("string")
+        out.append(F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(raw).alias(_utf8_or_latin1(c)))
+    return df.select(*out)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "auto",
              strict: bool = False) -> DataFrame:
     """``;`` CSV with a header, every column a string.
 
     Bad lines (D8): a line with *more* fields than the header is dropped
     (S1) or fails the read (``strict=True``, S2); a short line is kept with
-    nulls. ``encoding='auto'`` reads UTF-8 and, if any U+FFFD shows up,
-    re-reads as ISO-8859-1 (D9); ``'cp1252'`` is an ISO-8859-1 scan plus a
-    character map.
+    nulls. ``encoding='auto'`` decodes every value as UTF-8 when its bytes
+    are valid UTF-8 and as ISO-8859-1 otherwise (D9: UTF-8 first), in the
+    same single scan; ``'cp1252'`` is an ISO-8859-1 scan plus a character map.
     """
     enc = encoding.lower()
     if enc == "cp1252" or enc == "windows-1252":
         df = _read_cp1252(spark, path, sep)
+    elif enc == "auto":
+        df = _read_auto(spark, path, sep)
     else:
-        charset = "UTF-8" if enc == "auto" else _CHARSETS.get(enc, encoding)
-        df = _read_native(spark, path, sep, charset)
-        if enc == "auto":
-            data = [c for c in df.columns if c != EXTRA]
-            bad = df.filter(F.exists(F.array(*[F.col(f"`{c}`") for c in data]),
-                                     lambda x: F.coalesce(x.contains("�"), F.lit(False)))).limit(1)
-            if bad.count() > 0:
-                df = _read_native(spark, path, sep, "ISO-8859-1")
+        df = _read_native(spark, path, sep, _CHARSETS.get(enc, encoding))
     n_cols = len(df.columns) - 1
     too_many = F.col(EXTRA).isNotNull()
     if strict and df.filter(too_many).limit(1).count() > 0:

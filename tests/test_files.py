@@ -79,3 +79,13 @@ def test_xlsx_streams_in_batches(spark, tmp_dir):
     got = files.read_xlsx(spark, d, list(RAW_COLUMNS), batch_rows=1000)
     assert got.count() == 2500
     assert got.filter(got[RAW_COLUMNS[1]] == "item 2500").count() == 1
+
+
+def test_auto_encoding_mixed_folder(spark, tmp_dir):
+    # one UTF-8 file and one ISO-8859-1 file in the same folder, read in one scan
+    d = os.path.join(tmp_dir, "mixed")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), HEADER + "\n1;pão;1,00;05/01/2024\n", "utf-8")
+    write(os.path.join(d, "b.csv"), HEADER + "\n2;café;2,00;06/01/2024\n", "iso-8859-1")
+    rows = {r[0]: r[1] for r in files.read_csv(spark, d).collect()}
+    assert rows == {"1": "pão", "2": "café"}
