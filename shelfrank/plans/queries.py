@@ -230,12 +230,15 @@ def q_top_bottom_sums(spark, sf):
 @query("period_top_bottom_overlap", with_sales(MULTI_CTE + """,
 o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period ORDER BY value DESC, product) AS rn,
              COUNT(*) OVER (PARTITION BY granularity, store_id, period) AS n
-      FROM mm)
+      FROM mm),
+pv AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period ORDER BY value DESC, product) AS prn,
+              COUNT(*) OVER (PARTITION BY granularity, store_id, period) AS np
+       FROM mm WHERE value > 0)
 SELECT granularity, store_id, period, product, 'TOP' AS kind, CAST(value AS DOUBLE) AS value,
        CAST(rn AS INTEGER) AS pos FROM o WHERE rn <= 10
 UNION ALL
 SELECT granularity, store_id, period, product, 'BOTTOM', CAST(value AS DOUBLE),
-       CAST(rn - GREATEST(n - 10, 0) AS INTEGER) FROM o WHERE n - rn < 10 AND value > 0""", daily=True))
+       CAST(prn - GREATEST(np - 10, 0) AS INTEGER) FROM pv WHERE np - prn < 10""", daily=True))
 def q_period_top_bottom_overlap(spark, sf):
     from shelfrank.operators import ranking
     r = ranking.top_bottom_overlap(multi_mart(spark, sf), ("granularity", "store_id", "period"))
@@ -710,11 +713,14 @@ ANNOT_CTES = MULTI_CTE + """,
 o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period ORDER BY value DESC, product) AS rn,
              COUNT(*) OVER (PARTITION BY granularity, store_id, period) AS n
       FROM mm),
+pv AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period ORDER BY value DESC, product) AS prn,
+              COUNT(*) OVER (PARTITION BY granularity, store_id, period) AS np
+       FROM o WHERE value > 0),
 it AS (SELECT granularity, store_id, period, product, 'TOP' AS kind, value, CAST(rn AS INTEGER) AS pos, n
        FROM o WHERE rn <= 10
        UNION ALL
-       SELECT granularity, store_id, period, product, 'BOTTOM', value, CAST(rn - GREATEST(n - 10, 0) AS INTEGER), n
-       FROM o WHERE n - rn < 10 AND value > 0),
+       SELECT granularity, store_id, period, product, 'BOTTOM', value, CAST(prn - GREATEST(np - 10, 0) AS INTEGER), n
+       FROM pv WHERE np - prn < 10),
 li AS (SELECT *, CAST(CASE WHEN kind = 'TOP' THEN pos ELSE LEAST(n, 10) + pos END AS INTEGER) AS i FROM it),
 rec AS (SELECT granularity, store_id, period,
                ROW_NUMBER() OVER (PARTITION BY granularity, store_id ORDER BY period DESC) <= 7 AS annotated
@@ -940,15 +946,16 @@ def q_selection_abc(spark, sf):
 
 @query("class_best_worst", with_sales(SELECTION_CTES + """,
 bw AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period, abc_class
-                                    ORDER BY value DESC, product) AS bpos,
-              ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period, abc_class
-                                 ORDER BY value ASC, product DESC) AS wpos
-       FROM sc)
+                                    ORDER BY value DESC, product) AS bpos
+       FROM sc),
+ww AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY granularity, store_id, period, abc_class
+                                    ORDER BY value ASC, product DESC) AS wpos
+       FROM sc WHERE value > 0)
 SELECT granularity, store_id, period, abc_class, 'best' AS list, CAST(bpos AS INTEGER) AS pos, product,
        CAST(value AS DOUBLE) AS value FROM bw WHERE bpos <= 10
 UNION ALL
 SELECT granularity, store_id, period, abc_class, 'worst', CAST(wpos AS INTEGER), product, CAST(value AS DOUBLE)
-FROM bw WHERE wpos <= 10 AND value > 0""", daily=True))
+FROM ww WHERE wpos <= 10""", daily=True))
 def q_class_best_worst(spark, sf):
     s = selection(spark, sf).select(*PKEYS, "abc_class", "product", "value")
     bw = abc.best_worst(s, [*PKEYS, "abc_class"])
