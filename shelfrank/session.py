@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -91,15 +90,6 @@ def persist_table(df, spark: SparkSession, name: str):
     return spark.read.parquet(path)
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-
-
 def materialize(df):
     """Reliable checkpoint of ``df`` to the shared checkpoint folder (never
     ``localCheckpoint``): later branches read the same rows, and a lost

@@ -250,22 +250,28 @@ def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
 
 def write_xlsx_parts(df: DataFrame, path: str) -> DataFrame:
     """Write every partition of ``df`` (string columns) as one workbook under
-    ``path`` (a shared folder). Returns one row per file written (lazy: run
-    an action to write). Spark has no Excel sink; this builds fixtures."""
+    ``path`` (a shared folder: local, ``s3://``, ``gs://``, ``hdfs://``, via
+    ``pyarrow.fs`` on the executors). Returns one row per file written
+    (lazy: run an action to write). Spark has no Excel sink; this builds
+    fixtures."""
     import os
     import uuid
 
     cols = df.columns
+    uri = path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
 
     def write(batches):
+        from pyarrow import fs as pafs
+
         rows = []
         for pdf in batches:
             rows.extend(pdf[cols].astype(object).where(pdf[cols].notna(), None).values.tolist())
         if rows:
-            os.makedirs(path, exist_ok=True)
-            name = f"{path}/part-{uuid.uuid4().hex[:12]}.xlsx"
-            with open(name, "wb") as f:
+            filesystem, base = pafs.FileSystem.from_uri(uri)
+            filesystem.create_dir(base, recursive=True)
+            name = f"part-{uuid.uuid4().hex[:12]}.xlsx"
+            with filesystem.open_output_stream(f"{base}/{name}") as f:
                 f.write(_xlsx_bytes(cols, rows))
-            yield pd.DataFrame({"file": [name], "rows": [len(rows)]})
+            yield pd.DataFrame({"file": [f"{path.rstrip('/')}/{name}"], "rows": [len(rows)]})
 
     return df.mapInPandas(write, "file string, rows long")
