@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files of DataFrames no longer referenced are deleted
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -39,6 +41,9 @@ def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -
       splits skewed join partitions;
     * broadcast joins only below 64 MiB: of our joins only fixed dimensions
       (months, store names, one-row totals) are hinted.
+
+    Set at start-up as well: ``spark.checkpoint.dir`` (shared storage) and
+    ``spark.cleaner.referenceTracking.cleanCheckpoints=true``.
     """
     shuffle = min(20 * cores, max(3 * cores, -(-input_bytes // (1 << 30))))
     return {
