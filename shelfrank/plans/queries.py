@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfrank.operators import abc, marts
-from shelfrank.plans.registry import query
+from shelfrank.plans.registry import ORACLE, query
 from shelfrank.sources.tables import DAILY_SQL, SALES_SQL, daily_fact, sales_fact
 
 
@@ -790,7 +790,7 @@ def q_json_repair_parse(spark, sf):
 
 @query("prompt_text")
 def q_prompt_text(spark, sf):
-    """every prompt the three jobs would send (rows-only check)."""
+    """every prompt the three jobs would send."""
     from shelfrank.functions.periods import month_label
     from shelfrank.operators import annotate, cache, ranking
     from shelfrank.sources.dims import with_season
@@ -889,6 +889,17 @@ def q_abc_prompt_text(spark, sf):
     return annotate.abc_prompts(b).select("store_id", "batch", "prompt")
 
 
+# ``prompt_text`` (registered above) is the union of the three prompt kinds,
+# so its oracle is theirs, composed (each keeps its own WITH clause).
+ORACLE["prompt_text"] = f"""
+SELECT 'period' AS prompt_kind, store_id, granularity || ':' || period AS key, prompt
+FROM ({ORACLE['period_prompt_text']}) p15
+UNION ALL
+SELECT 'month', store_id, month, prompt FROM ({ORACLE['monthly_prompt_text']}) p14
+UNION ALL
+SELECT 'abc', store_id, CAST(batch AS VARCHAR), prompt FROM ({ORACLE['abc_prompt_text']}) p13"""
+
+
 SELECTION_CTES = ANNOT_CTES + """,
 tot AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period),
 mg AS (SELECT granularity, store_id, period, product, MAX(value) AS value, arg_min(kind, i) AS kind,
