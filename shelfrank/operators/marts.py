@@ -86,25 +86,25 @@ def period_mart(sales: DataFrame, granularity: str, date_col: str = "d") -> Data
 
 
 def multi_granularity_mart(sales: DataFrame, granularities=GRANULARITIES,
-                           date_col: str = "d") -> DataFrame:
+                           date_col: str = "d", item_cols=("product",)) -> DataFrame:
     """A4 + P18: day mart aggregated once; week and month are re-aggregated
     from it, not from the fact. Output: granularity, store_id, period,
-    product, value.
+    *item_cols, value. ``item_cols=()`` gives store-period totals (A7/A16)
+    without the product dimension: far fewer groups to shuffle than summing
+    the product-level mart.
     """
-    day = _sum(sales.withColumn("day", F.col(date_col)), ["store_id", "day", "product"])
+    items = list(item_cols)
+    day = _sum(sales.withColumn("day", F.col(date_col)), ["store_id", "day", *items])
     parts = []
     for g in granularities:
         if g == "day":
             p = day.select(F.lit("day").alias("granularity"), "store_id",
-                           F.date_format("day", "yyyy-MM-dd").alias("period"), "product", "value")
-        elif g == "week":
-            p = (day.withColumn("period", week_key("day"))
-                 .groupBy("store_id", "period", "product").agg(F.sum("value").alias("value"))
-                 .select(F.lit("week").alias("granularity"), "store_id", "period", "product", "value"))
-        elif g == "month":
-            p = (day.withColumn("period", month_key("day"))
-                 .groupBy("store_id", "period", "product").agg(F.sum("value").alias("value"))
-                 .select(F.lit("month").alias("granularity"), "store_id", "period", "product", "value"))
+                           F.date_format("day", "yyyy-MM-dd").alias("period"), *items, "value")
+        elif g in ("week", "month"):
+            key = week_key("day") if g == "week" else month_key("day")
+            p = (day.withColumn("period", key)
+                 .groupBy("store_id", "period", *items).agg(F.sum("value").alias("value"))
+                 .select(F.lit(g).alias("granularity"), "store_id", "period", *items, "value"))
         else:
             raise ValueError(f"unknown granularity {g!r}")
         parts.append(p)

@@ -144,8 +144,9 @@ def q_all_granularities(spark, sf):
 SELECT granularity, store_id, period, CAST(SUM(value) AS DOUBLE) AS total
 FROM mm GROUP BY granularity, store_id, period""", daily=True))
 def q_period_totals(spark, sf):
-    t = marts.period_totals(multi_mart(spark, sf), ("granularity", "store_id", "period"))
-    return t.select("granularity", "store_id", "period", dbl("total").alias("total"))
+    # totals over all products: aggregated without the product dimension
+    t = marts.multi_granularity_mart(daily_fact(spark, sf), item_cols=())
+    return t.select("granularity", "store_id", "period", dbl("value").alias("total"))
 
 
 # --------------------------------------------------------------------------- rankings

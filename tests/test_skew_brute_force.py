@@ -129,3 +129,14 @@ def test_month_range_keeps_whole_months(spark):
     got = {r.month: r.value for r in marts.product_month_sales(marts.in_month_range(df, "2024-02", "2024-03"))
            .collect()}
     assert got == {"2024-02": Decimal("2.00"), "2024-03": Decimal("4.00")}
+
+
+def test_product_free_totals_equal_mart_totals(spark):
+    rnd = random.Random(4)
+    rows = [(f"s{i % 3}", f"p{rnd.randint(0, 20)}", Decimal(rnd.randint(1, 900)) / 4,
+             date(2024, 1, 1) + timedelta(days=rnd.randint(0, 60))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "store_id string, product string, value decimal(18,2), d date")
+    keys = ("granularity", "store_id", "period")
+    via_mart = marts.period_totals(marts.multi_granularity_mart(df), keys)
+    direct = marts.multi_granularity_mart(df, item_cols=()).withColumnRenamed("value", "total")
+    assert sorted(via_mart.collect()) == sorted(direct.select(*keys, "total").collect())
