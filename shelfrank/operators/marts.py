@@ -17,16 +17,18 @@ def _sum(df: DataFrame, keys: list[str], out: str = "value") -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("value").alias(out))
 
 
-def product_month_sales(sales: DataFrame, date_col: str = "d") -> DataFrame:
+def product_month_sales(sales: DataFrame, date_col: str = "d", item_cols=("product",)) -> DataFrame:
     """A1: store × product × month. Rows without a date go to month ``NaT``
     (the cleaning's ``invalid_dates='bucket'`` policy, D1).
 
     Grouping is on the month's first day (``month_start``, kept in the
     output); the text key is formatted on the aggregated rows only.
+    ``item_cols=()`` gives store-month totals without the product dimension.
     """
+    items = list(item_cols)
     agg = _sum(sales.withColumn("month_start", F.trunc(F.col(date_col), "month")),
-               ["store_id", "product", "month_start"])
-    return agg.select("store_id", "product",
+               ["store_id", *items, "month_start"])
+    return agg.select("store_id", *items,
                       F.coalesce(month_key("month_start"), F.lit("NaT")).alias("month"), "value",
                       "month_start")
 

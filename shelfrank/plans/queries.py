@@ -254,7 +254,8 @@ SELECT granularity, store_id, period,
 FROM (SELECT DISTINCT granularity, store_id, period FROM mm) p""", daily=True))
 def q_last_seven_periods(spark, sf):
     from shelfrank.operators import ranking
-    t = marts.period_totals(multi_mart(spark, sf), ("granularity", "store_id", "period"))
+    # a store's periods, without the product dimension
+    t = marts.multi_granularity_mart(daily_fact(spark, sf), item_cols=())
     return ranking.recent_periods(t, ("granularity", "store_id")).select(
         "granularity", "store_id", "period", "recency", "annotated")
 
@@ -264,7 +265,8 @@ SELECT granularity, store_id, MAX(period) AS latest_period FROM mm GROUP BY gran
                                    daily=True))
 def q_latest_period(spark, sf):
     from shelfrank.operators import ranking
-    return ranking.latest_period(multi_mart(spark, sf), ("granularity", "store_id"))
+    return ranking.latest_period(marts.multi_granularity_mart(daily_fact(spark, sf), item_cols=()),
+                                 ("granularity", "store_id"))
 
 
 # --------------------------------------------------------------------------- variation, dims, labels
@@ -316,7 +318,8 @@ FROM mt LEFT JOIN se ON substr(mt.month, 6, 2) = se.mm"""))
 def q_season_context(spark, sf):
     from shelfrank.functions.periods import month_label
     from shelfrank.sources.dims import with_season
-    t = marts.period_totals(month_mart(spark, sf), ("store_id", "month"))
+    # month totals, aggregated without the product dimension
+    t = marts.product_month_sales(sales_fact(spark, sf), item_cols=()).withColumnRenamed("value", "total")
     return with_season(t, spark).select(
         "store_id", "month", dbl("total").alias("total"), month_label("month").alias("label"),
         "season", "events", "trend")
