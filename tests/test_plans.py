@@ -40,3 +40,11 @@ def test_ranking_without_the_total_reads_the_fact_once(spark, tmp_dir):
     assert len(schemas) == 1, schemas
     assert sums.count() == rk.select("store_id", "month").distinct().count()
     assert sums.filter(F.col("n_items") > 20).count() == 0
+
+
+def test_month_over_month_has_no_join(spark, tmp_dir):
+    from shelfrank.operators import variation
+    mom = variation.month_over_month(marts.product_month_sales(_fact(spark, tmp_dir)))
+    plan = _plan(mom)
+    assert "Join" not in plan
+    assert len({re.sub(r"#\d+", "", c) for c in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)}) == 1
