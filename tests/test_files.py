@@ -89,3 +89,17 @@ def test_auto_encoding_mixed_folder(spark, tmp_dir):
     write(os.path.join(d, "b.csv"), HEADER + "\n2;café;2,00;06/01/2024\n", "iso-8859-1")
     rows = {r[0]: r[1] for r in files.read_csv(spark, d).collect()}
     assert rows == {"1": "pão", "2": "café"}
+
+
+def test_auto_encoding_needs_no_extra_pass(spark, tmp_dir):
+    # reading only runs the header job; the encoding is decided inside the scan
+    p = os.path.join(tmp_dir, "lazy.csv")
+    write(p, BODY, "iso-8859-1")
+    sc = spark.sparkContext
+    sc.setJobGroup("read-auto", "read_csv auto")
+    try:
+        df = files.read_csv(spark, p)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("read-auto")) <= 1
+    assert {r[1] for r in df.collect()} == {"pão de queijo", "café", "água"}
