@@ -1003,7 +1003,9 @@ SELECT granularity, store_id, period, product, first_insight, NULLIF(first_actio
 FROM ins WHERE contains(lower(product), '{SEARCH_TERM}') OR text_hit""", daily=True))
 def q_insight_search(spark, sf):
     from shelfrank.operators import search
-    s = search.search_insights(selection(spark, sf), SEARCH_TERM)
+    # the search needs the merged selection only, not its ABC classes
+    a, _ = annotated_items(spark, sf)
+    s = search.search_insights(abc.merge_selection(a, PKEYS, order_col="i"), SEARCH_TERM)
     return s.select(*PKEYS, "product", "first_insight", "action", "n_insights")
 
 
