@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a task handles at once. Rows are never cut: a longer
 #: text is a slice of its own.
@@ -69,8 +70,8 @@ def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 
 
-def doc_field(docs: DataFrame, carry: bool) -> str:
-    """DDL of the carried struct, with a leading comma, or nothing."""
-    if not carry:
-        return ""
-    return ", doc " + docs.schema.simpleString()
+def schema_of(ddl: str, source: DataFrame) -> StructType:
+    """The schema of ``ddl``, and of the carried ``doc`` if ``source`` has it
+    (as a type, since DDL text loses which nested fields are never null)."""
+    out = StructType.fromDDL(ddl)
+    return out.add("doc", source.schema["doc"].dataType) if "doc" in source.columns else out

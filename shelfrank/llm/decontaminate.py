@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfrank.llm.common import doc_field, id_type, out_batch, slices, text_of, utf8_input
+from shelfrank.llm.common import id_type, out_batch, schema_of, slices, text_of, utf8_input
 from shelfrank.session import persist_table
 
 #: Text bytes of the benchmark in one block (about ten times that in a task).
@@ -245,22 +245,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = 5, window:
     n_blocks = max(1, -(-total // block_bytes))
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
-    def marked(source: DataFrame, part: DataFrame, id_ddl: str, doc_ddl: str) -> DataFrame:
+    def marked(source: DataFrame, part: DataFrame, id_ddl: str) -> DataFrame:
         block = spark.sparkContext.broadcast(
             Block.of([(r.id, bytes(r.utf8)) for r in part.toLocalIterator()], k, window))
         return source.mapInArrow(
-            _mark(block, bool(doc_ddl), item_type),
-            f"id {id_ddl}, n_words bigint, spans {SPANS}, items array<{id_type(benchmark, item_col)}>" + doc_ddl)
+            _mark(block, "doc" in source.columns, item_type),
+            schema_of(f"id {id_ddl}, n_words bigint, spans {SPANS}, items array<{id_type(benchmark, item_col)}>", source))
 
     source = utf8_input(docs, id_col, text_col, carry)
     if n_blocks == 1:
-        return marked(source, items, id_type(docs, id_col), doc_field(docs, carry))
+        return marked(source, items, id_type(docs, id_col))
     # stable row numbers, then one pass over the documents for each block
     rows = persist_table(source.withColumn("row", F.monotonically_increasing_id()), spark, "decontaminate")
     found = None
     for b in range(n_blocks):
         part = marked(rows.select(F.col("row").alias("id"), "utf8"),
-                      items.where(F.pmod(F.xxhash64("utf8"), F.lit(n_blocks)) == b), "bigint", "")
+                      items.where(F.pmod(F.xxhash64("utf8"), F.lit(n_blocks)) == b), "bigint")
         found = part if found is None else found.union(part)
     merged = found.groupBy(F.col("id").alias("row")).agg(
         F.max("n_words").alias("n_words"),

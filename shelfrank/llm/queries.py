@@ -65,3 +65,56 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
     coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+# ----------------------------------------------------------- 7 substring dedup
+
+@query
+def op7_super_kmer_substring_dedup(spark, sf_dir):
+    from shelfrank.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", sha("kept").alias("kept_sha256"))
+
+
+ORACLE["op7_super_kmer_substring_dedup"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+di AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM dw WHERE len(w) >= 13),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS x FROM di),
+f AS (SELECT x, min(doc_id) AS first_id FROM g GROUP BY x HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM g JOIN f USING (x) WHERE doc_id > first_id),
+ws AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS q FROM dw),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY q) AS k, count(*) AS n
+    FROM ws ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(k, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id)
+"""
+
+
+# ------------------------------------------------------- 2 SimHash near-dedup
+
+@query
+def op2_simhash_anchor_dedup(spark, sf_dir):
+    from shelfrank.llm.simhash_anchors import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=3, distance=2).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------ 1 BPE encode and decode
+
+def word_bpe() -> str:
+    """Where this machine keeps the public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_bpe_chunk_reuse(spark, sf_dir):
+    from shelfrank.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), word_bpe).select(
+        F.col("id").alias("doc_id"), "n_tokens", sha("token_ids").alias("ids_sha256"),
+        sha("decoded").alias("decoded_sha256"))
