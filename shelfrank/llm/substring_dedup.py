@@ -25,6 +25,8 @@ one.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,53 +42,90 @@ WINDOW = 13
 MINIMISER = 3
 #: Text bytes in a block, and in the share of a bucket.
 BLOCK_BYTES = 8 << 20
-#: Words whose hashes a task remembers; it forgets all of them beyond that.
-MEMO_WORDS = 300_000
+#: Text bytes that are hashed at once.
+GROUP_BYTES = 512 << 10
 
 _LAST = np.iinfo(np.int64).max  # stands for a null id: after every other id
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SPACED = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 
 
-class _WordHash(dict):
-    def __missing__(self, word):
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_PRIME, _UNPRIME = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x5851F42D4C957F2D)
 
 
-class _SuperKmers:
-    """Super-k-mers of a document: first word, word count and minimiser."""
+@cache
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
 
-    def __init__(self, window: int, m: int):
-        self.window, self.m, self.hash = window, m, _WordHash()
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        windows = len(words) - self.window + 1
+def _line(utf8: bytes) -> bytes:
+    """The words joined by one space."""
+    line = utf8.translate(_SPACED)
+    return b" ".join(line.split()) if b"  " in line or line[:1] == b" " or line[-1:] == b" " else line
+
+
+class _Words:
+    """The words of some documents' lines, and their super-k-mers.
+
+    ``text``: all lines, with a line break between; ``begin``, ``end``: bytes of
+    each word; ``doc``: the number of its line; ``first``, ``count``, ``mini``:
+    first word, number of words and minimiser of each super-k-mer; ``digest``:
+    a 64-bit hash of its text (equal texts have equal ones).
+    """
+
+    def __init__(self, lines: list[bytes], window: int, m: int):
+        self.text = b"\n".join(lines)
+        data = np.frombuffer(self.text, np.uint8)
+        gap = np.concatenate(([True], (data == 32) | (data == 10), [True]))
+        self.begin = np.flatnonzero(gap[:-1] & ~gap[1:])
+        self.end = np.flatnonzero(~gap[:-1] & gap[1:])
+        starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
+        self.doc = np.searchsorted(starts, self.begin, "right") - 1
+        size = 1 << max(16, int(len(data)).bit_length())
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_PRIME, size)[:len(data)], dtype=np.uint64)))
+        self._hash = lambda a, b: (total[b] - total[a]) * _powers(_UNPRIME, size)[a]
+        h = self._hash(self.begin, self.end)
+        windows, grams = len(h) - window + 1, len(h) - m + 1
         if windows <= 0:
-            none = np.empty(0, np.int64)
-            return none, none, none.astype(np.uint64)
-        h = np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words))
-        grams = len(words) - self.m + 1
+            self.first = self.count = np.empty(0, np.int64)
+            self.mini = self.digest = np.empty(0, np.uint64)
+            return
         g = np.zeros(grams, np.uint64)
-        for j in range(self.m):
-            g = g * np.uint64(0x9E3779B97F4A7C15) + h[j:j + grams]
+        for j in range(m):
+            g = g * np.uint64(0x100000001B3) + h[j:j + grams]
         g ^= g >> np.uint64(31)
-        g *= np.uint64(0xD6E8FEB86659FD93)
+        g *= np.uint64(_PRIME)
         g ^= g >> np.uint64(32)
         low = g[:windows].copy()
-        for j in range(1, self.window - self.m + 1):
+        for j in range(1, window - m + 1):
             np.minimum(low, g[j:j + windows], out=low)
-        start = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-        end = np.append(start[1:], windows)
-        return start, end - start + self.window - 1, low[start]
-
-
-def _slices(words: list[bytes], first: np.ndarray, count: np.ndarray) -> list[bytes]:
-    at = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-    line = b" ".join(words)
-    return [line[a:b] for a, b in zip(at[first].tolist(), (at[first + count] - 1).tolist())]
+        whole = self.doc[:windows] == self.doc[window - 1:]
+        new = np.concatenate(([True], (low[1:] != low[:-1]) | (self.doc[1:windows] != self.doc[:windows - 1]) | (whole[1:] != whole[:-1])))
+        first = np.flatnonzero(new)
+        stop = np.append(first[1:], windows)
+        kept = whole[first]
+        self.first, self.count = first[kept], (stop - first)[kept] + window - 1
+        self.mini = low[self.first]
+        self.digest = self._hash(self.begin[self.first], self.end[self.first + self.count - 1])
+
+    def texts(self, which: np.ndarray | slice = slice(None)) -> list[bytes]:
+        first, count = self.first[which], self.count[which]
+        return [self.text[a:b] for a, b in zip(self.begin[first].tolist(), self.end[first + count - 1].tolist())]
+
+
+def _groups(utf8s) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about GROUP_BYTES, with the number of the first."""
+    at, some, size = 0, [], 0
+    for x in utf8s:
+        some.append(x.as_py())
+        size += len(some[-1])
+        if size >= GROUP_BYTES:
+            yield at, some
+            at, some, size = at + len(some), [], 0
+    if some:
+        yield at, some
 
 
 def _ids(column) -> list[int]:
@@ -100,31 +139,32 @@ _REPLIES = "block int, minimiser binary, digest binary, windows binary, smallest
 def _split(window: int, m: int, buckets: int):
     """Block of documents -> one row per bucket with its super-k-mers."""
     def run(table: pa.Table) -> pa.Table:
-        cut = _SuperKmers(window, m)
-        seen: dict[bytes, int] = {}
-        low: list[int] = []
-        high: list[int] = []
-        minis: list[np.ndarray] = []
-        for doc, utf8 in zip(_ids(table["id"]), table["utf8"]):
-            words = utf8.as_py().split()
-            first, count, mini = cut.of(words)
-            new = np.zeros(len(first), bool)
-            for i, text in enumerate(_slices(words, first, count) if len(first) else ()):
-                k = seen.setdefault(text, len(low))
-                if k == len(low):
-                    low.append(doc)
-                    high.append(doc)
-                    new[i] = True
-                elif doc < low[k]:
-                    low[k] = doc
-                elif doc > high[k]:
-                    high[k] = doc
-            minis.append(mini[new])
+        ids = np.array(_ids(table["id"]), np.int64)
+        texts: list[bytes] = []
+        parts = []
+        for at, some in _groups(table["utf8"]):
+            w = _Words([_line(t) for t in some], window, m)
+            texts += w.texts()
+            parts.append((w.mini, w.digest, ids[at + w.doc[w.first]]))
         rows = []
-        if low:
+        if texts:
             block = table["block"][0].as_py()
-            mini, texts = np.concatenate(minis), list(seen)
-            lo, hi = np.array(low, np.int64), np.array(high, np.int64)
+            mini, digest, lo = (np.concatenate(x) for x in zip(*parts))
+            hi = lo.copy()
+            # merge equal texts of the block; only those with equal hashes are compared
+            order = np.argsort(digest, kind="stable")
+            same = digest[order][1:] == digest[order][:-1]
+            again = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+            seen: dict[bytes, int] = {}
+            gone = np.zeros(len(texts), bool)
+            for i in again.tolist():
+                k = seen.setdefault(texts[i], i)
+                if k != i:
+                    gone[i] = True
+                    lo[k] = min(lo[k], lo[i])
+                    hi[k] = max(hi[k], hi[i])
+            stay = np.flatnonzero(~gone)
+            mini, lo, hi, texts = mini[stay], lo[stay], hi[stay], [texts[i] for i in stay.tolist()]
             bucket = (mini % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             pack = zstandard.ZstdCompressor(level=3)
@@ -225,29 +265,32 @@ def _cut(window: int, m: int, layout: bool, carry: bool):
             for i, part in enumerate(np.split(np.frombuffer(r["smallest"], np.int64), np.cumsum(n)[:-1])):
                 known[r["digest"][16 * i:16 * i + 16]] = part
         asked = np.unique(np.concatenate(minis))
-        cut = _SuperKmers(window, m)
+        ids = np.array(_ids(docs["id"]), np.int64)
         n_words, n_removed, texts = [], [], []
-        for doc, utf8 in zip(_ids(docs["id"]), docs["utf8"]):
-            utf8 = utf8.as_py()
-            words = utf8.split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            if len(asked) and len(words) >= window:
-                first, count, mini = cut.of(words)
-                mine = np.flatnonzero(np.isin(mini, asked))
-                for p, text in zip(first[mine].tolist(), _slices(words, first[mine], count[mine]) if len(mine) else ()):
+        for at, some in _groups(docs["utf8"]):
+            lines = [_line(t) for t in some]
+            w = _Words(lines, window, m)
+            gone = np.zeros(len(w.doc) + window + 1, np.int64)
+            if len(asked):
+                mine = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, w.mini), len(asked) - 1)] == w.mini)
+                for p, text in zip(w.first[mine].tolist(), w.texts(mine)):
                     smallest = known.get(xxhash.xxh3_128_digest(text))
                     if smallest is not None:
-                        at = p + np.flatnonzero(smallest < doc)
-                        gone[at] += 1
-                        gone[at + window] -= 1
-            keep = np.cumsum(gone)[:-1] == 0
-            removed = len(words) - int(keep.sum())
-            n_words.append(len(words))
-            n_removed.append(removed)
-            if layout:
-                texts.append(_kept_layout(utf8, keep) if removed else utf8)
-            else:
-                texts.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k] if removed else words))
+                        place = p + np.flatnonzero(smallest < ids[at + w.doc[p]])
+                        gone[place] += 1
+                        gone[place + window] -= 1
+            keep = np.cumsum(gone)[:len(w.doc)] == 0
+            edge = np.searchsorted(w.doc, np.arange(len(some) + 1))
+            lost = np.concatenate(([0], np.cumsum(~keep)))[edge]
+            n_words += np.diff(edge).tolist()
+            n_removed += np.diff(lost).tolist()
+            for i, removed in enumerate(np.diff(lost).tolist()):
+                if not removed:
+                    texts.append(some[i] if layout else lines[i])
+                elif layout:
+                    texts.append(_kept_layout(some[i], keep[edge[i]:edge[i + 1]]))
+                else:
+                    texts.append(b" ".join([x for x, k in zip(lines[i].split(), keep[edge[i]:edge[i + 1]].tolist()) if k]))
         out = {"id": docs["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                "kept": pa.array(texts, pa.binary()).cast(pa.string())}
         return pa.table(out | ({"doc": docs["doc"]} if carry else {}))

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from shelfrank.llm.substring_dedup import _ranked, _SuperKmers, substring_dedup
+from shelfrank.llm.substring_dedup import _ranked, _Words, substring_dedup
 
 LATE = 2**62
 
@@ -72,9 +72,15 @@ def test_ranks_tell_windows_apart():
 
 
 def test_super_kmers_hold_each_window_once():
-    words = [str(x).encode() for x in np.random.default_rng(2).integers(0, 9, 300)]
-    first, count, _ = _SuperKmers(13, 3).of(words)
-    assert [p for a, n in zip(first, count) for p in range(a, a + n - 12)] == list(range(300 - 12))
+    rng = np.random.default_rng(2)
+    lines = [" ".join(map(str, rng.integers(0, 9, n))).encode() for n in (300, 0, 12, 13, 40, 1)]
+    w = _Words(lines, 13, 3)
+    got = [(d, p) for a, n, d in zip(w.first, w.count, w.doc[w.first]) for p in range(a, a + n - 12)]
+    edge = np.searchsorted(w.doc, np.arange(7))
+    assert got == [(d, p) for d in range(6) for p in range(edge[d], edge[d + 1] - 12)]
+    texts = w.texts()
+    assert all(len(t.split(b" ")) == n and b"\n" not in t for t, n in zip(texts, w.count))
+    assert len(set(zip(texts, w.digest))) == len(set(texts)) == len(set(w.digest))
 
 
 def test_layout_and_carried_columns(spark):
