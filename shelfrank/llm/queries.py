@@ -118,3 +118,30 @@ def op1_bpe_chunk_reuse(spark, sf_dir):
     return encode(table(spark, sf_dir, "documents"), word_bpe).select(
         F.col("id").alias("doc_id"), "n_tokens", sha("token_ids").alias("ids_sha256"),
         sha("decoded").alias("decoded_sha256"))
+
+
+# --------------------------------------------------------- 3 fingerprints
+
+@query
+def op3_simhash_fingerprints(spark, sf_dir):
+    from shelfrank.llm.fingerprints import fingerprint_pairs, hex_of, likeness
+
+    return fingerprint_pairs(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", hex_of("hi", "lo").alias("fingerprint"),
+        hex_of("edited_hi", "edited_lo").alias("edited_fingerprint"),
+        likeness(("hi", "lo"), ("edited_hi", "edited_lo")).alias("near_edited"),
+        likeness(("hi", "lo"), ("next_hi", "next_lo")).alias("near_next"))
+
+
+# ------------------------------------------------------------ 8 quality
+
+#: A document is of good quality from this score on.
+QUALITY = 0.3
+
+
+@query
+def op8_subword_quality(spark, sf_dir):
+    from shelfrank.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
