@@ -123,10 +123,12 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         "key", "next", "next_mark", "text",
         F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(head, 1, {half}))").alias("edited"))
     keys = ["key", "row", "mark", "next", "next_mark", "n_chars", "sha"]
-    rows = both.select(
+    # rows are numbered before each becomes two
+    numbered = both.select(
         "key", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("mark"), "next", "next_mark",
-        F.length("text").cast("bigint").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")),
+        F.length("text").cast("bigint").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), "text", "edited")
+    rows = numbered.select(
+        *keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")),
                           F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
     voted = _votes(rows.select(*keys, "x.kind", "x.text"), [*keys, "kind"])
     side = lambda kind, name, out: F.max(F.when(F.col("kind") == kind, F.col(name))).alias(out)

@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 DIM = 10
 GRAMS = (3, 4)
 EPOCHS = 8
+#: Few rows are gone through more often, until there are this many steps.
+STEPS = 8_000
 RATE = 0.5
 #: Words back within which a repeated pair of words is noticed.
 REPEAT = 12
@@ -130,6 +132,7 @@ def train(texts: list[bytes], labels: list[int], share: float, *, buckets: int =
     for t in texts:
         u, n = np.unique(features(t, buckets, grams), return_counts=True)
         rows.append((u, (n / max(1, n.sum())).astype(np.float32)))
+    epochs = max(epochs, -(-STEPS // len(rows)))
     order, step, steps = np.arange(len(rows)), 0, epochs * len(rows)
     for _ in range(epochs):
         rng.shuffle(order)

@@ -145,3 +145,91 @@ def op8_subword_quality(spark, sf_dir):
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------ 5 toxicity
+
+#: A document is toxic from this score on.
+TOXIC = 0.5
+
+
+@query
+def op5_noisy_channel_toxicity(spark, sf_dir):
+    from shelfrank.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------ 6 URL filters
+
+def url_rules():
+    """The rules of the contract, and the hosts that are blocked besides."""
+    from shelfrank.llm.url_filter import Glob, Rule
+
+    return ([Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+             Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")],
+            [Glob("block", "*spam*"), Glob("block", "*pills*"), Glob("block", "*casino*")])
+
+
+@query
+def op6_shift_and_url_filter(spark, sf_dir):
+    from shelfrank.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"), *url_rules()).withColumnRenamed("id", "page_id")
+
+
+ORACLE["op6_shift_and_url_filter"] = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id,
+    translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+r(verdict, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (SELECT page_id, max_by(h || q, length(h || q)) AS rule, max_by(r.verdict, length(h || q)) AS verdict
+    FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
+g AS (SELECT p.*, m.rule, m.verdict, CASE WHEN m.rule IS NOT NULL THEN NULL WHEN host LIKE '%spam%' THEN '*spam*'
+    WHEN host LIKE '%pills%' THEN '*pills*' WHEN host LIKE '%casino%' THEN '*casino*' END AS pattern FROM p LEFT JOIN m USING (page_id))
+SELECT page_id, host, path, rule, pattern, coalesce(verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM g
+"""
+
+
+# ---------------------------------------------------------- 9 chat formatting
+
+@query
+def op9_typed_chat_format(spark, sf_dir):
+    from shelfrank.llm.chat import format_chats, read_loss, read_turns, text_parts
+
+    said = "</s>[INST] ok [/INST]"
+    cols = ["conv_id", "turn", "role", "text"]
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(*cols).union(extra).withColumn("parts", text_parts("text"))
+    out = format_chats(turns).select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), read_turns().alias("turns"),
+                                     F.array_join(read_loss(), "").alias("learned"))
+    return out.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        sha(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), sha("learned").alias("loss_sha256"), "formatted_chars")
+
+
+ORACLE["op9_typed_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+    sum(length(replace(replace(role, '<', '<.'), '|', '|.')) + length(replace(text, '<', '<.')) + 13) AS formatted_chars
+    FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
+    sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM c
+"""
+
+
+# ------------------------------------------------------- 4 HTML extraction
+
+@query
+def op4_tree_model_html(spark, sf_dir):
+    from shelfrank.llm.html_extract import extract, train
+    from shelfrank.llm.html_pages import labelled_pages
+
+    return extract(table(spark, sf_dir, "pages"), train(labelled_pages())).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
