@@ -18,6 +18,7 @@ tokenizer library is the test.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -36,6 +37,12 @@ LEAST_CHUNK = 256
 MEMO_BYTES = 6 << 20
 MEMO_WORD_BYTES = 20 << 20
 
+#: Signs that never share a token with a letter or digit before them.
+_PUNCTUATION = b".,;:!?%#$&*"
+#: The printable character that stands for each byte in the vocabulary: itself
+#: where it is printable, else the next one from 256 on (fixed rule).
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _SPACE = b" \t\n\r\x0b\x0c"
 _TABLE = np.cumprod(np.full(256, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D)
 
@@ -98,6 +105,8 @@ class Codec:
         self.library = Tokenizer.from_str(json.dumps(spec))
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.found: dict[bytes, tuple[bytes, bytes]] = {}
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.strings = [(self.library.id_to_token(i) or "").encode() for i in range(size)]
         special = [t["content"] for t in spec["added_tokens"]]
@@ -110,15 +119,30 @@ class Codec:
     # ------------------------------------------------------------- words
 
     def _learn(self, words: set[bytes]) -> None:
-        """Encodes words (runs without ASCII white space) with the library."""
-        if self.mark is None:
-            for w in words:
-                self._keep(w, self.library.encode(w.decode(), add_special_tokens=False).ids)
-            return
-        mark = self.mark.encode()
-        plain = [w for w in words if mark not in w]
+        """Encodes words (runs without ASCII white space)."""
+        split, whole = [], set()
         for w in words:
-            if mark in w:
+            # punctuation behind a letter or digit is encoded on its own
+            core = w.rstrip(_PUNCTUATION)
+            if len(core) < len(w) and core[-1:].isalnum():
+                split.append((w, core, w[len(core):]))
+                whole.add(core)
+                whole.add(w[len(core):])
+            else:
+                whole.add(w)
+        slow = []
+        for w in whole:
+            known = self.words[w] if split else None
+            if known is not None:
+                self.found[w] = known
+            elif (ids := self._one_word(w)) is not None:
+                self._keep(w, ids)
+            else:
+                slow.append(w)
+        mark = self.mark.encode() if self.mark else None
+        plain = [w for w in slow if mark and mark not in w]
+        for w in slow:
+            if not mark or mark in w:
                 self._keep(w, self.library.encode(w.decode(), add_special_tokens=False).ids)
         for start in range(0, len(plain), 5000):
             some = plain[start:start + 5000]
@@ -126,11 +150,30 @@ class Codec:
             ends = np.flatnonzero(np.array(ids) == self.mark_id).tolist()
             for w, a, b in zip(some, [-1, *ends], [*ends, len(ids)]):
                 self._keep(w, ids[a + 1:b])
+        for w, core, tail in split:
+            (a, x), (b, y) = self.found[core], self.found[tail]
+            self._put(w, (a + b, x + b" " + y))
+
+    def _one_word(self, word: bytes) -> list[int] | None:
+        """Ids by the library's merges alone, where its normalizer and
+        pre-tokenizer leave nothing else to do: Latin letters only."""
+        text = word.decode()
+        if not text.isalpha():
+            return None
+        low = text.lower()
+        if not low.isascii():
+            if max(text) >= "\u0250" or not low.isalpha():
+                return None
+            low = low.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return [t.id for t in self.model.tokenize(low)]
 
     def _keep(self, word: bytes, ids: list[int]) -> None:
-        self.found[word] = (np.array(ids, "<u4").tobytes(), b" ".join([self.strings[i] for i in ids]))
+        self._put(word, (struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.strings[i] for i in ids])))
+
+    def _put(self, word: bytes, code: tuple[bytes, bytes]) -> None:
+        self.found[word] = code
         if len(word) <= 64:
-            self.words.put(word, self.found[word])
+            self.words.put(word, code)
 
     def codes(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded text of each word."""
@@ -139,6 +182,7 @@ class Codec:
             self.found = {}
             self._learn({w for w, x in zip(words, out) if x is None})
             out = [x if x is not None else self.found[w] for w, x in zip(words, out)]
+            self.found = {}
         return out
 
     # ------------------------------------------------------------ chunks
@@ -213,11 +257,13 @@ _ASCII = {_SPACE[i:i + 1] for i in range(len(_SPACE))}
 
 def _check(spec: dict) -> None:
     """Refuses tokenizers that look across white space."""
-    pre = spec.get("pre_tokenizer") or {}
-    split = (pre.get("pretokenizers") or [{}])[0]
-    local = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") \
-        and r"[^\s\p{L}\p{N}]+" in (split.get("pattern") or {}).get("Regex", "")
-    if not local or spec["model"]["type"] != "BPE" or spec.get("decoder") is not None or spec["model"].get("dropout"):
+    kinds = lambda part, key: [(x["type"], x.get("pattern")) for x in (spec.get(part) or {}).get(key, [])]
+    normal = kinds("normalizer", "normalizers") == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    local = [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and pre[0]["invert"] \
+        and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in pre[0]["pattern"].get("Regex", "") and not pre[1]["add_prefix_space"] \
+        and not pre[1]["use_regex"]
+    if not (normal and local) or spec["model"]["type"] != "BPE" or spec.get("decoder") is not None or spec["model"].get("dropout"):
         raise ValueError("only BPE tokenizers that drop white space, without decoder or dropout, can be encoded in chunks")
     if any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]):
         raise ValueError("added tokens that take in white space cannot be encoded in chunks")
