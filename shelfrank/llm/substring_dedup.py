@@ -132,7 +132,9 @@ def _ids(column) -> list[int]:
     return [_LAST if x is None else x for x in column.to_pylist()]
 
 
-_CHUNKS = "bucket int, block int, minimiser binary, low binary, high binary, packed binary"
+# `minimiser`: the upper 32 bits of each; two that differ below them are only looked at together.
+# `ids`: differences of the smallest ids, then what the largest are above them.
+_CHUNKS = "bucket int, block int, minimiser binary, ids binary, packed binary"
 _REPLIES = "block int, minimiser binary, digest binary, windows binary, smallest binary"
 
 
@@ -169,10 +171,11 @@ def _split(window: int, m: int, buckets: int):
             order = np.argsort(bucket, kind="stable")
             pack = zstandard.ZstdCompressor(level=3)
             for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                rows.append((int(bucket[mine[0]]), block, mini[mine].tobytes(), lo[mine].tobytes(), hi[mine].tobytes(),
-                             pack.compress(b"\n".join([texts[i] for i in mine.tolist()]))))
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
-        names = ["bucket", "block", "minimiser", "low", "high", "packed"]
+                ids = np.concatenate((np.diff(lo[mine], prepend=0), hi[mine] - lo[mine]))
+                rows.append((int(bucket[mine[0]]), block, (mini[mine] >> np.uint64(32)).astype(np.uint32).tobytes(),
+                             pack.compress(ids.tobytes()), pack.compress(b"\n".join([texts[i] for i in mine.tolist()]))))
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 3
+        names = ["bucket", "block", "minimiser", "ids", "packed"]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds))})
     return run
 
@@ -198,15 +201,17 @@ def _count(window: int):
     """Bucket -> replies to the blocks that must remove something."""
     def run(table: pa.Table) -> pa.Table:
         blocks = table["block"].to_pylist()
-        joined = lambda n, t: [np.frombuffer(x, t) for x in table[n].to_pylist()]
-        minis, lows, highs = joined("minimiser", np.uint64), joined("low", np.int64), joined("high", np.int64)
+        unpack, base = zstandard.ZstdDecompressor(), 0
+        minis = [np.frombuffer(x, np.uint32) for x in table["minimiser"].to_pylist()]
+        ids = [np.frombuffer(unpack.decompress(x), np.int64).reshape(2, -1) for x in table["ids"].to_pylist()]
         row = np.repeat(np.arange(len(blocks)), [len(x) for x in minis])
-        mini, low, high = np.concatenate(minis), np.concatenate(lows), np.concatenate(highs)
+        mini, low = np.concatenate(minis), np.concatenate([np.cumsum(x[0]) for x in ids])
+        high = low + np.concatenate([x[1] for x in ids])
         values, back, times = np.unique(mini, return_inverse=True, return_counts=True)
         wide = np.zeros(len(values), bool)
         wide[back[low < high]] = True
         active = np.flatnonzero((times > 1)[back] | wide[back])
-        texts, unpack, base = [], zstandard.ZstdDecompressor(), 0
+        texts: list[bytes] = []
         for r, x in enumerate(table["packed"]):
             mine = active[(active >= base) & (active < base + len(minis[r]))] - base
             base += len(minis[r])
@@ -240,7 +245,7 @@ def _count(window: int):
                 a[3].append(smallest[first[t]:first[t] + n_windows[t]])
         return pa.table({
             "block": pa.array(list(out), pa.int32()),
-            "minimiser": pa.array([np.array(a[0], np.uint64).tobytes() for a in out.values()], pa.binary()),
+            "minimiser": pa.array([np.array(a[0], np.uint32).tobytes() for a in out.values()], pa.binary()),
             "digest": pa.array([b"".join(a[1]) for a in out.values()], pa.binary()),
             "windows": pa.array([np.array(a[2], np.int64).tobytes() for a in out.values()], pa.binary()),
             "smallest": pa.array([np.concatenate(a[3]).tobytes() for a in out.values()], pa.binary())})
@@ -258,9 +263,9 @@ def _kept_layout(utf8: bytes, keep: np.ndarray) -> bytes:
 def _cut(window: int, m: int, layout: bool, carry: bool):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         known: dict[bytes, np.ndarray] = {}
-        minis = [np.empty(0, np.uint64)]
+        minis = [np.empty(0, np.uint32)]
         for r in replies.to_pylist():
-            minis.append(np.frombuffer(r["minimiser"], np.uint64))
+            minis.append(np.frombuffer(r["minimiser"], np.uint32))
             n = np.frombuffer(r["windows"], np.int64)
             for i, part in enumerate(np.split(np.frombuffer(r["smallest"], np.int64), np.cumsum(n)[:-1])):
                 known[r["digest"][16 * i:16 * i + 16]] = part
@@ -272,7 +277,8 @@ def _cut(window: int, m: int, layout: bool, carry: bool):
             w = _Words(lines, window, m)
             gone = np.zeros(len(w.doc) + window + 1, np.int64)
             if len(asked):
-                mine = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, w.mini), len(asked) - 1)] == w.mini)
+                upper = (w.mini >> np.uint64(32)).astype(np.uint32)
+                mine = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, upper), len(asked) - 1)] == upper)
                 for p, text in zip(w.first[mine].tolist(), w.texts(mine)):
                     smallest = known.get(xxhash.xxh3_128_digest(text))
                     if smallest is not None:
