@@ -7,18 +7,24 @@ maps them to ``store_id, product, value_raw, date_raw``.
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import re
+import tempfile
+import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, timedelta
+from decimal import Decimal
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# One column past the header: filled only by a line with too many fields.
-EXTRA = "_extra"
+# Holds the text of a line whose field count is not the header's.
+CORRUPT = "_corrupt"
 # Spark's CSV source accepts only a few charset names; map the usual aliases.
 _CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1",
              "iso-8859-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1"}
@@ -28,16 +34,59 @@ class MalformedFile(ValueError):
     pass
 
 
-def _header(spark: SparkSession, path: str, sep: str, charset: str) -> list[str]:
-    return spark.read.option("header", True).option("sep", sep).option("encoding", charset).csv(path).columns
-
-
-def _read_native(spark, path, sep, charset) -> DataFrame:
-    cols = _header(spark, path, sep, charset)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cols, EXTRA]])
-    # PERMISSIVE pads short lines with nulls and keeps them
-    return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("encoding", charset).option("mode", "PERMISSIVE").csv(path))
+def _headers(spark: SparkSession, path: str, sep: str, charset: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under ``path`` by their header. Spark reads one line of each
+    file (no pass over the data); the driver holds the list of files anyway."""
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+
+    def header(file: str) -> tuple[str, ...]:
+        # raw names: Spark renames repeated or empty ones only with header=True
+        first = (spark.read.option("header", False).option("sep", sep).option("encoding", charset)
+                 .csv(file).limit(1).collect())
+        return tuple((c or "").lstrip("\ufeff") for c in first[0]) if first else ()
+
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for file, names in zip(files, pool.map(header, files)):
+            if names:  # an empty file has no rows
+                found.setdefault(names, []).append(file)
+    return found
+
+
+def _fields(line: str, sep: str) -> Column:
+    """Fields of a raw line: one more than its separators outside quoted fields."""
+    s = re.escape(sep)
+    bare = F.regexp_replace(line, rf'(^|{s})"(?:[^"\\]|\\.)*+"', "$1")
+    return F.size(F.split(bare, s, -1))
+
+
+def _read_native(spark, path, sep, charset, decode=None) -> DataFrame:
+    """All files under ``path``, columns matched by name, plus CORRUPT. ``decode``
+    turns (column, raw name) into the value and the column's name."""
+    groups = _headers(spark, path, sep, charset)
+    if not groups:
+        return spark.read.schema(f"{CORRUPT} string").csv(path)
+    out, columns = None, []
+    for header, files in groups.items():
+        names = [decode(F.col(f"`{c}`"), c)[1] if decode else c for c in header]
+        columns = columns or names
+        if len(set(names)) < len(names) or set(names) != set(columns):
+            raise MalformedFile(f"{files[0]}: columns {names}, other files have {columns}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
+        # PERMISSIVE pads short lines with nulls and keeps them; CORRUPT is set
+        # for each line with another number of fields than the header
+        df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", charset)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+              .option("columnPruning", False).csv(files))
+        too_many = F.col(CORRUPT).isNotNull() & (_fields(CORRUPT, sep) > len(header))
+        # always true, but it reads a column: Spark refuses plans (a mere count)
+        # that read no other column than CORRUPT from a file; nor may it prune
+        # columns, or it would count the fields of the pruned lines
+        too_many &= F.coalesce(F.length(F.col(f"`{header[0]}`")), F.lit(0)) >= 0
+        cols = {n: (decode(F.col(f"`{c}`"), c)[0] if decode else F.col(f"`{c}`")).alias(n) for c, n in zip(header, names)}
+        df = df.select(*[cols[n] for n in columns], F.when(too_many, F.col(CORRUPT)).alias(CORRUPT))
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 # cp1252 and ISO-8859-1 agree on every byte except 0x80-0x9F, where ISO-8859-1
@@ -53,15 +102,11 @@ def _latin1_to_cp1252(s: str) -> str:
     return s.translate(str.maketrans(_C1_LATIN1, _C1_CP1252))
 
 
-def _read_cp1252(spark, path, sep) -> DataFrame:
+def _cp1252(value: Column, name: str) -> tuple[Column, str]:
     """cp1252 has no Spark charset: scan as ISO-8859-1 (one byte per
     character, so the scan stays splittable and the bad-line rule is the
     same), then map the 32 differing code points with ``translate``."""
-    df = _read_native(spark, path, sep, "ISO-8859-1")
-    return df.select(*[
-        F.col(f"`{c}`") if c == EXTRA else
-        F.translate(F.col(f"`{c}`"), _C1_LATIN1, _C1_CP1252).alias(_latin1_to_cp1252(c))
-        for c in df.columns])
+    return F.translate(value, _C1_LATIN1, _C1_CP1252), _latin1_to_cp1252(name)
 
 
 def _utf8_or_latin1(name: str) -> str:
@@ -71,47 +116,39 @@ def _utf8_or_latin1(name: str) -> str:
         return name
 
 
-def _read_auto(spark, path, sep) -> DataFrame:
+def _auto(value: Column, name: str) -> tuple[Column, str]:
     """One scan, any mix of UTF-8 and ISO-8859-1 files: read as ISO-8859-1
     (one character per byte, so every field holds its file bytes), then
     take a value's bytes as UTF-8 when they are valid UTF-8, else keep the
     ISO-8859-1 reading. No extra pass to guess one encoding for all files.
     ASCII separators and line ends never occur inside a UTF-8 multi-byte
     sequence, so fields split the same way under both readings."""
-    df = _read_native(spark, path, sep, "ISO-8859-1")
-    out = []
-    for c in df.columns:
-        raw = F.col(f"`{c}`")
-        if c == EXTRA:
-            out.append(raw)
-            continue
-        as_utf8 = F.encode(raw, "ISO-8859-1").cast("string")
-        out.append(F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(raw).alias(_utf8_or_latin1(c)))
-    return df.select(*out)
+    as_utf8 = F.encode(value, "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(value), _utf8_or_latin1(name)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "auto",
              strict: bool = False) -> DataFrame:
     """``;`` CSV with a header, every column a string.
 
-    Bad lines (D8): a line with *more* fields than the header is dropped
-    (S1) or fails the read (``strict=True``, S2); a short line is kept with
-    nulls. ``encoding='auto'`` decodes every value as UTF-8 when its bytes
-    are valid UTF-8 and as ISO-8859-1 otherwise (D9: UTF-8 first), in the
-    same single scan; ``'cp1252'`` is an ISO-8859-1 scan plus a character map.
+    Bad lines (D8): a line with *more* fields than its file's header, empty
+    ones included, is dropped (S1) or fails the read (``strict=True``, S2); a
+    short line is kept with nulls. Files of a folder are matched by column
+    name; a file with other names fails the read. ``encoding='auto'`` decodes
+    every value as UTF-8 when its bytes are valid UTF-8 and as ISO-8859-1
+    otherwise (D9: UTF-8 first), in the same single scan; ``'cp1252'`` is an
+    ISO-8859-1 scan plus a character map.
     """
     enc = encoding.lower()
     if enc == "cp1252" or enc == "windows-1252":
-        df = _read_cp1252(spark, path, sep)
+        df = _read_native(spark, path, sep, "ISO-8859-1", _cp1252)
     elif enc == "auto":
-        df = _read_auto(spark, path, sep)
+        df = _read_native(spark, path, sep, "ISO-8859-1", _auto)
     else:
         df = _read_native(spark, path, sep, _CHARSETS.get(enc, encoding))
-    n_cols = len(df.columns) - 1
-    too_many = F.col(EXTRA).isNotNull()
-    if strict and df.filter(too_many).limit(1).count() > 0:
-        raise MalformedFile(f"{path}: a line has more than {n_cols} fields")
-    return df.filter(~too_many).drop(EXTRA)
+    if strict and (bad := df.where(F.col(CORRUPT).isNotNull()).limit(1).collect()):
+        raise MalformedFile(f"{path}: a line has more fields than the header: {bad[0][CORRUPT][:200]}")
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 # ----------------------------------------------------------------------------- Excel
@@ -127,10 +164,48 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def _first_sheet_rows(data: bytes):
+# Number formats that show a date, by their built-in numbers (fixed values).
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _shows_date(code: str) -> bool:
+    """Whether a custom number format shows a date: it has y, m, d, h or s
+    outside quoted text, escapes, colours and conditions."""
+    bare = re.sub(r'"[^"]*"|\\.|\[(?!h|m|s)[^\]]*\]|_.', "", code.lower())
+    return bool(re.search(r"[ymdhs]", bare.split(";")[0])) and bare != "general"
+
+
+def _date_styles(z: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """Cell styles whose number format shows a date."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    custom = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iterfind("m:numFmts/m:numFmt", _NS)}
+    ids = [int(x.get("numFmtId") or 0) for x in root.iterfind("m:cellXfs/m:xf", _NS)]
+    return {i for i, f in enumerate(ids) if (_shows_date(custom[f]) if f in custom else f in _DATE_FORMATS)}
+
+
+def _number_text(v: str, decimal: str) -> str:
+    """A native number as text without exponent or grouping."""
+    return format(Decimal(repr(float(v))).normalize(), "f").replace(".", decimal)
+
+
+def _serial_date(v: str, base_1904: bool) -> str:
+    """A date serial as ``dd/MM/yyyy`` (the 1900 calendar counts a 29 February
+    1900 that never was)."""
+    days = int(float(v))
+    if base_1904:
+        first = date(1904, 1, 1)
+    else:
+        first = date(1899, 12, 30) if days > 59 else date(1899, 12, 31)
+    return (first + timedelta(days)).strftime("%d/%m/%Y")
+
+
+def _first_sheet_rows(data: bytes, decimal: str = ","):
     """Cells of the first worksheet of an .xlsx as text, one list per row,
     streamed (``iterparse``) so memory holds the shared strings and one row,
-    not the sheet (stdlib only)."""
+    not the sheet (stdlib only). A native number becomes a plain number with
+    ``decimal`` as its mark, a native date ``dd/MM/yyyy``, an error null."""
     m = f"{{{_NS['m']}}}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
@@ -142,6 +217,9 @@ def _first_sheet_rows(data: bytes):
                         shared.append("".join(t.text or "" for t in el.iter(f"{m}t")))
                         el.clear()
         wb = ET.fromstring(z.read("xl/workbook.xml"))
+        props = wb.find("m:workbookPr", _NS)
+        base_1904 = props is not None and props.get("date1904") in ("1", "true")
+        dates = _date_styles(z, names)
         first = wb.find("m:sheets/m:sheet", _NS)
         target = "worksheets/sheet1.xml"
         if first is not None and "xl/_rels/workbook.xml.rels" in names:
@@ -150,128 +228,191 @@ def _first_sheet_rows(data: bytes):
                 if r.get("Id") == first.get(_REL):
                     target = r.get("Target")
         path = posixpath.normpath(posixpath.join("xl", target.lstrip("/").removeprefix("xl/")))
+
+        def cell(c) -> str | None:
+            kind = c.get("t") or "n"
+            if kind == "inlineStr":
+                return "".join(x.text or "" for x in c.iter(f"{m}t"))
+            ve = c.find("m:v", _NS)
+            v = None if ve is None else ve.text
+            if v is None or kind == "e":
+                return None
+            if kind == "s":
+                return shared[int(v)]
+            if kind == "d":
+                return date.fromisoformat(v[:10]).strftime("%d/%m/%Y")
+            if kind == "n":
+                return _serial_date(v, base_1904) if int(c.get("s") or 0) in dates else _number_text(v, decimal)
+            return v
+
         with z.open(path) as f:
             for _, row in ET.iterparse(f):
                 if row.tag != f"{m}row":
                     continue
                 vals: dict[int, str | None] = {}
-                for c in row.findall("m:c", _NS):
-                    t = c.get("t")
-                    if t == "inlineStr":
-                        v = "".join(x.text or "" for x in c.iter(f"{m}t"))
-                    else:
-                        ve = c.find("m:v", _NS)
-                        v = None if ve is None else ve.text
-                        if t == "s" and v is not None:
-                            v = shared[int(v)]
-                    vals[_col_index(c.get("r"))] = v
+                for i, c in enumerate(row.findall("m:c", _NS)):
+                    vals[_col_index(c.get("r")) if c.get("r") else i] = cell(c)
                 row.clear()
                 width = max(vals) + 1 if vals else 0
                 yield [vals.get(i) for i in range(width)]
 
 
-def read_xlsx(spark: SparkSession, path: str, columns: list[str], batch_rows: int = 10_000) -> DataFrame:
+def read_xlsx(spark: SparkSession, path: str, columns: list[str], batch_rows: int = 10_000,
+              decimal: str = ",") -> DataFrame:
     """First sheet of every workbook under ``path`` (one task per file,
     as the zip container forces), header row matched by name to ``columns``;
-    all values as text. Rows leave the task in batches of ``batch_rows``."""
+    all values as text. Rows leave the task in batches of ``batch_rows``.
+
+    Native cells come as the text that the export would have: numbers with
+    ``decimal`` as their mark (the comma for money mode ``br``, the dot for
+    ``plain``), dates as ``dd/MM/yyyy``. A workbook without one of the columns
+    (P1) and an old ``.xls`` file fail the read.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
                           + [T.StructField("source_file", T.StringType())])
 
     def parse(batches):
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
-                rows = _first_sheet_rows(bytes(content))
-                head = next(rows, None)
-                if head is None:
-                    continue
-                head = [str(h).strip() if h is not None else "" for h in head]
-                idx = [head.index(c) if c in head else None for c in columns]
+                rows = _first_sheet_rows(bytes(content), decimal)
+                head = [str(h).strip() if h is not None else "" for h in next(rows, [])]
+                if missing := [c for c in columns if c not in head]:
+                    raise MalformedFile(f"{p}: missing columns {missing}; available {head}")
+                idx = [head.index(c) for c in columns]
                 out = []
                 for r in rows:
-                    out.append([(r[i] if i is not None and i < len(r) else None) for i in idx] + [p])
+                    out.append([(r[i] if i < len(r) else None) for i in idx] + [p])
                     if len(out) >= batch_rows:
                         yield pd.DataFrame(out, columns=[*columns, "source_file"])
                         out = []
                 if out:
                     yield pd.DataFrame(out, columns=[*columns, "source_file"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    if old := listed.where(F.lower("path").endswith(".xls")).limit(1).collect():
+        raise MalformedFile(f"{old[0].path}: old binary workbooks (.xls) cannot be read; save as .xlsx")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
     return files.select("path", "content").mapInPandas(parse, schema)
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str | None = None, columns=None, **csv_options) -> DataFrame:
-    """Dispatch on ``fmt`` or the path's extension (``.xlsx``/``.xls`` ->
-    Excel, else CSV). A missing path raises Spark's AnalysisException."""
+def read_sales(spark: SparkSession, path: str, fmt: str | None = None, columns=None, decimal: str = ",",
+               **csv_options) -> DataFrame:
+    """Dispatch on ``fmt`` or the path's extension (``.xlsx`` -> Excel, else
+    CSV). A missing path raises Spark's AnalysisException, an ``.xls`` file
+    ``MalformedFile``. ``decimal``: the mark of native numbers of workbooks."""
     from shelfrank.config import RAW_COLUMNS
 
     kind = fmt or ("xlsx" if path.lower().rstrip("/").endswith((".xlsx", ".xls")) else "csv")
-    if kind == "xlsx":
-        return read_xlsx(spark, path, list(columns or RAW_COLUMNS))
+    if kind in ("xlsx", "xls"):
+        return read_xlsx(spark, path, list(columns or RAW_COLUMNS), decimal=decimal)
     return read_csv(spark, path, **csv_options)
 
 
 # ----------------------------------------------------------------------------- Excel writer (fixtures)
 
-def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
-    """A minimal one-sheet workbook with inline strings (stdlib only)."""
+#: Rows that a sheet holds at most (the format's limit), less the header.
+SHEET_ROWS = 1_048_575
+
+_STYLES = ('<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="http://schemas.openxmlformats.org/'
+           'spreadsheetml/2006/main"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1">'
+           '<border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf numFmtId="0"/>'
+           '<xf numFmtId="14" applyNumberFormat="1"/></cellXfs></styleSheet>')
+_WORKBOOK = ('<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/'
+             'spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/'
+             'relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+_RELS = ('<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/'
+         'package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/'
+         'officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+
+
+def _column_name(i: int) -> str:
+    name = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        name = chr(65 + r) + name
+    return name
+
+
+def _cell(ref: str, v) -> str:
+    """A cell: numbers and dates native, other values as inline text."""
     from xml.sax.saxutils import escape
 
-    def cell(ref, v):
-        if v is None:
-            return ""
-        return f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
-
-    def col(i):
-        s = ""
-        i += 1
-        while i:
-            i, r = divmod(i - 1, 26)
-            s = chr(65 + r) + s
-        return s
-
-    body = []
-    for n, r in enumerate([header, *rows], 1):
-        body.append(f'<row r="{n}">' + "".join(cell(f"{col(i)}{n}", v) for i, v in enumerate(r)) + "</row>")
-    sheet = ('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/'
-             'spreadsheetml/2006/main"><sheetData>' + "".join(body) + "</sheetData></worksheet>")
-    wb = ('<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/'
-          'spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/'
-          'relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
-    rels = ('<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/'
-            'package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/'
-            'officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+    if v is None or v != v:
+        return ""
+    if isinstance(v, date):
+        days = (date(v.year, v.month, v.day) - date(1899, 12, 30)).days
+        return f'<c r="{ref}" s="1"><v>{days if days > 60 else days - 1}</v></c>'
+    if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
+        return f'<c r="{ref}"><v>{v}</v></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+
+def _write_xlsx(out, header: list[str], rows) -> None:
+    """A minimal one-sheet workbook, streamed row by row to a file object."""
+    names = [_column_name(i) for i in range(len(header))]
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", _WORKBOOK)
+        z.writestr("xl/_rels/workbook.xml.rels", _RELS)
+        z.writestr("xl/styles.xml", _STYLES)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/'
+                        b'spreadsheetml/2006/main"><sheetData>')
+            n = 0
+            for n, r in enumerate(itertools.chain([header], rows), 1):
+                cells = "".join(_cell(f"{c}{n}", v) for c, v in zip(names, r))
+                sheet.write(f'<row r="{n}">{cells}</row>'.encode())
+            sheet.write(b"</sheetData></worksheet>")
+
+
+def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
     buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/workbook.xml", wb)
-        z.writestr("xl/_rels/workbook.xml.rels", rels)
-        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    _write_xlsx(buf, header, rows)
     return buf.getvalue()
 
 
-def write_xlsx_parts(df: DataFrame, path: str) -> DataFrame:
-    """Write every partition of ``df`` (string columns) as one workbook under
-    ``path`` (a shared folder: local, ``s3://``, ``gs://``, ``hdfs://``, via
-    ``pyarrow.fs`` on the executors). Returns one row per file written
-    (lazy: run an action to write). Spark has no Excel sink; this builds
-    fixtures."""
-    import os
-    import uuid
-
+def write_xlsx_parts(df: DataFrame, path: str, sheet_rows: int = 100_000) -> DataFrame:
+    """Write ``df`` as workbooks of at most ``sheet_rows`` rows under ``path``:
+    each partition is streamed into as many as it needs, numbers and dates as
+    native cells. Every workbook leaves its task as one binary row, which
+    Spark's own writers can put anywhere; here the executors write it through
+    the session's default file system (``pyarrow.fs``). Returns one row per
+    file written (lazy: run an action to write). Spark has no Excel sink; this
+    builds fixtures.
+    """
     cols = df.columns
-    uri = path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
+    sheet_rows = min(sheet_rows, SHEET_ROWS)
+    uri = _qualified(df.sparkSession, path)
 
     def write(batches):
         from pyarrow import fs as pafs
 
-        rows = []
-        for pdf in batches:
-            rows.extend(pdf[cols].astype(object).where(pdf[cols].notna(), None).values.tolist())
-        if rows:
-            filesystem, base = pafs.FileSystem.from_uri(uri)
+        rows = (r for pdf in batches for r in pdf[cols].astype(object).where(pdf[cols].notna(), None).itertuples(index=False, name=None))
+        filesystem, base = pafs.FileSystem.from_uri(uri)
+        while (first := next(rows, None)) is not None:
             filesystem.create_dir(base, recursive=True)
             name = f"part-{uuid.uuid4().hex[:12]}.xlsx"
-            with filesystem.open_output_stream(f"{base}/{name}") as f:
-                f.write(_xlsx_bytes(cols, rows))
-            yield pd.DataFrame({"file": [f"{path.rstrip('/')}/{name}"], "rows": [len(rows)]})
+            count = 0
+
+            def counted():
+                nonlocal count
+                for r in itertools.chain([first], itertools.islice(rows, sheet_rows - 1)):
+                    count += 1
+                    yield r
+
+            # the zip is streamed to a bounded spool, then copied
+            with tempfile.SpooledTemporaryFile(16 << 20) as spool:
+                _write_xlsx(spool, cols, counted())
+                spool.seek(0)
+                with filesystem.open_output_stream(f"{base}/{name}") as f:
+                    while part := spool.read(1 << 20):
+                        f.write(part)
+            yield pd.DataFrame({"file": [f"{path.rstrip('/')}/{name}"], "rows": [count]})
 
     return df.mapInPandas(write, "file string, rows long")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the session's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p))

@@ -103,3 +103,117 @@ def test_auto_encoding_needs_no_extra_pass(spark, tmp_dir):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(sc.statusTracker().getJobIdsForGroup("read-auto")) <= 1
     assert {r[1] for r in df.collect()} == {"pão de queijo", "café", "água"}
+
+
+# ------------------------------------------------------------ bad lines and headers
+
+LONG = ["9;x;1,00;01/01/2024;", "9;x;1,00;01/01/2024;;y", "9;x;1,00;01/01/2024;z", '9;"x;y";1,00;01/01/2024;']
+
+
+def test_every_surplus_field_makes_a_long_line(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "long.csv")
+    keep = ["1;a;1,00;01/01/2024", "2;b;2,00", "3", '4;"c;d";4,00;01/01/2024', ";;;"]
+    write(p, "\n".join([HEADER, *keep, *LONG]) + "\n", "utf-8")
+    got = sorted((r[0] or "", r[1]) for r in files.read_csv(spark, p).collect())
+    assert got == [("", None), ("1", "a"), ("2", "b"), ("3", None), ("4", "c;d")]
+    assert files.read_csv(spark, p).select(f"`{RAW_COLUMNS[0]}`").count() == 5
+
+
+@pytest.mark.parametrize("line", LONG)
+def test_strict_refuses_each_long_form(spark, tmp_dir, line):
+    p = os.path.join(tmp_dir, "strict.csv")
+    write(p, HEADER + "\n1;a;1,00;01/01/2024\n" + line + "\n", "utf-8")
+    with pytest.raises(files.MalformedFile):
+        files.read_csv(spark, p, strict=True)
+
+
+def test_files_of_a_folder_are_matched_by_name(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "mixed")
+    os.makedirs(d)
+    write(os.path.join(d, "a.csv"), "s;p;v\n1;pão;1,0\n2;b;2,0;\n", "utf-8")
+    write(os.path.join(d, "b.csv"), "v;s;p\n3,0;3;café\n4,0;4\n", "iso-8859-1")
+    write(os.path.join(d, "empty.csv"), "", "utf-8")
+    df = files.read_csv(spark, d)
+    assert sorted(tuple(r[c] for c in "spv") for r in df.collect() if r.p) == [("1", "pão", "1,0"), ("3", "café", "3,0")]
+    assert df.count() == 3
+    write(os.path.join(d, "c.csv"), "v;s;q\n1;1;1\n", "utf-8")
+    with pytest.raises(files.MalformedFile):
+        files.read_csv(spark, d)
+
+
+# ------------------------------------------------------------ workbooks
+
+def book(d, name, header, rows):
+    os.makedirs(d, exist_ok=True)
+    with open(os.path.join(d, name), "wb") as f:
+        f.write(files._xlsx_bytes(header, rows))
+
+
+def test_native_numbers_and_dates(spark, tmp_dir):
+    from datetime import date
+    from decimal import Decimal
+
+    from shelfrank.plans.jobs import load_fact
+    d = os.path.join(tmp_dir, "native")
+    book(d, "a.xlsx", list(RAW_COLUMNS), [[7, "pão", 1234.56, date(2024, 3, 1)], ["8", "b", "1.234,56", "02/03/2024"],
+                                          [9, "c", 1e-7, date(2024, 1, 1)], [10, "d", 3, None], [11, 12, Decimal("0.5"), date(1900, 1, 5)]])
+    got = sorted((r.store_id, r.product, r.value, r.d) for r in load_fact(spark, d, fmt="xlsx").collect())
+    assert got == [("10", "D", Decimal("3.00"), None), ("11", "12", Decimal("0.50"), date(1900, 1, 5)),
+                   ("7", "PÃO", Decimal("1234.56"), date(2024, 3, 1)), ("8", "B", Decimal("1234.56"), date(2024, 3, 2))]
+    plain = load_fact(spark, d, fmt="xlsx", money="plain")
+    assert {r.store_id: r.value for r in plain.collect()}["7"] == Decimal("1234.56")
+
+
+def test_cell_styles_and_calendars():
+    from datetime import date
+    assert [files._shows_date(c) for c in ("dd/mm/yyyy", 'General', '#,##0.00', '"day" 0', "[$-409]d-mmm", "[h]:mm", "0.0%", '[Red]0;"d"', "_d0")] == \
+        [True, False, False, False, True, True, False, False, False]
+    assert files._serial_date("45352", False) == "01/03/2024" and files._serial_date("45352.75", False) == "01/03/2024"
+    assert files._serial_date("1", False) == "01/01/1900" and files._serial_date("61", False) == "01/03/1900"
+    assert files._serial_date("0", True) == "01/01/1904"
+    assert [files._number_text(v, ",") for v in ("1234.56", "1E3", "1e-7", "5", "0.1", "-2.50")] == ["1234,56", "1000", "0,0000001", "5", "0,1", "-2,5"]
+    assert date(1904, 1, 1)
+
+
+def test_bad_workbooks_fail(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "bad")
+    book(d, "a.xlsx", ["loja", "x"], [["1", "2"]])
+    with pytest.raises(Exception, match="missing columns"):
+        files.read_sales(spark, d, fmt="xlsx").collect()
+    old = os.path.join(tmp_dir, "old")
+    os.makedirs(old)
+    write(os.path.join(old, "a.XLS"), "x", "utf-8")
+    for path, fmt in ((old, "xlsx"), (os.path.join(old, "a.XLS"), None)):
+        with pytest.raises(files.MalformedFile):
+            files.read_sales(spark, path, fmt)
+
+
+def test_written_workbooks_follow_the_rows(spark, tmp_dir):
+    df = spark.range(2500).selectExpr("cast(id as string) a", "cast(id as double) / 4 b", "date_add('2024-01-01', cast(id % 9 as int)) c").coalesce(1)
+    out = files.write_xlsx_parts(df, os.path.join(tmp_dir, "parts"), sheet_rows=1000).collect()
+    assert sorted(r.rows for r in out) == [500, 1000, 1000]
+    back = files.read_xlsx(spark, os.path.join(tmp_dir, "parts"), ["a", "b", "c"], decimal=".")
+    assert {(r.a, float(r.b), r.c) for r in back.collect()} == {(str(i), i / 4, f"{1 + i % 9:02d}/01/2024") for i in range(2500)}
+
+
+# ------------------------------------------------------------ cleaning options
+
+def test_numeric_columns_and_money_modes(spark):
+    from decimal import Decimal
+
+    from shelfrank.operators.clean import money_mode, quality_counts
+    native = spark.createDataFrame([("1", "a", 1234.56, "01/02/2024"), ("1", "b", 2.675, "01/02/2024"), ("1", "c", float("nan"), "x"), ("1", "d", None, "x")],
+                                   "store_id string, product string, value_raw double, date_raw string")
+    got = {r.product: r.value for r in clean_sales(native).collect()}
+    assert got == {"A": Decimal("1234.56"), "B": Decimal("2.68")}
+    text = lambda *v: spark.createDataFrame([("1", "a", x, "01/02/2024") for x in v], "store_id string, product string, value_raw string, date_raw string")
+    assert money_mode(text("1.5", None, " 3 ")) == "plain" and money_mode(text("1.5", "2,5")) == "br" and money_mode(native) == "plain"
+    assert [r.value for r in clean_sales(text("1.50"), money="auto").collect()] == [Decimal("1.50")]
+    assert [r.value for r in clean_sales(text("1.234,50"), money="auto").collect()] == [Decimal("1234.50")]
+    for t in ("R$ 1.234,56", "R$ 1.234,56", " R$1.234,56 "):
+        assert [r.value for r in clean_sales(text(t), currency=True).collect()] == [Decimal("1234.56")], t
+    raw = spark.createDataFrame([("1", "a", "1,005", "01/02/2024"), (" ", "a", "1,00", "x"), (None, "a", "1,00", "x"), ("1", " ", "1,500", "01/02/2024"),
+                                 ("1", "a", "0", "x")], "store_id string, product string, value_raw string, date_raw string")
+    q = quality_counts(raw).first().asDict()
+    assert q == {"rows_read": 5, "non_positive_values": 1, "rounded_values": 1, "invalid_dates": 2, "invalid_products": 1, "invalid_stores": 2, "valid_rows": 1}
+    assert clean_sales(raw).count() == q["valid_rows"]
