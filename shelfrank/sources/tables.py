@@ -2,7 +2,7 @@
 
 The fact has four columns: ``store_id`` (string), ``product`` (string),
 ``value`` (decimal(18,2)) and ``d`` (date). In production the fact comes
-from the raw sales export (:mod:`shelfrank.sources.csv`); on the test
+from the raw sales export (:mod:`shelfrank.sources.files`); on the test
 tables it is derived from TPC-H-style ``lineitem`` rows.
 """
 
@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sales_fact(spark: SparkSession, sf_dir: str, stores: str = "nation") -> DataFrame:
+def sales_fact(spark: SparkSession, sf_dir: str, stores: str = "nation", product: bool = True) -> DataFrame:
     """lineitem ⋈ supplier ⋈ part (⋈ nation for region-stores).
 
+    ``product=False`` leaves the product column out, and with it the join with
+    ``part`` (every line has a part), for totals that do not need it.
+
     ``stores='nation'`` keys a store by the supplier's nation,
     ``stores='region'`` by the nation's region. Only the needed columns are
     selected so the parquet scans read four lineitem columns. Join strategy
@@ -29,7 +32,7 @@ def sales_fact(spark: SparkSession, sf_dir: str, stores: str = "nation") -> Data
     25-row dimension and is broadcast by the size threshold.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
+        *(["l_partkey"] if product else []), "l_suppkey", "l_extendedprice", "l_shipdate"
     )
     # per-row text work happens on the dimension side, before the join
     part = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("product"))
@@ -43,14 +46,27 @@ def sales_fact(spark: SparkSession, sf_dir: str, stores: str = "nation") -> Data
             "s_suppkey", F.col("s_nationkey").cast("string").alias("store_id"))
     else:
         raise ValueError(f"stores must be 'nation' or 'region', not {stores!r}")
-    df = li.join(sup, li.l_suppkey == sup.s_suppkey).join(part, li.l_partkey == part.p_partkey)
+    df = li.join(sup, li.l_suppkey == sup.s_suppkey)
+    if product:
+        df = df.join(part, li.l_partkey == part.p_partkey)
     return df.select(
-        "store_id", "product",
+        "store_id", *(["product"] if product else []),
         F.col("l_extendedprice").cast(MONEY).alias("value"),
         F.col("l_shipdate").cast("date").alias("d"),
     )
 
 
+def typed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales with native types: l_orderkey, store_number (int), product,
+    value (decimal), d (date)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    df = li.join(sup, li.l_suppkey == sup.s_suppkey).join(part, li.l_partkey == part.p_partkey)
+    return df.select("l_orderkey", F.col("s_nationkey").cast("int").alias("store_number"), F.col("p_name").alias("product"),
+                     F.col("l_extendedprice").cast(MONEY).alias("value"), F.col("l_shipdate").cast("date").alias("d"))
+
+
 def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense-day fact from ``events``: store = event type, product = user."""
     ev = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
@@ -87,7 +103,8 @@ def raw_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every lineitem row is kept; a deterministic rule on the row's keys picks
     the text variant, so the cleaning operators meet every case they handle:
-    money ``1.234,56`` / ``1234,56`` / ``R$ 1.234,56`` / negative / ``0,00``,
+    money ``1.234,56`` / ``1.234,567`` / ``1234,56`` / ``R$ 1.234,56`` (space or
+    NBSP) / negative / ``0,00``, blank stores,
     dates ``dd/MM/yyyy`` / ``d/M/yyyy`` / ISO (invalid) / ``31/02`` (invalid),
     products with case, doubled spaces, NBSP and tab noise, or blank.
     Columns: store_id, product, value_raw, date_raw (all strings) + keys.
@@ -100,9 +117,11 @@ def raw_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("l_extendedprice").cast(MONEY)
     br = F.translate(F.format_number(v, 2), ",.", ".,")
     k = (F.col("l_orderkey") + F.col("l_linenumber")) % 10
-    money = (F.when(k <= 5, br)
+    sign = F.when(F.col("l_orderkey") % 2 == 0, F.lit("R$\u00a0")).otherwise(F.lit("R$ "))
+    money = (F.when((k <= 5) & (F.col("l_orderkey") % 83 == 0), F.concat(br, F.lit("7")))
+             .when(k <= 5, br)
              .when(k == 6, F.replace(v.cast("string"), F.lit("."), F.lit(",")))
-             .when(k == 7, F.concat(F.lit("R$ "), br))
+             .when(k == 7, F.concat(sign, br))
              .when(k == 8, F.concat(F.lit("-"), br))
              .otherwise(F.lit("0,00")))
     d = F.col("l_shipdate").cast("date")
@@ -120,24 +139,27 @@ def raw_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                .otherwise(F.concat(name, F.lit("\t"))))
     return df.select(
         "l_orderkey", "l_linenumber",
-        F.col("s_nationkey").cast("string").alias("store_id"),
+        F.when(F.col("l_orderkey") % 89 == 0, F.lit(" \u00a0")).otherwise(
+            F.col("s_nationkey").cast("string")).alias("store_id"),
         product.alias("product"), money.alias("value_raw"), date.alias("date_raw"))
 
 
 RAW_SALES_SQL = r"""
 SELECT l.l_orderkey, l.l_linenumber,
-       CAST(s.s_nationkey AS VARCHAR) AS store_id,
+       CASE WHEN l.l_orderkey % 89 = 0 THEN ' ' || chr(160) ELSE CAST(s.s_nationkey AS VARCHAR) END AS store_id,
        CASE WHEN l.l_partkey % 97 = 0 THEN ' '
             WHEN l.l_partkey % 4 = 0 THEN p.p_name
             WHEN l.l_partkey % 4 = 1 THEN upper(replace(p.p_name, ' ', '  '))
             WHEN l.l_partkey % 4 = 2 THEN chr(160) || ' ' || p.p_name || ' '
             ELSE p.p_name || chr(9) END AS product,
-       CASE WHEN (l.l_orderkey + l.l_linenumber) % 10 <= 5
+       CASE WHEN (l.l_orderkey + l.l_linenumber) % 10 <= 5 AND l.l_orderkey % 83 = 0
+              THEN translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,') || '7'
+            WHEN (l.l_orderkey + l.l_linenumber) % 10 <= 5
               THEN translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,')
             WHEN (l.l_orderkey + l.l_linenumber) % 10 = 6
               THEN replace(CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',')
             WHEN (l.l_orderkey + l.l_linenumber) % 10 = 7
-              THEN 'R$ ' || translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,')
+              THEN 'R$' || CASE WHEN l.l_orderkey % 2 = 0 THEN chr(160) ELSE ' ' END || translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,')
             WHEN (l.l_orderkey + l.l_linenumber) % 10 = 8
               THEN '-' || translate(format('{:,.2f}', CAST(l.l_extendedprice AS DECIMAL(18,2))), ',.', '.,')
             ELSE '0,00' END AS value_raw,
@@ -161,12 +183,17 @@ def strip_sql(c: str) -> str:
 def money_sql(c: str, currency: bool = False) -> str:
     s = strip_sql(c)
     if currency:
-        s = f"replace(replace({s}, 'R$', ''), ' ', '')"
+        s = strip_sql(f"replace(replace({s}, 'R$', ''), ' ', '')")
     s = f"replace(replace({s}, '.', ''), ',', '.')"
     return (f"COALESCE(CASE WHEN regexp_matches({s}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') "
             f"THEN TRY_CAST({s} AS DECIMAL(18,2)) END, CAST(0 AS DECIMAL(18,2)))")
 
 
+def store_sql(c: str) -> str:
+    """Rows with a store."""
+    return f"({c} IS NOT NULL AND {strip_sql(c)} <> '')"
+
+
 def date_sql(c: str) -> str:
     return f"CAST(TRY_STRPTIME({c}, '%d/%m/%Y') AS DATE)"
 
