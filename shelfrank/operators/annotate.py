@@ -16,7 +16,6 @@ top_n + bottom_n items, or one batch), so no group grows with the data.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,30 +44,20 @@ REPLY_FIELDS = T.StructType([
 
 # ----------------------------------------------------------------------------- prompts
 
-def item_lines(items: DataFrame, keys: list[str], order_col: str = "i") -> DataFrame:
-    """one text line per item, joined in list order per group."""
-    line = F.concat(F.lit("- "), F.col("product"), F.lit(": R$ "),
-                    F.format_string("%.2f", F.col("value").cast("double")),
-                    F.lit(" ("), F.col("kind"), F.lit(")"))
-    return items.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col), line.alias("l")))),
-                                 lambda s: s["l"]), "\n").alias("lines"),
-        F.count(F.lit(1)).alias("n_items"))
-
-
 def period_prompts(items: DataFrame, totals: DataFrame, keys: list[str],
                    granularity_col: str = "granularity") -> DataFrame:
-    """prompt per store-period (multi-granularity job). Our own template."""
-    lines = item_lines(items, keys)
-    j = lines.join(totals, keys, "inner")
+    """prompt per store-period (multi-granularity job). Our own template:
+    store, period and revenue in one sentence, then the items as JSON in list
+    order (F8), as in the other two prompts."""
+    js = items_json(items, keys, [("produto", F.col("product")), ("tipo", F.col("kind")),
+                                  ("valor", F.col("value").cast("double"))])
     prompt = F.concat(
-        F.lit("Store "), F.col("store_id"), F.lit(", period "), F.col("period"),
-        F.lit(" ("), F.col(granularity_col), F.lit(").\nItems:\n"), F.col("lines"),
-        F.lit("\nPeriod total: R$ "), F.format_string("%.2f", F.col("total").cast("double")),
-        F.lit("\nFor every item give a short diagnosis (at most 80 characters) and one practical "
-              "action (at most 60). Answer with a JSON array of objects with the keys "
+        F.lit("Sales review of one "), F.col(granularity_col), F.lit(" ("), F.col("period"),
+        F.lit(") in store "), F.col("store_id"), F.lit("; revenue of all its products: "),
+        brl_text(F.col("total")), F.lit(".\nITEMS_JSON: "), F.col("items_json"),
+        F.lit("\nAnswer with a JSON array, one short object for each item, with the keys "
               "produto, diagnostico, acao."))
-    return j.select(*keys, prompt.alias("prompt"))
+    return js.join(totals, keys, "inner").select(*keys, prompt.alias("prompt"))
 
 
 def items_json(items: DataFrame, keys: list[str], fields: list[tuple[str, Column]],
@@ -132,42 +121,68 @@ def abc_prompts(batched: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- the call
 
-def call_annotator(prompts: DataFrame, annotator: Callable[[str], str], keys: list[str]) -> DataFrame:
+#: Prompts are dealt over this many tasks for each core of the cluster.
+TASKS_PER_CORE = 4
+
+
+def call_annotator(prompts: DataFrame, annotator: Callable[[str], str], keys: list[str],
+                   tasks: int | None = None) -> DataFrame:
     """Apply ``annotator`` to every prompt in Arrow batches on the
-    executors. A failing call gives a null reply (status ``Erro na análise``).
+    executors. Output: keys, ``reply``, ``error``; a failing call gives a null
+    reply (status ``Erro na análise``) and the exception's class and text.
+
+    A prompt is small but its call is slow, so the prompts are dealt out by
+    number, not by size (which would let AQE put all of them in one task):
+    ``tasks`` tasks, each calling one prompt after the other. The calls that
+    run at once are at most the cluster's cores, or ``tasks`` where a service
+    allows fewer; default ``TASKS_PER_CORE`` tasks a core.
 
     Replies of a real model are not repeatable: persist the result (see
     :func:`shelfrank.session.persist_table`) before using it twice.
     """
-    schema = T.StructType([*prompts.select(*keys).schema.fields, T.StructField("reply", T.StringType())])
+    schema = T.StructType([*prompts.select(*keys).schema.fields, T.StructField("reply", T.StringType()),
+                           T.StructField("error", T.StringType())])
+    n = tasks or TASKS_PER_CORE * prompts.sparkSession.sparkContext.defaultParallelism
 
     def run(batches):
         for pdf in batches:
             out = pdf[keys].copy()
-            replies = []
+            replies, errors = [], []
             for p in pdf["prompt"]:
                 try:
                     replies.append(annotator(p))
-                except Exception:  # noqa: BLE001 — the reference logs and marks the items
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 — the items are marked, the class is reported
                     replies.append(None)
-            out["reply"] = replies
+                    errors.append(f"{type(e).__name__}: {e}"[:500])
+            out["reply"], out["error"] = replies, errors
             yield out
 
-    return prompts.select(*keys, "prompt").mapInPandas(run, schema)
+    return prompts.select(*keys, "prompt").repartition(n, *keys).mapInPandas(run, schema)
+
+
+def call_errors(replies: DataFrame) -> DataFrame:
+    """Calls, failed calls and the error classes met, for the job's report."""
+    kind = F.substring_index("error", ":", 1)
+    return replies.agg(F.count(F.lit(1)).alias("calls"), F.count("error").alias("failed"),
+                       F.array_sort(F.collect_set(kind)).alias("errors"))
 
 
 # ----------------------------------------------------------------------------- replies
 
 def repair_json(c) -> Column:
-    """strip code fences, drop trailing commas, keep the outermost [...]."""
-    s = F.trim(F.col(c) if isinstance(c, str) else c)
-    s = F.regexp_replace(s, r"^```json\s*", "")
-    s = F.regexp_replace(s, r"^```\s*", "")
-    s = F.regexp_replace(s, r"\s*```$", "")
-    s = F.regexp_replace(s, r",\s*]", "]")
-    s = F.regexp_replace(s, r",\s*}", "}")
-    arr = F.regexp_extract(s, r"\[[\s\S]*\]", 0)
-    return F.trim(F.when(arr != "", arr).otherwise(s))
+    """the JSON list in a model's reply, made parsable.
+
+    What stands before the first ``[`` or after the last ``]`` (fences, chat)
+    is cut off. Then one pass over the rest takes string literals as they are
+    and removes each comma that only white space parts from a closing bracket.
+    A reply without a list is returned trimmed.
+    """
+    s = F.col(c) if isinstance(c, str) else c
+    first, last = F.instr(s, "["), F.length(s) - F.instr(F.reverse(s), "]") + 1
+    listed = F.when((first > 0) & (first < last) & (last <= F.length(s)), F.substring(s, first, last - first + 1))
+    literal_or_comma = r'("(?:[^"\\]|\\.)*+")|,(?=\s*[\]}])'
+    return F.regexp_replace(F.trim(F.coalesce(listed, s)), literal_or_comma, "$1")
 
 
 def parse_replies(replies: DataFrame, keys: list[str]) -> DataFrame:
@@ -250,23 +265,18 @@ def list_order(ranking: DataFrame, keys: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------------------------- stub model
 
-_LINE = re.compile(r"^- (.+): R\$ [0-9.]+ \((\w+)\)$")
-
-
 def stub_annotator(prompt: str) -> str:
     """Deterministic stand-in for a model, for tests and the registered queries.
 
-    Items come from the prompt (``- name: R$ v (KIND)`` lines or an
-    ``ITEMS_JSON:`` array). The reply is fenced, has a trailing comma and a
-    number element, omits ``acao`` on every third item, and repeats the first
-    product at the end (so "last wins" is exercised).
+    Items come from the prompt's ``ITEMS_JSON:`` array. The reply stands in
+    chat or a fence (by the number of items), has a number element, commas
+    before closing brackets, also inside a string (where they must stay),
+    omits ``acao`` on every third item, and repeats the first product at the
+    end (so "last wins" is exercised).
     """
     items = []
     for ln in prompt.splitlines():
-        m = _LINE.match(ln)
-        if m:
-            items.append({"produto": m.group(1), "kind": m.group(2)})
-        elif ln.startswith("ITEMS_JSON: "):
+        if ln.startswith("ITEMS_JSON: "):
             for it in json.loads(ln[len("ITEMS_JSON: "):]):
                 items.append({"produto": it["produto"],
                               "kind": it.get("tipo") or it.get("classe") or ""})
@@ -283,6 +293,8 @@ def stub_annotator(prompt: str) -> str:
                 o["acao"] = "manter"
             out.append(o)
     if items and not abc:
-        out.append({"produto": items[0]["produto"], "diagnostico": "revisado", "acao": "rever"})
-    body = ", ".join(json.dumps(o, ensure_ascii=False) for o in out)
+        out.append({"produto": items[0]["produto"], "diagnostico": "revisado [a, ]", "acao": "rever"})
+    body = ", ".join(json.dumps(o, ensure_ascii=False)[:-1] + " , }" for o in out)
+    if len(items) % 2:
+        return "Here is the list:\n[7, " + body + ",\n]\nAnything else?"
     return "```json\n[7, " + body + ",\n]\n```"

@@ -3,6 +3,7 @@
 import json
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfrank.operators import annotate as A
@@ -51,7 +52,7 @@ def test_stub_annotator_periods(spark):
     totals = items.groupBy(*keys).agg(F.sum("value").alias("total"))
     out = {r.product: (r.diagnosis, r.action) for r in
            A.annotate_periods(items, totals, A.stub_annotator, keys).collect()}
-    assert out["X"] == ("revisado", "rever")  # first product repeated at the end: last wins
+    assert out["X"] == ("revisado [a, ]", "rever")  # first product repeated at the end: last wins
     assert out["Y"] == ("BOTTOM #2", "manter")
     none = {r.product: r.diagnosis for r in A.annotate_periods(items, totals, None, keys).collect()}
     assert set(none.values()) == {A.NO_MODEL}
@@ -99,12 +100,59 @@ def test_cache_json_round_trip(spark, tmp_dir):
     assert cache.read_json(spark, f"{tmp_dir}/missing").count() == 0
 
 
-def test_cache_json_lines_are_bounded(spark, tmp_dir):
-    # one store with 5,000 entries is split into lines of about chunk_size entries
+def test_cache_json_lines_hold_one_entry(spark, tmp_dir):
     big = spark.range(5000).select(F.lit("7").alias("store_id"), F.concat(F.lit("P"), F.col("id").cast("string"))
                                    .alias("product"), F.lit("C").alias("abc_class"), F.lit("t").alias("analysis"))
-    lines = cache.to_json_lines(big, chunk_size=500).collect()
-    sizes = [len(json.loads(r.value)["7"]) for r in lines]
-    assert sum(sizes) == 5000 and len(sizes) == 10 and max(sizes) < 650
+    lines = cache.to_json_lines(big).collect()
+    assert len(lines) == 5000 and all(len(json.loads(r.value)["7"]) == 1 for r in lines)
     cache.write_json(big, f"{tmp_dir}/big")
     assert cache.read_json(spark, f"{tmp_dir}/big").count() == 5000
+
+
+def test_cache_is_replaced_in_place(spark, tmp_dir):
+    path = f"{tmp_dir}/cache"
+    old = spark.createDataFrame([("1", "A", "A", "t1"), ("1", "B", "C", "t2")], cache.CACHE_SCHEMA)
+    cache.write_json(old, path)
+    read = cache.read_json(spark, path)
+    new = spark.createDataFrame([("1", "B", "C", "t3"), ("2", "A", "B", "t4")], cache.CACHE_SCHEMA)
+    cache.write_json(cache.upsert(read, new), path)  # reads the path that it replaces
+    assert sorted(tuple(r) for r in cache.read_json(spark, path).collect()) == [
+        ("1", "A", "A", "t1"), ("1", "B", "C", "t3"), ("2", "A", "B", "t4")]
+    import os
+    assert os.listdir(tmp_dir) == ["cache"]
+
+
+def test_repeated_cache_keys_give_one_hit(spark):
+    items = spark.createDataFrame([("1", "A", "A", 1, Decimal(10))], ITEMS)
+    old = spark.createDataFrame([("1", "A", "A", "x"), ("1", "A", "A", "y"), ("1", "A", "A", "")], cache.CACHE_SCHEMA)
+    assert [r.analysis for r in cache.hits(items, old).collect()] == ["y"]
+    assert cache.upsert(old, old.limit(0)).count() == 1
+
+
+def test_only_a_missing_cache_is_empty(spark, tmp_dir):
+    assert cache.read_json(spark, f"{tmp_dir}/missing").count() == 0
+    with pytest.raises(Exception, match="nosuchscheme"):
+        cache.read_json(spark, "nosuchscheme://x/y").count()
+
+
+def test_prompts_are_dealt_over_tasks_and_errors_reported(spark):
+    prompts = spark.range(65).select(F.col("id"), F.col("id").cast("string").alias("prompt"))
+
+    def model(p):
+        from pyspark import TaskContext
+        if p == "7":
+            raise TimeoutError("slow")
+        return str(TaskContext.get().partitionId())
+
+    replies = A.call_annotator(prompts, model, ["id"])
+    rows = replies.collect()
+    assert len(rows) == 65 and len({r.reply for r in rows}) > 8
+    assert [r.error for r in rows if r.id == 7] == ["TimeoutError: slow"]
+    assert tuple(A.call_errors(replies).first()) == (65, 1, ["TimeoutError"])
+
+
+def test_repair_json_leaves_strings_alone(spark):
+    cases = ['x [ {"a": "1, ]", } , ] y', '```json\n[1, 2,\n]\n```', '{"a": 1}', '["q\\", ]", ]', "junk", "[", "] [", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, reply string")
+    got = {r.i: r.x for r in df.select("i", A.repair_json("reply").alias("x")).collect()}
+    assert got == {0: '[ {"a": "1, ]" }  ]', 1: "[1, 2\n]", 2: '{"a": 1}', 3: '["q\\", ]" ]', 4: "junk", 5: "[", 6: "] [", 7: None}
