@@ -7,7 +7,10 @@ joins on the three keys, so they shuffle on the keys like any equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +22,14 @@ KEYS = ["store_id", "product", "abc_class"]
 CACHE_SCHEMA = "store_id string, product string, abc_class string, analysis string"
 
 
+def unique(cache: DataFrame) -> DataFrame:
+    """One entry for each key. Of several texts the greatest counts (so a text
+    wins over an empty or missing one), whatever order they were read in."""
+    return cache.groupBy(*KEYS).agg(F.max("analysis").alias("analysis"))
+
+
 def _usable(cache: DataFrame) -> DataFrame:
-    return cache.filter(F.col("analysis").isNotNull() & (F.col("analysis") != ""))
+    return unique(cache.filter(F.col("analysis").isNotNull() & (F.col("analysis") != "")))
 
 
 def hits(items: DataFrame, cache: DataFrame) -> DataFrame:
@@ -62,8 +71,10 @@ def annotate_abc(items: DataFrame, cache: DataFrame, annotator, params: Params =
 
 
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """New entries overwrite entries with the same key; others are kept."""
-    return cache.join(new.select(*KEYS), KEYS, "left_anti").unionByName(new.select(*KEYS, "analysis"))
+    """New entries overwrite entries with the same key; others are kept.
+    Repeated keys become one entry (``unique``)."""
+    new = unique(new)
+    return unique(cache).join(new.select(*KEYS), KEYS, "left_anti").unionByName(new)
 
 
 def stats(cache: DataFrame) -> DataFrame:
@@ -77,42 +88,72 @@ def hit_miss_by_store(items_out: DataFrame) -> DataFrame:
                                              F.count_if(~F.col("from_cache")).alias("misses"))
 
 
+def run_stats(items_out: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """A18 of one run: per store of the run its hits and misses, beside the
+    entries before and after and the stores after. The totals are windows over
+    the per-store counts (a dimension), not joins on a constant."""
+    zero = F.lit(0).cast("bigint")
+    runs = hit_miss_by_store(items_out).select("store_id", "hits", "misses", zero.alias("b"), zero.alias("a"))
+    olds = before.groupBy("store_id").agg(F.count(F.lit(1)).alias("b")).select(
+        "store_id", zero.alias("hits"), zero.alias("misses"), "b", zero.alias("a"))
+    news = after.groupBy("store_id").agg(F.count(F.lit(1)).alias("a")).select(
+        "store_id", zero.alias("hits"), zero.alias("misses"), zero.alias("b"), "a")
+    per_store = runs.unionByName(olds).unionByName(news).groupBy("store_id").agg(
+        *[F.sum(c).alias(c) for c in ("hits", "misses", "b", "a")])
+    every = Window.partitionBy()
+    return per_store.select(
+        "store_id", "hits", "misses", F.sum("b").over(every).alias("entries_before"),
+        F.sum("a").over(every).alias("entries_after"),
+        F.count(F.when(F.col("a") > 0, 1)).over(every).alias("stores_after"),
+    ).where("hits + misses > 0")
+
+
 # ----------------------------------------------------------------------------- JSON form
 
-def to_json_lines(cache: DataFrame, chunk_size: int = 1000) -> DataFrame:
-    """F12 + K6: ``{"store": {"product|class": text}}`` objects, one per
-    (store, chunk of about ``chunk_size`` entries), so no line or group
-    holds a whole store; readers merge. A store's chunk count comes from its
-    entry count (a per-store partial aggregate); entries are spread over the
-    chunks by a hash of their key."""
+def to_json_lines(cache: DataFrame) -> DataFrame:
+    """F12 + K6: ``{"store": {"product|class": text}}`` objects, one line per
+    entry, so no line or task holds a store; readers merge the objects."""
     key = F.concat_ws("|", "product", "abc_class")
-    chunks = cache.groupBy("store_id").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(chunk_size))).alias("_chunks"))
-    g = (cache.join(chunks, "store_id")
-         .withColumn("_chunk", F.pmod(F.xxhash64("product", "abc_class"), F.col("_chunks")))
-         .groupBy("store_id", "_chunk")
-         .agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("analysis")))).alias("m")))
-    return g.select(F.to_json(F.create_map(F.col("store_id"), F.col("m"))).alias("value"))
+    return cache.select(F.to_json(F.create_map(F.col("store_id"), F.create_map(key, F.col("analysis")))).alias("value"))
 
 
 def write_json(cache: DataFrame, path: str) -> None:
-    """K6: write to a new path (the old cache stays readable until swapped)."""
-    to_json_lines(cache).write.mode("overwrite").text(path)
+    """K6: write the cache to ``path``, also when the cache reads from there.
+
+    The new files go to a folder beside it, which takes the old one's place only
+    when they are complete; a job that fails before leaves the old cache as it
+    was. Frames that read the old files must not be used afterwards.
+    """
+    spark = cache.sparkSession
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
+    to_json_lines(cache).write.text(fresh)
+    jvm = spark._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    past = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}")
+    if fs.exists(old) and not fs.rename(old, past):
+        raise OSError(f"cannot move {path} aside; the new cache is in {fresh}")
+    if not fs.rename(new, old):
+        raise OSError(f"cannot move the new cache from {fresh} to {path}; the old one is in {past}")
+    fs.delete(past, True)
 
 
 def read_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Read cache objects (JSON lines, or one object per file with
-    ``whole_file``); an absent path or corrupt text gives no rows."""
+    ``whole_file``) with one entry per key; an absent path or corrupt text gives
+    no rows. Any other failure to read is raised."""
     schema = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
     try:
         txt = spark.read.text(path, wholetext=whole_file)
-    except Exception:  # noqa: BLE001 — missing cache = empty cache, as the reference
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
     m = txt.select(F.from_json("value", schema).alias("m"))
     s = m.select(F.explode("m").alias("store_id", "entries"))
     e = s.select("store_id", F.explode("entries").alias("k", "analysis"))
-    return e.select(
+    return unique(e.select(
         "store_id",
-        F.regexp_extract("k", r"^(.*)\|([^|]*)$", 1).alias("product"),
-        F.regexp_extract("k", r"^(.*)\|([^|]*)$", 2).alias("abc_class"),
-        "analysis")
+        F.regexp_extract("k", r"(?s)^(.*)\|([^|]*)$", 1).alias("product"),
+        F.regexp_extract("k", r"(?s)^(.*)\|([^|]*)$", 2).alias("abc_class"),
+        "analysis"))

@@ -1,20 +1,19 @@
-"""Nested result documents (A19, A20, P19), sinks (K1–K5), output check (K7)
-and reload of written documents (S7, U4).
-
-Documents are JSON lines. Each line covers a bounded group — one store's
-ABC items in chunks of ``chunk_size``, one store-month (<= 20 items), one
-store-period (<= 20 items) — so no single record or task grows with the
-data; a reader groups lines by store when it wants the reference's
-one-object-per-store shape.
+"""Result documents (A19, A20, P19), sinks (K1–K5), output check (K7) and reload
+of written documents (S7, U4).
+
+Documents are JSON lines whose shape does not depend on any size: one line per
+ABC item, per store-month (<= 20 items), and per store of a granularity (its
+periods, bounded by the calendar, <= 20 items each). The readers give the flat
+rows back, and from those the reference's one object per store.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfrank.functions.clean import store_number
+from shelfrank.operators.prefix import running_totals
 
 
 def _sorted_items(order_col: str, item) -> F.Column:
@@ -25,27 +24,46 @@ def _sorted_items(order_col: str, item) -> F.Column:
         lambda s: s["r"])
 
 
-def abc_documents(classified: DataFrame, chunk_size: int = 1000) -> DataFrame:
-    """A19 + P19: ``{id_loja, store_id, chunk, itens: [{produto, valor_total,
-    classe, historico, analise_ia}]}`` in rank order, ``chunk_size`` items per line.
+def abc_documents(classified: DataFrame) -> DataFrame:
+    """A19 + P19: one line per item, ``{id_loja, store_id, pos, item: {produto,
+    valor_total, classe, historico, analise_ia}}``; ``pos`` counts the store's
+    items from 0: those from the cache first, then the others (U3), by rank.
 
     ``classified`` has store_id, product, value, rank, abc_class and
-    optionally history (map) and analysis.
+    optionally history (map), analysis and from_cache. The position is an exact
+    running count over range slices, so a store's catalogue is not one task.
     """
     cols = classified.columns
+    fresh = F.when(F.col("from_cache"), 0).otherwise(1) if "from_cache" in cols else F.lit(0)
+    narrow = classified.select("store_id", "product", "rank", fresh.alias("_fresh"), F.lit(1).alias("_one"))
+    placed = running_totals(narrow, ["store_id"], [F.col("_fresh").asc(), F.col("rank").asc(), F.col("product").asc()],
+                            "_one", cum_col="_pos", rank_col="_r", total_col="_n")
+    placed = placed.select("store_id", "product", (F.col("_pos") - 1).cast("int").alias("pos"))
     item = F.struct(
         F.col("product").alias("produto"),
         F.col("value").cast("double").alias("valor_total"),
         F.col("abc_class").alias("classe"),
         (F.col("history") if "history" in cols else F.lit(None).cast("map<string,decimal(28,2)>"))
-        .alias("historico"),
+        .cast("map<string,double>").alias("historico"),
         (F.col("analysis") if "analysis" in cols else F.lit(None).cast("string")).alias("analise_ia"),
     )
-    chunk = F.floor((F.col("rank") - 1) / chunk_size).cast("int")
-    return (classified.withColumn("chunk", chunk)
-            .groupBy("store_id", "chunk")
-            .agg(_sorted_items("rank", item).alias("itens"))
-            .select(store_number("store_id").alias("id_loja"), "store_id", "chunk", "itens"))
+    return classified.join(placed, ["store_id", "product"]).select(
+        store_number("store_id").alias("id_loja"), "store_id", "pos", item.alias("item"))
+
+
+ABC_LINE = ("id_loja int, store_id string, pos int, item struct<produto:string,valor_total:double,classe:string,"
+            "historico:map<string,double>,analise_ia:string>")
+
+
+def read_abc_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Written ABC lines, as ``abc_documents`` gives them."""
+    return spark.read.schema(ABC_LINE).json(path)
+
+
+def nest_abc(lines: DataFrame) -> DataFrame:
+    """K1's form: one object per store with its items in order. A store's
+    catalogue becomes one value, so this is for consumers of single stores."""
+    return lines.groupBy("id_loja", "store_id").agg(_sorted_items("pos", F.col("item")).alias("itens"))
 
 
 def monthly_documents(annotated: DataFrame) -> DataFrame:
@@ -65,68 +83,89 @@ def monthly_documents(annotated: DataFrame) -> DataFrame:
                     F.col("month").alias("mes"), "total_mensal", "itens"))
 
 
-PERIOD_DOC_SCHEMA = T.StructType([
-    T.StructField("granularidade", T.StringType()),
-    T.StructField("id_loja", T.IntegerType()),
-    T.StructField("store_id", T.StringType()),
-    T.StructField("periodo", T.StringType()),
-    T.StructField("total", T.DoubleType()),
-    T.StructField("itens", T.ArrayType(T.StructType([
-        T.StructField("produto", T.StringType()),
-        T.StructField("valor", T.DoubleType()),
-        T.StructField("tipo", T.StringType()),
-        T.StructField("analise_ia", T.StructType([
-            T.StructField("diagnostico", T.StringType()),
-            T.StructField("acao", T.StringType())])),
-    ]))),
-])
+MONTH_LINE = ("id_loja int, store_id string, mes string, total_mensal double, itens array<struct<produto:string,"
+              "tipo:string,venda_este_mes:double,analise_ia:struct<diagnostico:string,acao:string>>>")
+
+
+def read_month_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Written monthly lines; ``store_id`` comes from the folder (K3) where it
+    is not in the line."""
+    return spark.read.schema(MONTH_LINE).json(path)
+
+
+PERIOD_ITEM = "struct<produto:string,valor:double,tipo:string,analise_ia:struct<diagnostico:string,acao:string>>"
+PERIOD_LINE = ("granularidade string, gerado_em string, dados_lojas array<struct<id_loja:int,store_id:string,"
+               f"analises:map<string,struct<total:double,itens:array<{PERIOD_ITEM}>>>>>")
 
 
 def period_documents(annotated: DataFrame, totals: DataFrame) -> DataFrame:
-    """A20 for the multi-granularity job: one line per (granularity, store,
-    period) with the period total over all products and the listed items."""
+    """A20 for the multi-granularity job, in the form of the result file:
+    ``{granularidade, gerado_em, dados_lojas: [{id_loja, store_id, analises:
+    {periodo: {total, itens}}}]}``, one line per store of a granularity. The
+    periods of a store are bounded by the calendar, the items by the ranking."""
     keys = ["granularity", "store_id", "period"]
     item = F.struct(
         F.col("product").alias("produto"), F.col("value").cast("double").alias("valor"),
         F.col("kind").alias("tipo"),
         F.struct(F.col("diagnosis").alias("diagnostico"), F.col("action").alias("acao")).alias("analise_ia"))
-    docs = annotated.groupBy(*keys).agg(_sorted_items("i", item).alias("itens"))
-    return docs.join(totals, keys).select(
-        F.col("granularity").alias("granularidade"), store_number("store_id").alias("id_loja"),
-        "store_id", F.col("period").alias("periodo"), F.col("total").cast("double").alias("total"), "itens")
-
-
-def index_document(sales: DataFrame, files: list[str]) -> DataFrame:
-    """K5 + T3: written files, stores in string order, first/last day, time.
-
-    The store list is one entry per store (a dimension), not per row."""
-    return sales.agg(
-        F.sort_array(F.collect_set("store_id")).alias("lojas"),
-        F.struct(F.date_format(F.min("d"), "yyyy-MM-dd").alias("inicio"),
-                 F.date_format(F.max("d"), "yyyy-MM-dd").alias("fim")).alias("periodo_dados"),
-    ).select(F.current_timestamp().cast("string").alias("gerado_em"),
-             F.array(*[F.lit(f) for f in files]).alias("arquivos"), "lojas", "periodo_dados")
+    docs = annotated.groupBy(*keys).agg(_sorted_items("i", item).alias("itens")).join(totals, keys)
+    entry = F.struct("period", F.struct(F.col("total").cast("double").alias("total"), "itens"))
+    stores = docs.groupBy("granularity", "store_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["period"] < b["period"], -1)
+                                        .when(a["period"] > b["period"], 1).otherwise(0))).alias("analises"))
+    return stores.select(
+        F.col("granularity").alias("granularidade"), F.current_timestamp().cast("string").alias("gerado_em"),
+        F.array(F.struct(store_number("store_id").alias("id_loja"), "store_id", "analises")).alias("dados_lojas"))
+
+
+def index_document(mart: DataFrame, written: DataFrame) -> DataFrame:
+    """K5 + T3: folders written, stores in string order, first/last day, time.
+
+    ``mart``: the multi-granularity mart with its day rows; ``written``: one
+    ``path`` per file written, below the output folder. Stores and folders are
+    dimensions: one entry each, not per row."""
+    none = F.lit(None).cast("string")
+    rows = mart.where("granularity = 'day'").select("store_id", "period", none.alias("folder")).unionByName(
+        written.select(none.alias("store_id"), none.alias("period"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")))
+    return rows.agg(
+        F.sort_array(F.collect_set("folder")).alias("arquivos"), F.sort_array(F.collect_set("store_id")).alias("lojas"),
+        F.struct(F.min("period").alias("inicio"), F.max("period").alias("fim")).alias("periodo_dados"),
+    ).select(F.current_timestamp().cast("string").alias("gerado_em"), "*")
 
 
 # ----------------------------------------------------------------------------- sinks
 
 def write_documents(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     """K1–K4: JSON lines; ``partition_by='store_id'`` gives one folder per store
-    (K3), ``'granularidade'`` one per granularity (K4)."""
-    w = df.write.mode("overwrite")
+    (K3), ``'granularidade'`` one per granularity (K4). Rows are first
+    rebalanced by folder: a small folder is one file, a large one is split."""
+    w = df.write
     if partition_by:
-        w = w.partitionBy(partition_by)
-    w.json(path)
+        w = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+    w.mode("overwrite").json(path)
     return path
 
 
-def read_period_documents(spark: SparkSession, path: str) -> DataFrame:
+def written_files(spark: SparkSession, out_dir: str, path: str) -> DataFrame:
+    """``path`` of each file written below ``path``, relative to ``out_dir``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
+        .option("pathGlobFilter", "part-*").load(path).select("path")
+    return files.select(F.substring_index("path", out_dir.rstrip("/").split("://")[-1] + "/", -1).alias("path"))
+
+
+def read_period_documents(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """S7 + U4: read period documents back (all granularity folders are
-    unioned by the reader) and flatten to one row per item."""
-    docs = spark.read.schema(PERIOD_DOC_SCHEMA).json(path)
-    return docs.select("granularidade", "store_id", "periodo", "total",
-                       F.posexplode("itens").alias("pos", "item")) \
-               .select("granularidade", "store_id", "periodo", "total", "pos", "item.*")
+    unioned by the reader; ``whole_file`` for a file that is one object) and
+    flatten to one row per item: granularidade, store_id, periodo, total, pos,
+    produto, valor, tipo, analise_ia."""
+    docs = spark.read.schema(PERIOD_LINE).option("multiLine", whole_file).json(path)
+    stores = docs.select("granularidade", "gerado_em", F.explode("dados_lojas").alias("loja"))
+    periods = stores.select("granularidade", "gerado_em", "loja.id_loja",
+                            F.coalesce("loja.store_id", F.col("loja.id_loja").cast("string")).alias("store_id"),
+                            F.explode("loja.analises").alias("periodo", "doc"))
+    return periods.select("granularidade", "gerado_em", "id_loja", "store_id", "periodo", "doc.total",
+                          F.posexplode("doc.itens").alias("pos", "item")) \
+                  .select("granularidade", "gerado_em", "id_loja", "store_id", "periodo", "total", "pos", "item.*")
 
 
 def output_check(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -135,12 +174,13 @@ def output_check(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     for name, p in paths.items():
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
             .option("pathGlobFilter", "part-*").load(p) \
-            .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+            .select(F.lit(1).alias("files"), F.col("length").alias("bytes"), F.lit(0).alias("records"), F.lit(0).alias("corrupt"))
         # each line must be one JSON object; json_object_keys is null otherwise
-        lines = spark.read.option("recursiveFileLookup", True).text(p)
-        recs = lines.agg(F.count(F.lit(1)).alias("records"),
-                         F.count_if(F.json_object_keys("value").isNull()).alias("corrupt"))
-        one = files.withColumn("_k", F.lit(1)).join(recs.withColumn("_k", F.lit(1)), "_k").drop("_k") \
-                   .select(F.lit(name).alias("output"), "*")
+        lines = spark.read.option("recursiveFileLookup", True).text(p).select(
+            F.lit(0).alias("files"), F.lit(0).cast("bigint").alias("bytes"), F.lit(1).alias("records"),
+            F.json_object_keys("value").isNull().cast("int").alias("corrupt"))
+        one = files.unionByName(lines).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+                                             for c in ("files", "bytes", "records", "corrupt")]) \
+            .select(F.lit(name).alias("output"), "*")
         out = one if out is None else out.unionByName(one)
     return out

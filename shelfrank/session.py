@@ -28,24 +28,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20,
+               shuffled_share: float = 0.25) -> dict[str, str]:
     """Runtime SQL settings for a cluster run over ``input_bytes`` of fact data
     on ``cores`` executor cores (pass them to the session builder or
     ``spark.conf.set``).
 
     * scan splits of ``partition_bytes`` (256 MiB: about 400k tasks for 100 TB);
-    * shuffle partitions: one per GiB of input, kept between 3 and 20 waves
-      of the cores (100 TB on 4,000 cores: 80,000). Every shuffle here carries
-      map-side partial aggregates, a fraction of the input, so a reducer gets
-      far less than a GiB; AQE coalesces small stages to the advisory size and
-      splits skewed join partitions;
+    * shuffle partitions: one per 256 MiB of the bytes that the largest shuffle
+      moves, ``shuffled_share`` of the input, and three waves of the cores at
+      least. Aggregates send partial sums, far less; but the joins of the fact
+      with dimensions too large to broadcast send its needed columns, about a
+      quarter of it. AQE coalesces small stages to the advisory size and splits
+      skewed join partitions;
     * broadcast joins only below 64 MiB: of our joins only fixed dimensions
       (months, store names, one-row totals) are hinted.
 
     Set at start-up as well: ``spark.checkpoint.dir`` (shared storage) and
     ``spark.cleaner.referenceTracking.cleanCheckpoints=true``.
     """
-    shuffle = min(20 * cores, max(3 * cores, -(-input_bytes // (1 << 30))))
+    shuffle = max(3 * cores, int(-(-input_bytes * shuffled_share // (256 << 20))))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),
@@ -92,7 +94,21 @@ def persist_table(df, spark: SparkSession, name: str):
     """
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``scratch_path`` named."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_table(df) -> None:
+    """Deletes the files of a ``persist_table`` result; nothing may read it (or
+    a frame built on it) afterwards."""
+    drop_path(df.sparkSession, df._scratch_path)
 
 
 def materialize(df):
