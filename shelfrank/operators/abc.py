@@ -37,9 +37,15 @@ def classify(totals: DataFrame, group_cols=("store_id",), params: Params = DEFAU
     is not > 0 get no rows (A8 guard). Output adds rank, cum_value,
     group_total, share_pct, cum_pct, abc_class.
     """
+    keys = [*group_cols, "product"]
+    narrow = [*keys, "value", *([total_col] if total_col else [])]
+    wide = [c for c in totals.columns if c not in narrow]
     order = [F.col("value").desc(), F.col("product").asc()]
-    ranked = running_totals(totals, list(group_cols), order, "value",
+    ranked = running_totals(totals.select(*narrow), list(group_cols), order, "value",
                             total_col="_own_total")
+    if wide:
+        # wide columns (the month history) are not sliced and written with the rows
+        ranked = ranked.join(totals.select(*keys, *wide), keys)
     denom = F.col(total_col) if total_col else F.col("_own_total")
     return (
         ranked.withColumn("group_total", denom)
@@ -76,12 +82,12 @@ def merge_selection(items: DataFrame, keys=("store_id", "period"), order_col: st
     diagnosis/action. With ``dedupe`` a product listed in both TOP and BOTTOM
     counts once; ``dedupe=False`` adds its value twice, as the dashboard does
     (D7). Kind is the first entry's; ``insights`` keeps list order and skips
-    entries without a diagnosis or with the "no model" text (F17).
+    entries with no or an empty diagnosis or the "no model" text (F17).
     """
     g = [*keys, "product"]
     value = F.max("value") if dedupe else F.sum("value")
     insight = F.when(
-        F.col("diagnosis").isNotNull() & (F.col("diagnosis") != F.lit(NO_MODEL)),
+        F.col("diagnosis").isNotNull() & ~F.col("diagnosis").isin("", NO_MODEL),
         F.struct(F.col(order_col).alias("_o"), F.col("diagnosis").alias("text"), F.col("action")),
     )
     by_pos = F.array_sort(F.collect_list(insight), lambda a, b: F.when(a["_o"] < b["_o"], -1)
@@ -116,6 +122,26 @@ def selection_abc(merged: DataFrame, totals: DataFrame, keys=("store_id", "perio
     return ranked.withColumn("abc_class", cls)
 
 
+def kind_lists(df: DataFrame, keys=("store_id", "period"), n: int = 10) -> DataFrame:
+    """The first ``n`` products of the TOP and of the BOTTOM list of each
+    selection, both in descending value order, with ``pos``."""
+    w = Window.partitionBy(*keys, "kind").orderBy(F.col("value").desc(), F.col("product").asc())
+    return df.withColumn("pos", F.row_number().over(w).cast("int")).filter(F.col("pos") <= n)
+
+
+def selection_summary(df: DataFrame, keys=("store_id", "period")) -> DataFrame:
+    """A17 + A14 on a classified selection: products, products with an insight,
+    insights, products per class, the integer share of class A (F19) and the
+    period total."""
+    a_value = F.coalesce(F.sum(F.when(F.col("abc_class") == "A", F.col("value"))).cast("double"), F.lit(0.0))
+    counts = [F.count_if(F.col("abc_class") == c).alias(f"n_{c.lower()}") for c in "ABC"]
+    g = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_products"), F.count_if(F.size("insights") > 0).alias("n_with_insight"),
+        F.sum(F.size("insights")).cast("bigint").alias("n_insights"), *counts,
+        a_value.alias("_a"), F.min("period_total").cast("double").alias("total"))
+    return g.withColumn("share_a", F.floor(F.col("_a") / F.col("total") * F.lit(100.0) + F.lit(0.5)).cast("int")).drop("_a")
+
+
 def best_worst(df: DataFrame, group_cols, n: int = 10) -> DataFrame:
     """Best n and worst n of each group (worst = positive values,
     lowest first). Two window top-k branches, each with a group limit."""

@@ -7,10 +7,10 @@ partial sum per (store, key) and map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.functions.periods import GRANULARITIES, month_key, period_key, week_key
+from shelfrank.functions.periods import GRANULARITIES, month_key, period_key
 
 
 def _sum(df: DataFrame, keys: list[str], out: str = "value") -> DataFrame:
@@ -69,50 +69,51 @@ def product_history(month_sales: DataFrame) -> DataFrame:
     )
 
 
+def _first_day(d: Column, granularity: str) -> Column:
+    """First day of the period: a date that tells periods apart. A %W week is
+    fixed by its Monday and the calendar year, so it starts on 1 January when
+    its Monday lies in the year before."""
+    if granularity == "day":
+        return d
+    if granularity == "week":
+        return F.greatest(F.date_sub(d, F.weekday(d)), F.trunc(d, "year"))
+    if granularity == "month":
+        return F.trunc(d, "month")
+    raise ValueError(f"unknown granularity {granularity!r}")
+
+
+def _period(first_day: str, granularity: str) -> Column:
+    """The text key, never null (``NaT`` without a date): a join on a nullable
+    key would make Spark filter each branch of a mart below its aggregate, and
+    branches with different filters cannot share one scan of the fact."""
+    return F.coalesce(period_key(first_day, granularity), F.lit("NaT"))
+
+
 def period_mart(sales: DataFrame, granularity: str, date_col: str = "d") -> DataFrame:
     """A3/A4: store × period × product for one granularity (P17: ``period``).
 
-    Groups on date keys — the day, (year, Monday) for %W weeks, or the
-    month's first day — and formats the text key after the aggregate.
+    Groups on the period's first day and formats the text key after the
+    aggregate.
     """
-    d = F.col(date_col)
-    if granularity == "week":
-        # a %W week is fixed by the calendar year and the Monday that starts it
-        keyed = sales.withColumn("_y", F.year(d)).withColumn("_k", F.date_sub(d, F.weekday(d)))
-        agg = _sum(keyed, ["store_id", "_y", "_k", "product"])
-        first_day = F.greatest(F.col("_k"), F.make_date(F.col("_y"), F.lit(1), F.lit(1)))
-        return agg.select("store_id", week_key(first_day).alias("period"), "product", "value")
-    trunc = d if granularity == "day" else F.trunc(d, "month")
-    agg = _sum(sales.withColumn("_k", trunc), ["store_id", "_k", "product"])
-    return agg.select("store_id", period_key("_k", granularity).alias("period"), "product", "value")
+    agg = _sum(sales.withColumn("_k", _first_day(F.col(date_col), granularity)), ["store_id", "_k", "product"])
+    return agg.select("store_id", _period("_k", granularity).alias("period"), "product", "value")
 
 
 def multi_granularity_mart(sales: DataFrame, granularities=GRANULARITIES,
                            date_col: str = "d", item_cols=("product",)) -> DataFrame:
     """A4 + P18: day mart aggregated once; week and month are re-aggregated
-    from it, not from the fact. Output: granularity, store_id, period,
-    *item_cols, value. ``item_cols=()`` gives store-period totals (A7/A16)
-    without the product dimension: far fewer groups to shuffle than summing
-    the product-level mart.
+    from it, not from the fact, on date keys that are formatted afterwards.
+    Output: granularity, store_id, period, *item_cols, value. ``item_cols=()``
+    gives store-period totals (A7/A16) without the product dimension: far
+    fewer groups to shuffle than summing the product-level mart.
     """
     items = list(item_cols)
-    day = _sum(sales.withColumn("day", F.col(date_col)), ["store_id", "day", *items])
-    parts = []
+    day = _sum(sales.withColumn("_k", F.col(date_col)), ["store_id", "_k", *items])
+    out = None
     for g in granularities:
-        if g == "day":
-            p = day.select(F.lit("day").alias("granularity"), "store_id",
-                           F.date_format("day", "yyyy-MM-dd").alias("period"), *items, "value")
-        elif g in ("week", "month"):
-            key = week_key("day") if g == "week" else month_key("day")
-            p = (day.withColumn("period", key)
-                 .groupBy("store_id", "period", *items).agg(F.sum("value").alias("value"))
-                 .select(F.lit(g).alias("granularity"), "store_id", "period", *items, "value"))
-        else:
-            raise ValueError(f"unknown granularity {g!r}")
-        parts.append(p)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        p = day if g == "day" else _sum(day.withColumn("_k", _first_day(F.col("_k"), g)), ["store_id", "_k", *items])
+        p = p.select(F.lit(g).alias("granularity"), "store_id", _period("_k", g).alias("period"), *items, "value")
+        out = p if out is None else out.unionByName(p)
     return out
 
 

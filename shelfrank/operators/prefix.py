@@ -12,7 +12,13 @@ two branches read them: range bounds come from a sample, so recomputing the
 exchange (exchange reuse is not guaranteed, e.g. above a Python UDF) could
 put a row in another slice. The checkpoint fixes every row's slice, and a
 lost executor recomputes nothing below it. The rows are post-aggregate
-(one per group member), so the write is small next to the fact scan.
+(one per group member), so the write is small next to the fact scan; pass
+narrow rows and join wide columns to the result.
+
+The number of slices, and so of files written, follows the rows: AQE merges
+the range partitions up to its advisory size. (Without AQE there are as many
+as shuffle partitions.) The files go when nothing refers to the frame any more
+(``spark.cleaner.referenceTracking.cleanCheckpoints``).
 """
 
 from __future__ import annotations
@@ -37,14 +43,12 @@ def running_totals(
     and ``total_col`` (group total) in ``order_cols`` order within ``group_cols``.
 
     ``order_cols`` must give a total order inside a group (add a unique
-    tie-break column), otherwise the running sum is not defined.
+    tie-break column), otherwise the running sum is not defined. ``slices``
+    fixes the number of slices (tests).
     """
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(
-        df.repartitionByRange(n, *[F.col(c).asc() for c in group_cols], *order_cols)
-        .withColumn("_slice", F.spark_partition_id())
-    )
+    by = [*[F.col(c).asc() for c in group_cols], *order_cols]
+    ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    ranged = materialize(ranged.withColumn("_slice", F.spark_partition_id()))
     keys = [*group_cols, "_slice"]
     w_local = (Window.partitionBy(*keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -3,7 +3,7 @@ output check of written documents (K7). All are single aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,5 +35,16 @@ def data_span(sales: DataFrame, date_col: str = "d") -> DataFrame:
 
 
 def periods_per_store(mart: DataFrame, group_cols=("store_id",), period_col: str = "period") -> DataFrame:
-    """Distinct periods per store (a partial aggregate per store)."""
-    return mart.groupBy(*group_cols).agg(F.countDistinct(period_col).alias("n_periods"))
+    """Distinct periods and mart rows per store (a partial aggregate)."""
+    return mart.groupBy(*group_cols).agg(F.countDistinct(period_col).alias("n_periods"),
+                                         F.count(F.lit(1)).alias("n_rows"))
+
+
+def store_order(stores: DataFrame) -> DataFrame:
+    """Position of each store in text order and in numeric order (ids
+    that are no numbers first). ``stores`` has one row per store: a dimension,
+    so one task orders it."""
+    number = F.expr("try_cast(store_id AS INT)")
+    return stores.select(
+        "store_id", F.row_number().over(Window.orderBy("store_id")).alias("text_order"),
+        F.row_number().over(Window.orderBy(number.asc_nulls_first(), F.col("store_id"))).alias("numeric_order"))

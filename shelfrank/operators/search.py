@@ -11,7 +11,7 @@ def with_insights(merged: DataFrame) -> DataFrame:
     first = F.try_element_at(F.col("insights"), F.lit(1))
     return (merged.filter(F.size("insights") > 0)
             .withColumn("first_insight", first["text"])
-            .withColumn("action", F.nullif(first["action"], F.lit("-")))  # F20
+            .withColumn("action", F.when(~first["action"].isin("-", ""), first["action"]))  # F20
             .withColumn("n_insights", F.size("insights")))
 
 

@@ -1,18 +1,16 @@
 """Month-on-month change per product.
 
-"Previous" is the previous *calendar* month: a plain ``lag`` would pick the
-last month with sales, which may be years back (SURVEY D13). Each mart row
-is sent to its own month and to the next one, and one aggregate pairs them —
-no window, so no group has to fit in one task, and no self-join.
+"Previous" is the previous *calendar* month: a plain ``lag`` would take the
+last month with sales, which may be years back (SURVEY D13), so the month of
+the lagged row is compared with the calendar. A product of a store has one row
+per month, so its window is bounded by the calendar span.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfrank.functions.periods import month_key
-
 # The reference's texts for a product without a previous month
 # and for a product without sales.
 NEW_TEXT = "Novo (sem vendas anteriores)"
@@ -51,45 +49,28 @@ def change_columns(cur: Column, prev: Column) -> tuple[Column, Column]:
 
 
 def _int_div(a: Column, b: Column) -> Column:
-    """Floor division of non-negative longs by a positive long, exact:
-    a - (a mod b) is a multiple of b, so the division has no rounding."""
-    return F.when(b > 0, ((a - F.pmod(a, b)) / b).cast("long"))
+    """Floor division of non-negative longs by a positive long, exact: what is
+    divided is a multiple of b, in decimals."""
+    whole = (a - F.pmod(a, b)).cast("decimal(20,0)")
+    return F.when(b > 0, (whole / b.cast("decimal(20,0)")).cast("long"))
 
 
 def month_over_month(month_sales: DataFrame, keys=("store_id", "product")) -> DataFrame:
     """Adds ``previous`` (value of the previous calendar month, 0 if none),
     ``change_pct`` and ``change_text`` to a store × product × month mart.
 
-    One pass, no self-join: every mart row is sent once as the current value
-    of its month and once as the previous value of the next month; one
-    aggregate on (keys, month) brings each pair together. The mart is read
-    once (a self-join reads it twice, and the shifted side is not a reusable
-    exchange), and the only shuffle carries mart rows, with map-side partial
-    sums. Months that only received a "previous" row are dropped. Undated
-    rows (month ``NaT``) have no next month.
+    One shuffle of the mart's rows and no self-join. Undated rows (month
+    ``NaT``) are nobody's previous month and have none.
     """
     k = list(keys)
-    dec = month_sales.schema["value"].dataType
-    none = F.lit(None).cast(dec)
     if "month_start" in month_sales.columns:
         # the mart's own date key: no month text is parsed
-        m, nxt, out_month = F.col("month_start"), F.add_months("month_start", 1), "month_start"
-    else:
-        m, nxt, out_month = F.col("month"), shift_month(F.col("month"), 1), "month"
-    pair = F.array(
-        F.struct(m.alias("_m"), F.col("value").alias("_cur"), none.alias("_prev")),
-        F.when(nxt.isNotNull(), F.struct(nxt.alias("_m"), none.alias("_cur"), F.col("value").alias("_prev"))),
-    )
-    sent = (month_sales.select(*k, F.explode(pair).alias("_e"))
-            .filter(F.col("_e").isNotNull()).select(*k, "_e.*"))
-    j = (sent.groupBy(*k, "_m")
-         .agg(F.sum("_cur").alias("value"), F.sum("_prev").alias("previous"),
-              F.count("_cur").alias("_n"))
-         .filter(F.col("_n") > 0))
-    if out_month == "month_start":
-        j = j.withColumn("month", F.coalesce(month_key("_m"), F.lit("NaT")))
+        order, before = F.col("month_start"), F.add_months("month_start", -1)
     else:
-        j = j.withColumnRenamed("_m", "month")
+        order, before = F.col("month"), shift_month(F.col("month"), -1)
+    w = Window.partitionBy(*k).orderBy(order)
+    last = F.lag(order).over(w)
+    j = month_sales.select(*k, "month", "value", F.when(last == before, F.lag("value").over(w)).alias("previous"))
     pct, txt = change_columns(F.col("value"), F.col("previous"))
     return j.select(*k, "month", "value",
                     F.coalesce(F.col("previous"), F.lit(0).cast("decimal(18,2)")).alias("previous"),

@@ -319,7 +319,7 @@ def q_season_context(spark, sf):
     from shelfrank.functions.periods import month_label
     from shelfrank.sources.dims import with_season
     # month totals, aggregated without the product dimension
-    t = marts.product_month_sales(sales_fact(spark, sf), item_cols=()).withColumnRenamed("value", "total")
+    t = marts.product_month_sales(sales_fact(spark, sf, product=False), item_cols=()).withColumnRenamed("value", "total")
     return with_season(t, spark).select(
         "store_id", "month", dbl("total").alias("total"), month_label("month").alias("label"),
         "season", "events", "trend")
@@ -337,7 +337,7 @@ SELECT st.store_id, COALESCE(nm.store_name, 'Loja ' || st.store_id) AS store_nam
 FROM st LEFT JOIN nm ON st.store_id = nm.store_id"""))
 def q_store_names(spark, sf):
     from shelfrank.sources.dims import with_store_name
-    st = sales_fact(spark, sf).select("store_id").distinct()
+    st = sales_fact(spark, sf, product=False).select("store_id").distinct()
     return with_store_name(st, spark).select("store_id", "store_name")
 
 
@@ -349,14 +349,8 @@ SELECT store_id,
          AS numeric_order
 FROM st"""))
 def q_store_order(spark, sf):
-    # T3/T4 over the distinct stores (one row per store: dimension-sized).
-    from pyspark.sql import Window
-    st = sales_fact(spark, sf).select("store_id").distinct()
-    num = F.expr("try_cast(store_id AS INT)")
-    return st.select(
-        "store_id",
-        F.row_number().over(Window.orderBy("store_id")).alias("text_order"),
-        F.row_number().over(Window.orderBy(num.asc_nulls_first(), F.col("store_id"))).alias("numeric_order"))
+    from shelfrank.operators import quality
+    return quality.store_order(sales_fact(spark, sf, product=False).select("store_id").distinct())
 
 
 def _week_label_sql(iso: bool) -> str:
@@ -435,7 +429,7 @@ CLEAN_CTE = f""",
 f AS (SELECT store_id, {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
              {T.date_sql('date_raw')} AS d FROM raw),
 cs AS (SELECT *, COALESCE(strftime(d, '%Y-%m'), 'NaT') AS month FROM f
-       WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN')
+       WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN' AND {T.store_sql('store_id')})
 """
 
 
@@ -464,16 +458,14 @@ UNION ALL
 SELECT 'drop', store_id, month, COUNT(*), CAST(SUM(value) AS DOUBLE)
 FROM cs WHERE d IS NOT NULL GROUP BY store_id, month"""))
 def q_invalid_dates(spark, sf):
+    """Both policies from one aggregate; dropping undated rows removes
+    exactly the ``NaT`` groups."""
     from shelfrank.operators.clean import clean_sales
-    raw = T.raw_sales_text(spark, sf)
-    out = None
-    for policy in ("bucket", "drop"):
-        c = clean_sales(raw, invalid_dates=policy).withColumn("month", C.month_bucket("d"))
-        g = c.groupBy("store_id", "month").agg(F.count(F.lit(1)).alias("n_rows"),
-                                               dbl_sum("value"))
-        g = g.select(F.lit(policy).alias("policy"), "store_id", "month", "n_rows", "value")
-        out = g if out is None else out.unionByName(g)
-    return out
+    c = clean_sales(T.raw_sales_text(spark, sf)).withColumn("month", C.month_bucket("d"))
+    g = c.groupBy("store_id", "month").agg(F.count(F.lit(1)).alias("n_rows"), dbl_sum("value"))
+    policies = F.when(F.col("month") == "NaT", F.array(F.lit("bucket"))).otherwise(
+        F.array(F.lit("bucket"), F.lit("drop")))
+    return g.select(F.explode(policies).alias("policy"), "store_id", "month", "n_rows", "value")
 
 
 def dbl_sum(c):
@@ -527,15 +519,17 @@ def q_store_id_cast(spark, sf):
 
 @query("data_quality", raw_sql(f""",
 f AS (SELECT {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
-             {T.date_sql('date_raw')} AS d FROM raw)
+             {T.date_sql('date_raw')} AS d, {T.store_sql('store_id')} AS stored,
+             regexp_matches(value_raw, ',[0-9]{{2}}0*[1-9]') AS rounded FROM raw),
+g AS (SELECT *, (product IS NOT NULL AND product <> '' AND product <> 'NAN') AS named FROM f)
 SELECT COUNT(*) AS rows_read,
        COUNT(*) FILTER (WHERE NOT value > 0) AS non_positive_values,
+       COUNT(*) FILTER (WHERE rounded) AS rounded_values,
        COUNT(*) FILTER (WHERE value > 0 AND d IS NULL) AS invalid_dates,
-       COUNT(*) FILTER (WHERE value > 0 AND NOT (product IS NOT NULL AND product <> '' AND product <> 'NAN'))
-         AS invalid_products,
-       COUNT(*) FILTER (WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN')
-         AS valid_rows
-FROM f"""))
+       COUNT(*) FILTER (WHERE value > 0 AND NOT named) AS invalid_products,
+       COUNT(*) FILTER (WHERE value > 0 AND NOT stored) AS invalid_stores,
+       COUNT(*) FILTER (WHERE value > 0 AND named AND stored) AS valid_rows
+FROM g"""))
 def q_data_quality(spark, sf):
     from shelfrank.operators.clean import quality_counts
     return quality_counts(T.raw_sales_text(spark, sf))
@@ -564,16 +558,15 @@ SELECT MIN(d) AS first_day, MAX(d) AS last_day, strftime(MIN(d), '%Y-%m') AS fir
 FROM sales"""))
 def q_data_span(spark, sf):
     from shelfrank.operators import quality
-    return quality.data_span(sales_fact(spark, sf)).withColumn("total_value", dbl("total_value"))
+    return quality.data_span(sales_fact(spark, sf, product=False)).withColumn("total_value", dbl("total_value"))
 
 
 @query("distinct_stores", with_sales(MULTI_CTE + """
 SELECT granularity, store_id, COUNT(DISTINCT period) AS n_periods, COUNT(*) AS n_rows
 FROM mm GROUP BY granularity, store_id""", daily=True))
 def q_distinct_stores(spark, sf):
-    m = multi_mart(spark, sf)
-    return m.groupBy("granularity", "store_id").agg(F.countDistinct("period").alias("n_periods"),
-                                                    F.count(F.lit(1)).alias("n_rows"))
+    from shelfrank.operators import quality
+    return quality.periods_per_store(multi_mart(spark, sf), ("granularity", "store_id"))
 
 
 # --------------------------------------------------------------------------- cache
@@ -700,13 +693,7 @@ def q_cache_stats(spark, sf):
     from shelfrank.operators import cache
     prev = _prev_cache(spark, sf)
     out, new = _abc_annotated(spark, sf, prev)
-    per_store = cache.hit_miss_by_store(out)
-    before = cache.stats(prev).select(F.col("entries").alias("entries_before"))
-    after = cache.stats(cache.upsert(prev, new)).select(F.col("entries").alias("entries_after"),
-                                                        F.col("stores").alias("stores_after"))
-    one = before.withColumn("_k", F.lit(1)).join(after.withColumn("_k", F.lit(1)), "_k")
-    # the one-row totals are joined on a constant key (a broadcast of one row)
-    return per_store.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+    return cache.run_stats(out, prev, cache.upsert(prev, new))
 
 
 # --------------------------------------------------------------------------- period annotation (X4) and dashboard
@@ -735,7 +722,7 @@ lj AS (SELECT li.*, MAX(i) OVER (PARTITION BY granularity, store_id, period, pro
        FROM li),
 ai AS (SELECT lj.granularity, lj.store_id, lj.period, product, kind, value, pos, i, n_items, p1, rec.annotated,
               CASE WHEN NOT rec.annotated THEN 'Período histórico'
-                   WHEN product = p1 THEN 'revisado'
+                   WHEN product = p1 THEN 'revisado [a, ]'
                    ELSE (CASE WHEN j > LEAST(n, 10) THEN 'BOTTOM' ELSE 'TOP' END) || ' #' || CAST(j AS VARCHAR)
               END AS diagnosis,
               CASE WHEN NOT rec.annotated THEN '-' WHEN product = p1 THEN 'rever'
@@ -778,7 +765,7 @@ SELECT granularity, store_id, period, CAST(i AS INTEGER) AS pos, product AS prod
        CASE WHEN i % 3 <> 0 THEN 'manter' ELSE '-' END AS acao
 FROM ai WHERE annotated
 UNION ALL
-SELECT DISTINCT granularity, store_id, period, CAST(n_items + 1 AS INTEGER), p1, 'revisado', 'rever'
+SELECT DISTINCT granularity, store_id, period, CAST(n_items + 1 AS INTEGER), p1, 'revisado [a, ]', 'rever'
 FROM ai WHERE annotated""", daily=True))
 def q_json_repair_parse(spark, sf):
     from shelfrank.operators import annotate
@@ -821,15 +808,15 @@ def q_prompt_text(spark, sf):
 @query("period_prompt_text", with_sales(ANNOT_CTES + """,
 pt AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period),
 ln AS (SELECT li.granularity, li.store_id, li.period,
-              string_agg('- ' || product || ': R$ ' || printf('%.2f', CAST(value AS DOUBLE))
-                         || ' (' || kind || ')', chr(10) ORDER BY i) AS lines
+              to_json(list(struct_pack(produto := product, tipo := kind, valor := CAST(value AS DOUBLE)) ORDER BY i))
+                AS items_json
        FROM li JOIN rec USING (granularity, store_id, period) WHERE rec.annotated
        GROUP BY li.granularity, li.store_id, li.period)
 SELECT granularity, store_id, period,
-       'Store ' || store_id || ', period ' || period || ' (' || granularity || ').' || chr(10) || 'Items:'
-       || chr(10) || lines || chr(10) || 'Period total: R$ ' || printf('%.2f', CAST(total AS DOUBLE))
-       || chr(10) || 'For every item give a short diagnosis (at most 80 characters) and one practical '
-       || 'action (at most 60). Answer with a JSON array of objects with the keys produto, diagnostico, acao.'
+       'Sales review of one ' || granularity || ' (' || period || ') in store ' || store_id
+       || '; revenue of all its products: ' || 'R$ ' || translate(format('{:,.2f}', CAST(total AS DECIMAL(18,2))), ',.', '.,')
+       || '.' || chr(10) || 'ITEMS_JSON: ' || CAST(items_json AS VARCHAR) || chr(10)
+       || 'Answer with a JSON array, one short object for each item, with the keys produto, diagnostico, acao.'
        AS prompt
 FROM ln JOIN pt USING (granularity, store_id, period)""", daily=True))
 def q_period_prompt_text(spark, sf):
@@ -1016,20 +1003,42 @@ def _scratch(spark, name):
     return scratch_path(spark, name)
 
 
-@query("abc_documents")
-def q_abc_documents(spark, sf):
-    """A19 + P19: ABC documents with month history and cached/new analyses (rows-only)."""
-    from shelfrank.operators import cache, documents
-    hist = marts.product_history(month_mart(spark, sf))
-    classified = abc.classify(hist)
-    from shelfrank.operators import annotate
+def _abc_lines(spark, sf):
+    """A19 + P19: ABC lines with month history and cached/new analyses."""
+    from shelfrank.operators import annotate, cache, documents
+    classified = abc.classify(marts.product_history(month_mart(spark, sf)))
     items, _ = cache.annotate_abc(classified, _prev_cache(spark, sf), annotate.stub_annotator)
     return documents.abc_documents(items)
 
 
-@query("monthly_documents")
-def q_monthly_documents(spark, sf):
-    """A20 + P19 + X4 (month prompts): one line per store-month (rows-only)."""
+ABC_LINES_CTES = CACHE_CTES + """,
+ann AS (SELECT store_id, product, abc_class, rank, analysis, 0 AS fresh FROM hits
+        UNION ALL SELECT store_id, product, abc_class, rank, analysis, 1 FROM fresh),
+hm AS (SELECT store_id, product, COUNT(DISTINCT strftime(d, '%Y-%m')) AS n_months
+       FROM sales GROUP BY store_id, product),
+al AS (SELECT a.*, c.value, hm.n_months,
+              CAST(ROW_NUMBER() OVER (PARTITION BY a.store_id ORDER BY fresh, a.rank, product) - 1 AS INTEGER) AS pos
+       FROM ann a JOIN cur c USING (store_id, product) JOIN hm USING (store_id, product))"""
+
+
+@query("abc_documents", with_sales(ABC_LINES_CTES + """
+SELECT TRY_CAST(store_id AS INTEGER) AS id_loja, store_id, CAST(COUNT(*) AS INTEGER) AS n_items,
+       arg_min(product, pos) AS first_product, arg_max(product, pos) AS last_product,
+       arg_max(analysis, pos) AS last_analysis
+FROM al GROUP BY store_id"""))
+def q_abc_documents(spark, sf):
+    """K1 + U3: the ABC lines written, read back and put together per store."""
+    from shelfrank.operators import documents
+    path = documents.write_documents(_abc_lines(spark, sf), _scratch(spark, "abc"))
+    nested = documents.nest_abc(documents.read_abc_documents(spark, path))
+    last = F.element_at("itens", -1)
+    return nested.select("id_loja", "store_id", F.size("itens").alias("n_items"),
+                         F.element_at("itens", 1)["produto"].alias("first_product"),
+                         last["produto"].alias("last_product"), last["analise_ia"].alias("last_analysis"))
+
+
+def _monthly_lines(spark, sf):
+    """A20 + P19 + X4 (month prompts): one line per store-month."""
     from shelfrank.functions.periods import month_label
     from shelfrank.operators import annotate, documents, ranking
     from shelfrank.sources.dims import with_season
@@ -1042,14 +1051,52 @@ def q_monthly_documents(spark, sf):
     return documents.monthly_documents(ann)
 
 
-@query("period_documents")
-def q_period_documents(spark, sf):
-    """One line per granularity-store-period (rows-only)."""
+def _listed(items, field):
+    return F.aggregate(F.transform(items, lambda i: i[field].cast("decimal(18,2)")), F.lit(0).cast("decimal(28,2)"),
+                       lambda x, y: (x + y).cast("decimal(28,2)")).cast("double")
+
+
+@query("monthly_documents", with_sales(MONTHLY_RANK_CTES + """
+SELECT TRY_CAST(store_id AS INTEGER) AS id_loja, store_id, month AS mes,
+       CAST(MIN(period_total) AS DOUBLE) AS total_mensal, CAST(COUNT(*) AS INTEGER) AS n_items,
+       CAST(SUM(value) AS DOUBLE) AS listed_value
+FROM tb GROUP BY store_id, month"""))
+def q_monthly_documents(spark, sf):
+    """K2/K3: the monthly lines written in one folder per store and read back."""
+    from shelfrank.operators import documents
+    path = documents.write_documents(_monthly_lines(spark, sf), _scratch(spark, "monthly"), partition_by="store_id")
+    return documents.read_month_documents(spark, path).select(
+        "id_loja", "store_id", "mes", "total_mensal", F.size("itens").alias("n_items"),
+        _listed("itens", "venda_este_mes").alias("listed_value"))
+
+
+def _period_lines(spark, sf):
+    """One line per store of a granularity."""
     from shelfrank.operators import documents
     a, totals = annotated_items(spark, sf)
     return documents.period_documents(a, totals)
 
 
+@query("period_documents", with_sales(ANNOT_CTES + """,
+pt AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period)
+SELECT granularity AS granularidade, TRY_CAST(store_id AS INTEGER) AS id_loja, store_id,
+       CAST(COUNT(*) AS INTEGER) AS n_periods, MIN(period) AS first_period, MAX(period) AS last_period,
+       CAST(SUM(total) AS DOUBLE) AS total, true AS dated
+FROM pt GROUP BY granularity, store_id""", daily=True))
+def q_period_documents(spark, sf):
+    """A20 + K4: the nested result files written per granularity and read back."""
+    from shelfrank.operators import documents
+    path = documents.write_documents(_period_lines(spark, sf), _scratch(spark, "periods"), partition_by="granularidade")
+    loja = F.col("loja")
+    docs = spark.read.schema(documents.PERIOD_LINE).json(path)
+    return docs.select("granularidade", F.col("gerado_em").isNotNull().alias("dated"),
+                       F.explode("dados_lojas").alias("loja")).select(
+        "granularidade", loja["id_loja"].alias("id_loja"), loja["store_id"].alias("store_id"),
+        F.size(loja["analises"]).alias("n_periods"), F.array_min(F.map_keys(loja["analises"])).alias("first_period"),
+        F.array_max(F.map_keys(loja["analises"])).alias("last_period"),
+        _listed(F.map_values(loja["analises"]), "total").alias("total"), "dated")
+
+
 # Flat views of the three nested documents: every item of every written line,
 # with its line's header fields and its position in the line's list, so the
 # nesting, chunking and item order are value-checked against DuckDB.
@@ -1059,22 +1106,17 @@ def _doc_items(doc, head, fields):
     return ex.select(*head, "pos", *[c.alias(n) for n, c in fields])
 
 
-@query("abc_document_items", with_sales(CACHE_CTES + """,
-ann AS (SELECT store_id, product, abc_class, rank, analysis FROM hits
-        UNION ALL SELECT store_id, product, abc_class, rank, analysis FROM fresh),
-hm AS (SELECT store_id, product, COUNT(DISTINCT strftime(d, '%Y-%m')) AS n_months
-       FROM sales GROUP BY store_id, product)
-SELECT TRY_CAST(a.store_id AS INTEGER) AS id_loja, a.store_id,
-       CAST((a.rank - 1) // 1000 AS INTEGER) AS chunk, CAST((a.rank - 1) % 1000 AS INTEGER) AS pos,
-       a.product AS produto, CAST(c.value AS DOUBLE) AS valor_total, a.abc_class AS classe,
-       CAST(hm.n_months AS INTEGER) AS n_historico, a.analysis AS analise_ia
-FROM ann a JOIN cur c USING (store_id, product) JOIN hm USING (store_id, product)"""))
+@query("abc_document_items", with_sales(ABC_LINES_CTES + """
+SELECT TRY_CAST(store_id AS INTEGER) AS id_loja, store_id, pos, product AS produto,
+       CAST(value AS DOUBLE) AS valor_total, abc_class AS classe, CAST(n_months AS INTEGER) AS n_historico,
+       analysis AS analise_ia
+FROM al"""))
 def q_abc_document_items(spark, sf):
-    """A19 + P19, flattened: item order = ABC rank, 1000 items per line."""
-    it = F.col("it")
-    return _doc_items(q_abc_documents(spark, sf), ["id_loja", "store_id", "chunk"], [
-        ("produto", it["produto"]), ("valor_total", it["valor_total"]), ("classe", it["classe"]),
-        ("n_historico", F.size(it["historico"])), ("analise_ia", it["analise_ia"])])
+    """A19 + P19 + U3: items from the cache first, then the others, by rank."""
+    it = F.col("item")
+    return _abc_lines(spark, sf).select(
+        "id_loja", "store_id", "pos", it["produto"].alias("produto"), it["valor_total"].alias("valor_total"),
+        it["classe"].alias("classe"), F.size(it["historico"]).alias("n_historico"), it["analise_ia"].alias("analise_ia"))
 
 
 @query("monthly_document_items", with_sales(MONTHLY_RANK_CTES + """,
@@ -1082,13 +1124,13 @@ lp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY store_id, month ORDER BY rank)
 SELECT TRY_CAST(store_id AS INTEGER) AS id_loja, store_id, month AS mes,
        CAST(period_total AS DOUBLE) AS total_mensal, CAST(lpos - 1 AS INTEGER) AS pos,
        product AS produto, kind AS tipo, CAST(value AS DOUBLE) AS venda_este_mes,
-       CASE WHEN lpos = 1 THEN 'revisado' ELSE kind || ' #' || CAST(lpos AS VARCHAR) END AS diagnostico,
+       CASE WHEN lpos = 1 THEN 'revisado [a, ]' ELSE kind || ' #' || CAST(lpos AS VARCHAR) END AS diagnostico,
        CASE WHEN lpos = 1 THEN 'rever' WHEN lpos % 3 <> 0 THEN 'manter' ELSE '-' END AS acao
 FROM lp"""))
 def q_monthly_document_items(spark, sf):
     """A20 + P19 + X4 (month prompts, stub annotator), flattened."""
     it = F.col("it")
-    return _doc_items(q_monthly_documents(spark, sf), ["id_loja", "store_id", "mes", "total_mensal"], [
+    return _doc_items(_monthly_lines(spark, sf), ["id_loja", "store_id", "mes", "total_mensal"], [
         ("produto", it["produto"]), ("tipo", it["tipo"]), ("venda_este_mes", it["venda_este_mes"]),
         ("diagnostico", it["analise_ia"]["diagnostico"]), ("acao", it["analise_ia"]["acao"])])
 
@@ -1101,30 +1143,33 @@ SELECT ai.granularity AS granularidade, TRY_CAST(ai.store_id AS INTEGER) AS id_l
        ai.diagnosis AS diagnostico, ai.action AS acao
 FROM ai JOIN pt USING (granularity, store_id, period)""", daily=True))
 def q_period_document_items(spark, sf):
-    """A20 (multi-granularity), flattened: TOP items first, then BOTTOM items."""
-    it = F.col("it")
-    return _doc_items(q_period_documents(spark, sf),
-                      ["granularidade", "id_loja", "store_id", "periodo", "total"], [
-        ("produto", it["produto"]), ("valor", it["valor"]), ("tipo", it["tipo"]),
-        ("diagnostico", it["analise_ia"]["diagnostico"]), ("acao", it["analise_ia"]["acao"])])
+    """A20 (multi-granularity), flattened by the reader: TOP items first, then
+    BOTTOM items."""
+    from shelfrank.operators import documents
+    path = documents.write_documents(_period_lines(spark, sf), _scratch(spark, "periods"))
+    it = F.col("analise_ia")
+    return documents.read_period_documents(spark, path).select(
+        "granularidade", "id_loja", "store_id", "periodo", "total", "pos", "produto", "valor", "tipo",
+        it["diagnostico"].alias("diagnostico"), it["acao"].alias("acao"))
 
 
 @query("index_document", with_sales("""
-SELECT ['periods/granularidade=day', 'periods/granularidade=week', 'periods/granularidade=month'] AS arquivos,
+SELECT ['periods/granularidade=day', 'periods/granularidade=month', 'periods/granularidade=week'] AS arquivos,
        list(DISTINCT store_id ORDER BY store_id) AS lojas,
        strftime(MIN(d), '%Y-%m-%d') AS inicio, strftime(MAX(d), '%Y-%m-%d') AS fim
 FROM sales""", daily=True))
 def q_index_document(spark, sf):
-    from shelfrank.operators import documents
-    files = [f"periods/granularidade={g}" for g in ("day", "week", "month")]
-    d = documents.index_document(daily_fact(spark, sf), files)
-    return d.select("arquivos", "lojas", "periodo_dados.inicio", "periodo_dados.fim")
+    """K5: the index that the multi-granularity job writes about its own files."""
+    from shelfrank.plans import jobs
+    with jobs.multi_job(spark, daily_fact(spark, sf), _scratch(spark, "multi")) as r:
+        return spark.read.json(r.outputs["index"]).select("arquivos", "lojas", "periodo_dados.inicio", "periodo_dados.fim")
 
 
 RAW_CLEAN_AGG = f""",
 f AS (SELECT store_id, {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
              {T.date_sql('date_raw')} AS d FROM raw),
-cs AS (SELECT * FROM f WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN')
+cs AS (SELECT * FROM f WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN'
+          AND {T.store_sql('store_id')})
 SELECT store_id, COUNT(*) AS n_rows, COUNT(d) AS dated_rows, CAST(SUM(value) AS DOUBLE) AS value,
        COUNT(DISTINCT product) AS products
 FROM cs GROUP BY store_id"""
@@ -1155,16 +1200,93 @@ def q_csv_round_trip(spark, sf):
     return _clean_agg(load_fact(spark, path, encoding="auto"))
 
 
-@query("xlsx_read", raw_sql(RAW_CLEAN_AGG))
+XLSX_AGG = f""",
+nat AS (SELECT CAST(s.s_nationkey AS VARCHAR) AS store_id, {T.product_sql('p.p_name')} AS product,
+               CAST(l.l_extendedprice AS DECIMAL(18,2)) AS value, CAST(l.l_shipdate AS DATE) AS d
+        FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON l.l_partkey = p.p_partkey
+        WHERE l.l_orderkey % 2 = 0),
+txt AS (SELECT store_id, {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
+               {T.date_sql('date_raw')} AS d FROM raw WHERE l_orderkey % 2 = 1),
+f AS (SELECT * FROM nat UNION ALL SELECT * FROM txt),
+cs AS (SELECT * FROM f WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN'
+          AND {T.store_sql('store_id')})
+SELECT store_id, COUNT(*) AS n_rows, COUNT(d) AS dated_rows, CAST(SUM(value) AS DOUBLE) AS value,
+       COUNT(DISTINCT product) AS products
+FROM cs GROUP BY store_id"""
+
+
+@query("xlsx_read", raw_sql(XLSX_AGG))
 def q_xlsx_read(spark, sf):
-    """The export written as several workbooks, read one task per file."""
+    """S4 + P5: workbooks with native number and date cells beside workbooks
+    with the export's text, read one task per file."""
+    from shelfrank.config import RAW_COLUMNS
     from shelfrank.plans.jobs import load_fact
     from shelfrank.sources.files import write_xlsx_parts
     path = _scratch(spark, "xlsx-export")
-    write_xlsx_parts(_raw_export(spark, sf).repartition(4), path).collect()
+    raw = T.raw_sales_text(spark, sf).where("l_orderkey % 2 = 1").select("store_id", "product", "value_raw", "date_raw")
+    native = T.typed_sales(spark, sf).where("l_orderkey % 2 = 0").select("store_number", "product", "value", "d")
+    for part in (raw, native):
+        write_xlsx_parts(part.toDF(*RAW_COLUMNS), path).collect()
     return _clean_agg(load_fact(spark, path, fmt="xlsx"))
 
 
+@query("csv_bad_lines", raw_sql(f""",
+c AS (SELECT *, l_orderkey % 3 = 0 AS turned,
+             CASE WHEN l_orderkey % 7 = 0 THEN 'long' WHEN l_orderkey % 11 = 0 THEN 'long'
+                  WHEN l_orderkey % 13 = 0 THEN 'short' ELSE 'whole' END AS form FROM raw),
+k AS (SELECT CASE WHEN turned AND form = 'short' THEN NULL ELSE store_id END AS store_id, product, value_raw,
+             CASE WHEN NOT turned AND form = 'short' THEN NULL ELSE date_raw END AS date_raw
+      FROM c WHERE form <> 'long'),
+f AS (SELECT store_id, {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
+             {T.date_sql('date_raw')} AS d FROM k),
+cs AS (SELECT * FROM f WHERE value > 0 AND product IS NOT NULL AND product <> '' AND product <> 'NAN'
+          AND {T.store_sql('store_id')})
+SELECT store_id, COUNT(*) AS n_rows, COUNT(d) AS dated_rows, CAST(SUM(value) AS DOUBLE) AS value,
+       COUNT(DISTINCT product) AS products
+FROM cs GROUP BY store_id"""))
+def q_csv_bad_lines(spark, sf):
+    """S1 + D8: files in two column orders, lines with surplus fields (empty
+    and filled) and short lines."""
+    from shelfrank.config import RAW_COLUMNS
+    from shelfrank.plans.jobs import load_fact
+    path = _scratch(spark, "csv-bad-lines")
+    raw = T.raw_sales_text(spark, sf)
+    cols = ["store_id", "product", "value_raw", "date_raw"]
+    for turned in (False, True):
+        names, order = list(RAW_COLUMNS), list(cols)
+        if turned:
+            names, order = names[::-1], order[::-1]
+        whole = F.concat_ws(";", *order)
+        line = (F.when(F.col("l_orderkey") % 7 == 0, F.concat(whole, F.lit(";")))
+                .when(F.col("l_orderkey") % 11 == 0, F.concat(whole, F.lit(";;x")))
+                .when(F.col("l_orderkey") % 13 == 0, F.concat_ws(";", *order[:3])).otherwise(whole))
+        # one column whose name is the header line; no quotes, no trimming
+        raw.where((F.col("l_orderkey") % 3 == 0) == F.lit(turned)).select(line.alias(";".join(names))).write \
+            .mode("append").option("header", True).option("sep", "\x01").option("quote", "\0") \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return _clean_agg(load_fact(spark, path))
+
+
+@query("raw_file_jobs", raw_sql(f""",
+f AS (SELECT store_id, {T.product_sql('product', False)} AS product, {T.money_sql('value_raw', True)} AS value,
+             {T.date_sql('date_raw')} AS d FROM raw),
+cs AS (SELECT * FROM f WHERE value > 0 AND d IS NOT NULL AND {T.store_sql('store_id')})
+SELECT store_id, strftime(d, '%Y-%m') AS period, CAST(SUM(value) AS DOUBLE) AS value,
+       CAST(COUNT(DISTINCT product) AS BIGINT) AS products
+FROM cs GROUP BY store_id, strftime(d, '%Y-%m')"""))
+def q_raw_file_jobs(spark, sf):
+    """P3 + P11 + P6b on the job path: the export with currency signs (also
+    before NBSP), product text trimmed at its ends only, undated rows dropped."""
+    from shelfrank.plans.jobs import load_fact
+    path = _scratch(spark, "csv-jobs")
+    _raw_export(spark, sf).write.option("sep", ";").option("header", True) \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    fact = load_fact(spark, path, invalid_dates="drop", currency=True, collapse_ws=False, drop_invalid_products=False)
+    m = marts.period_mart(fact, "month")
+    return m.groupBy("store_id", "period").agg(F.sum("value").cast("double").alias("value"),
+                                               F.count(F.lit(1)).alias("products"))
+
+
 @query("result_reload", with_sales(ANNOT_CTES + """
 SELECT granularity AS granularidade, store_id, period AS periodo, COUNT(*) AS items,
        CAST(SUM(value) AS DOUBLE) AS listed_value
@@ -1173,8 +1295,7 @@ def q_result_reload(spark, sf):
     """K4 + S7 + U4: write period documents per granularity, read them back
     (one reader over all folders) and count the items."""
     from shelfrank.operators import documents
-    a, totals = annotated_items(spark, sf)
-    path = documents.write_documents(documents.period_documents(a, totals), _scratch(spark, "periods"),
+    path = documents.write_documents(_period_lines(spark, sf), _scratch(spark, "periods"),
                                      partition_by="granularidade")
     back = documents.read_period_documents(spark, path)
     return back.groupBy("granularidade", "store_id", "periodo").agg(
@@ -1182,19 +1303,46 @@ def q_result_reload(spark, sf):
         F.sum(F.col("valor").cast("decimal(18,2)")).cast("double").alias("listed_value"))
 
 
-@query("output_check")
+@query("cache_two_runs", with_sales(_abc_sql("cur") + _abc_sql("prev", f"WHERE d < DATE '{CACHE_CUTOFF}'") + """,
+b1 AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY rank, product) - 1) % 15 + 1 AS i FROM prev),
+c1 AS (SELECT store_id, product, abc_class, 'Classe ' || abc_class || ' item ' || CAST(i AS VARCHAR) AS analysis
+       FROM b1 WHERE i <> 3),
+m2 AS (SELECT c.* FROM cur c ANTI JOIN c1 USING (store_id, product, abc_class)),
+b2 AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY rank, product) - 1) % 15 + 1 AS i FROM m2),
+n2 AS (SELECT store_id, product, abc_class, 'Classe ' || abc_class || ' item ' || CAST(i AS VARCHAR) AS analysis
+       FROM b2 WHERE i <> 3)
+SELECT * FROM n2 UNION ALL SELECT * FROM c1 ANTI JOIN n2 USING (store_id, product, abc_class)"""))
+def q_cache_two_runs(spark, sf):
+    """S6 + K6 + F12: the ABC job twice on one folder, first on the older sales;
+    the second run reads the cache that the first one wrote and replaces it."""
+    from shelfrank.operators import annotate, cache
+    from shelfrank.plans import jobs
+    out = _scratch(spark, "abc-daily")
+    sales = sales_fact(spark, sf)
+    for part in (sales.filter(F.col("d") < F.lit(CACHE_CUTOFF).cast("date")), sales):
+        with jobs.abc_job(spark, part, out, annotator=annotate.stub_annotator):
+            pass
+    return cache.read_json(spark, f"{out}/cache")
+
+
+@query("output_check", f"""
+SELECT 'abc' AS output, COUNT(*) AS records, CAST(0 AS BIGINT) AS corrupt FROM ({with_sales(CACHE_CTES + " SELECT * FROM cur")}) a
+UNION ALL SELECT 'cache', COUNT(*), 0 FROM ({with_sales(CACHE_CTES + " SELECT * FROM upserted")}) c
+UNION ALL SELECT 'monthly', COUNT(*), 0 FROM (SELECT DISTINCT store_id, month FROM ({with_sales(MONTHLY_RANK_CTES + " SELECT * FROM tb")}) t) m
+UNION ALL SELECT 'periods', COUNT(*), 0 FROM (SELECT DISTINCT granularity, store_id FROM ({with_sales(MULTI_CTE + " SELECT * FROM mm", daily=True)}) t) p
+UNION ALL SELECT 'index', 1, 0""")
 def q_output_check(spark, sf):
     """K1–K7: run the three jobs on the fact (stub annotator) and check what
-    they wrote: files, bytes, records, corrupt records (rows-only)."""
+    they wrote: records and corrupt records of each output."""
     from shelfrank.operators import annotate, documents
     from shelfrank.plans import jobs
     out = _scratch(spark, "jobs")
     stub = annotate.stub_annotator
-    r1 = jobs.abc_job(spark, sales_fact(spark, sf), f"{out}/abc", annotator=stub,
-                      cache_in=_prev_cache(spark, sf))
-    r2 = jobs.monthly_job(spark, sales_fact(spark, sf), f"{out}/monthly", annotator=stub)
-    r3 = jobs.multi_job(spark, daily_fact(spark, sf), f"{out}/multi", annotator=stub)
-    return documents.output_check(spark, {**r1.outputs, **r2.outputs, **r3.outputs})
+    with jobs.abc_job(spark, sales_fact(spark, sf), f"{out}/abc", annotator=stub, cache_in=_prev_cache(spark, sf)) as r1, \
+            jobs.monthly_job(spark, sales_fact(spark, sf), f"{out}/monthly", annotator=stub) as r2, \
+            jobs.multi_job(spark, daily_fact(spark, sf), f"{out}/multi", annotator=stub) as r3:
+        found = documents.output_check(spark, {**r1.outputs, **r2.outputs, **r3.outputs})
+    return found.select("output", "records", "corrupt")
 
 
 @query("selection_lists", with_sales(SELECTION_CTES + """,
@@ -1207,12 +1355,8 @@ FROM ls WHERE lpos <= 10""", daily=True))
 def q_selection_lists(spark, sf):
     """First 10 of the TOP list and of the BOTTOM list of each selection
     (both in descending value order, as the dashboard shows them)."""
-    from pyspark.sql import Window
-    s = selection(spark, sf)
-    w = Window.partitionBy(*PKEYS, "kind").orderBy(F.col("value").desc(), F.col("product").asc())
-    out = s.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= 10)
-    return out.select(*PKEYS, F.col("kind").alias("list"), F.col("pos").cast("int").alias("pos"), "product",
-                      dbl("value").alias("value"), "abc_class")
+    out = abc.kind_lists(selection(spark, sf), PKEYS)
+    return out.select(*PKEYS, F.col("kind").alias("list"), "pos", "product", dbl("value").alias("value"), "abc_class")
 
 
 @query("selection_summary", with_sales(SELECTION_CTES + """
@@ -1227,18 +1371,5 @@ SELECT granularity, store_id, period, COUNT(*) AS n_products,
        CAST(MIN(total) AS DOUBLE) AS total
 FROM sc GROUP BY granularity, store_id, period""", daily=True))
 def q_selection_summary(spark, sf):
-    """A17 + A14 on a selection: products, products with an insight, insight
-    count, class counts and the integer share of class A (F19)."""
-    s = selection(spark, sf)
-    a_val = F.coalesce(F.sum(F.when(F.col("abc_class") == "A", F.col("value"))).cast("double"), F.lit(0.0))
-    g = s.groupBy(*PKEYS).agg(
-        F.count(F.lit(1)).alias("n_products"),
-        F.count_if(F.size("insights") > 0).alias("n_with_insight"),
-        F.sum(F.size("insights")).cast("bigint").alias("n_insights"),
-        F.count_if(F.col("abc_class") == "A").alias("n_a"),
-        F.count_if(F.col("abc_class") == "B").alias("n_b"),
-        F.count_if(F.col("abc_class") == "C").alias("n_c"),
-        a_val.alias("_a"),
-        F.min("period_total").cast("double").alias("total"))
-    share = F.floor(F.col("_a") / F.col("total") * F.lit(100.0) + F.lit(0.5)).cast("int")
-    return g.withColumn("share_a", share).drop("_a")
+    """A17 + A14 on a selection."""
+    return abc.selection_summary(selection(spark, sf), PKEYS)

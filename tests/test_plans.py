@@ -48,3 +48,37 @@ def test_month_over_month_has_no_join(spark, tmp_dir):
     plan = _plan(mom)
     assert "Join" not in plan
     assert len({re.sub(r"#\d+", "", c) for c in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)}) == 1
+
+
+def test_period_ranking_scans_its_fact_once(spark):
+    """In the plan that ran: one scan of the fact, all other branches reuse its
+    exchanges. Built on the ranking itself, for both facts."""
+    from shelfrank.operators import annotate
+    from shelfrank.plans import queries as q
+
+    for fact, table in (("daily", "events"), ("sales", "lineitem")):
+        r, totals, recent = q._period_ranking(spark, "/root/testdata/sf0.001", fact)
+        prompts = annotate.period_prompts(r.join(recent.filter("annotated"), q.PKEYS).drop("annotated"), totals, q.PKEYS)
+        for df in (r.join(recent, q.PKEYS).join(totals, q.PKEYS), prompts):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            final = plan[plan.index("== Final Plan =="):plan.index("== Initial Plan ==")]
+            assert len(re.findall(rf"FileScan parquet .*{table}\.parquet", final)) == 1, final
+
+
+def test_running_totals_write_files_by_rows_not_by_shuffle_partitions(spark, tmp_dir):
+    import glob
+
+    from shelfrank.operators.prefix import running_totals
+    from shelfrank.session import checkpoint_dir
+    totals = marts.product_totals(_fact(spark, tmp_dir))
+    checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before, files = spark.conf.get("spark.sql.shuffle.partitions"), set(glob.glob(f"{folder}/rdd-*/part-*"))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        out = running_totals(totals, ["store_id"], [F.col("value").desc(), F.col("product").asc()])
+        assert out.count() == 120
+        assert len(set(glob.glob(f"{folder}/rdd-*/part-*")) - files) < 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
