@@ -81,23 +81,24 @@ def merge_selection(items: DataFrame, keys=("store_id", "period"), order_col: st
     ``items`` has the keys, product, kind, value, a list order and
     diagnosis/action. With ``dedupe`` a product listed in both TOP and BOTTOM
     counts once; ``dedupe=False`` adds its value twice, as the dashboard does
-    (D7). Kind is the first entry's; ``insights`` keeps list order and skips
+    (D7); ``value_once`` and ``value_twice`` are both. Kind is the first entry's; ``insights`` keeps list order and skips
     entries with no or an empty diagnosis or the "no model" text (F17).
     """
     g = [*keys, "product"]
-    value = F.max("value") if dedupe else F.sum("value")
     insight = F.when(
         F.col("diagnosis").isNotNull() & ~F.col("diagnosis").isin("", NO_MODEL),
         F.struct(F.col(order_col).alias("_o"), F.col("diagnosis").alias("text"), F.col("action")),
     )
     by_pos = F.array_sort(F.collect_list(insight), lambda a, b: F.when(a["_o"] < b["_o"], -1)
                           .when(a["_o"] > b["_o"], 1).otherwise(0))
-    return items.groupBy(*g).agg(
-        value.alias("value"),
+    merged = items.groupBy(*g).agg(
+        F.max("value").alias("value_once"),
+        F.sum("value").alias("value_twice"),
         F.min_by("kind", order_col).alias("kind"),
         F.min(order_col).alias("first_pos"),
         F.transform(by_pos, lambda s: s.dropFields("_o")).alias("insights"),
     )
+    return merged.withColumn("value", F.col("value_once" if dedupe else "value_twice"))
 
 
 # Fixed value: the status text the dashboard treats as "no insight".

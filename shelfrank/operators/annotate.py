@@ -240,11 +240,15 @@ def annotate_periods(items: DataFrame, totals: DataFrame, annotator, keys: list[
         return no_model(items)
     flagged = items.join(recent, keys, "inner") if recent is not None else items.withColumn(
         "annotated", F.lit(True))
+    # read by the prompts and by the items: fixed once, with the period totals,
+    # so that the fact is read by one job
+    flagged = materialize(flagged.join(totals.select(*keys, F.col("total").alias("_total")), keys))
     asked = flagged.filter(F.col("annotated"))
-    done = annotate_groups(asked, period_prompts(asked, totals, keys), annotator, keys)
+    asked_totals = asked.groupBy(*keys).agg(F.first("_total").alias("total"))
+    done = annotate_groups(asked, period_prompts(asked, asked_totals, keys), annotator, keys)
     old = (flagged.filter(~F.col("annotated"))
            .withColumn("diagnosis", F.lit(HISTORICAL)).withColumn("action", F.lit(NO_ACTION)))
-    return done.unionByName(old).drop("annotated", "recency")
+    return done.unionByName(old).drop("annotated", "recency", "_total")
 
 
 def annotate_months(ranking: DataFrame, context: DataFrame, annotator, keys: list[str]) -> DataFrame:

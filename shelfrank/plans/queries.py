@@ -927,13 +927,11 @@ def q_selection_merge_modes(spark, sf):
     counts once (``dedupe=True``) or twice, as the dashboard adds it. Runs
     on the lineitem fact, whose store-days hold a few products each."""
     a, _ = annotated_items(spark, sf, fact="sales")
-    out = None
-    for mode, dedupe in (("dedupe", True), ("sum", False)):
-        m = abc.merge_selection(a, PKEYS, order_col="i", dedupe=dedupe).select(
-            F.lit(mode).alias("mode"), *PKEYS, "product", dbl("value").alias("value"), "kind",
-            F.col("first_pos").cast("int").alias("first_pos"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    modes = F.array(F.struct(F.lit("dedupe").alias("mode"), dbl("value_once").alias("value")),
+                    F.struct(F.lit("sum").alias("mode"), dbl("value_twice").alias("value")))
+    m = abc.merge_selection(a, PKEYS, order_col="i").select(
+        F.explode(modes).alias("m"), *PKEYS, "product", "kind", F.col("first_pos").cast("int").alias("first_pos"))
+    return m.select("m.mode", *PKEYS, "product", "m.value", "kind", "first_pos")
 
 
 @query("selection_abc", with_sales(SELECTION_CTES + """
