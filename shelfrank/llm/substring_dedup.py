@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from shelfrank.llm.common import schema_of, text_of
 
 WINDOW = 13
-#: Words in a minimiser.
-MINIMISER = 3
+#: Words in a minimiser. Fewer give longer super-k-mers, more keep phrases that
+#: are merely common from filling a bucket.
+MINIMISER = 4
 #: Text bytes in a block, and in the share of a bucket.
 BLOCK_BYTES = 8 << 20
 #: Text bytes that are hashed at once.
@@ -169,7 +170,7 @@ def _split(window: int, m: int, buckets: int):
             mini, lo, hi, texts = mini[stay], lo[stay], hi[stay], [texts[i] for i in stay.tolist()]
             bucket = (mini % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            pack = zstandard.ZstdCompressor(level=3)
+            pack = zstandard.ZstdCompressor(level=5)
             for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 ids = np.concatenate((np.diff(lo[mine], prepend=0), hi[mine] - lo[mine]))
                 rows.append((int(bucket[mine[0]]), block, (mini[mine] >> np.uint64(32)).astype(np.uint32).tobytes(),
