@@ -30,8 +30,8 @@ from shelfrank.llm.quality import held_out, sample, scored
 
 #: Labelled rows of each class that are learned from, and the longest text
 #: among them (bytes). Scoring has no limit of either kind.
-TRAIN_ROWS = 2_500
-TRAIN_BYTES = 100_000
+TRAIN_ROWS = 1_500
+TRAIN_BYTES = 30_000
 #: Lengths (bytes) of word beginnings that can be indicators; toxic rows (near
 #: copies once) an indicator must stand in, and share of toxic rows among those
 #: that hold it.
