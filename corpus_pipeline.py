@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality(docs, table(spark, sf_dir, "labels"), carry=True).where(F.col("score") >= QUALITY).select("doc.*").select(*COLUMNS)
+    return quality(docs, table(spark, sf_dir, "labels"), carry=True).where(F.col("score") >= QUALITY).select("doc.*", "text").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return found.where(F.size("spans") == 0).select("doc.*").select(*COLUMNS)
+    return found.where(F.size("spans") == 0).select("doc.*", "text").select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

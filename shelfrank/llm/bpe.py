@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfrank.llm.common import id_type, out_batch, schema_of, slices, utf8_input
+from shelfrank.llm.common import id_type, out_batch, schema_of, slices, texts_of, utf8_input
 
 #: Bytes in the rolling hash's window, the mean distance of its cuts, and the
 #: smallest chunk.
@@ -35,7 +35,7 @@ MEAN_CHUNK = 1024
 LEAST_CHUNK = 256
 #: What a task remembers, in bytes of text; it forgets the older half beyond.
 MEMO_BYTES = 6 << 20
-MEMO_WORD_BYTES = 20 << 20
+MEMO_WORD_BYTES = 14 << 20
 
 #: Signs that never share a token with a letter or digit before them.
 _PUNCTUATION = b".,;:!?%#$&*"
@@ -279,7 +279,7 @@ def encode(docs: DataFrame, tokenizer: str | Callable[[], str], *, id_col: str =
            carry: bool = False) -> DataFrame:
     """Per document: ``id``, ``n_tokens``, ``token_ids`` (little-endian unsigned
     32-bit integers) and ``decoded`` (the library's decode of the ids); ``carry``
-    adds ``doc``, the input row.
+    adds ``text`` and ``doc``, the other columns.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can open,
     or a function that finds it there. Null and empty texts have no tokens and
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, tokenizer: str | Callable[[], str], *, id_col: str =
         codec = _codec(tokenizer() if callable(tokenizer) else tokenizer)
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                found = codec.encode_all([t.as_py() for t in part.column(1)])
+                found = codec.encode_all(texts_of(part))
                 yield out_batch(part, carry,
                                 n_tokens=pa.array([len(i) // 4 for i, _ in found], pa.int64()),
                                 token_ids=pa.array([i for i, _ in found], pa.binary()),

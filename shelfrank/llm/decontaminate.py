@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfrank.llm.common import id_type, out_batch, schema_of, slices, text_of, utf8_input
+from shelfrank.llm.common import id_type, out_batch, schema_of, slices, text_of, texts_of, utf8_input
 from shelfrank.session import persist_table
 
 #: Text bytes of the benchmark in one block (about ten times that in a task).
@@ -203,8 +203,8 @@ def _mark(block, carry: bool, item_type: pa.DataType):
         for batch in batches:
             for part in slices(batch):
                 ids, starts, counts = list(gap), [], []
-                for utf8 in part.column(1):
-                    words = words_of(utf8.as_py())
+                for utf8 in texts_of(part):
+                    words = words_of(utf8)
                     starts.append(len(ids))
                     counts.append(len(words))
                     ids += map(b.words.__getitem__, words)
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = 5, window:
                   carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: ``id``, ``n_words``, ``spans`` (sorted, disjoint word ranges
     that are hit) and ``items`` (ids of the items with an occurring window, sorted
-    as strings); with ``carry`` also ``doc``, the input row.
+    as strings); with ``carry`` also ``text`` and ``doc``, the other columns.
 
     Null or empty texts have no words and no hits; empty items are no windows;
     a null item_id hits words but is not listed; equal items are all listed. An
@@ -277,4 +277,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, k: int = 5, window:
         x.cast("string") > y.cast("string"), 1).otherwise(0)
     return rows.join(merged, "row").select(
         "id", "n_words", joined.alias("spans"),
-        F.array_sort(F.array_distinct("items"), by_text).alias("items"), *(["doc"] if carry else []))
+        F.array_sort(F.array_distinct("items"), by_text).alias("items"),
+        *([F.col("utf8").cast("string").alias("text"), "doc"] if carry else []))

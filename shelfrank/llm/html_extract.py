@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import id_type, slices, text_of
+from shelfrank.llm.common import id_type, slices, small_batches, text_of, texts_of
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s "
                     "samp small span strike strong sub sup time tt u var wbr br input picture source".split())
@@ -338,12 +338,13 @@ def extract(pages: DataFrame, model: Model, *, id_col: str = "page_id", html_col
     Null and empty pages have an empty text. Pages are read whole; broken markup
     is read as browsers read it, roughly. One row per input row.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                texts = [" ".join(content(shared.value, t.as_py().decode())) for t in part.column(1)]
+                texts = [" ".join(content(shared.value, t.decode())) for t in texts_of(part)]
                 doc = part.column(2)
                 yield pa.RecordBatch.from_arrays([part.column(0), doc.field(0), pa.array(texts, pa.string())], names=["id", "url", "text"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import id_type, out_batch, schema_of, slices, text_of, utf8_input
+from shelfrank.llm.common import id_type, out_batch, schema_of, slices, text_of, texts_of, utf8_input
 
 #: Buckets, vector length, character n-grams, training.
 BUCKETS = 1 << 17
@@ -180,13 +180,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int, most_by
 
 def scored(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``id`` and ``score`` of every row, by ``model.score(utf8)``; ``carry``
-    adds ``doc``, the input row."""
+    adds ``text`` and ``doc``, the other columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                found = [shared.value.score(t.as_py()) for t in part.column(1)]
+                found = [shared.value.score(t) for t in texts_of(part)]
                 yield out_batch(part, carry, score=pa.array(found, pa.float64()))
 
     source = utf8_input(docs, id_col, text_col, carry)
@@ -197,7 +197,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train
             train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
             **fit) -> DataFrame:
     """Per document: ``id``, ``held_out``, ``score`` (probability of label 1);
-    ``carry`` adds ``doc``, the input row.
+    ``carry`` adds ``text`` and ``doc``, the other columns.
 
     Trains on at most ``train_rows`` labelled documents of each class that are
     not held out and have at most ``train_bytes`` of text; ids are integers
@@ -208,4 +208,4 @@ def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", train
     """
     texts, known, share = sample(docs, labels, label, rows=train_rows, most_bytes=train_bytes, id_col=id_col, text_col=text_col)
     found = scored(docs, train(texts, known, share, **fit), id_col=id_col, text_col=text_col, carry=carry)
-    return found.select("id", held_out("id").alias("held_out"), "score", *(["doc"] if carry else []))
+    return found.select("id", held_out("id").alias("held_out"), "score", *(["text", "doc"] if carry else []))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import slices, utf8_input
+from shelfrank.llm.common import slices, texts_of, utf8_input
 from shelfrank.llm.components import components
 from shelfrank.session import persist_table
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fps = np.array([fingerprint(t.as_py(), shingle) for t in part.column(1)], np.uint64)
+                fps = np.array([fingerprint(t, shingle) for t in texts_of(part)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     source = utf8_input(docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")), "i", "t", False)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import schema_of, text_of
+from shelfrank.llm.common import schema_of, small_batches, text_of
 
 WINDOW = 13
 #: Words in a minimiser. Fewer give longer super-k-mers, more keep phrases that
@@ -320,6 +320,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER
     """
     if not 1 <= m <= window:
         raise ValueError("m must lie between 1 and the window")
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     cols = [F.col(id_col).cast("bigint").alias("id"), text_of(text_col).cast("binary").alias("utf8")]
@@ -332,4 +333,4 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, m: int = MINIMISER
     chunks = source.groupBy("block").applyInArrow(_split(window, m, blocks), _CHUNKS)
     replies = chunks.groupBy("bucket").applyInArrow(_count(window), _REPLIES)
     return source.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        _cut(window, m, layout, carry), schema_of("id bigint, n_words bigint, n_removed bigint, kept string", source))
+        _cut(window, m, layout, carry), schema_of("id bigint, n_words bigint, n_removed bigint, kept string", source, text=False))

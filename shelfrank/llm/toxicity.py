@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import slices, utf8_input
+from shelfrank.llm.common import slices, texts_of, utf8_input
 from shelfrank.llm.quality import held_out, sample, scored
 
 #: Labelled rows of each class that are learned from, and the longest text
@@ -62,7 +62,7 @@ def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         total = np.zeros(SYMBOLS ** 3, np.int64)
         for batch in batches:
             for part in slices(batch):
-                total += trigram_counts(b"\n".join([t.as_py() for t in part.column(1)]))
+                total += trigram_counts(b"\n".join(texts_of(part)))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["trigram", "n"])
 

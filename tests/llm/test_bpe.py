@@ -74,7 +74,7 @@ def test_operator_round_trip(spark):
     got = enc.collect()
     assert len(got) == len(rows)
     for r in got:
-        want = t.encode(r.doc["text"] or "", add_special_tokens=False).ids
+        want = t.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.token_ids, "<u4").tolist() == want and r.n_tokens == len(want)
         assert r.decoded == t.decode(want, skip_special_tokens=False)
         assert r.id == r.doc["doc_id"]

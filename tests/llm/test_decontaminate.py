@@ -77,3 +77,6 @@ def test_empty_tables_and_carried_columns(spark):
     wide = d.withColumn("items", F.lit("x")).withColumn("id", F.col("doc_id")).withColumn("utf8", F.lit(1))
     rows = decontaminate(wide, b, carry=True).collect()
     assert len(rows) == len(docs) and all(r.doc["items"] == "x" and r.doc["doc_id"] == r.id for r in rows)
+    assert sorted(str((r.id, r.text)) for r in rows) == sorted(map(str, docs))
+    more = decontaminate(wide, b, carry=True, block_bytes=300).collect()
+    assert sorted(str((r.id, r.text, r.n_words)) for r in more) == sorted(str((r.id, r.text, r.n_words)) for r in rows)
