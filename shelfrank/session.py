@@ -90,10 +90,13 @@ def persist_table(df, spark: SparkSession, name: str):
     """Write ``df`` as parquet to the shared folder and read it back.
 
     Cuts lineage so a lost executor only recomputes from the written table;
-    used for marts that several outputs reuse.
+    used for marts that several outputs reuse. ``drop_table`` deletes it; what
+    is left goes when the driver ends.
     """
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.parquet(path)
     out._scratch_path = path
     return out
