@@ -5,7 +5,8 @@ spacing (``i d i o t``, ``i-d-i-o-t``) and repetition (``idiooot``). A token tha
 shows such marks becomes a lattice of characters: each place lists what it may
 stand for, with the channel's cost. A Viterbi search finds the cheapest path
 under a character trigram model counted over the whole corpus; its words are the
-restored text. Tokens without marks are their own restoration.
+restored text. Paths little dearer count where they yield a learned indicator.
+Tokens without marks are their own restoration; digits alone are a number.
 
 Restored words are scored by indicators: words and beginnings of words that
 labelled toxic rows have and others do not, each with its log-odds; near copies
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -92,10 +94,15 @@ LEET = {
 #: one, a sign that may be a letter read as the end of a word, a gap left out, a
 #: run made shorter.
 READ, DROP, LOST, SPLIT, GAP, RUN = 1.0, 1.5, 6.0, 4.0, 0.2, 0.3
+#: Cheapest paths looked at for indicators, and how much dearer than the first.
+MOST, WITHIN = 4, 3.0
+_KEYS = (1 << 61) - 1
 
 _GAPS = b" \t\n.-_,~*"
 _TRIM = b"".join(bytes([b]) for b in range(33, 127) if not bytes([b]).isalnum())
 _MARKED = re.compile(rb"[a-z\x80-\xff].*[0-9@$!|+(*#._\-~].*|[0-9@$!|+(*#].*[a-z\x80-\xff].*|.*([a-z])\1\1")
+#: Signs and digits that may all be letters; digits alone are a number.
+_SIGNS_ONLY = re.compile(rb"(?=.*[@$!|+(*#])(?=(.).*(?!\1)[0-9@$!|+(*#])[0-9@$!|+(*#]{3,}$")
 _SPACED = re.compile(rb"(?<![a-z0-9@$!|\x80-\xff])(?:[a-z0-9@$!|+][ \t.\-_,~*]{1,3}){3,}[a-z0-9@$!|+](?![a-z0-9\x80-\xff])")
 _SIGNED = re.compile(rb"[\"']*[@$!|+(*#][a-z]")
 _RUN = re.compile(rb"([a-z])\1\1")
@@ -127,52 +134,93 @@ def lattice(token: bytes) -> list[list[tuple[bytes, float]]]:
             options += [(bytes([x]), READ) for x in LEET.get(c, b"")]
             out.append(options)
             if n > 1 and c in LEET and c not in b"*#(":
-                out += [[(b"", RUN), *[(bytes([x]), READ) for x in LEET[c]]]] * min(n - 1, 2)
+                # a sign written twice is a doubled letter or one letter
+                again = RUN if n == 2 else READ
+                out += [[(b"", RUN), *[(bytes([x]), again) for x in LEET[c]]]] * min(n - 1, 2)
         at = end
     return out
 
 
-def restore(token: bytes, cost: np.ndarray) -> bytes:
-    """The cheapest path through the token's lattice."""
-    best = {(0, 0): (0.0, b"")}
+def restorations(token: bytes, cost: np.ndarray, most: int = MOST, within: float = WITHIN) -> list[bytes]:
+    """Texts of the cheapest paths through the token's lattice, cheapest first:
+    at most ``most``, none dearer than the first by more than ``within``."""
+    # of a path: what it has paid, a hash of its text, the text as a linked list
+    best: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None)]}
     for options in [*lattice(token), [(b" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, bytes]] = {}
-        for (a, b), (paid, text) in best.items():
+        new: dict[tuple[int, int], list[tuple]] = {}
+        for (a, b), paths in best.items():
             for emitted, extra in options:
-                p, q, total = a, b, paid + extra
+                p, q, more = a, b, extra
                 for x in emitted:
                     s = _SYMBOL[x]
                     if s or q:
-                        total += cost[p, q, s]
+                        more += cost[p, q, s]
                     p, q = (q, s) if q and s else (0, s)
-                old = new.get((p, q))
-                if old is None or total < old[0]:
-                    new[p, q] = (total, text + emitted)
-        best = new
-    return min(best.values())[1]
+                into = new.setdefault((p, q), [])
+                for paid, key, text in paths:
+                    for x in emitted:
+                        key, text = (key * 257 + x + 1) % _KEYS, (text, x)
+                    into.append((paid + more, key, text))
+        best = {at: _cheapest(paths, most) for at, paths in new.items()}
+    out = _cheapest([x for paths in best.values() for x in paths], most)
+    return [_unlinked(text) for paid, _, text in out if paid <= out[0][0] + within]
+
+
+def _cheapest(paths: list[tuple], most: int) -> list[tuple]:
+    """The ``most`` cheapest of different texts, in order."""
+    if len(paths) > 1:
+        if most == 1:
+            return [min(paths, key=itemgetter(0))]
+        texts: dict[int, tuple] = {}
+        for path in sorted(paths, key=itemgetter(0)):
+            texts.setdefault(path[1], path)
+            if len(texts) == most:
+                break
+        return list(texts.values())
+    return paths
+
+
+def _unlinked(text) -> bytes:
+    out = bytearray()
+    while text:
+        text, x = text
+        out.append(x)
+    return bytes(out[::-1])
 
 
-class Restorer(dict):
-    """Restored words of a lower-cased token, remembered."""
+def restore(token: bytes, cost: np.ndarray) -> bytes:
+    """The cheapest path through the token's lattice."""
+    return restorations(token, cost, 1)[0]
 
-    def __init__(self, cost: np.ndarray):
-        super().__init__()
+
+class Restorer:
+    """Restored words of lower-cased text. The cheapest path is read always, the
+    next ones only for words that hold an indicator (one of ``known``)."""
+
+    def __init__(self, cost: np.ndarray, known: dict[bytes, float] | None = None):
         self.cost = cost
+        self.known = known or {}
+
+    def read(self, part: bytes) -> list[bytes]:
+        first, *others = restorations(part, self.cost, MOST if self.known else 1)
+        return first.split() + [w for text in others for w in text.split() if any(h in self.known for h in _heads(w))]
 
     def words(self, token: bytes) -> tuple[bytes, ...]:
         core = token.strip(_TRIM)
+        if not core:
+            core = token.strip(b"\"'.,;:?")
         if core.isalpha() and not _RUN.search(core) and not _SIGNED.match(token):
             return (core,)
         found = _PLAIN.findall(core)
         # a sign at the edge of a token may be a letter of it
         for part in {core, token.rstrip(b".,;:?!\"'")}:
-            if _MARKED.match(part) and sum(map(len, found)) * 2 >= len(set(part)):
-                found += restore(part, self.cost).split()
+            if _MARKED.match(part) or _SIGNS_ONLY.match(part):
+                found += self.read(part)
         return tuple(dict.fromkeys(found))
 
     def spaced(self, low: bytes) -> list[bytes]:
         """Words restored from letters that stand apart."""
-        return [w for m in _SPACED.finditer(low) for w in restore(m[0], self.cost).split() if len(w) > 2]
+        return [w for m in _SPACED.finditer(low) for w in self.read(m[0]) if len(w) > 2]
 
 
 # ------------------------------------------------------------- indicators
@@ -199,7 +247,7 @@ class Model:
 
     def found(self, utf8: bytes) -> set[bytes]:
         """The document's indicators, in its restored text."""
-        low, restorer, memo, out = utf8.lower(), Restorer(self.cost), self.memo, set()
+        low, restorer, memo, out = utf8.lower(), Restorer(self.cost, self.weights), self.memo, set()
         for token in set(low.split()):
             hits = memo.get(token)
             if hits is None:

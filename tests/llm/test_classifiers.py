@@ -147,3 +147,28 @@ def test_learned_words_are_found_when_obfuscated():
     for bad in ("gl0rp", "GLORP!!", "s n a r f l e", "snarrrrfle", "sn@rfle", "g-l-o-r-p"):
         assert m.score((text() + " " + bad + " " + text()).encode()) > 0.9, bad
     assert m.score(b"") < 0.1
+
+
+def test_fully_replaced_words_are_restored():
+    words = "the idiot was a loser and worthless trash with shit for this house is on top of it".split()
+    r = T.Restorer(T.costs(T.trigram_counts(b" ".join(w.encode() for w in words * 30))))
+    for written, clean in (("l053r", "loser"), ("7r45h", "trash"), ("1d107", "idiot"), ("5h17", "shit"), ("+r@$#", "trash")):
+        assert clean.encode() in r.words(written.encode()), written
+    assert r.words(b"2015") == () and r.words(b"***") == () and r.words(b"$20") == ()
+
+
+def learned_from(bad_words):
+    import random
+    rng = random.Random(2)
+    sounds = "ba ke li mo nu ra si to ve za".split()
+    text = lambda: " ".join("".join(rng.choices(sounds, k=rng.randint(1, 3))) for _ in range(30))
+    labels = [int(i % 3 == 0) for i in range(300)]
+    texts = [" ".join([text(), *([rng.choice(bad_words)] if y else []), text()]).encode() for y in labels]
+    return T.train(texts, labels, 1 / 3, T.trigram_counts(b" ".join(texts))), text
+
+
+def test_learned_words_are_found_when_fully_replaced():
+    m, text = learned_from(["loser", "idiot", "asshole", "trash"])
+    assert m.score(text().encode()) < 0.1
+    for bad in ("l053r", "1d107", "1053r", "7r45h", "4$$h0l3", "4$$#013"):
+        assert m.score((text() + " " + bad + " " + text()).encode()) > 0.9, bad
