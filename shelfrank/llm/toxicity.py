@@ -1,7 +1,7 @@
 """Toxicity through a noisy channel.
 
 Written text is taken as clean text that passed a channel of leetspeak (``1d10t``),
-spacing (``i d i o t``, ``i-d-i-o-t``) and repetition (``idiooot``). A token that
+spacing (``a s s``, ``i-d-i-o-t``) and repetition (``idiooot``, ``iddiioott``). A token that
 shows such marks becomes a lattice of characters: each place lists what it may
 stand for, with the channel's cost. A Viterbi search finds the cheapest path
 under a character trigram model counted over the whole corpus; its words are the
@@ -42,6 +42,8 @@ SUPPORT = 3
 PURITY = 0.9
 #: Distinct tokens whose restoration a task remembers.
 MEMO_TOKENS = 200_000
+#: The same on the driver, in training.
+TRAIN_TOKENS = 50_000
 
 # ------------------------------------------------------- character model
 
@@ -100,12 +102,15 @@ _KEYS = (1 << 61) - 1
 
 _GAPS = b" \t\n.-_,~*"
 _TRIM = b"".join(bytes([b]) for b in range(33, 127) if not bytes([b]).isalnum())
-_MARKED = re.compile(rb"[a-z\x80-\xff].*[0-9@$!|+(*#._\-~].*|[0-9@$!|+(*#].*[a-z\x80-\xff].*|.*([a-z])\1\1")
+_MARKED = re.compile(rb"[a-z\x80-\xff].*[0-9@$!|+(*#._\-~].*|[0-9@$!|+(*#].*[a-z\x80-\xff].*|.*([a-z])\1")
 #: Signs and digits that may all be letters; digits alone are a number.
 _SIGNS_ONLY = re.compile(rb"(?=.*[@$!|+(*#])(?=(.).*(?!\1)[0-9@$!|+(*#])[0-9@$!|+(*#]{3,}$")
-_SPACED = re.compile(rb"(?<![a-z0-9@$!|\x80-\xff])(?:[a-z0-9@$!|+][ \t.\-_,~*]{1,3}){3,}[a-z0-9@$!|+](?![a-z0-9\x80-\xff])")
-_SIGNED = re.compile(rb"[\"']*[@$!|+(*#][a-z]")
-_RUN = re.compile(rb"([a-z])\1\1")
+_SPACED = re.compile(rb"(?<![a-z0-9@$!|\x80-\xff])(?:[a-z0-9@$!|+(*#][ \t.\-_,~*]{1,3}){2,}[a-z0-9@$!|+(*#](?![a-z0-9\x80-\xff])")
+_RUN = re.compile(rb"([a-z])\1")
+_RUNS = re.compile(rb"([a-z])\1+")
+_SAME = re.compile(rb"(.)\1*")
+#: Punctuation that stands for no letter.
+_EDGE = bytes(b for b in _TRIM if bytes([b]) not in LEET)
 _PLAIN = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -121,8 +126,8 @@ def lattice(token: bytes) -> list[list[tuple[bytes, float]]]:
             end += 1
         n = end - at
         if c.isalpha() or c >= b"\x80":
-            if n > 2 and c < b"\x80":
-                out.append([(c, RUN), (c * 2, RUN)])
+            if n > 1 and c < b"\x80":
+                out.append([(c, RUN), (c * 2, RUN if n > 2 else 0.0)])
             else:
                 out += [[(c, 0.0)]] * n
         else:
@@ -141,9 +146,11 @@ def lattice(token: bytes) -> list[list[tuple[bytes, float]]]:
     return out
 
 
-def restorations(token: bytes, cost: np.ndarray, most: int = MOST, within: float = WITHIN) -> list[bytes]:
+def restorations(token: bytes, cost: np.ndarray | list[float], most: int = MOST, within: float = WITHIN) -> list[bytes]:
     """Texts of the cheapest paths through the token's lattice, cheapest first:
     at most ``most``, none dearer than the first by more than ``within``."""
+    if isinstance(cost, np.ndarray):
+        cost = cost.ravel().tolist()
     # of a path: what it has paid, a hash of its text, the text as a linked list
     best: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None)]}
     for options in [*lattice(token), [(b" ", 0.0)]]:
@@ -154,7 +161,7 @@ def restorations(token: bytes, cost: np.ndarray, most: int = MOST, within: float
                 for x in emitted:
                     s = _SYMBOL[x]
                     if s or q:
-                        more += cost[p, q, s]
+                        more += cost[(p * SYMBOLS + q) * SYMBOLS + s]
                     p, q = (q, s) if q and s else (0, s)
                 into = new.setdefault((p, q), [])
                 for paid, key, text in paths:
@@ -193,34 +200,49 @@ def restore(token: bytes, cost: np.ndarray) -> bytes:
     return restorations(token, cost, 1)[0]
 
 
+def _prefixes(word: bytes) -> list[bytes]:
+    return [word + b" ", *[word[:n] for n in range(1, min(len(word), HEADS[-1]) + 1)]]
+
+
 class Restorer:
     """Restored words of lower-cased text. The cheapest path is read always, the
     next ones only for words that hold an indicator (one of ``known``)."""
 
     def __init__(self, cost: np.ndarray, known: dict[bytes, float] | None = None):
-        self.cost = cost
+        self.cost = cost.ravel().tolist()
         self.known = known or {}
+        self.memo: dict[bytes, tuple[bytes, ...]] = {}
+        self.single = {_RUNS.sub(rb"\1", h) for h in self.known}
 
     def read(self, part: bytes) -> list[bytes]:
+        if self.known and _PLAIN.fullmatch(part):
+            # all readings are alike but for runs; most words are like no indicator
+            if self.single.isdisjoint(_prefixes(_RUNS.sub(rb"\1", part))):
+                return []
         first, *others = restorations(part, self.cost, MOST if self.known else 1)
         return first.split() + [w for text in others for w in text.split() if any(h in self.known for h in _heads(w))]
 
     def words(self, token: bytes) -> tuple[bytes, ...]:
         core = token.strip(_TRIM)
-        if not core:
-            core = token.strip(b"\"'.,;:?")
-        if core.isalpha() and not _RUN.search(core) and not _SIGNED.match(token):
+        lead, _, tail = token.partition(core) if core else (b"", b"", token)
+        lead, tail = lead.lstrip(_EDGE), tail.strip(_EDGE) if not core else tail.rstrip(_EDGE)
+        if core.isalpha() and not lead and not tail and not _RUN.search(core):
             return (core,)
         found = _PLAIN.findall(core)
-        # a sign at the edge of a token may be a letter of it
-        for part in {core, token.rstrip(b".,;:?!\"'")}:
-            if _MARKED.match(part) or _SIGNS_ONLY.match(part):
-                found += self.read(part)
+        # the signs at the edges of a token, or the nearest runs of them, may be letters of it
+        for before in {lead, *(lead[m.start():] for m in list(_SAME.finditer(lead))[-2:]), b""}:
+            for after in {tail, *(tail[:m.end()] for m in list(_SAME.finditer(tail))[:2]), b""}:
+                part = before + core + after
+                if _MARKED.match(part) or _SIGNS_ONLY.match(part):
+                    found += self.read(part)
         return tuple(dict.fromkeys(found))
 
     def spaced(self, low: bytes) -> list[bytes]:
         """Words restored from letters that stand apart."""
-        return [w for m in _SPACED.finditer(low) for w in self.read(m[0]) if len(w) > 2]
+        return [w for m in _SPACED.finditer(low) for w in self.joined(m[0])]
+
+    def joined(self, apart: bytes) -> list[bytes]:
+        return [w for w in self.read(apart) if len(w) > 2]
 
 
 # ------------------------------------------------------------- indicators
@@ -241,23 +263,25 @@ class Model:
     bias: float
     scale: float
     memo: dict = field(default_factory=dict)
+    restorer: Restorer | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "restorer": None}
 
     def found(self, utf8: bytes) -> set[bytes]:
         """The document's indicators, in its restored text."""
-        low, restorer, memo, out = utf8.lower(), Restorer(self.cost, self.weights), self.memo, set()
-        for token in set(low.split()):
+        restorer = self.restorer = self.restorer or Restorer(self.cost, self.weights)
+        low, memo, out = utf8.lower(), self.memo, set()
+        apart = {b" " + m[0] for m in _SPACED.finditer(low)}
+        for token in {*low.split(), *apart}:
             hits = memo.get(token)
             if hits is None:
                 if len(memo) >= MEMO_TOKENS:
                     memo.clear()
-                hits = memo[token] = [h for w in restorer.words(token) for h in _heads(w) if h in self.weights]
+                words = restorer.joined(token[1:]) if token in apart else restorer.words(token)
+                hits = memo[token] = [h for w in words for h in _heads(w) if h in self.weights]
             if hits:
                 out.update(hits)
-        for w in restorer.spaced(low):
-            out.update(h for h in _heads(w) if h in self.weights)
         return out
 
     def logit(self, found: set[bytes]) -> float:
@@ -274,8 +298,15 @@ class Model:
 
 def _row_words(utf8: bytes, restorer: Restorer) -> set[bytes]:
     low = utf8.lower()
-    out = {w for token in set(low.split()) for w in restorer.words(token)}
-    return out | set(restorer.spaced(low))
+    out, memo = set(restorer.spaced(low)), restorer.memo
+    for token in set(low.split()):
+        words = memo.get(token)
+        if words is None:
+            if len(memo) >= TRAIN_TOKENS:
+                memo.clear()
+            words = memo[token] = restorer.words(token)
+        out.update(words)
+    return out
 
 
 def _families(texts: list[bytes]) -> list[int]:

@@ -172,3 +172,23 @@ def test_learned_words_are_found_when_fully_replaced():
     assert m.score(text().encode()) < 0.1
     for bad in ("l053r", "1d107", "1053r", "7r45h", "4$$h0l3", "4$$#013"):
         assert m.score((text() + " " + bad + " " + text()).encode()) > 0.9, bad
+
+
+def test_signs_at_the_end_doubled_letters_and_short_spacing():
+    m, text = learned_from(["loser", "idiot", "ass", "trash", "stupid", "cunt", "moron"])
+    for bad in ("idio+", "(idio+)", "a$$", "a$$!!", "tra$#", "*tra$#*", "stuupid", "iddiioott", "mmoorroonn", "a s s", "a $ $", "a-s-s", "i d i o +",
+                "( u n t", "tr*sh", "t r a s #"):
+        assert m.score((text() + " " + bad + " " + text()).encode()) > 0.9, bad
+    for clean in ("too good, really (well) 1 2 3", "c++ a+ 50% #1 * * * hello! (f. b. i.)", "butter: 100 - 20 = 80!"):
+        assert m.score((text() + " " + clean + " " + text()).encode()) < 0.1, clean
+
+
+def test_restoring_long_odd_text_takes_no_long_time():
+    import time
+    r = T.Restorer(T.costs(T.trigram_counts(corpus())), {b"idiot ": 1.0})
+    start = time.process_time()
+    for odd in (b"* " * 3000 + b"x1", b"a*" * 3000 + b"bb", b"*" * 9000 + b"ab", b"1, " * 3000 + b"ab", b"ab" * 3000 + b"aa", b"a* *" * 2000 + b"bb"):
+        r.spaced(odd)
+        for token in odd.split():
+            r.words(token) if len(token) > 5 else None
+    assert time.process_time() - start < 30
