@@ -60,6 +60,15 @@ def read_abc_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ABC_LINE).json(path)
 
 
+def abc_summary(lines: DataFrame) -> DataFrame:
+    """Per store of the ABC lines: number of items, first and last product, last
+    analysis. Every task sends one row per store, whatever the catalogue's size."""
+    return lines.groupBy("id_loja", "store_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_items"),
+        F.min_by("item.produto", "pos").alias("first_product"), F.max_by("item.produto", "pos").alias("last_product"),
+        F.max_by("item.analise_ia", "pos").alias("last_analysis"))
+
+
 def nest_abc(lines: DataFrame) -> DataFrame:
     """K1's form: one object per store with its items in order. A store's
     catalogue becomes one value, so this is for consumers of single stores."""

@@ -1025,14 +1025,10 @@ SELECT TRY_CAST(store_id AS INTEGER) AS id_loja, store_id, CAST(COUNT(*) AS INTE
        arg_max(analysis, pos) AS last_analysis
 FROM al GROUP BY store_id"""))
 def q_abc_documents(spark, sf):
-    """K1 + U3: the ABC lines written, read back and put together per store."""
+    """K1 + U3: the ABC lines written, read back and summed up per store."""
     from shelfrank.operators import documents
     path = documents.write_documents(_abc_lines(spark, sf), _scratch(spark, "abc"))
-    nested = documents.nest_abc(documents.read_abc_documents(spark, path))
-    last = F.element_at("itens", -1)
-    return nested.select("id_loja", "store_id", F.size("itens").alias("n_items"),
-                         F.element_at("itens", 1)["produto"].alias("first_product"),
-                         last["produto"].alias("last_product"), last["analise_ia"].alias("last_analysis"))
+    return documents.abc_summary(documents.read_abc_documents(spark, path))
 
 
 def _monthly_lines(spark, sf):

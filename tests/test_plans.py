@@ -82,3 +82,17 @@ def test_running_totals_write_files_by_rows_not_by_shuffle_partitions(spark, tmp
         assert len(set(glob.glob(f"{folder}/rdd-*/part-*")) - files) < 10
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_abc_lines_are_summed_without_a_list_per_store(spark):
+    from shelfrank.plans.registry import QUERIES
+    plan = _plan(QUERIES["abc_documents"](spark, "/root/testdata/sf0.001"))
+    assert "collect_list" not in plan and "partial_max_by" in plan
+
+
+def test_nested_and_summed_lines_of_one_store(spark):
+    from shelfrank.operators import documents
+    lines = spark.createDataFrame([(7, "7", i, (f"p{i:02d}", 1.0, "A", {"2024-01": 1.0}, f"a{i}")) for i in (3, 0, 2, 1)], documents.ABC_LINE)
+    nested = documents.nest_abc(lines).collect()[0]
+    assert [x.produto for x in nested.itens] == ["p00", "p01", "p02", "p03"]
+    assert documents.abc_summary(lines).collect()[0] == (7, "7", 4, "p00", "p03", "a3")
