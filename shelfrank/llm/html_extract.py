@@ -20,6 +20,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -30,10 +31,21 @@ from pyspark.sql import functions as F
 from shelfrank.llm.common import id_type, slices, small_batches, text_of, texts_of
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s "
-                    "samp small span strike strong sub sup time tt u var wbr br input picture source".split())
+                    "samp small span strike strong sub sup time tt u var wbr br input picture source canvas object "
+                    # MathML is text of its line
+                    "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts "
+                    "mprescripts none mstyle merror mpadded mphantom mfenced menclose maction mtable mtr mlabeledtr mtd semantics "
+                    "annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page; all up to their end tag is left out.
-_SILENT = frozenset("script style title textarea iframe noembed noframes template svg math canvas object".split())
+_SILENT = frozenset("script style title textarea iframe noembed noframes template".split())
+#: What a drawing ends at (these start tags also if its end tag is missing), but
+#: not within those of its elements that may hold HTML.
+_HOLDS_HTML = frozenset("foreignobject desc title".split())
+_IN_SVG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)(svg|foreignobject|desc|title|address|article|aside|b|big|blockquote|body|br|"
+    r"center|code|dd|details|div|dl|dt|em|embed|fieldset|figure|footer|form|h[1-6]|head|header|hr|i|img|li|listing|main|menu|meta|nav|"
+    r"nobr|ol|p|pre|ruby|s|section|small|span|strike|strong|sub|sup|table|tt|u|ul|var)(?=[\s/>])([^>]*)>", re.I | re.S)
 _ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header "
                     "hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these names, within the nearest of those.
@@ -70,6 +82,35 @@ class Tree:
     text: list[str | None] = field(default_factory=list)
 
 
+def _svg_end(page: str, at: int, nested: bool) -> tuple[int, bool]:
+    """Where a drawing that starts before ``at`` ends, and whether HTML within it
+    was closed. ``nested``: HTML within it belongs to it."""
+    opened, count, first = ["svg"], Counter(svg=1), None
+    for m in _IN_SVG.finditer(page, at):
+        if m[2] is None:
+            continue
+        closing, name = m[1], m[2].lower()
+        if name == "svg" or name in _HOLDS_HTML:
+            if not closing:
+                if not m[3].endswith("/") and (nested or name == "svg"):
+                    opened.append(name)
+                    count[name] += 1
+            elif count[name]:
+                last = ""
+                while last != name:
+                    last = opened.pop()
+                    count[last] -= 1
+                if not opened:
+                    return m.end(), True
+        elif not closing or name in ("p", "br"):
+            first = m.start() if first is None else first
+            while opened[-1] == "svg":
+                count[opened.pop()] -= 1
+                if not opened:
+                    return m.start(), True
+    return (len(page), True) if first is None else (first, False)
+
+
 def parse(page: str) -> Tree:
     """The page's tree, without elements that hold no text."""
     parent, tags, names, texts, blocks = [-1], [""], ["html"], [None], []
@@ -93,7 +134,7 @@ def parse(page: str) -> Tree:
         while len(stack) > depth:
             open_names[names[stack.pop()]] -= 1
 
-    at, n, loose = 0, len(page), False
+    at, n, loose, nested = 0, len(page), False, True
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -133,7 +174,7 @@ def parse(page: str) -> Tree:
         if name in _INLINE:
             if name == "a":
                 in_link = 0 if closing else 1
-            elif name == "br":
+            elif name in ("br", "mtd"):
                 run.append(" ")
             continue
         end_block()
@@ -146,6 +187,11 @@ def parse(page: str) -> Tree:
                 if depth > 0:
                     pop_to(depth)
             continue
+        if name == "svg":
+            if not m[3].endswith("/"):
+                at, closed = _svg_end(page, at, nested)
+                nested = nested and closed
+            continue
         if name in _SILENT:
             if not m[3].endswith("/"):
                 end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)

@@ -73,3 +73,28 @@ def test_operator(spark, model):
     assert got[None, "n"] == "Only this one here."
     assert got[4, "v"] == " ".join(f"Paragraph {i} of a long one." for i in range(20000))
     assert X.extract(df, model).count() == len(rows) and X.extract(df.limit(0), model).count() == 0
+
+
+def blocks(html):
+    return [t for t in X.parse(html).text if t is not None]
+
+
+def test_formulas_and_fallback_text_are_text():
+    assert blocks("<p>So <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></math> holds.</p>") == ["So x=y2 holds."]
+    assert blocks("<p>One <object data=a>fallback</object> two.</p><canvas>drawn</canvas><p>end</p>") == ["One fallback two.", "drawn", "end"]
+
+
+def test_unclosed_elements_do_not_swallow_the_page():
+    for name in ("svg", "math", "object", "canvas"):
+        assert blocks(f"<div><{name} width=1><p>One here.</p><h1>Two</h1></div>") == ["One here.", "Two"], name
+    assert blocks("<p>a</p><svg><path d='M0'/><text>no</text></svg><p>b</p>") == ["a", "b"]
+    assert blocks("<svg><title>no</title><svg><g/></svg><text>no</text><foreignObject><div>no</div></foreignObject><text>no</text></svg><p>b</p>") == ["b"]
+    assert blocks("<svg><foreignObject><svg></svg><div>no</div></foreignObject></svg><p>b</p>") == ["b"]
+    assert blocks("<svg><!-- <p> --><text>no</text></svg>b<svg/>c") == ["b", "c"]
+    assert blocks("<svg><title>no<p>One.</p>") == ["One."]
+    assert blocks("<script>no<p>no</p>") == [] and blocks("<p>a</p><style>no <p>no") == ["a"]
+
+
+def test_many_unclosed_drawings():
+    assert len(blocks("<svg><title><p>x" * 5000)) == 5000
+    assert blocks("<svg>" * 20000 + "<p>x") == ["x"]
