@@ -39,6 +39,8 @@ TRAIN_ROWS = 2_000
 TRAIN_BYTES = 100_000
 
 _P = 0x9E3779B97F4A7C15
+_BASE = 0xD6E8FEB86659FD93
+_UNBASE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -55,6 +57,10 @@ def _mix(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, base, np.uint64))
+
+
 def features(utf8: bytes, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS) -> np.ndarray:
     """Buckets of the text's words and character n-grams (of bytes), repeats
     included, and bucket 0 for each word that repeats what stands shortly before.
@@ -80,7 +86,12 @@ def features(utf8: bytes, buckets: int = BUCKETS, grams: tuple[int, ...] = GRAMS
         alive, place = alive[on], place[on]
         if not len(alive):
             break
-    # beyond 64 bytes a word is told apart by its first 64 and its length
+    if longest > 64:
+        # longer words are hashed whole, by prefix sums: the base is odd, so its powers can be divided by
+        far = np.flatnonzero(last - first > 64)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(code * _powers(_BASE, len(code)))))
+        whole = sums[last[far] + 1] - sums[first[far] + 1]
+        done[far] = whole * _powers(_UNBASE, len(code))[first[far]]
     done ^= (last - first).astype(np.uint64) << np.uint64(40)
     out.append(_mix(done, buckets))
     again = np.zeros(len(done), bool)

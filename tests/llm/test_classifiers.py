@@ -192,3 +192,11 @@ def test_restoring_long_odd_text_takes_no_long_time():
         for token in odd.split():
             r.words(token) if len(token) > 5 else None
     assert time.process_time() - start < 30
+
+
+def test_long_words_are_hashed_whole():
+    at = lambda t: Q.features(t)[0]
+    words = {b"x" * 70 + bytes([97 + i]) + b"y" * (20 + j) + bytes([97 + k]) for i in range(5) for j in range(3) for k in range(5)}
+    assert len({at(w) for w in words}) > len(words) * 0.9
+    for w in words:  # wherever the word stands
+        assert at(w) in Q.features(b"a bc " + w + b" d")[:4] and (Q.features(w + b" " + w) == 0).any()
