@@ -233,3 +233,96 @@ def op4_tree_model_html(spark, sf_dir):
 
     return extract(table(spark, sf_dir, "pages"), train(labelled_pages())).select(
         F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# ------------------------------------------------------- 11 curriculum mix
+
+@query
+def op11_curriculum_mix(spark, sf_dir):
+    from shelfrank.llm.curriculum import mix
+
+    first = F.try_element_at("copies", F.lit(1))["position"]
+    return mix(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round(first, 9).alias("position"))
+
+
+def _position_sql(share: str) -> str:
+    """The inverse of each weight's integrated schedule, as SQL."""
+    from shelfrank.llm.curriculum import SCHEDULES, integral
+
+    num = lambda x: f"CAST('{float(x)!r}' AS DOUBLE)"
+    whens = []
+    for weight, knots in SCHEDULES.items():
+        for before, behind, time, length, r, s in integral(knots):
+            y = f"(({share} - {num(before)}) / {num(length)})"
+            x = f"{y} * 2 / ({num(r)} + sqrt(greatest({y} * {num(2 * (s - r))} + {num(r * r)}, 0)))"
+            inside = f"AND {share} < {num(behind)}" if behind < integral(knots)[-1][1] else ""
+            whens.append(f"WHEN weight = {weight} {inside} THEN {num(time)} + least(greatest({x}, 0), 1) * {num(length)}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+ORACLE["op11_curriculum_mix"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS mark FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight FROM s0),
+s2 AS (SELECT *, sum(source_size) OVER () AS whole, 3 * source_size AS most, coalesce(sum(3 * source_size) OVER o, 0) AS held,
+    sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS free FROM s1
+    WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT coalesce(min(held) FILTER (most * free > weight * (whole - held)), 0) AS held,
+    coalesce(max(free) FILTER (most * free > weight * (whole - held)), 0) AS free FROM s2),
+t AS (SELECT source, source_size, weight, CASE WHEN most * lv.free > weight * (whole - lv.held)
+    THEN CAST(weight AS DOUBLE) * CAST(whole - lv.held AS DOUBLE) / CAST(lv.free AS DOUBLE) ELSE CAST(most AS DOUBLE) END AS target FROM s2, lv),
+p AS (SELECT doc_id, size, source_size, target, weight, CAST(floor(target + 0.5) AS BIGINT) AS goal,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(least(goal - before, size), 0) + greatest(least(goal - before - source_size, size), 0)
+    + greatest(least(goal - before - 2 * source_size, size), 0) AS BIGINT) AS taken,
+    CASE WHEN least(goal - before, size) > 0 THEN round(""" + _position_sql("(CAST(before AS DOUBLE) / target)") + """, 9) END AS position
+FROM p
+"""
+
+
+# -------------------------------------------------------- 12 spelling variants
+
+#: One run in so many gets a typing error, by the contract.
+DAMAGED = 199
+
+
+@query
+def op12_vgram_spelling(spark, sf_dir):
+    from shelfrank.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), one_in=DAMAGED)
+
+
+# ------------------------------------------------------------ 13 filter audit
+
+@query
+def op13_truth_table_audit(spark, sf_dir):
+    from shelfrank.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_truth_table_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m FROM d),
+l AS (SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1) AS good, bool_or(toxic IS NOT DISTINCT FROM 1) AS bad FROM labels GROUP BY doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m),
+x(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT x1.f || x2.f || x3.f || x4.f || x5.f AS filter_order, [x1.b, x2.b, x3.b, x4.b, x5.b] AS bits FROM x x1, x x2, x x3, x x4, x x5
+    WHERE x1.b | x2.b | x3.b | x4.b | x5.b = 31),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, bits[k] AS b, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INTEGER) AS gone FROM o, range(1, 6) r(k)),
+g AS (SELECT part, filter_order, step, b, sum(CASE WHEN m & (gone | b) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN m & gone = 0 AND m & b > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN m & gone > 0 AND m & b > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN m = b THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN m & gone = 0 AND m & b > 0 THEN n_good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN m & gone = 0 AND m & b > 0 THEN n_bad ELSE 0 END) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM g
+"""
