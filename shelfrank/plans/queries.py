@@ -6,6 +6,7 @@ to double only in the last projection, in both engines (SURVEY D5).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfrank.operators import abc, marts
@@ -1228,7 +1229,8 @@ def q_xlsx_read(spark, sf):
 c AS (SELECT *, l_orderkey % 3 = 0 AS turned,
              CASE WHEN l_orderkey % 7 = 0 THEN 'long' WHEN l_orderkey % 11 = 0 THEN 'long'
                   WHEN l_orderkey % 13 = 0 THEN 'short' ELSE 'whole' END AS form FROM raw),
-k AS (SELECT CASE WHEN turned AND form = 'short' THEN NULL ELSE store_id END AS store_id, product, value_raw,
+k AS (SELECT CASE WHEN turned AND form = 'short' THEN NULL ELSE store_id END AS store_id,
+             CASE WHEN l_orderkey % 5 = 0 THEN product || ' "Q;x"' || chr(10) || 'z' ELSE product END AS product, value_raw,
              CASE WHEN NOT turned AND form = 'short' THEN NULL ELSE date_raw END AS date_raw
       FROM c WHERE form <> 'long'),
 f AS (SELECT store_id, {T.product_sql('product')} AS product, {T.money_sql('value_raw')} AS value,
@@ -1240,11 +1242,14 @@ SELECT store_id, COUNT(*) AS n_rows, COUNT(d) AS dated_rows, CAST(SUM(value) AS
 FROM cs GROUP BY store_id"""))
 def q_csv_bad_lines(spark, sf):
     """S1 + D8: files in two column orders, lines with surplus fields (empty
-    and filled) and short lines."""
+    and filled) and short lines; quoted fields with doubled quotes, separators
+    and line breaks."""
     from shelfrank.config import RAW_COLUMNS
     from shelfrank.plans.jobs import load_fact
     path = _scratch(spark, "csv-bad-lines")
     raw = T.raw_sales_text(spark, sf)
+    quoted = F.concat(F.lit('"'), F.replace("product", F.lit('"'), F.lit('""')), F.lit(' ""Q;x""\nz"'))
+    raw = raw.withColumn("product", F.when(F.col("l_orderkey") % 5 == 0, quoted).otherwise(F.col("product")))
     cols = ["store_id", "product", "value_raw", "date_raw"]
     for turned in (False, True):
         names, order = list(RAW_COLUMNS), list(cols)
@@ -1254,13 +1259,19 @@ def q_csv_bad_lines(spark, sf):
         line = (F.when(F.col("l_orderkey") % 7 == 0, F.concat(whole, F.lit(";")))
                 .when(F.col("l_orderkey") % 11 == 0, F.concat(whole, F.lit(";;x")))
                 .when(F.col("l_orderkey") % 13 == 0, F.concat_ws(";", *order[:3])).otherwise(whole))
-        # one column whose name is the header line; no quotes, no trimming
-        raw.where((F.col("l_orderkey") % 3 == 0) == F.lit(turned)).select(line.alias(";".join(names))).write \
-            .mode("append").option("header", True).option("sep", "\x01").option("quote", "\0") \
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        lines = raw.where((F.col("l_orderkey") % 3 == 0) == F.lit(turned)).select(line.alias("value"))
+        lines.mapInPandas(_headed(";".join(names)), "value string").write.mode("append").text(path)
     return _clean_agg(load_fact(spark, path))
 
 
+def _headed(header: str):
+    """Puts a header line before the lines of each file."""
+    def run(batches):
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+    return run
+
+
 @query("raw_file_jobs", raw_sql(f""",
 f AS (SELECT store_id, {T.product_sql('product', False)} AS product, {T.money_sql('value_raw', True)} AS value,
              {T.date_sql('date_raw')} AS d FROM raw),

@@ -13,141 +13,38 @@ import re
 import tempfile
 import uuid
 import zipfile
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 from decimal import Decimal
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Holds the text of a line whose field count is not the header's.
-CORRUPT = "_corrupt"
-# Spark's CSV source accepts only a few charset names; map the usual aliases.
-_CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1",
-             "iso-8859-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1"}
-
-
-class MalformedFile(ValueError):
-    pass
-
-
-def _headers(spark: SparkSession, path: str, sep: str, charset: str) -> dict[tuple[str, ...], list[str]]:
-    """The files under ``path`` by their header. Spark reads one line of each
-    file (no pass over the data); the driver holds the list of files anyway."""
-    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-
-    def header(file: str) -> tuple[str, ...]:
-        # raw names: Spark renames repeated or empty ones only with header=True
-        first = (spark.read.option("header", False).option("sep", sep).option("encoding", charset)
-                 .csv(file).limit(1).collect())
-        return tuple((c or "").lstrip("\ufeff") for c in first[0]) if first else ()
-
-    found: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(16) as pool:
-        for file, names in zip(files, pool.map(header, files)):
-            if names:  # an empty file has no rows
-                found.setdefault(names, []).append(file)
-    return found
-
-
-def _fields(line: str, sep: str) -> Column:
-    """Fields of a raw line: one more than its separators outside quoted fields."""
-    s = re.escape(sep)
-    bare = F.regexp_replace(line, rf'(^|{s})"(?:[^"\\]|\\.)*+"', "$1")
-    return F.size(F.split(bare, s, -1))
-
-
-def _read_native(spark, path, sep, charset, decode=None) -> DataFrame:
-    """All files under ``path``, columns matched by name, plus CORRUPT. ``decode``
-    turns (column, raw name) into the value and the column's name."""
-    groups = _headers(spark, path, sep, charset)
-    if not groups:
-        return spark.read.schema(f"{CORRUPT} string").csv(path)
-    out, columns = None, []
-    for header, files in groups.items():
-        names = [decode(F.col(f"`{c}`"), c)[1] if decode else c for c in header]
-        columns = columns or names
-        if len(set(names)) < len(names) or set(names) != set(columns):
-            raise MalformedFile(f"{files[0]}: columns {names}, other files have {columns}")
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
-        # PERMISSIVE pads short lines with nulls and keeps them; CORRUPT is set
-        # for each line with another number of fields than the header
-        df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", charset)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-              .option("columnPruning", False).csv(files))
-        too_many = F.col(CORRUPT).isNotNull() & (_fields(CORRUPT, sep) > len(header))
-        # always true, but it reads a column: Spark refuses plans (a mere count)
-        # that read no other column than CORRUPT from a file; nor may it prune
-        # columns, or it would count the fields of the pruned lines
-        too_many &= F.coalesce(F.length(F.col(f"`{header[0]}`")), F.lit(0)) >= 0
-        cols = {n: (decode(F.col(f"`{c}`"), c)[0] if decode else F.col(f"`{c}`")).alias(n) for c, n in zip(header, names)}
-        df = df.select(*[cols[n] for n in columns], F.when(too_many, F.col(CORRUPT)).alias(CORRUPT))
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
-# cp1252 and ISO-8859-1 agree on every byte except 0x80-0x9F, where ISO-8859-1
-# has C1 control characters and cp1252 has printable ones (euro sign, curly
-# quotes, dashes, ...). Both tables come from Python's own codecs; the five
-# bytes cp1252 leaves undefined become U+FFFD.
-_C1_BYTES = bytes(range(0x80, 0xA0))
-_C1_LATIN1 = _C1_BYTES.decode("iso-8859-1")
-_C1_CP1252 = "".join(bytes([b]).decode("cp1252", errors="replace") for b in _C1_BYTES)
-
-
-def _latin1_to_cp1252(s: str) -> str:
-    return s.translate(str.maketrans(_C1_LATIN1, _C1_CP1252))
-
-
-def _cp1252(value: Column, name: str) -> tuple[Column, str]:
-    """cp1252 has no Spark charset: scan as ISO-8859-1 (one byte per
-    character, so the scan stays splittable and the bad-line rule is the
-    same), then map the 32 differing code points with ``translate``."""
-    return F.translate(value, _C1_LATIN1, _C1_CP1252), _latin1_to_cp1252(name)
-
-
-def _utf8_or_latin1(name: str) -> str:
-    try:
-        return name.encode("iso-8859-1").decode("utf-8").lstrip("\ufeff")
-    except UnicodeError:
-        return name
-
-
-def _auto(value: Column, name: str) -> tuple[Column, str]:
-    """One scan, any mix of UTF-8 and ISO-8859-1 files: read as ISO-8859-1
-    (one character per byte, so every field holds its file bytes), then
-    take a value's bytes as UTF-8 when they are valid UTF-8, else keep the
-    ISO-8859-1 reading. No extra pass to guess one encoding for all files.
-    ASCII separators and line ends never occur inside a UTF-8 multi-byte
-    sequence, so fields split the same way under both readings."""
-    as_utf8 = F.encode(value, "ISO-8859-1").cast("string")
-    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(value), _utf8_or_latin1(name)
+from shelfrank.sources.csv_records import CORRUPT, MalformedFile, records
+
+# The charsets that the exports come in, by their usual names.
+_CHARSETS = {"utf8": "utf-8", "latin1": "iso-8859-1", "latin-1": "iso-8859-1", "iso8859-1": "iso-8859-1", "windows-1252": "cp1252"}
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "auto",
              strict: bool = False) -> DataFrame:
     """``;`` CSV with a header, every column a string.
 
-    Bad lines (D8): a line with *more* fields than its file's header, empty
-    ones included, is dropped (S1) or fails the read (``strict=True``, S2); a
-    short line is kept with nulls. Files of a folder are matched by column
-    name; a file with other names fails the read. ``encoding='auto'`` decodes
-    every value as UTF-8 when its bytes are valid UTF-8 and as ISO-8859-1
-    otherwise (D9: UTF-8 first), in the same single scan; ``'cp1252'`` is an
-    ISO-8859-1 scan plus a character map.
+    Quoted fields may hold separators, doubled quotes and line breaks; blank
+    lines are skipped, an empty field is null. Bad lines (D8): a record with
+    *more* fields than its file's header, empty ones included, or one whose quote
+    is never closed, is dropped (S1) or fails the read (``strict=True``, S2); a
+    short one is kept with nulls. Files of a folder are matched by column name; a
+    file with other names fails the read. ``encoding='auto'`` decodes every value
+    as UTF-8 when its bytes are valid UTF-8 and as ISO-8859-1 otherwise (D9:
+    UTF-8 first), in the same scan. Files of any size are read in splits
+    (:mod:`shelfrank.sources.csv_records`).
     """
-    enc = encoding.lower()
-    if enc == "cp1252" or enc == "windows-1252":
-        df = _read_native(spark, path, sep, "ISO-8859-1", _cp1252)
-    elif enc == "auto":
-        df = _read_native(spark, path, sep, "ISO-8859-1", _auto)
-    else:
-        df = _read_native(spark, path, sep, _CHARSETS.get(enc, encoding))
+    df = records(spark, path, sep, _CHARSETS.get(encoding.lower(), encoding.lower()))
     if strict and (bad := df.where(F.col(CORRUPT).isNotNull()).limit(1).collect()):
-        raise MalformedFile(f"{path}: a line has more fields than the header: {bad[0][CORRUPT][:200]}")
+        raise MalformedFile(f"{path}: a line has more fields than the header or an open quote: {bad[0][CORRUPT][:200]}")
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
