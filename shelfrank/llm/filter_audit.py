@@ -136,7 +136,9 @@ def survivors(docs: DataFrame, labels: DataFrame, *, min_words: int = MIN_WORDS,
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("utf8"),
                          F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
     found = persist_table(source.mapInArrow(_features(min_words), "id bigint, part string, failed int, digest binary"), spark, "audit-documents")
-    first = found.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    # a written table, so that Spark can split the join where one text is a large part of all
+    first = persist_table(found.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"),
+                          spark, "audit-copies")
     marked = found.join(first, "digest", "left").select(
         "id", "part", F.col("failed").bitwiseOR(F.when(F.col("id") > F.col("first"), F.lit(_E)).otherwise(F.lit(0))).alias("failed"))
     told = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(
