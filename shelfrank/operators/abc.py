@@ -1,9 +1,8 @@
-"""ABC (Pareto) classes per store (W1–W3, A8, T1) and on a period selection
-(W8, A14, A15, A17, T6, T7, W9)."""
+"""ABC (Pareto) classes per store (W1–W3, A8, T1) and their mix."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.config import DEFAULT, Params
@@ -72,86 +71,3 @@ def class_mix(classified: DataFrame, group_cols=("store_id",)) -> DataFrame:
                     F.floor(pct(F.col("class_value"), F.col("group_total")) + F.lit(0.5)).cast("int"))
         .drop("group_total")
     )
-
-
-def merge_selection(items: DataFrame, keys=("store_id", "period"), order_col: str = "i",
-                    dedupe: bool = True) -> DataFrame:
-    """Merge duplicate products of a store-period selection.
-
-    ``items`` has the keys, product, kind, value, a list order and
-    diagnosis/action. With ``dedupe`` a product listed in both TOP and BOTTOM
-    counts once; ``dedupe=False`` adds its value twice, as the dashboard does
-    (D7); ``value_once`` and ``value_twice`` are both. Kind is the first entry's; ``insights`` keeps list order and skips
-    entries with no or an empty diagnosis or the "no model" text (F17).
-    """
-    g = [*keys, "product"]
-    insight = F.when(
-        F.col("diagnosis").isNotNull() & ~F.col("diagnosis").isin("", NO_MODEL),
-        F.struct(F.col(order_col).alias("_o"), F.col("diagnosis").alias("text"), F.col("action")),
-    )
-    by_pos = F.array_sort(F.collect_list(insight), lambda a, b: F.when(a["_o"] < b["_o"], -1)
-                          .when(a["_o"] > b["_o"], 1).otherwise(0))
-    merged = items.groupBy(*g).agg(
-        F.max("value").alias("value_once"),
-        F.sum("value").alias("value_twice"),
-        F.min_by("kind", order_col).alias("kind"),
-        F.min(order_col).alias("first_pos"),
-        F.transform(by_pos, lambda s: s.dropFields("_o")).alias("insights"),
-    )
-    return merged.withColumn("value", F.col("value_once" if dedupe else "value_twice"))
-
-
-# Fixed value: the status text the dashboard treats as "no insight".
-NO_MODEL = "IA não disponível"
-
-
-def selection_abc(merged: DataFrame, totals: DataFrame, keys=("store_id", "period"),
-                  params: Params = DEFAULT) -> DataFrame:
-    """W8 + W9: ABC inside each store-period selection, denominator = the full
-    period total (A7). A zero total gives class A, as the dashboard's pct = 0."""
-    k = list(keys)
-    joined = merged.join(totals.select(*k, F.col("total").alias("period_total")), k, "inner")
-    # a selection is one period's TOP and BOTTOM lists: at most top_n + bottom_n
-    # products, so a plain window holds a bounded group (no range slicing needed)
-    w = Window.partitionBy(*k).orderBy(F.col("value").desc(), F.col("product").asc())
-    ranked = joined.select(
-        "*",
-        F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum_value"),
-        F.row_number().over(w).alias("rank"))
-    tot = F.col("period_total")
-    cls = F.when(tot > 0, abc_class(F.col("cum_value"), tot, params)).otherwise(F.lit("A"))
-    return ranked.withColumn("abc_class", cls)
-
-
-def kind_lists(df: DataFrame, keys=("store_id", "period"), n: int = 10) -> DataFrame:
-    """The first ``n`` products of the TOP and of the BOTTOM list of each
-    selection, both in descending value order, with ``pos``."""
-    w = Window.partitionBy(*keys, "kind").orderBy(F.col("value").desc(), F.col("product").asc())
-    return df.withColumn("pos", F.row_number().over(w).cast("int")).filter(F.col("pos") <= n)
-
-
-def selection_summary(df: DataFrame, keys=("store_id", "period")) -> DataFrame:
-    """A17 + A14 on a classified selection: products, products with an insight,
-    insights, products per class, the integer share of class A (F19) and the
-    period total."""
-    a_value = F.coalesce(F.sum(F.when(F.col("abc_class") == "A", F.col("value"))).cast("double"), F.lit(0.0))
-    counts = [F.count_if(F.col("abc_class") == c).alias(f"n_{c.lower()}") for c in "ABC"]
-    g = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_products"), F.count_if(F.size("insights") > 0).alias("n_with_insight"),
-        F.sum(F.size("insights")).cast("bigint").alias("n_insights"), *counts,
-        a_value.alias("_a"), F.min("period_total").cast("double").alias("total"))
-    return g.withColumn("share_a", F.floor(F.col("_a") / F.col("total") * F.lit(100.0) + F.lit(0.5)).cast("int")).drop("_a")
-
-
-def best_worst(df: DataFrame, group_cols, n: int = 10) -> DataFrame:
-    """Best n and worst n of each group (worst = positive values,
-    lowest first). Two window top-k branches, each with a group limit."""
-    g = list(group_cols)
-    best = (df.withColumn("pos", F.row_number().over(
-                Window.partitionBy(*g).orderBy(F.col("value").desc(), F.col("product").asc())))
-            .filter(F.col("pos") <= n).withColumn("list", F.lit("best")))
-    worst = (df.filter(F.col("value") > 0)
-             .withColumn("pos", F.row_number().over(
-                 Window.partitionBy(*g).orderBy(F.col("value").asc(), F.col("product").desc())))
-             .filter(F.col("pos") <= n).withColumn("list", F.lit("worst")))
-    return best.unionByName(worst)

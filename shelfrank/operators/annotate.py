@@ -1,31 +1,35 @@
 """Annotation of ranked items through a user-given function.
 
-The pipeline is Spark-side except the call itself:
+The unit is one row per prompt, which carries its items as an array:
 
-  items -> one prompt per group (store-period, or store batch of 15)  F8 F13–F15 W10
-        -> ``mapInPandas`` runs ``annotator(prompt) -> reply`` per row  X3/X4
+  a store-period's lists, or a store's batch of 15    -> prompt text  F8 F13–F15 W10
+        -> ``mapInArrow`` runs ``annotator(prompt) -> reply`` per row  X3/X4
         -> JSON repair and parse as column expressions              F9 F10 F11
-        -> last entry per product wins, left-joined back           J4
+        -> every item looks up its last entry in the reply          J4
         -> status texts where nothing was asked                     F16
 
-``annotator`` is any picklable ``str -> str`` callable (a model client in
-production, :func:`stub_annotator` in tests). Groups are bounded (at most
-top_n + bottom_n items, or one batch), so no group grows with the data.
+The items never leave their row: nothing is exploded, and replies are not joined
+back. ``annotator`` is any picklable ``str -> str`` callable (a model client in
+production). Rows are bounded (at most top_n + bottom_n items, or one batch).
+With a ``journal`` folder every reply is kept as it arrives
+(:mod:`shelfrank.operators.journal`), so that no call is made twice.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfrank.config import DEFAULT, Params
 from shelfrank.functions.clean import brl_text
+from shelfrank.operators.journal import Journal
 from shelfrank.operators.prefix import running_totals
-from shelfrank.session import materialize
+from shelfrank.operators.ranking import recent_periods
+from shelfrank.session import persist_table, qualified
 
 # Status texts and defaults of the reference's annotated items.
 NO_MODEL = "IA não disponível"
@@ -44,53 +48,41 @@ REPLY_FIELDS = T.StructType([
 
 # ----------------------------------------------------------------------------- prompts
 
-def period_prompts(items: DataFrame, totals: DataFrame, keys: list[str],
-                   granularity_col: str = "granularity") -> DataFrame:
-    """prompt per store-period (multi-granularity job). Our own template:
-    store, period and revenue in one sentence, then the items as JSON in list
-    order (F8), as in the other two prompts."""
-    js = items_json(items, keys, [("produto", F.col("product")), ("tipo", F.col("kind")),
-                                  ("valor", F.col("value").cast("double"))])
-    prompt = F.concat(
-        F.lit("Sales review of one "), F.col(granularity_col), F.lit(" ("), F.col("period"),
+def items_json(fields: dict[str, str], items: str = "items") -> Column:
+    """F8: a row's items as compact JSON text (non-ASCII kept), in list order.
+    ``fields``: name in the JSON -> field of an item; decimals become numbers."""
+    def value(x: Column, name: str) -> Column:
+        return x[name].cast("double") if name == "value" else x[name]
+    return F.to_json(F.transform(items, lambda x: F.struct(*[value(x, f).alias(n) for n, f in fields.items()])))
+
+
+def period_prompt() -> Column:
+    """the prompt of a store-period (multi-granularity job), from a row with
+    granularity, period, store_id, total and items. Our own template: store,
+    period and revenue in one sentence, then the items as JSON in list order."""
+    return F.concat(
+        F.lit("Sales review of one "), F.col("granularity"), F.lit(" ("), F.col("period"),
         F.lit(") in store "), F.col("store_id"), F.lit("; revenue of all its products: "),
-        brl_text(F.col("total")), F.lit(".\nITEMS_JSON: "), F.col("items_json"),
+        brl_text(F.col("total")), F.lit(".\nITEMS_JSON: "),
+        items_json({"produto": "product", "tipo": "kind", "valor": "value"}),
         F.lit("\nAnswer with a JSON array, one short object for each item, with the keys "
               "produto, diagnostico, acao."))
-    return js.join(totals, keys, "inner").select(*keys, prompt.alias("prompt"))
-
 
-def items_json(items: DataFrame, keys: list[str], fields: list[tuple[str, Column]],
-               order_col: str = "i") -> DataFrame:
-    """F8: the group's items as compact JSON text (non-ASCII kept), list order."""
-    rec = F.struct(F.col(order_col).alias("_o"), F.struct(*[c.alias(n) for n, c in fields]).alias("r"))
-    by_pos = F.array_sort(F.collect_list(rec), lambda a, b: F.when(a["_o"] < b["_o"], -1)
-                          .when(a["_o"] > b["_o"], 1).otherwise(0))
-    return items.groupBy(*keys).agg(
-        F.to_json(F.transform(by_pos, lambda s: s["r"])).alias("items_json"),
-        F.count(F.lit(1)).alias("n_items"))
 
-
-def month_prompts(items: DataFrame, context: DataFrame, keys: list[str]) -> DataFrame:
-    """prompt per store-month with season (J5), month total (A7), TOP and
-    BOTTOM sums (A9), item count and the items as JSON. Our own template.
-
-    ``context`` has keys + label, season, events, period_total, top_sum, bottom_sum.
-    """
-    js = items_json(items, keys, [("produto", F.col("product")), ("tipo", F.col("kind")),
-                                  ("venda_este_mes", F.col("value").cast("double"))])
-    j = js.join(context, keys, "inner")
-    prompt = F.concat(
+def month_prompt() -> Column:
+    """the prompt of a store-month with season (J5), month total (A7), TOP and
+    BOTTOM sums (A9), item count and the items, from a row with store_id, label,
+    season, events, period_total, top_sum, bottom_sum, n_items and items."""
+    return F.concat(
         F.lit("Monthly menu review for store "), F.col("store_id"), F.lit(", "), F.col("label"),
         F.lit(".\nSeason: "), F.col("season"), F.lit(". Context: "), F.col("events"),
         F.lit(".\nMonth revenue, all products: "), brl_text(F.col("period_total")),
         F.lit("\nTop items: "), brl_text(F.col("top_sum")),
         F.lit("; bottom items: "), brl_text(F.col("bottom_sum")),
         F.lit("; items listed: "), F.col("n_items").cast("string"),
-        F.lit("\nITEMS_JSON: "), F.col("items_json"),
+        F.lit("\nITEMS_JSON: "), items_json({"produto": "product", "tipo": "kind", "venda_este_mes": "value"}),
         F.lit("\nJudge each item on its own. Answer with a JSON array of objects with the keys "
               "produto, diagnostico, acao."))
-    return j.select(*keys, prompt.alias("prompt"))
 
 
 def abc_batches(items: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -105,18 +97,22 @@ def abc_batches(items: DataFrame, params: Params = DEFAULT) -> DataFrame:
               .drop("_one", "_pos", "_r", "_n")
 
 
-def abc_prompts(batched: DataFrame) -> DataFrame:
-    """one prompt per (store, batch) with product, class and history."""
-    fields = [("produto", F.col("product")), ("classe", F.col("abc_class"))]
-    if "history" in batched.columns:
-        fields.append(("historico", F.col("history")))
-    js = items_json(batched, ["store_id", "batch"], fields)
-    prompt = F.concat(
+def batch_rows(batched: DataFrame) -> DataFrame:
+    """One row per (store_id, batch) with its items as an array in the order of ``i``."""
+    own = [c for c in batched.columns if c not in ("store_id", "batch", "i")]
+    rec = F.struct("i", *own)
+    by_pos = F.array_sort(F.collect_list(rec), lambda a, b: a["i"] - b["i"])
+    return batched.groupBy("store_id", "batch").agg(by_pos.alias("items"))
+
+
+def abc_prompt(history: bool = False) -> Column:
+    """the prompt of a store's batch with product, class and history, from a
+    row of ``batch_rows``."""
+    fields = {"produto": "product", "classe": "abc_class"} | ({"historico": "history"} if history else {})
+    return F.concat(
         F.lit("ABC review for store "), F.col("store_id"),
-        F.lit(". One line of advice per product, no comparisons, no trends.\nITEMS_JSON: "),
-        F.col("items_json"),
+        F.lit(". One line of advice per product, no comparisons, no trends.\nITEMS_JSON: "), items_json(fields),
         F.lit("\nAnswer with a JSON array of objects with the keys produto, analise."))
-    return js.select("store_id", "batch", prompt.alias("prompt"))
 
 
 # ----------------------------------------------------------------------------- the call
@@ -126,10 +122,11 @@ TASKS_PER_CORE = 4
 
 
 def call_annotator(prompts: DataFrame, annotator: Callable[[str], str], keys: list[str],
-                   tasks: int | None = None) -> DataFrame:
-    """Apply ``annotator`` to every prompt in Arrow batches on the
-    executors. Output: keys, ``reply``, ``error``; a failing call gives a null
-    reply (status ``Erro na análise``) and the exception's class and text.
+                   tasks: int | None = None, carry: tuple[str, ...] = (), journal: str | None = None) -> DataFrame:
+    """Apply ``annotator`` to every ``prompt`` on the executors. Output:
+    keys, the columns ``carry`` as they are, ``reply``, ``error``; a failing call
+    gives a null reply (status ``Erro na análise``) and the exception's class and
+    text.
 
     A prompt is small but its call is slow, so the prompts are dealt out by
     number, not by size (which would let AQE put all of them in one task):
@@ -137,28 +134,37 @@ def call_annotator(prompts: DataFrame, annotator: Callable[[str], str], keys: li
     run at once are at most the cluster's cores, or ``tasks`` where a service
     allows fewer; default ``TASKS_PER_CORE`` tasks a core.
 
-    Replies of a real model are not repeatable: persist the result (see
-    :func:`shelfrank.session.persist_table`) before using it twice.
+    Replies of a real model are not repeatable: write the result (see
+    :func:`shelfrank.session.persist_table`) before using it twice. A task that
+    is tried again repeats its calls, unless a ``journal`` folder on shared
+    storage keeps them.
     """
-    schema = T.StructType([*prompts.select(*keys).schema.fields, T.StructField("reply", T.StringType()),
+    spark, cols = prompts.sparkSession, [*keys, *carry]
+    schema = T.StructType([*prompts.select(*cols).schema.fields, T.StructField("reply", T.StringType()),
                            T.StructField("error", T.StringType())])
-    n = tasks or TASKS_PER_CORE * prompts.sparkSession.sparkContext.defaultParallelism
+    n = tasks or TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    book = qualified(spark, journal) if journal else None
 
     def run(batches):
-        for pdf in batches:
-            out = pdf[keys].copy()
+        known = Journal(book) if book else None
+        for batch in batches:
             replies, errors = [], []
-            for p in pdf["prompt"]:
+            for p in batch.column("prompt").to_pylist():
                 try:
-                    replies.append(annotator(p))
+                    reply = known.get(p) if known else None
+                    if reply is None:
+                        reply = annotator(p)
+                        if known and reply is not None:
+                            known.put(p, reply)
+                    replies.append(reply)
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 — the items are marked, the class is reported
                     replies.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:500])
-            out["reply"], out["error"] = replies, errors
-            yield out
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in cols], pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*cols, "reply", "error"])
 
-    return prompts.select(*keys, "prompt").repartition(n, *keys).mapInPandas(run, schema)
+    return prompts.select(*cols, "prompt").repartition(n, *keys).mapInArrow(run, schema)
 
 
 def call_errors(replies: DataFrame) -> DataFrame:
@@ -185,120 +191,74 @@ def repair_json(c) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(listed, s)), literal_or_comma, "$1")
 
 
+def entries(reply: str = "reply") -> Column:
+    """the object elements of the reply's JSON list, with their place ``pos``.
+
+    A reply that is not a list (bare object, junk) has none; elements that are
+    not objects (numbers, strings) are skipped, as the reference does."""
+    listed = F.from_json(repair_json(reply), T.ArrayType(T.StringType()))
+    objects = F.filter(F.transform(listed, lambda e, i: F.struct(i.alias("pos"), e.alias("e"))), lambda x: F.ltrim(x["e"]).startswith("{"))
+    parsed = F.transform(objects, lambda x: F.struct(x["pos"].alias("pos"), F.from_json(x["e"], REPLY_FIELDS).alias("r")))
+    return F.coalesce(parsed, F.array().cast(f"array<struct<pos:int,r:{REPLY_FIELDS.simpleString()}>>"))
+
+
 def parse_replies(replies: DataFrame, keys: list[str]) -> DataFrame:
-    """F10 + F11: one row per object element of the reply's JSON list.
+    """F10 + F11, flat: one row per object element of a reply. Output: keys, pos,
+    produto, diagnostico, acao, analise."""
+    return replies.select(*keys, F.explode(entries()).alias("x")).select(*keys, "x.pos", "x.r.*")
 
-    A reply that is not a list (bare object, junk) gives no rows; elements
-    that are not objects (numbers, strings) are skipped, as the reference
-    does. Output: keys, pos, produto, diagnostico, acao, analise.
-    """
-    arr = F.from_json(repair_json("reply"), T.ArrayType(T.StringType()))
-    ex = replies.select(*keys, F.posexplode_outer(arr).alias("pos", "elem"))
-    obj = ex.filter(F.ltrim(F.col("elem")).startswith("{"))
-    rec = F.from_json(F.col("elem"), REPLY_FIELDS)
-    return obj.select(*keys, "pos", rec.alias("r")).select(*keys, "pos", "r.*")
-
-
-def attach(items: DataFrame, parsed: DataFrame, keys: list[str], fields=("diagnostico", "acao")) -> DataFrame:
-    """The last entry of a product wins; items without one get defaults."""
-    last = (parsed.filter(F.col("produto").isNotNull())
-            .groupBy(*keys, "produto")
-            .agg(F.max_by(F.struct(*[F.col(f) for f in fields]), F.col("pos")).alias("_a")))
-    j = items.join(last, [*[items[k] == last[k] for k in keys], items["product"] == last["produto"]], "left")
-    out = j.select(items["*"], *[F.col(f"_a.{f}").alias(f"_{f}") for f in fields])
-    return out
-
-
-def annotate_groups(items: DataFrame, prompts: DataFrame, annotator, keys: list[str]) -> DataFrame:
-    """X4 core: call the annotator once per prompt group, attach the replies
-    (last entry per product wins) and fill the status texts (F11, F16)."""
-    # replies are read by two branches; a model's reply is not repeatable
-    replies = materialize(call_annotator(prompts, annotator, keys))
-    parsed = parse_replies(replies, keys)
-    got = attach(items, parsed, keys)
-    # a null reply means the call failed for the whole group
-    failed = replies.filter(F.col("reply").isNull()).select(*keys).withColumn("_failed", F.lit(True))
-    got = got.join(failed, keys, "left")
-    diag = (F.when(F.col("_failed"), F.lit(CALL_ERROR))
-            .otherwise(F.coalesce(F.col("_diagnostico"), F.lit(UNAVAILABLE))))
-    act = F.when(F.col("_failed"), F.lit(NO_ACTION)).otherwise(F.coalesce(F.col("_acao"), F.lit(NO_ACTION)))
-    return got.withColumn("diagnosis", diag).withColumn("action", act) \
-              .drop("_diagnostico", "_acao", "_failed")
-
-
-def no_model(items: DataFrame) -> DataFrame:
-    """F16: without a model every item says so."""
-    return items.withColumn("diagnosis", F.lit(NO_MODEL)).withColumn("action", F.lit(NO_ACTION))
-
-
-def annotate_periods(items: DataFrame, totals: DataFrame, annotator, keys: list[str],
-                     recent: DataFrame | None = None) -> DataFrame:
-    """X4 on the overlap ranking: prompts for recent periods only, replies
-    attached, status texts for the rest. ``items`` needs keys, product, kind,
-    value and a list order ``i``; output adds diagnosis and action."""
-    if annotator is None:
-        return no_model(items)
-    flagged = items.join(recent, keys, "inner") if recent is not None else items.withColumn(
-        "annotated", F.lit(True))
-    # read by the prompts and by the items: fixed once, with the period totals,
-    # so that the fact is read by one job
-    flagged = materialize(flagged.join(totals.select(*keys, F.col("total").alias("_total")), keys))
-    asked = flagged.filter(F.col("annotated"))
-    asked_totals = asked.groupBy(*keys).agg(F.first("_total").alias("total"))
-    done = annotate_groups(asked, period_prompts(asked, asked_totals, keys), annotator, keys)
-    old = (flagged.filter(~F.col("annotated"))
-           .withColumn("diagnosis", F.lit(HISTORICAL)).withColumn("action", F.lit(NO_ACTION)))
-    return done.unionByName(old).drop("annotated", "recency", "_total")
-
-
-def annotate_months(ranking: DataFrame, context: DataFrame, annotator, keys: list[str]) -> DataFrame:
-    """X4 on the monthly ranking (every month is asked, F14 prompts)."""
-    items = ranking.withColumn("i", F.col("rank"))
-    if annotator is None:
-        return no_model(items)
-    return annotate_groups(items, month_prompts(items, context, keys), annotator, keys)
 
+def answered(asked: DataFrame, annotator, keys: list[str], journal: str | None = None) -> DataFrame:
+    """Calls the annotator once per row of ``asked`` and writes all of its columns
+    but ``prompt``, with ``_entries`` (parsed) and ``_failed``, to the shared folder."""
+    carry = tuple(c for c in asked.columns if c not in (*keys, "prompt"))
+    replies = call_annotator(asked, annotator, keys, carry=carry, journal=journal)
+    return persist_table(replies.select(*keys, *carry, entries().alias("_entries"), F.isnull("reply").alias("_failed")),
+                         asked.sparkSession, "replies")
 
-def list_order(ranking: DataFrame, keys: list[str]) -> DataFrame:
-    """Position ``i`` of an item in the emitted list: TOP rows first, then
-    BOTTOM rows, each in its own order (at most top_n + bottom_n per group)."""
-    w = Window.partitionBy(*keys).orderBy(F.when(F.col("kind").startswith("TOP"), 0).otherwise(1),
-                                          F.col("pos"))
-    return ranking.withColumn("i", F.row_number().over(w))
 
+def attach(rows: DataFrame, failed: str = CALL_ERROR, **fields: tuple[str, str]) -> DataFrame:
+    """J4 + F11 + F16: each item of a row of ``answered`` gets ``fields``: name ->
+    (field of the reply, default). The last entry of its product wins; without one
+    the defaults hold, and ``failed`` in place of a text where the call failed."""
+    def item(x: Column) -> Column:
+        own = F.try_element_at(F.filter("_entries", lambda y: y["r"]["produto"] == x["product"]), F.lit(-1))["r"]
+        found = [F.when(F.col("_failed"), F.lit(failed if default == UNAVAILABLE else default))
+                 .otherwise(F.coalesce(own[source], F.lit(default))).alias(name) for name, (source, default) in fields.items()]
+        return F.struct(*[x[c].alias(c) for c in names], *found)
 
-# ----------------------------------------------------------------------------- stub model
+    names = rows.schema["items"].dataType.elementType.fieldNames()
+    return rows.select(*[c for c in rows.columns if c not in ("items", "_entries", "_failed")], F.transform("items", item).alias("items"))
 
-def stub_annotator(prompt: str) -> str:
-    """Deterministic stand-in for a model, for tests and the registered queries.
 
-    Items come from the prompt's ``ITEMS_JSON:`` array. The reply stands in
-    chat or a fence (by the number of items), has a number element, commas
-    before closing brackets, also inside a string (where they must stay),
-    omits ``acao`` on every third item, and repeats the first product at the
-    end (so "last wins" is exercised).
-    """
-    items = []
-    for ln in prompt.splitlines():
-        if ln.startswith("ITEMS_JSON: "):
-            for it in json.loads(ln[len("ITEMS_JSON: "):]):
-                items.append({"produto": it["produto"],
-                              "kind": it.get("tipo") or it.get("classe") or ""})
-    abc = "analise" in prompt.rsplit("keys", 1)[-1]
-    out = []
-    for i, it in enumerate(items, 1):
-        if abc:
-            if i % 15 == 3:
-                continue  # no entry -> "Análise indisponível", not cached
-            out.append({"produto": it["produto"], "analise": f"Classe {it['kind']} item {i}"})
-        else:
-            o = {"produto": it["produto"], "diagnostico": f"{it['kind']} #{i}"}
-            if i % 3:
-                o["acao"] = "manter"
-            out.append(o)
-    if items and not abc:
-        out.append({"produto": items[0]["produto"], "diagnostico": "revisado [a, ]", "acao": "rever"})
-    body = ", ".join(json.dumps(o, ensure_ascii=False)[:-1] + " , }" for o in out)
-    if len(items) % 2:
-        return "Here is the list:\n[7, " + body + ",\n]\nAnything else?"
-    return "```json\n[7, " + body + ",\n]\n```"
+_INSIGHT = {"diagnosis": ("diagnostico", UNAVAILABLE), "action": ("acao", NO_ACTION)}
+
+
+def with_status(rows: DataFrame, text: str) -> DataFrame:
+    """F16: every item of rows that nobody was asked about says so."""
+    names = rows.schema["items"].dataType.elementType.fieldNames()
+    items = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in names], F.lit(text).alias("diagnosis"), F.lit(NO_ACTION).alias("action")))
+    return rows.select(*[c for c in rows.columns if c != "items"], items.alias("items"))
+
+
+def annotate_periods(lists: DataFrame, annotator, keys: list[str], params: Params = DEFAULT, journal: str | None = None) -> DataFrame:
+    """X4 on ``ranking.overlap_lists``: prompts for the newest periods of each store
+    (W6), status texts for the rest. Adds diagnosis and action to the items.
+
+    The rows (one per store-period) are written once: the prompts and the older
+    periods both read them, so the fact is read by one job."""
+    if annotator is None:
+        return with_status(lists, NO_MODEL)
+    store = [k for k in keys if k != "period"]
+    rows = persist_table(recent_periods(lists, store, params=params).drop("recency"), lists.sparkSession, "period-lists")
+    asked = rows.where(F.col("annotated") & (F.size("items") > 0)).drop("annotated").withColumn("prompt", period_prompt())
+    done = attach(answered(asked, annotator, keys, journal), **_INSIGHT)
+    rest = rows.where(~F.col("annotated") | (F.size("items") == 0)).drop("annotated")
+    return done.unionByName(with_status(rest, HISTORICAL))
+
+
+def annotate_months(lists: DataFrame, annotator, keys: list[str], journal: str | None = None) -> DataFrame:
+    """X4 on ``ranking.monthly_lists`` with sums and season (every month is asked)."""
+    if annotator is None:
+        return with_status(lists, NO_MODEL)
+    return attach(answered(lists.withColumn("prompt", month_prompt()), annotator, keys, journal), **_INSIGHT)

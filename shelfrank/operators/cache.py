@@ -3,20 +3,24 @@
 The cache is a flat table ``(store_id, product, abc_class, analysis)``; a
 class change or an empty text is a miss. Hits, misses and the upsert are
 joins on the three keys, so they shuffle on the keys like any equi-join.
+Written caches are folders by the hash of the store, of which an update
+rewrites those it touches.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfrank.config import DEFAULT, Params
 from shelfrank.operators import annotate as A
-from shelfrank.session import materialize
+from shelfrank.operators.ranking import flat
+from shelfrank.session import persist_table
 
 KEYS = ["store_id", "product", "abc_class"]
 CACHE_SCHEMA = "store_id string, product string, abc_class string, analysis string"
@@ -42,31 +46,33 @@ def misses(items: DataFrame, cache: DataFrame) -> DataFrame:
     return items.join(_usable(cache).select(*KEYS), KEYS, "left_anti")
 
 
-def annotate_abc(items: DataFrame, cache: DataFrame, annotator, params: Params = DEFAULT):
+def looked_up(items: DataFrame, cache: DataFrame) -> DataFrame:
+    """J2 and J3 in one left join: items with ``analysis``, null for a miss."""
+    return items.join(_usable(cache).select(*KEYS, "analysis"), KEYS, "left")
+
+
+def annotate_abc(items: DataFrame, cache: DataFrame, annotator, params: Params = DEFAULT, journal: str | None = None):
     """Cached items keep their text; the rest are batched, sent to the
-    annotator and attached (default ``Análise indisponível``).
+    annotator and attached (default ``Análise indisponível``, also where a call
+    failed). ``journal``: see :func:`shelfrank.operators.annotate.call_annotator`.
 
     Returns ``(items_out, new_entries)``: items with ``analysis`` and
     ``from_cache`` (U3), and the fresh cache entries (the "unavailable" text
     is not cached).
     """
-    h = hits(items, cache).withColumn("from_cache", F.lit(True))
-    m = misses(items, cache)
+    # written once: the hits and the batches both read it
+    found = persist_table(looked_up(items, cache), items.sparkSession, "cache-lookup")
+    hit = found.where("analysis IS NOT NULL").withColumn("from_cache", F.lit(True))
+    miss = found.where("analysis IS NULL")
     if annotator is None:
         # without a model ABC items carry no comment
-        fresh = m.withColumn("analysis", F.lit(None).cast("string"))
+        fresh = miss
     else:
-        b = A.abc_batches(m, params)
-        # fixed once: the items and the new cache entries both read the replies
-        replies = materialize(A.call_annotator(A.abc_prompts(b), annotator, ["store_id", "batch"]))
-        parsed = A.parse_replies(replies, ["store_id", "batch"])
-        fresh = A.attach(b, parsed, ["store_id", "batch"], fields=("analise",))
-        fresh = fresh.withColumn("analysis", F.coalesce(F.col("_analise"), F.lit(A.UNAVAILABLE))) \
-                     .drop("_analise", "batch", "i")
-    fresh = fresh.withColumn("from_cache", F.lit(False))
-    out = h.unionByName(fresh)
-    new = fresh.filter(F.col("analysis").isNotNull() & (F.col("analysis") != A.UNAVAILABLE)) \
-               .select(*KEYS, "analysis")
+        rows = A.batch_rows(A.abc_batches(miss.drop("analysis"), params)).withColumn("prompt", A.abc_prompt("history" in items.columns))
+        done = A.attach(A.answered(rows, annotator, ["store_id", "batch"], journal), A.UNAVAILABLE, analysis=("analise", A.UNAVAILABLE))
+        fresh = flat(done, ["store_id"]).drop("i")
+    out = hit.unionByName(fresh.withColumn("from_cache", F.lit(False)))
+    new = fresh.filter(F.col("analysis").isNotNull() & (F.col("analysis") != A.UNAVAILABLE)).select(*KEYS, "analysis")
     return out, new
 
 
@@ -110,46 +116,126 @@ def run_stats(items_out: DataFrame, before: DataFrame, after: DataFrame) -> Data
 
 # ----------------------------------------------------------------------------- JSON form
 
+#: Parts of a cache folder, by the hash of the store.
+BUCKETS = 64
+
+
+def _json_line() -> Column:
+    key = F.concat_ws("|", "product", "abc_class")
+    return F.to_json(F.create_map(F.col("store_id"), F.create_map(key, F.col("analysis")))).alias("value")
+
+
 def to_json_lines(cache: DataFrame) -> DataFrame:
     """F12 + K6: ``{"store": {"product|class": text}}`` objects, one line per
     entry, so no line or task holds a store; readers merge the objects."""
-    key = F.concat_ws("|", "product", "abc_class")
-    return cache.select(F.to_json(F.create_map(F.col("store_id"), F.create_map(key, F.col("analysis")))).alias("value"))
+    return cache.select(_json_line())
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("store_id"), F.lit(BUCKETS)).cast("int")
+
+
+class _Folder:
+    """A cache folder: data folders with one folder per bucket in them, and
+    manifests ``manifest-<number>.json`` that say which data folder holds each
+    bucket. The manifest with the largest number is the cache. It is written under
+    another name and renamed when all of its data is complete, so at any moment
+    the folder holds a whole cache, the old one or the new one."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark._jvm
+        self.fs = self._p().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _p(self, *parts: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+
+    def _named(self, pattern: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.globStatus(self._p(pattern)) or [])
+
+    def current(self) -> tuple[int, dict[int, str]] | None:
+        """Number and buckets of the newest manifest."""
+        names = self._named("manifest-*.json")
+        if not names:
+            return None
+        text = self.spark.read.text(f"{self.path}/{names[-1]}", wholetext=True).first()[0]
+        return int(names[-1][9:-5]), {int(b): d for b, d in json.loads(text).items()}
+
+    def data(self, buckets: dict[int, str]) -> list[str]:
+        return [f"{self.path}/{d}/bucket={b}" for b, d in sorted(buckets.items())]
+
+    def write_data(self, cache: DataFrame) -> dict[int, str]:
+        """Writes the entries to a new data folder; its buckets."""
+        name = f"data-{uuid.uuid4().hex[:12]}"
+        lines = cache.select(_bucket().alias("bucket"), _json_line())
+        lines.hint("rebalance", "bucket").write.partitionBy("bucket").text(f"{self.path}/{name}")
+        return {int(x.getPath().getName()[7:]): name for x in self.fs.globStatus(self._p(name, "bucket=*")) or []}
+
+    def publish(self, number: int, buckets: dict[int, str]) -> None:
+        """Makes ``buckets`` the cache."""
+        draft, final = self._p(f"draft-{uuid.uuid4().hex[:12]}"), self._p(f"manifest-{number:012d}.json")
+        out = self.fs.create(draft)
+        out.write(bytearray(json.dumps(buckets).encode()))
+        out.close()
+        if not self.fs.rename(draft, final):
+            raise OSError(f"{final} is there already: another run has written to {self.path}")
+
+    def tidy(self) -> None:
+        """Deletes what the newest manifest does not need."""
+        number, buckets = self.current()
+        keep = {f"manifest-{number:012d}.json", *buckets.values()}
+        for name in self._named("*"):
+            if name not in keep:
+                self.fs.delete(self._p(name), True)
 
 
 def write_json(cache: DataFrame, path: str) -> None:
-    """K6: write the cache to ``path``, also when the cache reads from there.
-
-    The new files go to a folder beside it, which takes the old one's place only
-    when they are complete; a job that fails before leaves the old cache as it
-    was. Frames that read the old files must not be used afterwards.
+    """K6: write the cache to the folder ``path``, also when the cache reads from
+    there. Whatever step a run fails at, :func:`read_json` finds the old cache or
+    the new one. Frames that read the old files must not be used afterwards.
     """
-    spark = cache.sparkSession
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:12]}"
-    to_json_lines(cache).write.text(fresh)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    past = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}")
-    if fs.exists(old) and not fs.rename(old, past):
-        raise OSError(f"cannot move {path} aside; the new cache is in {fresh}")
-    if not fs.rename(new, old):
-        raise OSError(f"cannot move the new cache from {fresh} to {path}; the old one is in {past}")
-    fs.delete(past, True)
+    folder = _Folder(cache.sparkSession, path)
+    before = folder.current()
+    buckets = folder.write_data(cache)
+    folder.publish(before[0] + 1 if before else 1, buckets)
+    folder.tidy()
+
+
+def update_json(new: DataFrame, path: str) -> None:
+    """U2 + K6: the new entries go into the cache in the folder ``path``, over those
+    with the same key. Only the buckets of their stores are read and written."""
+    spark = new.sparkSession
+    folder = _Folder(spark, path)
+    before = folder.current()
+    if before is None:
+        return write_json(upsert(read_json(spark, path), new), path)
+    number, buckets = before
+    touched = {r.b for r in new.select(_bucket().alias("b")).distinct().collect()}
+    if not touched:
+        return None
+    old = _entries(spark, folder.data({b: d for b, d in buckets.items() if b in touched}), False)
+    folder.publish(number + 1, buckets | folder.write_data(upsert(old, new)))
+    return folder.tidy()
 
 
 def read_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Read cache objects (JSON lines, or one object per file with
-    ``whole_file``) with one entry per key; an absent path or corrupt text gives
-    no rows. Any other failure to read is raised."""
-    schema = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
+    """Read a cache folder, or plain cache objects (JSON lines, or one object
+    per file with ``whole_file``) with one entry per key; an absent path or corrupt
+    text gives no rows. Any other failure to read is raised."""
     try:
-        txt = spark.read.text(path, wholetext=whole_file)
+        found = _Folder(spark, path).current()
+        return _entries(spark, _Folder(spark, path).data(found[1]) if found else [path], whole_file and not found)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], CACHE_SCHEMA)
-    m = txt.select(F.from_json("value", schema).alias("m"))
+
+
+def _entries(spark: SparkSession, paths: list[str], whole_file: bool) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], CACHE_SCHEMA)
+    schema = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
+    m = spark.read.text(paths, wholetext=whole_file).select(F.from_json("value", schema).alias("m"))
     s = m.select(F.explode("m").alias("store_id", "entries"))
     e = s.select("store_id", F.explode("entries").alias("k", "analysis"))
     return unique(e.select(

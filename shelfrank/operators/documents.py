@@ -75,21 +75,23 @@ def nest_abc(lines: DataFrame) -> DataFrame:
     return lines.groupBy("id_loja", "store_id").agg(_sorted_items("pos", F.col("item")).alias("itens"))
 
 
+def _annotated_items(value: str) -> F.Column:
+    """The items of a row as the documents have them; ``value`` names the amount."""
+    said = lambda x: F.struct(x["diagnosis"].alias("diagnostico"), x["action"].alias("acao")).alias("analise_ia")
+    fields = {"produto": "product", "tipo": "kind"} if value != "valor" else {"produto": "product"}
+    return F.transform("items", lambda x: F.struct(
+        *[x[f].alias(n) for n, f in fields.items()], x["value"].cast("double").alias(value),
+        *([x["kind"].alias("tipo")] if value == "valor" else []), said(x)))
+
+
 def monthly_documents(annotated: DataFrame) -> DataFrame:
     """A20 + P19: one line per store-month: ``{id_loja, store_id, mes,
     total_mensal, itens: [{produto, tipo, venda_este_mes, analise_ia{diagnostico, acao}}]}``.
 
-    ``annotated`` is the monthly ranking with diagnosis and action.
+    ``annotated``: the annotated rows of ``ranking.monthly_lists``.
     """
-    item = F.struct(
-        F.col("product").alias("produto"), F.col("kind").alias("tipo"),
-        F.col("value").cast("double").alias("venda_este_mes"),
-        F.struct(F.col("diagnosis").alias("diagnostico"), F.col("action").alias("acao")).alias("analise_ia"))
-    return (annotated.groupBy("store_id", "month")
-            .agg(F.first("period_total").cast("double").alias("total_mensal"),
-                 _sorted_items("rank", item).alias("itens"))
-            .select(store_number("store_id").alias("id_loja"), "store_id",
-                    F.col("month").alias("mes"), "total_mensal", "itens"))
+    return annotated.select(store_number("store_id").alias("id_loja"), "store_id", F.col("month").alias("mes"),
+                            F.col("period_total").cast("double").alias("total_mensal"), _annotated_items("venda_este_mes").alias("itens"))
 
 
 MONTH_LINE = ("id_loja int, store_id string, mes string, total_mensal double, itens array<struct<produto:string,"
@@ -107,19 +109,15 @@ PERIOD_LINE = ("granularidade string, gerado_em string, dados_lojas array<struct
                f"analises:map<string,struct<total:double,itens:array<{PERIOD_ITEM}>>>>>")
 
 
-def period_documents(annotated: DataFrame, totals: DataFrame) -> DataFrame:
+def period_documents(annotated: DataFrame) -> DataFrame:
     """A20 for the multi-granularity job, in the form of the result file:
     ``{granularidade, gerado_em, dados_lojas: [{id_loja, store_id, analises:
     {periodo: {total, itens}}}]}``, one line per store of a granularity. The
-    periods of a store are bounded by the calendar, the items by the ranking."""
-    keys = ["granularity", "store_id", "period"]
-    item = F.struct(
-        F.col("product").alias("produto"), F.col("value").cast("double").alias("valor"),
-        F.col("kind").alias("tipo"),
-        F.struct(F.col("diagnosis").alias("diagnostico"), F.col("action").alias("acao")).alias("analise_ia"))
-    docs = annotated.groupBy(*keys).agg(_sorted_items("i", item).alias("itens")).join(totals, keys)
-    entry = F.struct("period", F.struct(F.col("total").cast("double").alias("total"), "itens"))
-    stores = docs.groupBy("granularity", "store_id").agg(
+    periods of a store are bounded by the calendar, the items by the ranking.
+
+    ``annotated``: the annotated rows of ``ranking.overlap_lists``."""
+    entry = F.struct("period", F.struct(F.col("total").cast("double").alias("total"), _annotated_items("valor").alias("itens")))
+    stores = annotated.groupBy("granularity", "store_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["period"] < b["period"], -1)
                                         .when(a["period"] > b["period"], 1).otherwise(0))).alias("analises"))
     return stores.select(
@@ -185,7 +183,7 @@ def output_check(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             .option("pathGlobFilter", "part-*").load(p) \
             .select(F.lit(1).alias("files"), F.col("length").alias("bytes"), F.lit(0).alias("records"), F.lit(0).alias("corrupt"))
         # each line must be one JSON object; json_object_keys is null otherwise
-        lines = spark.read.option("recursiveFileLookup", True).text(p).select(
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(p).select(
             F.lit(0).alias("files"), F.lit(0).cast("bigint").alias("bytes"), F.lit(1).alias("records"),
             F.json_object_keys("value").isNull().cast("int").alias("corrupt"))
         one = files.unionByName(lines).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)

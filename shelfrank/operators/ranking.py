@@ -1,93 +1,115 @@
 """TOP/BOTTOM rankings per store-period.
 
-Each side is a separate ``row_number() <= n`` window, so Spark plans a
-``WindowGroupLimit`` on both sides of the shuffle: map tasks send at most n
-rows per (store, period), whatever the group size. Group sizes and totals
-come from a partial aggregate. No step needs a whole group in one task.
+A ranking is one row per store-period with an array of its listed items (at
+most top_n + bottom_n); lists, sums and texts are made from it inside the row,
+and the flat forms explode it.
+
+Both ends come from one pass (:func:`ends`). The products of a store-period are
+dealt over ``SALTS`` slices by their hash, so that a hot store-period is no
+single task; one sort of each slice gives its first and last rows, its count and
+its sum, and one aggregate of these few rows gives the whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfrank.config import DEFAULT, Params
 
+#: Slices of a store-period.
+SALTS = 16
+
+
+def ends(mart: DataFrame, keys: list[str], first: int, last: int, positive_last: bool = False) -> DataFrame:
+    """keys -> ``top`` and ``low``: arrays of (product, value), the first and last
+    rows in descending value order (ties by product, D14), both in that order;
+    ``n_products``, ``period_total`` (A7). ``positive_last`` takes ``low`` from
+    the rows with a positive value (W5)."""
+    order = Window.partitionBy(*keys, "_salt").orderBy(F.col("value").desc(), F.col("product").asc())
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = F.count_if(F.col("value") > 0) if positive_last else F.count(F.lit(1))
+    # one window specification, so one sort
+    sliced = mart.select(*keys, "product", "value", F.pmod(F.xxhash64("product"), F.lit(SALTS)).alias("_salt")).select(
+        *keys, "product", "value", F.row_number().over(order).alias("_rn"), counted.over(whole).alias("_n"),
+        F.count(F.lit(1)).over(whole).alias("_rows"), F.sum("value").over(whole).alias("_sum"))
+    at_top, at_low = F.col("_rn") <= first, (F.col("_rn") <= F.col("_n")) & (F.col("_n") - F.col("_rn") < last)
+    head = F.col("_rn") == 1
+    rec = F.struct((-F.col("value")).alias("minus"), F.col("product"), F.col("value"))
+    listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, rec)))
+    found = sliced.where(at_top | at_low | head).groupBy(*keys).agg(
+        listed(at_top).alias("_top"), listed(at_low).alias("_low"), F.sum(F.when(head, F.col("_rows"))).alias("n_products"),
+        F.sum(F.when(head, F.col("_sum"))).alias("period_total"))
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["product"].alias("product"), x["value"].alias("value")))
+    n_low = F.least(F.size("_low"), F.lit(last))
+    return found.select(*keys, bare(F.slice("_top", 1, first)).alias("top"),
+                        bare(F.slice("_low", F.size("_low") - n_low + 1, n_low)).alias("low"), "n_products", "period_total")
+
+
+def _item(x: Column, kind: Column, **more) -> Column:
+    return F.struct(x["product"].alias("product"), kind.alias("kind"), x["value"].alias("value"), *[c.alias(n) for n, c in more.items()])
+
+
+def monthly_lists(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
+    """Keys, ``items`` (product, kind, value, rank; 1 = best), ``n_products``,
+    ``period_total``. ``TOP 10`` / ``BOTTOM 10`` per store-period; a period with
+    at most top_n + bottom_n products is listed whole as ``GERAL``."""
+    tn, bn = params.top_n, params.bottom_n
+    n = F.col("n_products")
+    few = n <= tn + bn
+    top = F.transform("top", lambda x, i: _item(x, F.when(few, "GERAL").otherwise(f"TOP {tn}"), rank=(i + 1).cast("int")))
+    rank = lambda i: (n - F.size("low") + i + 1).cast("int")
+    low = F.transform("low", lambda x, i: _item(x, F.when(few, "GERAL").otherwise(f"BOTTOM {bn}"), rank=rank(i)))
+    # a row of a small period that the top list has is not listed again
+    items = F.concat(top, F.filter(low, lambda x: x["rank"] > tn))
+    return ends(mart, list(keys), tn, bn).select(*keys, items.alias("items"), "n_products", "period_total")
 
-def _desc():
-    return [F.col("value").desc(), F.col("product").asc()]
 
+def overlap_lists(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
+    """W5 + U1: keys, ``items`` (i, product, kind, value, pos), ``n_products``,
+    ``total``. TOP n, then BOTTOM n of the positive values; with fewer than top_n +
+    bottom_n products a row is in both (D7). ``pos`` counts within a list, ``i``
+    over both; both are in descending value order."""
+    item = lambda kind, ahead: lambda x, p: F.struct(
+        (ahead + p + 1).cast("int").alias("i"), x["product"].alias("product"), F.lit(kind).alias("kind"), x["value"].alias("value"),
+        (p + 1).cast("int").alias("pos"))
+    items = F.concat(F.transform("top", item("TOP", F.lit(0))), F.transform("low", item("BOTTOM", F.size("top"))))
+    return ends(mart, list(keys), params.top_n, params.bottom_n, positive_last=True).select(
+        *keys, items.alias("items"), "n_products", F.col("period_total").alias("total"))
 
-def _asc():
-    # exact reverse of _desc(), so "first n ascending" = "last n descending"
-    return [F.col("value").asc(), F.col("product").desc()]
 
+def flat(lists: DataFrame, keys, *more: str, col: str = "items") -> DataFrame:
+    """One row per listed item: keys, the item's fields, and the columns ``more``."""
+    return lists.select(*keys, *more, F.explode(col).alias("_x")).select(*keys, "_x.*", *more)
 
-def _first_n(mart: DataFrame, keys: list[str], order, n: int, col: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return mart.withColumn(col, F.row_number().over(w)).filter(F.col(col) <= n)
 
+def monthly_top_bottom(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
+    """W4, flat: keys, product, kind, value, rank, n_products, period_total."""
+    return flat(monthly_lists(mart, keys, params), keys, "n_products", "period_total")
 
-def group_stats(mart: DataFrame, keys: list[str]) -> DataFrame:
-    """Products and total per store-period (A7), one partial aggregate.
 
-    ``n_products`` is ``count(value)``: a mart's value is a sum of cleaned,
-    non-null sales values, so this is the row count, and it reads ``value``.
-    That matters for the plan: with ``count(*)``, a caller that drops the
-    total lets column pruning strip the sum out of this branch's mart, the
-    mart no longer equals the ranking branches' and Spark scans and
-    aggregates the fact a second time instead of reusing one exchange.
-    (Catalyst turns a count of a provably non-null expression into
-    ``count(1)``, so ``count(coalesce(value, 0))`` would not do.)
-    """
-    return mart.groupBy(*keys).agg(
-        F.count("value").alias("n_products"), F.sum("value").alias("period_total"))
+def top_bottom_overlap(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
+    """W5 + U1, flat: keys, product, kind (TOP/BOTTOM), value, pos."""
+    return flat(overlap_lists(mart, keys, params), keys).drop("i")
 
 
-def monthly_top_bottom(mart: DataFrame, keys=("store_id", "period"),
-                       params: Params = DEFAULT) -> DataFrame:
-    """``TOP 10`` / ``BOTTOM 10`` per store-period; a period with at most
-    top_n + bottom_n products is listed whole as ``GERAL``.
+def summed(items: Column, of) -> Column:
+    """Sum of the values of the items for which ``of`` holds."""
+    zero = F.lit(0).cast("decimal(38,2)")
+    return F.aggregate(F.filter(items, of), zero, lambda a, x: (a + x["value"]).cast("decimal(38,2)"))
 
-    Output: keys, product, kind, value, rank (1 = best), n_products, period_total.
-    The rank of a bottom row is n - (its ascending position) + 1, so no
-    window over the whole group is needed; a row already in the top list is
-    dropped from the bottom list (small periods), so no de-duplication either.
-    """
-    k = list(keys)
-    tn, bn = params.top_n, params.bottom_n
-    stats = group_stats(mart, k)
-    n = F.col("n_products")
-    top = _first_n(mart, k, _desc(), tn, "rank").join(stats, k)
-    bot = (_first_n(mart, k, _asc(), bn, "_up").join(stats, k)
-           .withColumn("rank", (n - F.col("_up") + 1).cast("int"))
-           .filter(F.col("rank") > tn).drop("_up"))
-    kind_top = F.when(n <= tn + bn, F.lit("GERAL")).otherwise(F.lit(f"TOP {tn}"))
-    kind_bot = F.when(n <= tn + bn, F.lit("GERAL")).otherwise(F.lit(f"BOTTOM {bn}"))
-    cols = [*k, "product", "kind", "value", F.col("rank").cast("int").alias("rank"), "n_products", "period_total"]
-    return top.withColumn("kind", kind_top).select(*cols).unionByName(
-        bot.withColumn("kind", kind_bot).select(*cols))
-
-
-def top_bottom_overlap(mart: DataFrame, keys=("store_id", "period"),
-                       params: Params = DEFAULT) -> DataFrame:
-    """W5 + U1: TOP n and BOTTOM n (positive values) of every period; with fewer
-    than top_n + bottom_n products a row is in both lists (D7).
-
-    Output: keys, product, kind (TOP/BOTTOM), value, pos (position in its list,
-    both lists in descending value order as the reference emits them).
-    """
-    k = list(keys)
-    top = _first_n(mart, k, _desc(), params.top_n, "pos").withColumn("kind", F.lit("TOP"))
-    bot = _first_n(mart.filter(F.col("value") > 0), k, _asc(), params.bottom_n, "_up")
-    # the BOTTOM list is the tail of the descending order: reverse the positions
-    bot = bot.withColumn("pos", (F.count(F.lit(1)).over(Window.partitionBy(*k)) - F.col("_up") + 1)
-                         .cast("int")).drop("_up").withColumn("kind", F.lit("BOTTOM"))
-    return top.unionByName(bot).select(*k, "product", "kind", "value", "pos")
+
+def with_sums(lists: DataFrame) -> DataFrame:
+    """Adds ``top_sum``, ``bottom_sum``, ``n_items``; ``GERAL`` counts in
+    neither sum (D18)."""
+    items = F.col("items")
+    return lists.select("*", summed(items, lambda x: x["kind"].startswith("TOP")).alias("top_sum"),
+                        summed(items, lambda x: x["kind"].startswith("BOTTOM")).alias("bottom_sum"),
+                        F.size(items).cast("bigint").alias("n_items"))
 
 
 def kind_sums(ranking: DataFrame, keys=("store_id", "period")) -> DataFrame:
-    """Value of TOP rows, of BOTTOM rows, and item count; ``GERAL`` counts in neither."""
+    """A9 of a flat ranking."""
     k = list(keys)
     return ranking.groupBy(*k).agg(
         F.coalesce(F.sum(F.when(F.col("kind").contains("TOP"), F.col("value"))), F.lit(0)).alias("top_sum"),
@@ -100,8 +122,8 @@ def recent_periods(totals: DataFrame, keys=("store_id",), period_col: str = "per
                    params: Params = DEFAULT) -> DataFrame:
     """Flag the newest ``annotated_periods`` periods of each store.
 
-    Input is one row per store-period (a period total), so a store's window
-    holds its distinct periods only — bounded by the calendar.
+    Input is one row per store-period (a period total, or its lists), so a
+    store's window holds its distinct periods only — bounded by the calendar.
     """
     k = list(keys)
     w = Window.partitionBy(*k).orderBy(F.col(period_col).desc())

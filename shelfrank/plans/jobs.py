@@ -10,6 +10,8 @@
 Inputs are a sales fact (``store_id, product, value, d``) or raw files read
 with :func:`shelfrank.sources.files.read_sales` and cleaned here. Marts that
 several outputs read are written once to the shared checkpoint folder.
+``journal``: a folder on shared storage that keeps the annotator's replies as
+they arrive, so that a job that is run again does not repeat a call.
 """
 
 from __future__ import annotations
@@ -72,13 +74,14 @@ def load_fact(spark: SparkSession, path: str, invalid_dates: str = "bucket", mon
 
 
 def abc_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=None,
-            cache_in: DataFrame | None = None, params: Params = DEFAULT) -> JobResult:
+            cache_in: DataFrame | None = None, params: Params = DEFAULT, journal: str | None = None) -> JobResult:
     """3.1: A1 -> A6 -> W1–W3 -> (X3 with J2/J3/U2) -> K1 (+ K6).
 
     ``cache_in`` defaults to the cache of the last run in ``out_dir`` (none:
     empty). It is fixed before anything is written, the documents are written
-    next, and the new cache replaces the old one last, so the job can be run
-    every day on one folder and a failure loses nothing.
+    next, and the new entries go into the cache last (only the parts of their
+    stores are rewritten), so the job can be run every day on one folder and a
+    failure loses nothing.
     """
     res = JobResult()
     month = res.keep(marts.product_month_sales(sales), spark, "abc-month-mart")
@@ -87,11 +90,14 @@ def abc_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=None,
     items = classified
     if annotator is not None:
         old = res.keep(cache_in if cache_in is not None else cache.read_json(spark, path), spark, "abc-cache")
-        items, new = cache.annotate_abc(classified, old, annotator, params)
+        items, new = cache.annotate_abc(classified, old, annotator, params, journal)
     res.outputs["abc"] = documents.write_documents(documents.abc_documents(items), f"{out_dir}/abc")
     if annotator is not None:
         res.outputs["cache"] = path
-        cache.write_json(cache.upsert(old, new), path)
+        if cache_in is None:
+            cache.update_json(new, path)
+        else:
+            cache.write_json(cache.upsert(old, new), path)
         res.frames["cache"] = cache.read_json(spark, path)
     res.frames["classified"] = classified
     return res
@@ -99,7 +105,7 @@ def abc_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=None,
 
 def monthly_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=None,
                 store: str | None = None, months: tuple[str, str] | None = None,
-                params: Params = DEFAULT) -> JobResult:
+                params: Params = DEFAULT, journal: str | None = None) -> JobResult:
     """3.2 (and the single-store variant, P13 + K3; ``months=(lo, hi)`` keeps
     a month range, P15, as a date filter the scan can use)."""
     if store is not None:
@@ -109,20 +115,16 @@ def monthly_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=N
     res = JobResult()
     month = res.keep(marts.product_month_sales(sales), spark, "monthly-mart")
     keys = ["store_id", "month"]
-    rk = ranking.monthly_top_bottom(month, keys, params)
-    ctx = (ranking.kind_sums(rk, keys).drop("n_items")
-           .join(rk.groupBy(*keys).agg(F.first("period_total").alias("period_total")), keys)
-           .withColumn("label", month_label("month")))
-    ctx = with_season(ctx, spark)
-    annotated = annotate.annotate_months(rk, ctx, annotator, keys)
+    lists = with_season(ranking.with_sums(ranking.monthly_lists(month, keys, params)).withColumn("label", month_label("month")), spark)
+    annotated = annotate.annotate_months(lists, annotator, keys, journal)
     res.outputs["monthly"] = documents.write_documents(
         documents.monthly_documents(annotated), f"{out_dir}/monthly", partition_by="store_id")
-    res.frames["statistics"] = quality.run_statistics(rk, keys)
+    res.frames["statistics"] = quality.run_statistics(ranking.monthly_top_bottom(month, keys, params), keys)
     return res
 
 
 def multi_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=None,
-              granularities=GRANULARITIES, params: Params = DEFAULT) -> JobResult:
+              granularities=GRANULARITIES, params: Params = DEFAULT, journal: str | None = None) -> JobResult:
     """3.3: day mart once (persisted), week/month from it, overlap rankings,
     last-7 annotation, one document folder per granularity, index."""
     sales = sales.filter(F.col("d").isNotNull())  # P6b: this job drops undated rows
@@ -131,13 +133,9 @@ def multi_job(spark: SparkSession, sales: DataFrame, out_dir: str, annotator=Non
     mart = res.keep(marts.multi_granularity_mart(sales, tuple(dict.fromkeys(("day", *granularities)))), spark, "multi-mart")
     days, mart = mart, mart.where(F.col("granularity").isin(*granularities))
     keys = ["granularity", "store_id", "period"]
-    rk = annotate.list_order(ranking.top_bottom_overlap(mart, keys, params), keys)
-    totals = marts.period_totals(mart, keys)
-    recent = ranking.recent_periods(totals, ("granularity", "store_id"), params=params) \
-        .select(*keys, "annotated")
-    annotated = annotate.annotate_periods(rk, totals, annotator, keys, recent)
+    annotated = annotate.annotate_periods(ranking.overlap_lists(mart, keys, params), annotator, keys, params, journal)
     res.outputs["periods"] = documents.write_documents(
-        documents.period_documents(annotated, totals), f"{out_dir}/periods", partition_by="granularidade")
+        documents.period_documents(annotated), f"{out_dir}/periods", partition_by="granularidade")
     res.outputs["index"] = f"{out_dir}/index"
     written = documents.written_files(spark, out_dir, res.outputs["periods"])
     documents.index_document(days, written).write.mode("overwrite").json(res.outputs["index"])

@@ -9,8 +9,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from shelfrank.operators import abc, marts
+from shelfrank.operators import abc, marts, selections
 from shelfrank.plans.registry import ORACLE, query
+from shelfrank.plans.stub_model import stub_annotator
 from shelfrank.sources.tables import DAILY_SQL, SALES_SQL, daily_fact, sales_fact
 
 
@@ -169,9 +170,22 @@ SELECT store_id, month, product, kind, CAST(value AS DOUBLE) AS value, rank, n_p
 FROM tb"""
 
 
+MKEYS = ["store_id", "month"]
+
+
 def monthly_ranking(spark, sf):
     from shelfrank.operators import ranking
-    return ranking.monthly_top_bottom(month_mart(spark, sf), ("store_id", "month"))
+    return ranking.monthly_top_bottom(month_mart(spark, sf), MKEYS)
+
+
+def monthly_rows(spark, sf):
+    """W4 as one row per store-month, with the sums (A9), label (F2) and season
+    (J5) that its prompt shows."""
+    from shelfrank.functions.periods import month_label
+    from shelfrank.operators import ranking
+    from shelfrank.sources.dims import with_season
+    lists = ranking.with_sums(ranking.monthly_lists(month_mart(spark, sf), MKEYS))
+    return with_season(lists.withColumn("label", month_label("month")), spark)
 
 
 def _monthly_out(df):
@@ -224,7 +238,7 @@ SELECT store_id, month,
 FROM tb GROUP BY store_id, month"""))
 def q_top_bottom_sums(spark, sf):
     from shelfrank.operators import ranking
-    s = ranking.kind_sums(monthly_ranking(spark, sf), ("store_id", "month"))
+    s = ranking.with_sums(ranking.monthly_lists(month_mart(spark, sf), MKEYS))
     return s.select("store_id", "month", dbl("top_sum").alias("top_sum"),
                     dbl("bottom_sum").alias("bottom_sum"), "n_items")
 
@@ -649,19 +663,17 @@ SELECT store_id, batch, COUNT(*) AS n_items, MIN(rank) AS first_rank, MAX(rank)
 FROM mb2 GROUP BY store_id, batch"""))
 def q_annotation_batches(spark, sf):
     from shelfrank.operators import annotate, cache
-    b = annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf)))
-    js = annotate.items_json(b, ["store_id", "batch"],
-                             [("produto", F.col("product")), ("classe", F.col("abc_class"))])
-    rk = b.groupBy("store_id", "batch").agg(F.min("rank").alias("first_rank"),
-                                            F.max("rank").alias("last_rank"))
-    return js.join(rk, ["store_id", "batch"]).select(
-        "store_id", "batch", "n_items", "first_rank", "last_rank", "items_json")
+    rows = annotate.batch_rows(annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf))))
+    rank = F.transform("items", lambda x: x["rank"])
+    return rows.select("store_id", "batch", F.size("items").cast("bigint").alias("n_items"), F.array_min(rank).alias("first_rank"),
+                       F.array_max(rank).alias("last_rank"),
+                       annotate.items_json({"produto": "product", "classe": "abc_class"}).alias("items_json"))
 
 
 def _abc_annotated(spark, sf, prev=None):
-    from shelfrank.operators import annotate, cache
+    from shelfrank.operators import cache
     prev = _prev_cache(spark, sf) if prev is None else prev
-    return cache.annotate_abc(_abc_items(spark, sf), prev, annotate.stub_annotator)
+    return cache.annotate_abc(_abc_items(spark, sf), prev, stub_annotator)
 
 
 @query("annotate_abc_items", with_sales(CACHE_CTES + """
@@ -732,31 +744,29 @@ ai AS (SELECT lj.granularity, lj.store_id, lj.period, product, kind, value, pos,
 """
 
 
-def _period_ranking(spark, sf, fact: str = "daily"):
-    from shelfrank.operators import annotate, ranking
-    m = multi_mart(spark, sf, fact)
-    r = annotate.list_order(ranking.top_bottom_overlap(m, PKEYS), PKEYS)
-    totals = marts.period_totals(m, PKEYS)
-    # the periods of a store are those with a TOP list (every period has one);
-    # taken from the ranking, not from the totals, so the branch reads the same
-    # mart (with its value column) and Spark reuses it instead of re-reading the fact
-    periods = r.filter(F.col("kind") == "TOP").select(*PKEYS).distinct()
-    recent = ranking.recent_periods(periods, ("granularity", "store_id")).select(*PKEYS, "annotated")
-    return r, totals, recent
+def period_lists(spark, sf, fact: str = "daily"):
+    """W5 as one row per store-period, with its total over all products."""
+    from shelfrank.operators import ranking
+    return ranking.overlap_lists(multi_mart(spark, sf, fact), PKEYS)
+
 
+def asked_periods(spark, sf):
+    """Those of the newest seven periods of each store."""
+    from shelfrank.operators import ranking
+    return ranking.recent_periods(period_lists(spark, sf), ("granularity", "store_id")).where("annotated")
 
-def annotated_items(spark, sf, annotator="stub", fact: str = "daily"):
+
+def annotated_lists(spark, sf, fact: str = "daily"):
     from shelfrank.operators import annotate
-    r, totals, recent = _period_ranking(spark, sf, fact)
-    fn = annotate.stub_annotator if annotator == "stub" else annotator
-    return annotate.annotate_periods(r, totals, fn, PKEYS, recent), totals
+    return annotate.annotate_periods(period_lists(spark, sf, fact), stub_annotator, PKEYS)
 
 
 @query("annotate_items", with_sales(ANNOT_CTES + """
 SELECT granularity, store_id, period, product, kind, CAST(value AS DOUBLE) AS value, pos, diagnosis, action
 FROM ai""", daily=True))
 def q_annotate_items(spark, sf):
-    a, _ = annotated_items(spark, sf)
+    from shelfrank.operators import ranking
+    a = ranking.flat(annotated_lists(spark, sf), PKEYS)
     return a.select(*PKEYS, "product", "kind", dbl("value").alias("value"), "pos", "diagnosis", "action")
 
 
@@ -770,11 +780,8 @@ SELECT DISTINCT granularity, store_id, period, CAST(n_items + 1 AS INTEGER), p1,
 FROM ai WHERE annotated""", daily=True))
 def q_json_repair_parse(spark, sf):
     from shelfrank.operators import annotate
-    r, totals, recent = _period_ranking(spark, sf)
-    asked = r.join(recent.filter("annotated"), PKEYS).drop("annotated")
-    replies = annotate.call_annotator(annotate.period_prompts(asked, totals, PKEYS),
-                                      annotate.stub_annotator, PKEYS)
-    p = annotate.parse_replies(replies, PKEYS)
+    asked = asked_periods(spark, sf).withColumn("prompt", annotate.period_prompt())
+    p = annotate.parse_replies(annotate.call_annotator(asked, stub_annotator, PKEYS), PKEYS)
     return p.select(*PKEYS, F.col("pos").cast("int").alias("pos"), "produto",
                     F.coalesce("diagnostico", F.lit(annotate.UNAVAILABLE)).alias("diagnostico"),
                     F.coalesce("acao", F.lit(annotate.NO_ACTION)).alias("acao"))
@@ -783,29 +790,22 @@ def q_json_repair_parse(spark, sf):
 @query("prompt_text")
 def q_prompt_text(spark, sf):
     """every prompt the three jobs would send."""
-    from shelfrank.functions.periods import month_label
-    from shelfrank.operators import annotate, cache, ranking
-    from shelfrank.sources.dims import with_season
-    r, totals, recent = _period_ranking(spark, sf)
-    asked = r.join(recent.filter("annotated"), PKEYS).drop("annotated")
-    p15 = annotate.period_prompts(asked, totals, PKEYS).select(
+    from shelfrank.operators import annotate
+    p15 = asked_periods(spark, sf).select(
         F.lit("period").alias("prompt_kind"), "store_id", F.concat_ws(":", "granularity", "period").alias("key"),
-        "prompt")
-    mr = monthly_ranking(spark, sf)
-    mk = ["store_id", "month"]
-    items = mr.withColumn("i", F.col("rank"))
-    ctx = (ranking.kind_sums(mr, mk).drop("n_items")
-           .join(mr.groupBy(*mk).agg(F.first("period_total").alias("period_total")), mk)
-           .withColumn("label", month_label("month")))
-    ctx = with_season(ctx, spark)
-    p14 = annotate.month_prompts(items, ctx, mk).select(
-        F.lit("month").alias("prompt_kind"), "store_id", F.col("month").alias("key"), "prompt")
-    b = annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf)))
-    p13 = annotate.abc_prompts(b).select(F.lit("abc").alias("prompt_kind"), "store_id",
-                                         F.col("batch").cast("string").alias("key"), "prompt")
+        annotate.period_prompt().alias("prompt"))
+    p14 = monthly_rows(spark, sf).select(
+        F.lit("month").alias("prompt_kind"), "store_id", F.col("month").alias("key"), annotate.month_prompt().alias("prompt"))
+    p13 = _missed_batches(spark, sf).select(
+        F.lit("abc").alias("prompt_kind"), "store_id", F.col("batch").cast("string").alias("key"), annotate.abc_prompt().alias("prompt"))
     return p15.unionByName(p14).unionByName(p13)
 
 
+def _missed_batches(spark, sf):
+    from shelfrank.operators import annotate, cache
+    return annotate.batch_rows(annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf))))
+
+
 @query("period_prompt_text", with_sales(ANNOT_CTES + """,
 pt AS (SELECT granularity, store_id, period, SUM(value) AS total FROM mm GROUP BY granularity, store_id, period),
 ln AS (SELECT li.granularity, li.store_id, li.period,
@@ -824,9 +824,7 @@ def q_period_prompt_text(spark, sf):
     """F15 (+ W6): the prompt of every store-period among each store's newest
     seven, items in list order (TOP, then BOTTOM)."""
     from shelfrank.operators import annotate
-    r, totals, recent = _period_ranking(spark, sf)
-    asked = r.join(recent.filter("annotated"), PKEYS).drop("annotated")
-    return annotate.period_prompts(asked, totals, PKEYS).select(*PKEYS, "prompt")
+    return asked_periods(spark, sf).select(*PKEYS, annotate.period_prompt().alias("prompt"))
 
 
 def _brl_sql(c: str) -> str:
@@ -855,16 +853,8 @@ SELECT store_id, month,
 FROM ks LEFT JOIN se ON substr(ks.month, 6, 2) = se.mm"""))
 def q_monthly_prompt_text(spark, sf):
     """F14 (+ J5, A7, A9, F2, F7, F8): the prompt of every store-month."""
-    from shelfrank.functions.periods import month_label
-    from shelfrank.operators import annotate, ranking
-    from shelfrank.sources.dims import with_season
-    mr = monthly_ranking(spark, sf)
-    mk = ["store_id", "month"]
-    ctx = (ranking.kind_sums(mr, mk).drop("n_items")
-           .join(mr.groupBy(*mk).agg(F.first("period_total").alias("period_total")), mk)
-           .withColumn("label", month_label("month")))
-    return annotate.month_prompts(mr.withColumn("i", F.col("rank")), with_season(ctx, spark), mk) \
-        .select(*mk, "prompt")
+    from shelfrank.operators import annotate
+    return monthly_rows(spark, sf).select(*MKEYS, annotate.month_prompt().alias("prompt"))
 
 
 @query("abc_prompt_text", with_sales(CACHE_CTES + """
@@ -876,9 +866,8 @@ SELECT store_id, batch,
 FROM mb2 GROUP BY store_id, batch"""))
 def q_abc_prompt_text(spark, sf):
     """F13 (+ W10, J3): one prompt per batch of 15 cache misses of a store."""
-    from shelfrank.operators import annotate, cache
-    b = annotate.abc_batches(cache.misses(_abc_items(spark, sf), _prev_cache(spark, sf)))
-    return annotate.abc_prompts(b).select("store_id", "batch", "prompt")
+    from shelfrank.operators import annotate
+    return _missed_batches(spark, sf).select("store_id", "batch", annotate.abc_prompt().alias("prompt"))
 
 
 # ``prompt_text`` (registered above) is the union of the three prompt kinds,
@@ -910,9 +899,8 @@ sc AS (SELECT *, CASE WHEN total > 0 THEN (CASE WHEN cum * 100 <= total * 80 THE
 
 
 def selection(spark, sf):
-    a, totals = annotated_items(spark, sf)
-    merged = abc.merge_selection(a, PKEYS, order_col="i")
-    return abc.selection_abc(merged, totals, PKEYS)
+    """One classified selection per store-period."""
+    return selections.classify(selections.merge(annotated_lists(spark, sf)))
 
 
 @query("selection_merge_modes", with_sales(ANNOT_CTES + """
@@ -927,11 +915,11 @@ def q_selection_merge_modes(spark, sf):
     """A15 + D7: a product listed in both TOP and BOTTOM of a small period
     counts once (``dedupe=True``) or twice, as the dashboard adds it. Runs
     on the lineitem fact, whose store-days hold a few products each."""
-    a, _ = annotated_items(spark, sf, fact="sales")
+    from shelfrank.operators import ranking
+    merged = ranking.flat(selections.merge(annotated_lists(spark, sf, fact="sales")), PKEYS, col="products")
     modes = F.array(F.struct(F.lit("dedupe").alias("mode"), dbl("value_once").alias("value")),
                     F.struct(F.lit("sum").alias("mode"), dbl("value_twice").alias("value")))
-    m = abc.merge_selection(a, PKEYS, order_col="i").select(
-        F.explode(modes).alias("m"), *PKEYS, "product", "kind", F.col("first_pos").cast("int").alias("first_pos"))
+    m = merged.select(F.explode(modes).alias("m"), *PKEYS, "product", "kind", "first_pos")
     return m.select("m.mode", *PKEYS, "product", "m.value", "kind", "first_pos")
 
 
@@ -940,7 +928,8 @@ SELECT granularity, store_id, period, product, CAST(value AS DOUBLE) AS value, k
        CAST(n_insights AS INTEGER) AS n_insights, n_insights > 0 AS has_insight
 FROM sc""", daily=True))
 def q_selection_abc(spark, sf):
-    s = selection(spark, sf)
+    from shelfrank.operators import ranking
+    s = ranking.flat(selection(spark, sf), PKEYS, col="products")
     return s.select(*PKEYS, "product", dbl("value").alias("value"), "kind", "abc_class", "rank",
                     F.size("insights").alias("n_insights"), (F.size("insights") > 0).alias("has_insight"))
 
@@ -958,10 +947,9 @@ UNION ALL
 SELECT granularity, store_id, period, abc_class, 'worst', CAST(wpos AS INTEGER), product, CAST(value AS DOUBLE)
 FROM ww WHERE wpos <= 10""", daily=True))
 def q_class_best_worst(spark, sf):
-    s = selection(spark, sf).select(*PKEYS, "abc_class", "product", "value")
-    bw = abc.best_worst(s, [*PKEYS, "abc_class"])
-    return bw.select(*PKEYS, "abc_class", "list", F.col("pos").cast("int").alias("pos"), "product",
-                     dbl("value").alias("value"))
+    from shelfrank.operators import ranking
+    bw = ranking.flat(selections.best_worst(selection(spark, sf)), PKEYS, col="lists")
+    return bw.select(*PKEYS, "abc_class", "list", "pos", "product", dbl("value").alias("value"))
 
 
 @query("abc_class_mix", with_sales(ABC_CTES + """
@@ -988,11 +976,8 @@ SELECT granularity, store_id, period, product, first_insight, NULLIF(first_actio
        CAST(n_insights AS INTEGER) AS n_insights
 FROM ins WHERE contains(lower(product), '{SEARCH_TERM}') OR text_hit""", daily=True))
 def q_insight_search(spark, sf):
-    from shelfrank.operators import search
     # the search needs the merged selection only, not its ABC classes
-    a, _ = annotated_items(spark, sf)
-    s = search.search_insights(abc.merge_selection(a, PKEYS, order_col="i"), SEARCH_TERM)
-    return s.select(*PKEYS, "product", "first_insight", "action", "n_insights")
+    return selections.search(selections.merge(annotated_lists(spark, sf)), SEARCH_TERM, PKEYS)
 
 
 # --------------------------------------------------------------------------- documents, sinks, sources
@@ -1004,9 +989,9 @@ def _scratch(spark, name):
 
 def _abc_lines(spark, sf):
     """A19 + P19: ABC lines with month history and cached/new analyses."""
-    from shelfrank.operators import annotate, cache, documents
+    from shelfrank.operators import cache, documents
     classified = abc.classify(marts.product_history(month_mart(spark, sf)))
-    items, _ = cache.annotate_abc(classified, _prev_cache(spark, sf), annotate.stub_annotator)
+    items, _ = cache.annotate_abc(classified, _prev_cache(spark, sf), stub_annotator)
     return documents.abc_documents(items)
 
 
@@ -1034,16 +1019,8 @@ def q_abc_documents(spark, sf):
 
 def _monthly_lines(spark, sf):
     """A20 + P19 + X4 (month prompts): one line per store-month."""
-    from shelfrank.functions.periods import month_label
-    from shelfrank.operators import annotate, documents, ranking
-    from shelfrank.sources.dims import with_season
-    rk = monthly_ranking(spark, sf)
-    keys = ["store_id", "month"]
-    ctx = (ranking.kind_sums(rk, keys).drop("n_items")
-           .join(rk.groupBy(*keys).agg(F.first("period_total").alias("period_total")), keys)
-           .withColumn("label", month_label("month")))
-    ann = annotate.annotate_months(rk, with_season(ctx, spark), annotate.stub_annotator, keys)
-    return documents.monthly_documents(ann)
+    from shelfrank.operators import annotate, documents
+    return documents.monthly_documents(annotate.annotate_months(monthly_rows(spark, sf), stub_annotator, MKEYS))
 
 
 def _listed(items, field):
@@ -1068,8 +1045,7 @@ def q_monthly_documents(spark, sf):
 def _period_lines(spark, sf):
     """One line per store of a granularity."""
     from shelfrank.operators import documents
-    a, totals = annotated_items(spark, sf)
-    return documents.period_documents(a, totals)
+    return documents.period_documents(annotated_lists(spark, sf))
 
 
 @query("period_documents", with_sales(ANNOT_CTES + """,
@@ -1320,12 +1296,12 @@ SELECT * FROM n2 UNION ALL SELECT * FROM c1 ANTI JOIN n2 USING (store_id, produc
 def q_cache_two_runs(spark, sf):
     """S6 + K6 + F12: the ABC job twice on one folder, first on the older sales;
     the second run reads the cache that the first one wrote and replaces it."""
-    from shelfrank.operators import annotate, cache
+    from shelfrank.operators import cache
     from shelfrank.plans import jobs
     out = _scratch(spark, "abc-daily")
     sales = sales_fact(spark, sf)
     for part in (sales.filter(F.col("d") < F.lit(CACHE_CUTOFF).cast("date")), sales):
-        with jobs.abc_job(spark, part, out, annotator=annotate.stub_annotator):
+        with jobs.abc_job(spark, part, out, annotator=stub_annotator):
             pass
     return cache.read_json(spark, f"{out}/cache")
 
@@ -1339,10 +1315,10 @@ UNION ALL SELECT 'index', 1, 0""")
 def q_output_check(spark, sf):
     """K1–K7: run the three jobs on the fact (stub annotator) and check what
     they wrote: records and corrupt records of each output."""
-    from shelfrank.operators import annotate, documents
+    from shelfrank.operators import documents
     from shelfrank.plans import jobs
     out = _scratch(spark, "jobs")
-    stub = annotate.stub_annotator
+    stub = stub_annotator
     with jobs.abc_job(spark, sales_fact(spark, sf), f"{out}/abc", annotator=stub, cache_in=_prev_cache(spark, sf)) as r1, \
             jobs.monthly_job(spark, sales_fact(spark, sf), f"{out}/monthly", annotator=stub) as r2, \
             jobs.multi_job(spark, daily_fact(spark, sf), f"{out}/multi", annotator=stub) as r3:
@@ -1360,8 +1336,9 @@ FROM ls WHERE lpos <= 10""", daily=True))
 def q_selection_lists(spark, sf):
     """First 10 of the TOP list and of the BOTTOM list of each selection
     (both in descending value order, as the dashboard shows them)."""
-    out = abc.kind_lists(selection(spark, sf), PKEYS)
-    return out.select(*PKEYS, F.col("kind").alias("list"), "pos", "product", dbl("value").alias("value"), "abc_class")
+    from shelfrank.operators import ranking
+    out = ranking.flat(selections.kind_lists(selection(spark, sf)), PKEYS, col="lists")
+    return out.select(*PKEYS, "list", "pos", "product", dbl("value").alias("value"), "abc_class")
 
 
 @query("selection_summary", with_sales(SELECTION_CTES + """
@@ -1377,4 +1354,4 @@ SELECT granularity, store_id, period, COUNT(*) AS n_products,
 FROM sc GROUP BY granularity, store_id, period""", daily=True))
 def q_selection_summary(spark, sf):
     """A17 + A14 on a selection."""
-    return abc.selection_summary(selection(spark, sf), PKEYS)
+    return selections.summary(selection(spark, sf), PKEYS)

@@ -120,3 +120,9 @@ def materialize(df):
     executor recomputes nothing before this point."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the session's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfrank.session import qualified
 from shelfrank.sources.csv_records import CORRUPT, MalformedFile, records
 
 # The charsets that the exports come in, by their usual names.
@@ -279,7 +280,7 @@ def write_xlsx_parts(df: DataFrame, path: str, sheet_rows: int = 100_000) -> Dat
     """
     cols = df.columns
     sheet_rows = min(sheet_rows, SHEET_ROWS)
-    uri = _qualified(df.sparkSession, path)
+    uri = qualified(df.sparkSession, path)
 
     def write(batches):
         from pyarrow import fs as pafs
@@ -307,9 +308,3 @@ def write_xlsx_parts(df: DataFrame, path: str, sheet_rows: int = 100_000) -> Dat
             yield pd.DataFrame({"file": [f"{path.rstrip('/')}/{name}"], "rows": [count]})
 
     return df.mapInPandas(write, "file string, rows long")
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme of the session's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p))

@@ -1,6 +1,10 @@
 """Reply repair/parse (F-F), cache joins (F-G), annotation with a stub."""
 
+import glob
 import json
+import os
+import subprocess
+import sys
 from decimal import Decimal
 
 import pytest
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.operators import annotate as A
 from shelfrank.operators import cache
+from shelfrank.plans.stub_model import stub_annotator
 
 
 def parsed(spark, replies):
@@ -36,32 +41,46 @@ def test_reply_repair_and_parse(spark):
 
 
 def test_attach_last_wins_and_defaults(spark):
-    items = spark.createDataFrame([(1, "A", "TOP", 1), (1, "B", "TOP", 2)], "id int, product string, kind string, i int")
-    p = parsed(spark, ['[{"produto": "A", "diagnostico": "old"}, {"produto": "A", "diagnostico": "new"}]'])
-    p = p.withColumn("id", F.lit(1))
-    got = {r.product: (r._diagnostico, r._acao) for r in A.attach(items, p, ["id"]).collect()}
-    assert got["A"] == ("new", None) and got["B"] == (None, None)
+    rows = spark.createDataFrame([(1, [("A", "TOP"), ("B", "TOP")], False,
+                                   '[{"produto": "A", "diagnostico": "old"}, {"produto": "A", "diagnostico": "new"}]'),
+                                  (2, [("A", "TOP")], True, None)],
+                                 "id int, items array<struct<product: string, kind: string>>, _failed boolean, reply string")
+    rows = rows.withColumn("_entries", A.entries()).drop("reply")
+    out = {r.id: {x.product: (x.diagnosis, x.action) for x in r["items"]} for r in A.attach(rows, **A._INSIGHT).collect()}
+    assert out == {1: {"A": ("new", "-"), "B": (A.UNAVAILABLE, "-")}, 2: {"A": (A.CALL_ERROR, "-")}}
+
+
+LISTS = ("granularity string, store_id string, period string, total decimal(18,2), "
+         "items array<struct<i: int, product: string, kind: string, value: decimal(18,2), pos: int>>")
+KEYS = ["granularity", "store_id", "period"]
+
+
+def texts(df):
+    return {(r.period, x.product): (x.diagnosis, x.action) for r in df.collect() for x in r["items"]}
 
 
 def test_stub_annotator_periods(spark):
-    items = spark.createDataFrame(
-        [("s", "p", "X", "TOP", 10.0, 1, 1), ("s", "p", "Y", "BOTTOM", 5.0, 1, 2)],
-        "store_id string, period string, product string, kind string, value double, pos int, i int"
-    ).withColumn("granularity", F.lit("day")).withColumn("value", F.col("value").cast("decimal(18,2)"))
-    keys = ["granularity", "store_id", "period"]
-    totals = items.groupBy(*keys).agg(F.sum("value").alias("total"))
-    out = {r.product: (r.diagnosis, r.action) for r in
-           A.annotate_periods(items, totals, A.stub_annotator, keys).collect()}
-    assert out["X"] == ("revisado [a, ]", "rever")  # first product repeated at the end: last wins
-    assert out["Y"] == ("BOTTOM #2", "manter")
-    none = {r.product: r.diagnosis for r in A.annotate_periods(items, totals, None, keys).collect()}
-    assert set(none.values()) == {A.NO_MODEL}
+    D = Decimal
+    lists = spark.createDataFrame([("day", "s", f"2024-01-{d:02d}", D(15), [(1, "X", "TOP", D(10), 1), (2, "Y", "BOTTOM", D(5), 1)])
+                                   for d in range(1, 9)] + [("day", "t", "2024-01-01", D(0), [])], LISTS)
+    out = texts(A.annotate_periods(lists, stub_annotator, KEYS))
+    assert len(out) == 16
+    assert out["2024-01-08", "X"] == ("revisado [a, ]", "rever")  # first product repeated at the end: last wins
+    assert out["2024-01-02", "Y"] == ("BOTTOM #2", "manter")
+    assert out["2024-01-01", "Y"] == (A.HISTORICAL, "-")  # the eighth newest period
+    assert {d for d, _ in texts(A.annotate_periods(lists, None, KEYS)).values()} == {A.NO_MODEL}
 
     def broken(_):
         raise RuntimeError("service down")
 
-    err = {r.diagnosis for r in A.annotate_periods(items, totals, broken, keys).collect()}
-    assert err == {A.CALL_ERROR}
+    assert {v for k, v in texts(A.annotate_periods(lists, broken, KEYS)).items() if k[0] > "2024-01-01"} == {(A.CALL_ERROR, "-")}
+
+
+def test_annotated_items_never_leave_their_row(spark):
+    """No explode and no join between the prompts and the annotated rows."""
+    lists = spark.createDataFrame([("day", "s", "2024-01-01", Decimal(15), [(1, "X", "TOP", Decimal(10), 1)])], LISTS)
+    plan = A.annotate_periods(lists, stub_annotator, KEYS)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Exchange" not in plan
 
 
 ITEMS = "store_id string, product string, abc_class string, rank int, value decimal(18,2)"
@@ -77,7 +96,7 @@ def test_cache_hits_misses_upsert(spark):
     assert hits == {("1", "A")}
     miss = {(r.store_id, r.product) for r in cache.misses(items, old).collect()}
     assert miss == {("1", "B"), ("1", "C"), ("1", "E"), ("2", "A")}
-    out, new = cache.annotate_abc(items, old, A.stub_annotator)
+    out, new = cache.annotate_abc(items, old, stub_annotator)
     got = {(r.store_id, r.product): (r.analysis, r.from_cache) for r in out.collect()}
     assert got[("1", "A")] == ("cached A", True)
     assert got[("1", "C")] == ("Classe C item 2", False)
@@ -118,7 +137,6 @@ def test_cache_is_replaced_in_place(spark, tmp_dir):
     cache.write_json(cache.upsert(read, new), path)  # reads the path that it replaces
     assert sorted(tuple(r) for r in cache.read_json(spark, path).collect()) == [
         ("1", "A", "A", "t1"), ("1", "B", "C", "t3"), ("2", "A", "B", "t4")]
-    import os
     assert os.listdir(tmp_dir) == ["cache"]
 
 
@@ -145,6 +163,7 @@ def test_prompts_are_dealt_over_tasks_and_errors_reported(spark):
         return str(TaskContext.get().partitionId())
 
     replies = A.call_annotator(prompts, model, ["id"])
+    assert replies.columns == ["id", "reply", "error"]
     rows = replies.collect()
     assert len(rows) == 65 and len({r.reply for r in rows}) > 8
     assert [r.error for r in rows if r.id == 7] == ["TimeoutError: slow"]
@@ -156,3 +175,141 @@ def test_repair_json_leaves_strings_alone(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, reply string")
     got = {r.i: r.x for r in df.select("i", A.repair_json("reply").alias("x")).collect()}
     assert got == {0: '[ {"a": "1, ]" }  ]', 1: "[1, 2\n]", 2: '{"a": 1}', 3: '["q\\", ]" ]', 4: "junk", 5: "[", 6: "] [", 7: None}
+
+
+# ------------------------------------------------------------ call journal
+
+def test_a_task_that_fails_late_repeats_no_call(tmp_dir):
+    """In a session that tries tasks again: the last prompt of each task kills it
+    at the first attempt, after all other calls of the task."""
+    code = f"""
+import os, sys, uuid
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession, functions as F
+from shelfrank.operators import annotate as A
+spark = (SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.checkpoint.dir", {tmp_dir + "/ckpt"!r}).getOrCreate())
+os.makedirs({tmp_dir + "/calls"!r})
+def model(p):
+    open({tmp_dir + "/calls/"!r} + p + "." + uuid.uuid4().hex, "w").close()
+    return "reply " + p
+def late(batches):
+    for b in batches:
+        yield b
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("executor lost")
+prompts = spark.range(40).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+for run in range(2):
+    replies = A.call_annotator(prompts, model, ["id"], tasks=3, journal={tmp_dir + "/journal"!r})
+    rows = replies.mapInArrow(late, replies.schema).collect()
+    assert sorted((r.id, r.reply, r.error) for r in rows) == [(i, f"reply p{{i}}", None) for i in range(40)], rows
+from shelfrank.operators import journal
+kept = journal.replies(spark, {tmp_dir + "/journal"!r})
+assert kept.count() == 40 and kept.where("reply = 'reply p7'").count() == 1
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    calls = [f.split(".")[0] for f in os.listdir(f"{tmp_dir}/calls")]
+    assert sorted(calls) == sorted(f"p{i}" for i in range(40))
+
+
+def test_failed_calls_are_asked_again(spark, tmp_dir):
+    prompts = spark.createDataFrame([(1, "é\n1"), (2, "2")], "id int, prompt string")
+
+    def half(p):
+        if p == "2":
+            raise TimeoutError("slow")
+        return ""
+    first = A.call_annotator(prompts, half, ["id"], journal=f"{tmp_dir}/j").collect()
+    assert sorted((r.id, r.reply) for r in first) == [(1, ""), (2, None)]
+    again = A.call_annotator(prompts, lambda p: "later", ["id"], journal=f"{tmp_dir}/j").collect()
+    assert sorted((r.id, r.reply) for r in again) == [(1, ""), (2, "later")]
+
+
+# ------------------------------------------------------------ a cache that is never lost
+
+def entries(spark, path):
+    return sorted(tuple(r) for r in cache.read_json(spark, path).collect())
+
+
+OLD = [("1", "A", "A", "t1"), ("1", "B", "C", "t2"), ("2", "A", "A", "t3")]
+FRESH = [("1", "B", "C", "new"), ("9", "Z", "B", "t9")]
+BOTH = [("1", "A", "A", "t1"), ("1", "B", "C", "new"), ("2", "A", "A", "t3"), ("9", "Z", "B", "t9")]
+
+
+@pytest.mark.parametrize("write", ["update", "replace"])
+@pytest.mark.parametrize("step, left", [("write_data", OLD), ("publish", OLD), ("rename", OLD), ("tidy", BOTH)])
+def test_a_crash_at_any_step_leaves_a_whole_cache(spark, tmp_dir, monkeypatch, write, step, left):
+    path = f"{tmp_dir}/cache"
+    cache.write_json(spark.createDataFrame(OLD, cache.CACHE_SCHEMA), path)
+    new = spark.createDataFrame(FRESH, cache.CACHE_SCHEMA)
+
+    def run():
+        if write == "update":
+            cache.update_json(new, path)
+        else:
+            cache.write_json(cache.upsert(cache.read_json(spark, path), new), path)
+
+    def stop(*a, **k):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        if step == "rename":  # the draft of the manifest is written, but not named
+            real = cache._Folder.publish
+
+            def publish(self, number, buckets):
+                class Fs:
+                    def __getattr__(self, name, fs=self.fs):
+                        return stop if name == "rename" else getattr(fs, name)
+                self.fs = Fs()
+                real(self, number, buckets)
+            m.setattr(cache._Folder, "publish", publish)
+        elif step == "write_data":  # the data is written in part
+            def half(self, entries):
+                real_write(self, entries.limit(1))
+                stop()
+            real_write = cache._Folder.write_data
+            m.setattr(cache._Folder, "write_data", half)
+        else:
+            m.setattr(cache._Folder, step, stop)
+        with pytest.raises(KeyboardInterrupt):
+            run()
+    assert entries(spark, path) == left
+    run()
+    assert entries(spark, path) == BOTH
+    assert len([f for f in os.listdir(path) if f[0] != "."]) <= (3 if write == "update" else 2)
+
+
+def test_an_update_leaves_other_stores_files_alone(spark, tmp_dir):
+    path = f"{tmp_dir}/cache"
+    many = [(str(i), "A", "A", f"t{i}") for i in range(300)]
+    cache.write_json(spark.createDataFrame(many, cache.CACHE_SCHEMA), path)
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/data-*/bucket=*/part-*")}
+    cache.update_json(spark.createDataFrame([("7", "A", "A", "x"), ("7", "B", "A", "y")], cache.CACHE_SCHEMA), path)
+    after = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/data-*/bucket=*/part-*")}
+    assert sum(f in after and after[f] == t for f, t in before.items()) == len(before)  # files that stay are as they were
+    assert len(set(after) - set(before)) == 1
+    got = dict((r[0] + r[1], r[3]) for r in entries(spark, path))
+    assert got["7A"] == "x" and got["7B"] == "y" and got["8A"] == "t8" and len(got) == 301
+    cache.update_json(spark.createDataFrame([], cache.CACHE_SCHEMA), path)
+    assert len(entries(spark, path)) == 301
+
+
+def test_two_runs_at_once_do_not_mix(spark, tmp_dir):
+    path = f"{tmp_dir}/cache"
+    cache.write_json(spark.createDataFrame(OLD, cache.CACHE_SCHEMA), path)
+    folder = cache._Folder(spark, path)
+    number, buckets = folder.current()
+    folder.publish(number + 1, buckets)
+    with pytest.raises(OSError):
+        folder.publish(number + 1, {})
+
+
+def test_plain_objects_are_read_and_updated(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/cache")
+    with open(f"{tmp_dir}/cache/old.json", "w") as f:
+        f.write('{"1": {"A|A": "t1", "B|C": "t2"}, "2": {"A|A": "t3"}}')
+    assert entries(spark, f"{tmp_dir}/cache") == OLD
+    cache.update_json(spark.createDataFrame(FRESH, cache.CACHE_SCHEMA), f"{tmp_dir}/cache")
+    assert entries(spark, f"{tmp_dir}/cache") == BOTH

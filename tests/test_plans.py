@@ -30,16 +30,32 @@ def test_month_range_is_pushed_into_the_scan(spark, tmp_dir):
     assert "GreaterThanOrEqual(d,2024-02-01)" in pushed and "LessThan(d,2024-04-01)" in pushed
 
 
-def test_ranking_without_the_total_reads_the_fact_once(spark, tmp_dir):
+def test_rankings_read_the_fact_once_and_sort_once(spark, tmp_dir):
+    """Both ends, sums and totals from one scan, one sort and no join."""
     fact = _fact(spark, tmp_dir)
-    rk = ranking.monthly_top_bottom(marts.product_month_sales(fact), ("store_id", "month"))
-    sums = ranking.kind_sums(rk, ("store_id", "month"))  # period_total is not used downstream
-    # every branch scans the same columns, so the mart subtrees are equal and
-    # one exchange serves all (with count(*) the stats branch would drop value)
-    schemas = {re.sub(r"#\d+", "", c) for c in re.findall(r"FileScan parquet \[([^\]]*)\]", _plan(sums))}
-    assert len(schemas) == 1, schemas
-    assert sums.count() == rk.select("store_id", "month").distinct().count()
+    lists = ranking.monthly_lists(marts.product_month_sales(fact), ("store_id", "month"))
+    sums = ranking.with_sums(lists)
+    flat = ranking.monthly_top_bottom(marts.product_month_sales(fact), ("store_id", "month"))
+    overlap = ranking.top_bottom_overlap(marts.period_mart(fact, "month"))
+    for df in (sums.drop("items", "period_total"), flat, overlap):
+        plan = _plan(df)
+        assert len(re.findall("FileScan", plan)) == 1 and "Join" not in plan
+        assert len(re.findall(r"\bSort \[", plan)) == 1, plan
+    assert sums.count() == flat.select("store_id", "month").distinct().count()
     assert sums.filter(F.col("n_items") > 20).count() == 0
+    plain = {tuple(r) for r in ranking.kind_sums(flat, ("store_id", "month")).collect()}
+    assert {tuple(r) for r in sums.select("store_id", "month", "top_sum", "bottom_sum", "n_items").collect()} == plain
+
+
+def test_a_hot_store_period_is_dealt_over_slices(spark):
+    mart = spark.range(5000).select(F.lit("s").alias("store_id"), F.lit("p").alias("period"), F.concat(F.lit("x"), F.col("id")).alias("product"),
+                                    (F.col("id") % 977 + 1).cast("decimal(18,2)").alias("value"))
+    e = ranking.ends(mart, ["store_id", "period"], 10, 10).collect()[0]
+    rows = sorted((-(i % 977 + 1), f"x{i}") for i in range(5000))
+    assert [(x["product"], int(x["value"])) for x in e.top] == [(p, -v) for v, p in rows[:10]]
+    assert [(x["product"], int(x["value"])) for x in e.low] == [(p, -v) for v, p in rows[-10:]]
+    assert e.n_products == 5000 and e.period_total == -sum(v for v, _ in rows)
+    assert re.search(r"hashpartitioning\([^)]*_salt", _plan(ranking.ends(mart, ["store_id", "period"], 10, 10)))
 
 
 def test_month_over_month_has_no_join(spark, tmp_dir):
@@ -51,19 +67,44 @@ def test_month_over_month_has_no_join(spark, tmp_dir):
 
 
 def test_period_ranking_scans_its_fact_once(spark):
-    """In the plan that ran: one scan of the fact, all other branches reuse its
-    exchanges. Built on the ranking itself, for both facts."""
-    from shelfrank.operators import annotate
+    """In the plan that ran: one scan of the fact, for both facts; week and month
+    reuse the day mart's exchange."""
     from shelfrank.plans import queries as q
 
     for fact, table in (("daily", "events"), ("sales", "lineitem")):
-        r, totals, recent = q._period_ranking(spark, "/root/testdata/sf0.001", fact)
-        prompts = annotate.period_prompts(r.join(recent.filter("annotated"), q.PKEYS).drop("annotated"), totals, q.PKEYS)
-        for df in (r.join(recent, q.PKEYS).join(totals, q.PKEYS), prompts):
-            df.collect()
-            plan = df._jdf.queryExecution().executedPlan().toString()
-            final = plan[plan.index("== Final Plan =="):plan.index("== Initial Plan ==")]
-            assert len(re.findall(rf"FileScan parquet .*{table}\.parquet", final)) == 1, final
+        df = ranking.recent_periods(q.period_lists(spark, "/root/testdata/sf0.001", fact), ("granularity", "store_id"))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan[plan.index("== Final Plan =="):plan.index("== Initial Plan ==")]
+        assert len(re.findall(rf"FileScan parquet .*{table}\.parquet", final)) == 1, final
+
+
+def test_selections_are_made_in_their_row(spark):
+    """Merge, classes, lists, summary and search: no join, sort, window or shuffle
+    above the written rows."""
+    from decimal import Decimal as D
+
+    from shelfrank.operators import selections as S
+    item = "struct<i: int, product: string, kind: string, value: decimal(18,2), pos: int, diagnosis: string, action: string>"
+    rows = spark.createDataFrame([("s", "p", D(20), [(1, "X", "TOP", D(10), 1, "d1", "a"), (2, "Y", "TOP", D(10), 2, S.NO_MODEL, "-"),
+                                                     (3, "X", "BOTTOM", D(10), 1, "", "-"), (4, "Z", "BOTTOM", D(0), 2, "d4", "-")])],
+                                 f"store_id string, period string, total decimal(18,2), items array<{item}>")
+    merged = S.merge(rows)
+    done = S.classify(merged)
+    for df in (merged, done, S.kind_lists(done), S.best_worst(done), S.summary(done), S.search(merged, "d")):
+        assert not re.search("Join|Exchange|Sort|Window|Aggregate", _plan(df))
+    products = [(x.product, int(x.value), x.kind, x["rank"], x.abc_class, [y.text for y in x.insights]) for x in done.collect()[0].products]
+    assert products == [("X", 10, "TOP", 1, "A", ["d1"]), ("Y", 10, "TOP", 2, "C", []), ("Z", 0, "BOTTOM", 3, "C", ["d4"])]
+    assert [int(x.value) for x in S.merge(rows, dedupe=False).collect()[0].products] == [20, 10, 0]
+    assert [(x.list, x.pos, x.product) for x in S.kind_lists(done, 1).collect()[0].lists] == [("TOP", 1, "X"), ("BOTTOM", 1, "Z")]
+    assert [(x.abc_class, x.list, x.product) for x in S.best_worst(done).collect()[0].lists] == [
+        ("A", "best", "X"), ("A", "worst", "X"), ("C", "best", "Y"), ("C", "best", "Z"), ("C", "worst", "Y")]
+    assert tuple(S.summary(done).collect()[0]) == ("s", "p", 3, 2, 2, 1, 0, 2, 50, 20.0)
+    assert [tuple(r) for r in S.search(merged, " D4 ").collect()] == [("s", "p", "Z", "d4", None, 1)]
+    assert {r.product for r in S.search(merged, "").collect()} == {"X", "Z"}
+    assert [r.product for r in S.search(merged, "x").collect()] == ["X"]
+    zero = S.classify(S.merge(rows.withColumn("total", F.lit(0).cast("decimal(18,2)"))))
+    assert {x.abc_class for x in zero.collect()[0].products} == {"A"} and S.summary(zero).collect()[0].share_a is None
 
 
 def test_running_totals_write_files_by_rows_not_by_shuffle_partitions(spark, tmp_dir):
