@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -109,3 +110,31 @@ def test_month_over_month_text_months_and_nat(spark):
     assert got[("a", "2024-01")] == (Decimal("20.00"), Decimal("10.00"), "+100.0%")
     assert got[("a", "NaT")][1:] == (Decimal("0.00"), "Novo (sem vendas anteriores)")
     assert got[("b", "2024-01")][2] == "Novo (sem vendas anteriores)"
+
+
+# ------------------------------------------------------------ classes without ranks
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_by_weighted_selection_equal_the_ranking(spark, seed):
+    """Groups with ties, one product, one huge product, zeros, and equal values only."""
+    import random
+    rng = random.Random(seed)
+    rows = []
+    for s in range(12):
+        n = rng.choice([1, 2, 5, 40, 200])
+        pool = rng.choice([[5], [1, 2], [0, 1, 3], list(range(1, 1000)), [10 ** 9, 1, 2, 3]])
+        rows += [(f"s{s}", f"p{rng.randrange(10 ** 6)}-{i}", Decimal(rng.choice(pool)) / rng.choice([1, 100])) for i in range(n)]
+    rows += [("flat", f"p{i}", Decimal(7)) for i in range(100)] + [("none", "p", Decimal(0)), ("none", "q", Decimal(0))]
+    df = spark.createDataFrame(rows, "store_id string, product string, value decimal(28,2)")
+    want = {tuple(r) for r in abc.classify(df).select("store_id", "product", "value", "group_total", "abc_class").collect()}
+    got = [tuple(r) for r in abc.classes(df).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_class_mix_sorts_and_checkpoints_nothing(spark, tmp_dir):
+    df = spark.createDataFrame([("s", f"p{i}", Decimal(i + 1)) for i in range(50)], "store_id string, product string, value decimal(28,2)")
+    df.write.parquet(f"{tmp_dir}/t")
+    plan = abc.class_mix(abc.classes(spark.read.parquet(f"{tmp_dir}/t")))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ExistingRDD" not in plan
+    with pytest.raises(Exception, match="0 or more"):
+        abc.classes(spark.createDataFrame([("s", "p", Decimal(-1)), ("s", "q", Decimal(5))], df.schema)).collect()
