@@ -28,7 +28,7 @@ from shelfrank.config import DEFAULT, Params
 from shelfrank.functions.clean import brl_text
 from shelfrank.operators.journal import Journal
 from shelfrank.operators.prefix import running_totals
-from shelfrank.operators.ranking import recent_periods
+from shelfrank.operators.ranking import flat, recent_periods
 from shelfrank.session import persist_table, qualified
 
 # Status texts and defaults of the reference's annotated items.
@@ -227,23 +227,33 @@ def attach(rows: DataFrame, failed: str = CALL_ERROR, **fields: tuple[str, str])
                  .otherwise(F.coalesce(own[source], F.lit(default))).alias(name) for name, (source, default) in fields.items()]
         return F.struct(*[x[c].alias(c) for c in names], *found)
 
-    names = rows.schema["items"].dataType.elementType.fieldNames()
+    names = [c for c in rows.schema["items"].dataType.elementType.fieldNames() if c not in fields]
     return rows.select(*[c for c in rows.columns if c not in ("items", "_entries", "_failed")], F.transform("items", item).alias("items"))
 
 
 _INSIGHT = {"diagnosis": ("diagnostico", UNAVAILABLE), "action": ("acao", NO_ACTION)}
 
 
-def with_status(rows: DataFrame, text: str) -> DataFrame:
-    """F16: every item of rows that nobody was asked about says so."""
-    names = rows.schema["items"].dataType.elementType.fieldNames()
-    items = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in names], F.lit(text).alias("diagnosis"), F.lit(NO_ACTION).alias("action")))
-    return rows.select(*[c for c in rows.columns if c != "items"], items.alias("items"))
+def with_status(rows: DataFrame, text: str | None) -> DataFrame:
+    """F16: one ``status`` text for all items of a row that nobody was asked about
+    (null: they have their own)."""
+    return rows.withColumn("status", F.lit(text).cast("string"))
+
+
+def said(x: Column, status: str = "status") -> tuple[Column, Column]:
+    """Diagnosis and action of an item of an annotated row."""
+    return F.coalesce(x["diagnosis"], F.col(status)), F.coalesce(x["action"], F.lit(NO_ACTION))
+
+
+def flat_items(annotated: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per item of annotated rows, with its diagnosis and action."""
+    return flat(annotated, keys, "status").withColumns({
+        "diagnosis": F.coalesce("diagnosis", "status"), "action": F.coalesce("action", F.lit(NO_ACTION))}).drop("status")
 
 
 def annotate_periods(lists: DataFrame, annotator, keys: list[str], params: Params = DEFAULT, journal: str | None = None) -> DataFrame:
     """X4 on ``ranking.overlap_lists``: prompts for the newest periods of each store
-    (W6), status texts for the rest. Adds diagnosis and action to the items.
+    (W6), a ``status`` text for the rest. Fills in diagnosis and action of the items.
 
     The rows (one per store-period) are written once: the prompts and the older
     periods both read them, so the fact is read by one job."""
@@ -252,7 +262,7 @@ def annotate_periods(lists: DataFrame, annotator, keys: list[str], params: Param
     store = [k for k in keys if k != "period"]
     rows = persist_table(recent_periods(lists, store, params=params).drop("recency"), lists.sparkSession, "period-lists")
     asked = rows.where(F.col("annotated") & (F.size("items") > 0)).drop("annotated").withColumn("prompt", period_prompt())
-    done = attach(answered(asked, annotator, keys, journal), **_INSIGHT)
+    done = with_status(attach(answered(asked, annotator, keys, journal), **_INSIGHT), None)
     rest = rows.where(~F.col("annotated") | (F.size("items") == 0)).drop("annotated")
     return done.unionByName(with_status(rest, HISTORICAL))
 
@@ -261,4 +271,5 @@ def annotate_months(lists: DataFrame, annotator, keys: list[str], journal: str |
     """X4 on ``ranking.monthly_lists`` with sums and season (every month is asked)."""
     if annotator is None:
         return with_status(lists, NO_MODEL)
-    return attach(answered(lists.withColumn("prompt", month_prompt()), annotator, keys, journal), **_INSIGHT)
+    done = answered(lists.withColumn("prompt", month_prompt()), annotator, keys, journal)
+    return with_status(attach(done, **_INSIGHT), None)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.functions.clean import store_number
+from shelfrank.operators.annotate import said
 from shelfrank.operators.prefix import running_totals
 
 
@@ -75,13 +76,13 @@ def nest_abc(lines: DataFrame) -> DataFrame:
     return lines.groupBy("id_loja", "store_id").agg(_sorted_items("pos", F.col("item")).alias("itens"))
 
 
-def _annotated_items(value: str) -> F.Column:
-    """The items of a row as the documents have them; ``value`` names the amount."""
-    said = lambda x: F.struct(x["diagnosis"].alias("diagnostico"), x["action"].alias("acao")).alias("analise_ia")
-    fields = {"produto": "product", "tipo": "kind"} if value != "valor" else {"produto": "product"}
-    return F.transform("items", lambda x: F.struct(
-        *[x[f].alias(n) for n, f in fields.items()], x["value"].cast("double").alias(value),
-        *([x["kind"].alias("tipo")] if value == "valor" else []), said(x)))
+def _annotated_items(*fields: tuple[str, str]) -> F.Column:
+    """The items of an annotated row as the documents have them: (name, field)."""
+    def item(x: F.Column) -> F.Column:
+        diagnosis, action = said(x)
+        own = [(x[f].cast("double") if f == "value" else x[f]).alias(n) for n, f in fields]
+        return F.struct(*own, F.struct(diagnosis.alias("diagnostico"), action.alias("acao")).alias("analise_ia"))
+    return F.transform("items", item)
 
 
 def monthly_documents(annotated: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def monthly_documents(annotated: DataFrame) -> DataFrame:
     ``annotated``: the annotated rows of ``ranking.monthly_lists``.
     """
     return annotated.select(store_number("store_id").alias("id_loja"), "store_id", F.col("month").alias("mes"),
-                            F.col("period_total").cast("double").alias("total_mensal"), _annotated_items("venda_este_mes").alias("itens"))
+                            F.col("period_total").cast("double").alias("total_mensal"), _annotated_items(("produto", "product"), ("tipo", "kind"), ("venda_este_mes", "value")).alias("itens"))
 
 
 MONTH_LINE = ("id_loja int, store_id string, mes string, total_mensal double, itens array<struct<produto:string,"
@@ -116,7 +117,7 @@ def period_documents(annotated: DataFrame) -> DataFrame:
     periods of a store are bounded by the calendar, the items by the ranking.
 
     ``annotated``: the annotated rows of ``ranking.overlap_lists``."""
-    entry = F.struct("period", F.struct(F.col("total").cast("double").alias("total"), _annotated_items("valor").alias("itens")))
+    entry = F.struct("period", F.struct(F.col("total").cast("double").alias("total"), _annotated_items(("produto", "product"), ("valor", "value"), ("tipo", "kind")).alias("itens")))
     stores = annotated.groupBy("granularity", "store_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["period"] < b["period"], -1)
                                         .when(a["period"] > b["period"], 1).otherwise(0))).alias("analises"))

@@ -36,7 +36,8 @@ def ends(mart: DataFrame, keys: list[str], first: int, last: int, positive_last:
     at_top, at_low = F.col("_rn") <= first, (F.col("_rn") <= F.col("_n")) & (F.col("_n") - F.col("_rn") < last)
     head = F.col("_rn") == 1
     rec = F.struct((-F.col("value")).alias("minus"), F.col("product"), F.col("value"))
-    listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, rec)))
+    # sort_array, not array_sort: the natural order needs no lambda
+    listed = lambda cond: F.sort_array(F.collect_list(F.when(cond, rec)))
     found = sliced.where(at_top | at_low | head).groupBy(*keys).agg(
         listed(at_top).alias("_top"), listed(at_low).alias("_low"), F.sum(F.when(head, F.col("_rows"))).alias("n_products"),
         F.sum(F.when(head, F.col("_sum"))).alias("period_total"))
@@ -46,13 +47,19 @@ def ends(mart: DataFrame, keys: list[str], first: int, last: int, positive_last:
                         bare(F.slice("_low", F.size("_low") - n_low + 1, n_low)).alias("low"), "n_products", "period_total")
 
 
+def _not_annotated() -> list[Column]:
+    """What the annotation fills in."""
+    return [F.lit(None).cast("string").alias(c) for c in ("diagnosis", "action")]
+
+
 def _item(x: Column, kind: Column, **more) -> Column:
-    return F.struct(x["product"].alias("product"), kind.alias("kind"), x["value"].alias("value"), *[c.alias(n) for n, c in more.items()])
+    return F.struct(x["product"].alias("product"), kind.alias("kind"), x["value"].alias("value"), *[c.alias(n) for n, c in more.items()],
+                    *_not_annotated())
 
 
 def monthly_lists(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
-    """Keys, ``items`` (product, kind, value, rank; 1 = best), ``n_products``,
-    ``period_total``. ``TOP 10`` / ``BOTTOM 10`` per store-period; a period with
+    """Keys, ``items`` (product, kind, value, rank; 1 = best; diagnosis and
+    action, null until they are annotated), ``n_products``, ``period_total``. ``TOP 10`` / ``BOTTOM 10`` per store-period; a period with
     at most top_n + bottom_n products is listed whole as ``GERAL``."""
     tn, bn = params.top_n, params.bottom_n
     n = F.col("n_products")
@@ -66,13 +73,14 @@ def monthly_lists(mart: DataFrame, keys=("store_id", "period"), params: Params =
 
 
 def overlap_lists(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
-    """W5 + U1: keys, ``items`` (i, product, kind, value, pos), ``n_products``,
-    ``total``. TOP n, then BOTTOM n of the positive values; with fewer than top_n +
-    bottom_n products a row is in both (D7). ``pos`` counts within a list, ``i``
-    over both; both are in descending value order."""
+    """W5 + U1: keys, ``items`` (i, product, kind, value, pos; diagnosis and action,
+    null until they are annotated), ``n_products``, ``total``. TOP n, then BOTTOM n
+    of the positive values; with fewer than top_n + bottom_n products a row is in
+    both (D7). ``pos`` counts within a list, ``i`` over both; both are in descending
+    value order."""
     item = lambda kind, ahead: lambda x, p: F.struct(
         (ahead + p + 1).cast("int").alias("i"), x["product"].alias("product"), F.lit(kind).alias("kind"), x["value"].alias("value"),
-        (p + 1).cast("int").alias("pos"))
+        (p + 1).cast("int").alias("pos"), *_not_annotated())
     items = F.concat(F.transform("top", item("TOP", F.lit(0))), F.transform("low", item("BOTTOM", F.size("top"))))
     return ends(mart, list(keys), params.top_n, params.bottom_n, positive_last=True).select(
         *keys, items.alias("items"), "n_products", F.col("period_total").alias("total"))
@@ -85,12 +93,12 @@ def flat(lists: DataFrame, keys, *more: str, col: str = "items") -> DataFrame:
 
 def monthly_top_bottom(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
     """W4, flat: keys, product, kind, value, rank, n_products, period_total."""
-    return flat(monthly_lists(mart, keys, params), keys, "n_products", "period_total")
+    return flat(monthly_lists(mart, keys, params), keys, "n_products", "period_total").drop("diagnosis", "action")
 
 
 def top_bottom_overlap(mart: DataFrame, keys=("store_id", "period"), params: Params = DEFAULT) -> DataFrame:
     """W5 + U1, flat: keys, product, kind (TOP/BOTTOM), value, pos."""
-    return flat(overlap_lists(mart, keys, params), keys).drop("i")
+    return flat(overlap_lists(mart, keys, params), keys).drop("i", "diagnosis", "action")
 
 
 def summed(items: Column, of) -> Column:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from shelfrank.config import DEFAULT, Params
 from shelfrank.operators.abc import abc_class
-
-# Fixed value: the status text the dashboard treats as "no insight".
-NO_MODEL = "IA não disponível"
+from shelfrank.operators.annotate import NO_MODEL, said
 
 _SUM = "decimal(38,2)"
+_INSIGHTS = "array<struct<text: string, action: string>>"
+_MERGED = (f"array<struct<product: string, kind: string, value_once: {_SUM}, value_twice: {_SUM}, first_pos: int, "
+           f"insights: {_INSIGHTS}>>")
 
 
 def merge(selections: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -29,27 +30,37 @@ def merge(selections: DataFrame, dedupe: bool = True) -> DataFrame:
     position are those of its first entry; ``insights`` keeps list order and skips
     entries with no or an empty diagnosis or the "no model" text (F17).
     """
-    items = F.col("items")
-
-    def product(x: Column) -> Column:
-        own = F.filter(items, lambda y: y["product"] == x["product"])
-        said = F.filter(own, lambda y: F.coalesce(~y["diagnosis"].isin("", NO_MODEL), F.lit(False)))
-        insights = F.transform(said, lambda y: F.struct(y["diagnosis"].alias("text"), y["action"].alias("action")))
-        once = x["value"].cast(_SUM)
-        twice = F.aggregate(own, F.lit(0).cast(_SUM), lambda a, y: (a + y["value"]).cast(_SUM))
-        return F.struct(x["product"].alias("product"), x["kind"].alias("kind"), (once if dedupe else twice).alias("value"),
-                        once.alias("value_once"), twice.alias("value_twice"), x["i"].alias("first_pos"), insights.alias("insights"))
-
-    first = F.filter(items, lambda x: ~F.exists(items, lambda y: (y["product"] == x["product"]) & (y["i"] < x["i"])))
-    return selections.select(*[c for c in selections.columns if c != "items"], F.transform(first, product).alias("products"))
+    def insight(x: Column) -> Column:
+        diagnosis, action = said(x)
+        told = F.array(F.struct(diagnosis.alias("text"), action.alias("action"))).cast(_INSIGHTS)
+        return F.when(F.coalesce(~diagnosis.isin("", NO_MODEL), F.lit(False)), told).otherwise(F.array().cast(_INSIGHTS))
+
+    def step(done: Column, x: Column) -> Column:
+        """One item more; items come by product, so its product is the last or new."""
+        last = F.try_element_at(done, F.lit(-1))
+        new = F.struct(x["product"].alias("product"), x["kind"].alias("kind"), x["value"].cast(_SUM).alias("value_once"),
+                       x["value"].cast(_SUM).alias("value_twice"), x["i"].alias("first_pos"), insight(x).alias("insights"))
+        more = F.struct(last["product"].alias("product"), last["kind"].alias("kind"), last["value_once"].alias("value_once"),
+                        (last["value_twice"] + x["value"]).cast(_SUM).alias("value_twice"), last["first_pos"].alias("first_pos"),
+                        F.concat(last["insights"], insight(x)).alias("insights"))
+        return F.when(last["product"] == x["product"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(more))).otherwise(
+            F.concat(done, F.array(new))).cast(_MERGED)
+
+    ordered = F.sort_array(F.transform("items", lambda x: F.struct(
+        x["product"].alias("product"), x["i"].alias("i"), x["kind"].alias("kind"), x["value"].alias("value"),
+        x["diagnosis"].alias("diagnosis"), x["action"].alias("action"))))
+    products = F.aggregate(ordered, F.array().cast(_MERGED), step)
+    value = "value_once" if dedupe else "value_twice"
+    return selections.select(*[c for c in selections.columns if c not in ("items", "status")], F.transform(
+        products, lambda x: x.withField("value", x[value])).alias("products"))
 
 
 def classify(merged: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """W8 + W9: ``products`` in descending value order, with ``rank``,
     ``cum_value`` and ``abc_class``; the denominator is the full period total (A7).
     A zero total gives class A, as the dashboard's pct = 0."""
-    by_value = F.array_sort("products", lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1)
-                            .when(a["product"] < b["product"], -1).when(a["product"] > b["product"], 1).otherwise(0))
+    by_value = F.sort_array(F.transform("products", lambda x: F.struct(
+        (-x["value"]).alias("minus"), *[x[c].alias(c) for c in ("product", "kind", "value", "first_pos", "insights")])))
     # running sums in one fold: each step appends the sum up to its product
     cums = F.aggregate(by_value, F.array().cast(f"array<{_SUM}>"), lambda a, x: F.concat(
         a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast(_SUM)) + x["value"]).cast(_SUM))))

@@ -765,8 +765,8 @@ def annotated_lists(spark, sf, fact: str = "daily"):
 SELECT granularity, store_id, period, product, kind, CAST(value AS DOUBLE) AS value, pos, diagnosis, action
 FROM ai""", daily=True))
 def q_annotate_items(spark, sf):
-    from shelfrank.operators import ranking
-    a = ranking.flat(annotated_lists(spark, sf), PKEYS)
+    from shelfrank.operators import annotate
+    a = annotate.flat_items(annotated_lists(spark, sf), PKEYS)
     return a.select(*PKEYS, "product", "kind", dbl("value").alias("value"), "pos", "diagnosis", "action")
 
 

@@ -51,17 +51,17 @@ def test_attach_last_wins_and_defaults(spark):
 
 
 LISTS = ("granularity string, store_id string, period string, total decimal(18,2), "
-         "items array<struct<i: int, product: string, kind: string, value: decimal(18,2), pos: int>>")
+         "items array<struct<i: int, product: string, kind: string, value: decimal(18,2), pos: int, diagnosis: string, action: string>>")
 KEYS = ["granularity", "store_id", "period"]
 
 
 def texts(df):
-    return {(r.period, x.product): (x.diagnosis, x.action) for r in df.collect() for x in r["items"]}
+    return {(r.period, r.product): (r.diagnosis, r.action) for r in A.flat_items(df, KEYS).collect()}
 
 
 def test_stub_annotator_periods(spark):
     D = Decimal
-    lists = spark.createDataFrame([("day", "s", f"2024-01-{d:02d}", D(15), [(1, "X", "TOP", D(10), 1), (2, "Y", "BOTTOM", D(5), 1)])
+    lists = spark.createDataFrame([("day", "s", f"2024-01-{d:02d}", D(15), [(1, "X", "TOP", D(10), 1, None, None), (2, "Y", "BOTTOM", D(5), 1, None, None)])
                                    for d in range(1, 9)] + [("day", "t", "2024-01-01", D(0), [])], LISTS)
     out = texts(A.annotate_periods(lists, stub_annotator, KEYS))
     assert len(out) == 16
@@ -78,7 +78,7 @@ def test_stub_annotator_periods(spark):
 
 def test_annotated_items_never_leave_their_row(spark):
     """No explode and no join between the prompts and the annotated rows."""
-    lists = spark.createDataFrame([("day", "s", "2024-01-01", Decimal(15), [(1, "X", "TOP", Decimal(10), 1)])], LISTS)
+    lists = spark.createDataFrame([("day", "s", "2024-01-01", Decimal(15), [(1, "X", "TOP", Decimal(10), 1, None, None)])], LISTS)
     plan = A.annotate_periods(lists, stub_annotator, KEYS)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan and "Exchange" not in plan
 

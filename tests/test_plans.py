@@ -88,7 +88,7 @@ def test_selections_are_made_in_their_row(spark):
     item = "struct<i: int, product: string, kind: string, value: decimal(18,2), pos: int, diagnosis: string, action: string>"
     rows = spark.createDataFrame([("s", "p", D(20), [(1, "X", "TOP", D(10), 1, "d1", "a"), (2, "Y", "TOP", D(10), 2, S.NO_MODEL, "-"),
                                                      (3, "X", "BOTTOM", D(10), 1, "", "-"), (4, "Z", "BOTTOM", D(0), 2, "d4", "-")])],
-                                 f"store_id string, period string, total decimal(18,2), items array<{item}>")
+                                 f"store_id string, period string, total decimal(18,2), items array<{item}>").withColumn("status", F.lit(None).cast("string"))
     merged = S.merge(rows)
     done = S.classify(merged)
     for df in (merged, done, S.kind_lists(done), S.best_worst(done), S.summary(done), S.search(merged, "d")):
