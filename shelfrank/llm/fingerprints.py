@@ -7,7 +7,7 @@ XXH64 values of 64 bits, votes with that weight for or against each of the 128
 bits; a bit of the fingerprint is 1 where the votes for it are over half.
 
 Counting votes: one long holds two counters of 32 bits (bits j and j + 32 of a
-hash), so 64 plain sums in one hash aggregate count all votes.
+hash), so 32 plain sums in one hash aggregate count the votes of a hash.
 
 ``within_radius`` finds all pairs at most ``radius`` bits apart with permuted
 block tables: the bits are cut into ``blocks`` blocks; two fingerprints that
@@ -40,27 +40,30 @@ def _words(text: Column) -> Column:
 
 
 def _votes(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``text`` -> ``keys``, ``hi``, ``lo`` (the fingerprint's bits),
-    one row per combination of keys. Keys must tell rows apart."""
+    """``keys`` and ``text`` -> ``keys``, ``half`` (0 or 1), ``bits`` (64 bits of the
+    fingerprint), two rows per combination of keys. Keys must tell rows apart.
+
+    Each half has rows of its own, so that the code that Spark generates for the
+    aggregate has 32 sums, not 64; compiling one twice as long can take the JVM
+    more memory than all of its data."""
     words = texts.select(*keys, _words(F.col("text")).alias("w"))
     terms = words.select(*keys, F.explode(F.arrays_zip(
         F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("a"),
         F.col("w").alias("b"))).alias("t")).select(*keys, F.col("t.a").alias("a"), F.col("t.b").alias("b"))
-    hashed = terms.select(
-        *keys, F.xxhash64("a", "b").alias("h0"), F.xxhash64("b", "a", F.lit(1)).alias("h1"),
-        (F.length("a") + F.length("b")).cast("bigint").alias("weight"))
-    sums = [F.sum(F.shiftrightunsigned(f"h{k}", j).bitwiseAND(F.lit(_LANES)) * F.col("weight")).alias(f"v{k}_{j}")
-            for k in range(2) for j in range(32)]
-    counted = hashed.groupBy(*keys).agg(F.sum("weight").alias("total"), *sums)
+    hashes = F.array(*[F.struct(F.lit(half).alias("half"), h.alias("h")) for half, h in enumerate((F.xxhash64("a", "b"), F.xxhash64("b", "a", F.lit(1))))])
+    hashed = terms.select(*keys, F.explode(hashes).alias("x"), (F.length("a") + F.length("b")).cast("bigint").alias("weight")).select(
+        *keys, "x.half", "x.h", "weight")
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES)) * F.col("weight")).alias(f"v{j}") for j in range(32)]
+    counted = hashed.groupBy(*keys, "half").agg(F.sum("weight").alias("total"), *sums)
+    low = [F.when(F.col(f"v{j}").bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("total"), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(32)]
+    high = [F.when(F.shiftrightunsigned(f"v{j}", 32) * 2 > F.col("total"), F.lit(_signed(1 << j + 32))).otherwise(F.lit(0)) for j in range(32)]
+    bits = reduce(lambda x, y: x.bitwiseOR(y), low + high).cast("bigint")
+    return counted.select(*keys, "half", bits.alias("bits"))
 
-    def bits(k: int) -> Column:
-        low = [F.when(F.col(f"v{k}_{j}").bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("total"), F.lit(1 << j)).otherwise(F.lit(0))
-               for j in range(32)]
-        high = [F.when(F.shiftrightunsigned(f"v{k}_{j}", 32) * 2 > F.col("total"), F.lit(_signed(1 << j + 32))).otherwise(F.lit(0))
-                for j in range(32)]
-        return reduce(lambda x, y: x.bitwiseOR(y), low + high).cast("bigint")
 
-    return counted.select(*keys, bits(0).alias("hi"), bits(1).alias("lo"))
+def _half(half: int, also: Column | None = None) -> Column:
+    cond = F.col("half") == half
+    return F.max(F.when(cond if also is None else cond & also, F.col("bits")))
 
 
 def hex_of(hi: str, lo: str) -> Column:
@@ -78,7 +81,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``id``, ``hi``, ``lo`` per row. Null, empty and wordless texts have no
     votes and fingerprint 0; texts with the same words in order have the same."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return _votes(rows, ["row", "id"]).select("id", "hi", "lo")
+    return _votes(rows, ["row", "id"]).groupBy("row", "id").agg(_half(0).alias("hi"), _half(1).alias("lo")).select("id", "hi", "lo")
 
 
 def ring(ids: DataFrame) -> DataFrame:
@@ -131,10 +134,9 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         *keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")),
                           F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
     voted = _votes(rows.select(*keys, "x.kind", "x.text"), [*keys, "kind"])
-    side = lambda kind, name, out: F.max(F.when(F.col("kind") == kind, F.col(name))).alias(out)
-    found = persist_table(
-        voted.groupBy(*keys).agg(side(0, "hi", "hi"), side(0, "lo", "lo"), side(1, "hi", "edited_hi"), side(1, "lo", "edited_lo")),
-        spark, "fingerprints")
+    names = {0: ("hi", "lo"), 1: ("edited_hi", "edited_lo")}
+    found = persist_table(voted.groupBy(*keys).agg(*[
+        _half(half, F.col("kind") == kind).alias(name) for kind, pair in names.items() for half, name in enumerate(pair)]), spark, "fingerprints")
     after = found.select(F.col("key").alias("next"), F.col("mark").alias("next_mark"), F.col("hi").alias("next_hi"),
                          F.col("lo").alias("next_lo")).dropDuplicates(["next", "next_mark"])
     return found.join(after, ["next", "next_mark"]).select(
