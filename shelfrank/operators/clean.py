@@ -3,7 +3,7 @@ data-quality counts of that step (A13)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,17 +75,39 @@ def _valid_store() -> Column:
     return F.coalesce(C.strip("store_id") != "", F.lit(False))
 
 
+def _counts() -> list[Column]:
+    """A13 over the rows of ``flag_sales``."""
+    pos = F.col("value") > 0
+    good_prod, good_store = F.coalesce(C.valid_product(F.col("product")), F.lit(False)), _valid_store()
+    return [
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(~pos).alias("non_positive_values"),
+        F.count_if(F.col("rounded")).alias("rounded_values"),
+        F.count_if(pos & F.col("d").isNull()).alias("invalid_dates"),
+        F.count_if(pos & ~good_prod).alias("invalid_products"),
+        F.count_if(pos & ~good_store).alias("invalid_stores"),
+        F.count_if(pos & good_prod & good_store).alias("valid_rows"),
+    ]
+
+
 def clean_sales(raw: DataFrame, money: str = "br", currency: bool = False,
                 invalid_dates: str = "bucket", collapse_ws: bool = True,
                 drop_invalid_products: bool = True,
-                date_formats=C.DEFAULT_DATE_FORMATS) -> DataFrame:
+                date_formats=C.DEFAULT_DATE_FORMATS, counts: Observation | None = None) -> DataFrame:
     """Raw text -> fact (store_id, product, value, d).
 
     ``invalid_dates='bucket'`` keeps undated sales in month ``NaT`` (ABC and
     monthly jobs), ``'drop'`` removes them (multi-granularity job), D1.
     A null or blank store is dropped (D11).
+
+    ``counts``: an ``Observation`` that gets the counts of ``quality_counts``
+    from the first pass over the result, whatever it is for; ``counts.get`` has
+    them when that pass has run, and the raw rows are not read for them again.
     """
-    f = flag_sales(raw, money, currency, collapse_ws, date_formats).drop("rounded").filter(F.col("value") > 0)
+    f = flag_sales(raw, money, currency, collapse_ws, date_formats)
+    if counts is not None:
+        f = f.observe(counts, *_counts())
+    f = f.drop("rounded").filter(F.col("value") > 0)
     if invalid_dates == "drop":
         f = f.filter(F.col("d").isNotNull())
     elif invalid_dates != "bucket":
@@ -100,15 +122,4 @@ def quality_counts(raw: DataFrame, money: str = "br", currency: bool = False,
     """A13 in one aggregate pass: rows read, values <= 0 or unparsable, values
     rounded to two decimals (D5), and among positive values invalid dates,
     products and stores; ``valid_rows`` is what ``clean_sales`` keeps."""
-    f = flag_sales(raw, money, currency, collapse_ws, date_formats)
-    pos = F.col("value") > 0
-    good_prod, good_store = F.coalesce(C.valid_product(F.col("product")), F.lit(False)), _valid_store()
-    return f.agg(
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(~pos).alias("non_positive_values"),
-        F.count_if(F.col("rounded")).alias("rounded_values"),
-        F.count_if(pos & F.col("d").isNull()).alias("invalid_dates"),
-        F.count_if(pos & ~good_prod).alias("invalid_products"),
-        F.count_if(pos & ~good_store).alias("invalid_stores"),
-        F.count_if(pos & good_prod & good_store).alias("valid_rows"),
-    )
+    return flag_sales(raw, money, currency, collapse_ws, date_formats).agg(*_counts())

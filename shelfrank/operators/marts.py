@@ -69,7 +69,7 @@ def product_history(month_sales: DataFrame) -> DataFrame:
     )
 
 
-def _first_day(d: Column, granularity: str) -> Column:
+def first_day(d: Column, granularity: str) -> Column:
     """First day of the period: a date that tells periods apart. A %W week is
     fixed by its Monday and the calendar year, so it starts on 1 January when
     its Monday lies in the year before."""
@@ -82,11 +82,11 @@ def _first_day(d: Column, granularity: str) -> Column:
     raise ValueError(f"unknown granularity {granularity!r}")
 
 
-def _period(first_day: str, granularity: str) -> Column:
+def period_of(start: str, granularity: str) -> Column:
     """The text key, never null (``NaT`` without a date): a join on a nullable
     key would make Spark filter each branch of a mart below its aggregate, and
     branches with different filters cannot share one scan of the fact."""
-    return F.coalesce(period_key(first_day, granularity), F.lit("NaT"))
+    return F.coalesce(period_key(start, granularity), F.lit("NaT"))
 
 
 def period_mart(sales: DataFrame, granularity: str, date_col: str = "d") -> DataFrame:
@@ -95,8 +95,8 @@ def period_mart(sales: DataFrame, granularity: str, date_col: str = "d") -> Data
     Groups on the period's first day and formats the text key after the
     aggregate.
     """
-    agg = _sum(sales.withColumn("_k", _first_day(F.col(date_col), granularity)), ["store_id", "_k", "product"])
-    return agg.select("store_id", _period("_k", granularity).alias("period"), "product", "value")
+    agg = _sum(sales.withColumn("_k", first_day(F.col(date_col), granularity)), ["store_id", "_k", "product"])
+    return agg.select("store_id", period_of("_k", granularity).alias("period"), "product", "value")
 
 
 def multi_granularity_mart(sales: DataFrame, granularities=GRANULARITIES,
@@ -111,8 +111,8 @@ def multi_granularity_mart(sales: DataFrame, granularities=GRANULARITIES,
     day = _sum(sales.withColumn("_k", F.col(date_col)), ["store_id", "_k", *items])
     out = None
     for g in granularities:
-        p = day if g == "day" else _sum(day.withColumn("_k", _first_day(F.col("_k"), g)), ["store_id", "_k", *items])
-        p = p.select(F.lit(g).alias("granularity"), "store_id", _period("_k", g).alias("period"), *items, "value")
+        p = day if g == "day" else _sum(day.withColumn("_k", first_day(F.col("_k"), g)), ["store_id", "_k", *items])
+        p = p.select(F.lit(g).alias("granularity"), "store_id", period_of("_k", g).alias("period"), *items, "value")
         out = p if out is None else out.unionByName(p)
     return out
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.config import DEFAULT, Params
@@ -58,18 +58,19 @@ class JobResult:
 
 def load_fact(spark: SparkSession, path: str, invalid_dates: str = "bucket", money: str = "br",
               currency: bool = False, collapse_ws: bool = True, drop_invalid_products: bool = True,
-              date_formats=DEFAULT_DATE_FORMATS, **read_options) -> DataFrame:
+              date_formats=DEFAULT_DATE_FORMATS, counts: Observation | None = None, **read_options) -> DataFrame:
     """Read raw files (S1–S5) and clean them (P1–P12) into the sales fact.
 
     ``money``/``currency`` (P2/P3, D3), ``collapse_ws`` (P10 or P11),
     ``drop_invalid_products`` and ``date_formats`` go to the cleaning; native
-    dates of workbooks are always read. ``read_options`` go to ``read_sales``.
+    dates of workbooks are always read. ``counts`` gets the data-quality counts
+    (A13) from the job's own pass. ``read_options`` go to ``read_sales``.
     """
     read_options.setdefault("decimal", "." if money == "plain" else ",")
     raw = rename_raw(read_sales(spark, path, **read_options))
     formats = [*date_formats, *(f for f in DEFAULT_DATE_FORMATS if f not in date_formats)]
     return clean_sales(raw, money=money, currency=currency, invalid_dates=invalid_dates, collapse_ws=collapse_ws,
-                       drop_invalid_products=drop_invalid_products,
+                       drop_invalid_products=drop_invalid_products, counts=counts,
                        date_formats=formats if "source_file" in raw.columns else date_formats)
 
 

@@ -142,6 +142,22 @@ def q_all_granularities(spark, sf):
                                         dbl("value").alias("value"))
 
 
+@query("kept_marts", with_sales(MULTI_CTE + """
+SELECT granularity, store_id, period, product, CAST(value AS DOUBLE) AS value FROM mm""", daily=True))
+def q_kept_marts(spark, sf):
+    """A4 kept up by day: the events in two loads that overlap by ten days, the
+    marts read back."""
+    from datetime import timedelta
+
+    from shelfrank.operators import kept_marts
+    sales, path = daily_fact(spark, sf), _scratch(spark, "kept-marts")
+    lo, hi = sales.agg(F.min("d"), F.max("d")).first()
+    middle = lo + (hi - lo) / 2
+    kept_marts.load_days(sales.where(F.col("d") <= F.lit(middle + timedelta(5))), path)
+    kept_marts.load_days(sales.where(F.col("d") >= F.lit(middle - timedelta(5))), path)
+    return kept_marts.read_marts(spark, path).withColumn("value", dbl("value"))
+
+
 @query("period_totals", with_sales(MULTI_CTE + """
 SELECT granularity, store_id, period, CAST(SUM(value) AS DOUBLE) AS total
 FROM mm GROUP BY granularity, store_id, period""", daily=True))
@@ -550,6 +566,20 @@ def q_data_quality(spark, sf):
     return quality_counts(T.raw_sales_text(spark, sf))
 
 
+@query("data_quality_observed", ORACLE["data_quality"])
+def q_data_quality_observed(spark, sf):
+    """A13 from the job's own pass: the monthly job runs on the cleaned fact, and
+    the counts were taken on the way."""
+    from pyspark.sql import Observation
+
+    from shelfrank.operators.clean import clean_sales
+    from shelfrank.plans import jobs
+    counts = Observation("quality")
+    with jobs.monthly_job(spark, clean_sales(T.raw_sales_text(spark, sf), counts=counts), _scratch(spark, "observed")):
+        found = counts.get
+    return spark.createDataFrame([found]).select(*[F.col(c).cast("bigint").alias(c) for c in found])
+
+
 # --------------------------------------------------------------------------- run statistics
 
 @query("run_statistics", with_sales(MONTHLY_RANK_CTES + """,
