@@ -2,8 +2,9 @@
 
 A page becomes a tree: block-level elements, and as leaves its text blocks (runs
 of text and inline elements). Each node is content or not. A node's own features
-(tag, class words, links, length, punctuation) give its potential; a table of
-potentials couples every child to its parent. Sum-product messages, once upward
+(tag, class words, links, length, punctuation, and its share of the page's text,
+which needs no names) give its potential; a table of potentials couples every
+child to its parent. Hidden elements and controls (buttons, selections) are left out. Sum-product messages, once upward
 and once downward, give each block's exact marginal; blocks that are content
 with a probability of at least one half are the page's text.
 
@@ -39,6 +40,12 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page; all up to their end tag is left out.
 _SILENT = frozenset("script style title textarea iframe noembed noframes template".split())
+#: Elements that hold what a page is about.
+_MAIN = ("article", "main")
+#: Elements that may be any part of a page.
+_BOXES = frozenset("div section main table td center".split())
+#: Elements whose text is no text of the page, if they are closed.
+_CONTROLS = frozenset("button noscript select datalist".split())
 #: What a drawing ends at (these start tags also if its end tag is missing), but
 #: not within those of its elements that may hold HTML.
 _HOLDS_HTML = frozenset("foreignobject desc title".split())
@@ -72,8 +79,8 @@ _STEMS = ("ad", "ads", "advert", "sponsor", "promo", "banner", "cookie", "consen
 
 @dataclass
 class Tree:
-    """Nodes in page order, parents first. ``own``: an element's start tag or a
-    block's features; ``text``: of blocks, else None; ``edge``: which table
+    """Nodes in page order, parents first. ``own``: an element's start tag, share
+    and links, or a block's features; ``text``: of blocks, else None; ``edge``: which table
     couples the node to its parent."""
 
     parent: list[int] = field(default_factory=list)
@@ -114,6 +121,7 @@ def _svg_end(page: str, at: int, nested: bool) -> tuple[int, bool]:
 def parse(page: str) -> Tree:
     """The page's tree, without elements that hold no text."""
     parent, tags, names, texts, blocks = [-1], [""], ["html"], [None], []
+    closed: set[int] = set()
     stack, open_names = [0], {"html": 1}
     run: list[str] = []
     in_link = run_size = link_size = 0
@@ -185,6 +193,7 @@ def parse(page: str) -> Tree:
                 while names[stack[depth]] != name:
                     depth -= 1
                 if depth > 0:
+                    closed.add(stack[depth])
                     pop_to(depth)
             continue
         if name == "svg":
@@ -222,47 +231,92 @@ def parse(page: str) -> Tree:
         open_names[name] = open_names.get(name, 0) + 1
     end_block()
 
+    # hidden elements and controls hold no text of the page
+    out_of_sight = [False] * len(parent)
+    for i in range(1, len(parent)):
+        out_of_sight[i] = out_of_sight[parent[i]] or texts[i] is None and (
+            names[i] in _CONTROLS and i in closed or names[i] != "body" and _HIDING.search(tags[i]) is not None and hidden(tags[i]))
+        if out_of_sight[i]:
+            texts[i] = None
     used = [t is not None for t in texts]
     used[0] = True
-    for i in range(len(parent) - 1, 0, -1):
-        if used[i]:
+    size, linked, kids = [0] * len(parent), [0.0] * len(parent), [0] * len(parent)
+    links = {i: share for _, _, share, i in blocks}
+    largest = 1
+    for i in range(len(parent) - 1, -1, -1):
+        if texts[i] is not None:
+            size[i] = len(texts[i])
+            linked[i] = size[i] * links[i]
+            largest = max(largest, size[i])
+        if i and used[i]:
             used[parent[i]] = True
+            size[parent[i]] += size[i]
+            linked[parent[i]] += linked[i]
+            kids[parent[i]] += 1
     number, out = {}, Tree()
-    links = {i: share for _, _, share, i in blocks}
     for i, keep in enumerate(used):
         if keep:
             number[i] = len(out.parent)
             text = texts[i]
             out.parent.append(number[parent[i]] if i else -1)
             out.edge.append(2 * _PARENTS.get(names[parent[i]], 0) + (text is not None))
-            out.own.append(tags[i] if text is None else block_features(text, links[i], names[parent[i]]))
+            if text is None:
+                share = min(5, int(-math.log2(size[i] / size[0]))) if size[i] else 6
+                out.own.append((tags[i], share, math.ceil(4 * linked[i] / size[i]) if size[i] else 0,
+                                min(3, kids[i] if names[i] == "body" else names.count(names[i]) if names[i] in _MAIN else 0)))
+            else:
+                out.own.append(block_features(text, links[i], names[parent[i]], min(5, int(math.log2(largest / len(text))))))
             out.text.append(text)
     return out
 
 
-def element_features(tag: str) -> list[str]:
-    """Features of an element, from its start tag."""
+_HIDING = re.compile(r"hidden|display\s*:\s*none", re.I)
+
+
+def hidden(tag: str) -> bool:
+    """Whether a start tag hides its element."""
+    for a in _ATTR.finditer(tag):
+        name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if name == "hidden" and a.start() > 1 or name == "style" and "display:none" in "".join(value.lower().split()):
+            return True
+    return False
+
+
+def element_features(tag: str, share: int = 0, links: int = 0, number: int = 0) -> list[str]:
+    """Features of an element: its start tag, its share of the page's text (as a
+    power of two), the links in its text (in quarters), and a number: of the parts
+    of a body, of the articles where it is one (one alone is the page's own)."""
     m = _LOOSE_TAG.match(tag)
     if m is None:
         return ["tag:html"]
-    out = ["tag:" + m[2].lower()]
+    name = m[2].lower()
+    out = ["tag:" + name]
+    if name == "body" or name in _MAIN:
+        out.append(f"{name} number:{number}")
     words: set[str] = set()
     for a in _ATTR.finditer(tag[1 + len(m[2]):-1]):
-        name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-        if name in ("class", "id", "role", "aria-label", "itemprop"):
+        key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+        if key in ("class", "id", "role", "aria-label", "itemprop"):
             words |= {w.lower() for w in _NAME.findall(value)}
-        elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower() or name == "aria-hidden" and value == "true":
+        elif key == "aria-hidden" and value == "true":
             words.add("hidden")
     found = {s for w in words for s in _STEMS if (w == s if len(s) < 4 else w.startswith(s))}
     if words and not found:
         found = {"other"}
+    if not words and name in _BOXES:
+        # a box without a name is told by what stands in it
+        out += [f"box share:{share}", f"box linked:{links}"]
     return out + sorted("word:" + s for s in found)
 
 
-def block_features(text: str, links: float, within: str) -> tuple[str, ...]:
-    """Features of a text block."""
+def _features(own: tuple) -> list[str] | tuple[str, ...]:
+    return element_features(*own) if len(own) == 4 and isinstance(own[1], int) else own
+
+
+def block_features(text: str, links: float, within: str, smaller: int = 0) -> tuple[str, ...]:
+    """Features of a text block; ``smaller``: than the page's largest, as a power of two."""
     end = text[-1]
-    return ("block", f"size:{min(9, len(text).bit_length())}", f"links:{math.ceil(links * 4)}", "in:" + within,
+    return ("block", f"smaller:{smaller}", f"size:{min(9, len(text).bit_length())}", f"links:{math.ceil(links * 4)}", "in:" + within,
             "ends:" + ("stop" if end in ".!?:;\"'»”…" else "letter" if end.isalpha() else "other"),
             "words:" + ("one" if " " not in text else "more"), *(("copyright",) if "©" in text else ()))
 
@@ -287,7 +341,7 @@ class Model:
         if x is None:
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            names = element_features(node) if isinstance(node, str) else node
+            names = _features(node)
             x = self.memo[node] = sum(self.weights.get(f, 0.0) for f in names)
         return x
 
@@ -327,7 +381,7 @@ def content(model: Model, page: str, least: float = 0.5) -> list[str]:
     return [t for t, b in zip(tree.text, belief) if t is not None and b >= limit]
 
 
-def train(pages: Iterable[tuple[str, set[str]]], *, epochs: int = 12, rate: float = 0.15, shrink: float = 1e-4, seed: int = 3) -> Model:
+def train(pages: Iterable[tuple[str, set[str]]], *, epochs: int = 14, rate: float = 0.2, shrink: float = 1e-4, seed: int = 3) -> Model:
     """Learns from pages with the texts of their content blocks. An element
     counts as content when most of its text is."""
     model, rows = Model(), []
@@ -342,12 +396,14 @@ def train(pages: Iterable[tuple[str, set[str]]], *, epochs: int = 12, rate: floa
             if i:
                 size[tree.parent[i]] += size[i]
                 good[tree.parent[i]] += good[i]
-        names = [element_features(x) if isinstance(x, str) else x for x in tree.own]
+        names = [_features(x) for x in tree.own]
         rows.append((tree, names, [int(2 * g > s) for g, s in zip(good, size)]))
     rng = random.Random(seed)
+    # the mean of the weights over the later epochs, which steps less by chance
+    late, sums, table_sums = epochs - epochs // 2, {}, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(6)]
     for epoch in range(epochs):
         rng.shuffle(rows)
-        step = rate / (1 + 0.3 * epoch)
+        step = rate / (1 + 0.1 * epoch)
         for tree, names, y in rows:
             model.memo.clear()
             belief, below, above = messages(model, tree)
@@ -372,6 +428,17 @@ def train(pages: Iterable[tuple[str, set[str]]], *, epochs: int = 12, rate: floa
                 for a in (0, 1):
                     for b in (0, 1):
                         model.tables[kind][a][b] += step * (change[kind][a][b] / 10 - shrink * model.tables[kind][a][b])
+            if epoch >= late:
+                for f in set().union(*names):
+                    last, total = sums.get(f, (0, 0.0))
+                    sums[f] = (last + 1, total + model.weights[f])
+                for kind in range(6):
+                    for a in (0, 1):
+                        for b in (0, 1):
+                            table_sums[kind][a][b] += model.tables[kind][a][b]
+    if epochs // 2:
+        model.weights |= {f: total / n for f, (n, total) in sums.items()}
+        model.tables = [[[x / (len(rows) * (epochs // 2)) for x in row] for row in t] for t in table_sums] if rows else model.tables
     model.memo.clear()
     return model
 

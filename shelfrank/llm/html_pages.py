@@ -2,8 +2,10 @@
 
 Each page is built from a random layout with invented words: menus, headers,
 notices, adverts, sidebars, forms, an article, reader comments, footers, in the
-tags and class names that web pages commonly use, or without any. The texts of
-the article's blocks are the labels.
+tags and class names that web pages commonly use, or without any; some pages are
+plain ``div`` elements, and some have other elements, without one name (those have
+no adverts, notices, comments and teasers, which nothing would tell from the article). The texts of the article's
+blocks are the labels.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ _SOUNDS = "ba be di do fa gu ka ke li lo ma mi na no pe ra re sa so ta te ti un
 
 
 class _Maker:
-    def __init__(self, rng: random.Random):
-        self.rng, self.content = rng, set()
+    def __init__(self, rng: random.Random, plain: bool = False):
+        self.rng, self.content, self.plain = rng, set(), plain
+        self.unnamed = plain or rng.random() < 0.15
 
     def words(self, low: int, high: int) -> str:
         return " ".join("".join(self.rng.choices(_SOUNDS, k=self.rng.randint(1, 4))) for _ in range(self.rng.randint(low, high)))
@@ -28,19 +31,20 @@ class _Maker:
         """A class or id of one of the words, or none."""
         r = self.rng
         word = r.choice(words) if words else None
-        if word is None or r.random() < 0.1:
+        if word is None or self.unnamed or r.random() < 0.1:
             return ""
         word = r.choice(["{}", "{}", "{}", "site-{}", "{}-box", "page_{}", "{}Wrap", "c-{}", "{} block"]).format(word)
         return r.choice([' class="{}"', " class='{}'", ' id="{}"', ' class="x1 {}"']).format(word)
 
     def some(self, tags: str, text: str, *words: str) -> str:
-        tag = self.rng.choice(tags.split())
+        tag = "div" if self.plain else self.rng.choice(tags.split())
         return f"<{tag}{self.named(*words)}>{text}</{tag}>"
 
     # ------------------------------------------------------ not content
 
     def links(self, n: int) -> str:
-        return "".join(f'<li><a href="/{self.rng.randint(0, 99)}">{self.words(1, 3)}</a></li>' for _ in range(n))
+        tail = lambda: self.rng.choice(["", "", "", "", ",", ".", "!", " 1"])
+        return "".join(f'<li><a href="/{self.rng.randint(0, 99)}">{self.words(1, 3)}{tail()}</a></li>' for _ in range(n))
 
     def menu(self) -> str:
         body = f"<ul>{self.links(self.rng.randint(3, 8))}</ul>" if self.rng.random() < 0.7 else " | ".join(
@@ -49,7 +53,7 @@ class _Maker:
 
     def header(self) -> str:
         body = f"<{(h := self.rng.choice(['h1', 'h2', 'p', 'div', 'a']))}>{self.words(1, 5)}</{h}>"
-        if self.rng.random() < 0.5:
+        if self.rng.random() < 0.5 and not self.plain:
             body += f"<p>{self.sentence(3, 12)}</p>"
         if self.rng.random() < 0.4:
             body += self.menu()
@@ -74,7 +78,9 @@ class _Maker:
     def sidebar(self) -> str:
         parts = [f"<h3>{self.words(1, 3)}</h3><ul>{self.links(self.rng.randint(2, 6))}</ul>", f"<h4>{self.words(1, 3)}</h4><p>{self.sentence(5, 30)}</p>",
                  f"<div>{self.sentence(4, 20)}</div>"]
-        return self.some("aside aside div section", "".join(self.rng.sample(parts, self.rng.randint(1, 3))), "sidebar", "widget", "related", "popular",
+        if self.unnamed:
+            parts = parts[:1]
+        return self.some("aside aside div section", "".join(self.rng.sample(parts, self.rng.randint(1, len(parts)))), "sidebar", "widget", "related", "popular",
                          "recommended", "trending", "share", "social")
 
     def form(self) -> str:
@@ -111,6 +117,10 @@ class _Maker:
             k = r.randrange(len(words))
             words[k] = r.choice(["<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>", "<span>{}</span>"]).format(words[k])
             text = " ".join(words)
+        if r.random() < 0.05:
+            text = f"<a href='/x'>{text}</a>"
+        if self.divs:
+            return f"<div>{text}</div>"
         kind = r.random()
         if kind < 0.7:
             return f"<p>{text}</p>"
@@ -126,23 +136,26 @@ class _Maker:
 
     def article(self) -> str:
         r = self.rng
-        head = f"<h1>{self.keep(self.sentence(2, 12)[:-1])}</h1>" if r.random() < 0.7 else ""
+        self.divs = r.random() < (0.5 if self.plain else 0.15)
+        title = "div" if self.divs and r.random() < 0.5 else "h1"
+        head = f"<{title}>{self.keep(self.sentence(2, 12)[:-1])}</{title}>" if r.random() < 0.7 else ""
         parts = [self.paragraph() for _ in range(r.choice([1, 1, 1, 2, 4, 8, 15]))]
-        for extra in (self.advert, self.sidebar, self.form):
+        for extra in (self.form,) if self.unnamed else (self.advert, self.sidebar, self.form):
             if r.random() < 0.12:
                 parts.insert(r.randint(0, len(parts)), extra())
-        if r.random() < 0.15:
+        if r.random() < 0.15 and not self.unnamed:
             parts.append(self.comments())
         body = head + "".join(parts)
-        tag = r.choice(["article", "article", "article", "main", "section", "div"])
+        tag = "div" if self.plain else r.choice(["article", "article", "article", "main", "section", "div"])
         name = self.named("article", "post", "entry", "story", "content", "main", "article-body", "text") if tag != "div" or r.random() < 0.95 else ""
         return f"<{tag}{name}>{body}</{tag}>"
 
 
-def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
+def labelled_page(rng: random.Random, plain: bool = False) -> tuple[str, set[str]]:
     """A page, and the texts of its content blocks."""
-    m = _Maker(rng)
-    chance = lambda p, f: f() if rng.random() < p else ""
+    m = _Maker(rng, plain)
+    told = (m.advert, m.notice, m.comments)  # by their names only
+    chance = lambda p, f: f() if rng.random() < p and not (m.unnamed and f in told) else ""
     before = [chance(0.7, m.menu), chance(0.5, m.header), chance(0.5, m.advert), chance(0.3, m.notice), chance(0.15, m.form)]
     after = [chance(0.4, m.sidebar), chance(0.3, m.comments), chance(0.25, m.form), chance(0.2, m.advert), chance(0.15, m.notice)]
     rng.shuffle(before)
@@ -152,10 +165,13 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
         middle = m.some("div main div", "".join(["".join(before[3:]), middle, "".join(after[:2])]), "container", "wrap", "page", "layout", "main", "content")
         before, after = before[:3], after[2:]
     body = "".join(before) + middle + "".join(after) + chance(0.85, m.footer)
+    if rng.random() < (0.3 if m.unnamed else 0.1):
+        body = middle  # a page that is its article
     head = f"<head><title>{m.words(2, 5)}</title><style>p{{margin:0}}</style></head>"
     return f"<!DOCTYPE html><html>{head}<body{m.named('page', 'home', 'body')}>{body}</body></html>", m.content
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 1000, seed: int = 11, plain: float = 0.25) -> list[tuple[str, set[str]]]:
+    """``n`` pages, a share ``plain`` of them without names."""
     rng = random.Random(seed)
-    return [labelled_page(rng) for _ in range(n)]
+    return [labelled_page(rng, rng.random() < plain) for _ in range(n)]

@@ -44,6 +44,43 @@ def test_held_out_pages(model):
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_held_out_pages_without_names(model):
+    right = wrong = missed = 0
+    for html, content in labelled_pages(200, seed=78, plain=1.0):
+        got = set(X.content(model, html))
+        right, wrong, missed = right + len(got & content), wrong + len(got - content), missed + len(content - got)
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
+LINE = "A sentence that has some words in it and goes on for a while, as they do."
+
+
+@pytest.mark.parametrize("html, blocks", [
+    ("<div><div>title</div><div>text</div><div>text</div></div>", ["title", "text", "text"]),
+    (f"<div><div>The title</div><div>{LINE}</div><div>{LINE} {LINE}</div></div>", ["The title", LINE, f"{LINE} {LINE}"]),
+    (f"<div id='content'><div>{LINE}</div><div>{LINE}</div><div>Last one here.</div></div>", [LINE, LINE, "Last one here."]),
+    (f"<article><p>{LINE}</p><p><a href='/x'>See the whole story there.</a></p><p>{LINE}</p></article>", [LINE, "See the whole story there.", LINE]),
+    (f"<article><h1>Head</h1><button>Share</button><noscript>Please enable scripts.</noscript><p>{LINE}</p></article>", ["Head", LINE]),
+    (f"<article><p hidden>no</p><div style='color: red; display : none'><p>nor this</p></div><p>{LINE}</p></article>", [LINE])])
+def test_pages_without_names_and_hidden_elements(model, html, blocks):
+    assert X.content(model, f"<html><body>{html}</body></html>") == blocks
+
+
+def test_what_is_hidden():
+    assert X.hidden("<p hidden>") and X.hidden('<p class="a" hidden="">') and X.hidden("<p STYLE='Display:None'>")
+    assert not X.hidden('<p class="hidden">') and not X.hidden("<p data-x='display:none'>") and not X.hidden("<hidden>")
+    assert blocks("<body style='display:none'><p>a</p><select><option>b</select><button>c<p>d</p></body>") == ["a", "c", "d"]
+
+
+def test_given_pages_give_their_article(model):
+    import re
+
+    import pyarrow.parquet as pq
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        article = re.search("<article.*</article>", html, re.S)
+        assert X.content(model, html) == blocks(article[0])
+
+
 def page(article, before="", after=""):
     return (f"<!DOCTYPE html><html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href='/a'>menu</a></li>"
             f"<li><a href='/b'>other</a></li></ul></nav>{before}<article>{article}</article>{after}<footer>&copy; x.example &middot; All rights.</footer></body></html>")
