@@ -121,7 +121,7 @@ def _svg_end(page: str, at: int, nested: bool) -> tuple[int, bool]:
 def parse(page: str) -> Tree:
     """The page's tree, without elements that hold no text."""
     parent, tags, names, texts, blocks = [-1], [""], ["html"], [None], []
-    closed: set[int] = set()
+    ended: set[int] = set()
     stack, open_names = [0], {"html": 1}
     run: list[str] = []
     in_link = run_size = link_size = 0
@@ -193,7 +193,7 @@ def parse(page: str) -> Tree:
                 while names[stack[depth]] != name:
                     depth -= 1
                 if depth > 0:
-                    closed.add(stack[depth])
+                    ended.add(stack[depth])
                     pop_to(depth)
             continue
         if name == "svg":
@@ -235,7 +235,7 @@ def parse(page: str) -> Tree:
     out_of_sight = [False] * len(parent)
     for i in range(1, len(parent)):
         out_of_sight[i] = out_of_sight[parent[i]] or texts[i] is None and (
-            names[i] in _CONTROLS and i in closed or names[i] != "body" and _HIDING.search(tags[i]) is not None and hidden(tags[i]))
+            names[i] in _CONTROLS and i in ended or names[i] != "body" and _HIDING.search(tags[i]) is not None and hidden(tags[i]))
         if out_of_sight[i]:
             texts[i] = None
     used = [t is not None for t in texts]
