@@ -192,3 +192,46 @@ def output_check(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             .select(F.lit(name).alias("output"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ----------------------------------------------------------------------------- documents of any shape
+
+def read_mixed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S7 for period files of any age, by ``VARIANT``: each line is parsed without a
+    schema, and only what is asked for is looked up, so that fields of another
+    type, missing or new ones do no harm. Result: the rows of
+    ``read_period_documents`` without ``gerado_em`` and ``analise_ia``, with
+    ``diagnostico`` and ``acao``.
+
+    A line is a file's object, or a bare list of its stores (then the granularity
+    is null). ``id_loja`` may be a number or text; ``analises`` an object by
+    period, or a list of objects that hold their ``periodo``; ``analise_ia`` an
+    object, or a text, which is the diagnosis. A line that is no JSON, and items
+    that are no objects, give no rows.
+    """
+    doc = spark.read.text(path).select(F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    get = lambda v, at, kind: F.try_variant_get(v, at, kind)
+    stores = doc.select(get("v", "$.granularidade", "string").alias("granularidade"), F.explode(F.coalesce(
+        get("v", "$.dados_lojas", "array<variant>"), get("v", "$", "array<variant>"))).alias("loja"))
+    # an object by period, else a list whose entries name their period
+    by_name = get("loja", "$.analises", "map<string,variant>")
+    listed = get("loja", "$.analises", "array<variant>")
+    entries = F.coalesce(F.transform(F.map_entries(by_name), lambda e: F.struct(e["key"].alias("periodo"), e["value"].alias("doc"))),
+                         F.transform(listed, lambda e: F.struct(get(e, "$.periodo", "string").alias("periodo"), e.alias("doc"))))
+    number = F.coalesce(get("loja", "$.id_loja", "int"), store_number(get("loja", "$.id_loja", "string")))
+    periods = stores.select(
+        "granularidade", number.alias("id_loja"),
+        F.coalesce(get("loja", "$.store_id", "string"), get("loja", "$.id_loja", "string")).alias("store_id"), F.explode(entries).alias("e"))
+    items = periods.select("granularidade", "id_loja", "store_id", "e.periodo", get("e.doc", "$.total", "double").alias("total"),
+                           F.posexplode(get("e.doc", "$.itens", "array<variant>")).alias("pos", "i"))
+    found = items.where(F.schema_of_variant("i").startswith("OBJECT"))
+    return found.select(
+        "granularidade", "id_loja", "store_id", "periodo", "total", "pos", get("i", "$.produto", "string").alias("produto"),
+        get("i", "$.valor", "double").alias("valor"), get("i", "$.tipo", "string").alias("tipo"),
+        F.coalesce(get("i", "$.analise_ia.diagnostico", "string"), _text(get("i", "$.analise_ia", "variant"))).alias("diagnostico"),
+        get("i", "$.analise_ia.acao", "string").alias("acao"))
+
+
+def _text(v: F.Column) -> F.Column:
+    """A variant that is a text."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))

@@ -1155,6 +1155,30 @@ def q_period_document_items(spark, sf):
         it["diagnostico"].alias("diagnostico"), it["acao"].alias("acao"))
 
 
+@query("mixed_documents", f"SELECT * EXCLUDE (acao) FROM ({ORACLE['period_document_items']}) x")
+def q_mixed_documents(spark, sf):
+    """S7 by VARIANT: the period files in three shapes side by side, one by
+    granularity (the nested form; periods in a list and the store's number as text;
+    a single text as comment), read as one."""
+    from shelfrank.operators import documents
+    path, lists = _scratch(spark, "mixed"), annotated_lists(spark, sf)
+    lines = documents.period_documents(lists)
+    shop, g = F.col("dados_lojas")[0], F.col("granularidade")
+    lines.where("granularidade = 'day'").select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+    periods = F.transform(F.map_entries(shop["analises"]), lambda e: F.struct(
+        e["key"].alias("periodo"), e["value"]["total"].alias("total"), e["value"]["itens"].alias("itens"), F.lit(1).alias("versao")))
+    listed = F.struct(g.alias("granularidade"), F.array(F.struct(
+        shop["id_loja"].cast("string").alias("id_loja"), shop["store_id"].alias("store_id"), periods.alias("analises"))).alias("dados_lojas"))
+    lines.where("granularidade = 'week'").select(F.to_json(listed).alias("value")).write.mode("append").text(path)
+    said = F.transform_values(shop["analises"], lambda p, d: F.struct(d["total"].alias("total"), F.transform(d["itens"], lambda i: F.struct(
+        i["produto"].alias("produto"), i["valor"].alias("valor"), i["tipo"].alias("tipo"), i["analise_ia"]["diagnostico"].alias("analise_ia"),
+        i["analise_ia"]["acao"].alias("conselho"))).alias("itens")))
+    text = F.struct(g.alias("granularidade"), F.array(F.struct(shop["id_loja"].alias("id_loja"), shop["store_id"].alias("store_id"),
+                                                               said.alias("analises"))).alias("dados_lojas"))
+    lines.where("granularidade = 'month'").select(F.to_json(text).alias("value")).write.mode("append").text(path)
+    return documents.read_mixed_documents(spark, path).drop("acao")
+
+
 @query("index_document", with_sales("""
 SELECT ['periods/granularidade=day', 'periods/granularidade=month', 'periods/granularidade=week'] AS arquivos,
        list(DISTINCT store_id ORDER BY store_id) AS lojas,

@@ -313,3 +313,16 @@ def test_plain_objects_are_read_and_updated(spark, tmp_dir):
     assert entries(spark, f"{tmp_dir}/cache") == OLD
     cache.update_json(spark.createDataFrame(FRESH, cache.CACHE_SCHEMA), f"{tmp_dir}/cache")
     assert entries(spark, f"{tmp_dir}/cache") == BOTH
+
+
+def test_documents_of_any_shape(spark, tmp_dir):
+    from shelfrank.operators import documents
+    lines = ['{"granularidade": "day", "dados_lojas": [{"id_loja": 1, "analises": {"2024-01-01": {"total": 5, "itens": '
+             '[{"produto": "A", "valor": 2, "tipo": "TOP", "analise_ia": {"diagnostico": "d", "acao": "x"}}, 7, "no", {"produto": "B", "novo": [1]}]}}}]}',
+             '[{"id_loja": "02", "analises": [{"periodo": "p", "total": "2.5", "itens": [{"produto": "C", "valor": "x", "analise_ia": "said"}]}]}]',
+             'junk', '', '{"dados_lojas": {"a": 1}}', '{"granularidade": 3, "dados_lojas": [{"id_loja": "X", "analises": {"q": {"itens": null}}}, 5]}', '[]']
+    with open(f"{tmp_dir}/f.json", "w") as f:
+        f.write("\n".join(lines))
+    got = [tuple(r) for r in documents.read_mixed_documents(spark, tmp_dir).orderBy("produto").collect()]
+    assert got == [("day", 1, "1", "2024-01-01", 5.0, 0, "A", 2.0, "TOP", "d", "x"), ("day", 1, "1", "2024-01-01", 5.0, 3, "B", None, None, None, None),
+                   (None, 2, "02", "p", 2.5, 0, "C", None, None, "said", None)]
