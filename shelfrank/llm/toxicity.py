@@ -105,7 +105,12 @@ _TRIM = b"".join(bytes([b]) for b in range(33, 127) if not bytes([b]).isalnum())
 _MARKED = re.compile(rb"[a-z\x80-\xff].*[0-9@$!|+(*#._\-~].*|[0-9@$!|+(*#].*[a-z\x80-\xff].*|.*([a-z])\1")
 #: Signs and digits that may all be letters; digits alone are a number.
 _SIGNS_ONLY = re.compile(rb"(?=.*[@$!|+(*#])(?=(.).*(?!\1)[0-9@$!|+(*#])[0-9@$!|+(*#]{3,}$")
-_SPACED = re.compile(rb"(?<![a-z0-9@$!|\x80-\xff])(?:[a-z0-9@$!|+(*#][ \t.\-_,~*]{1,3}){2,}[a-z0-9@$!|+(*#](?![a-z0-9\x80-\xff])")
+#: What may stand between letters: signs and white space, also spaces beyond ASCII
+#: and those without a width, in any number and over line breaks.
+_WIDE = rb"(?:[ \t\n\x0B-\r.\-_,~]|\xC2\xA0|\xE2\x80[\x80-\x8F\xA8\xA9\xAF]|\xE2\x81\xA0|\xEF\xBB\xBF)"
+_SPACED = re.compile(rb"(?<![a-z0-9@$!|\x80-\xff])(?:[a-z0-9@$!|+(*#](?:" + _WIDE + rb"++|[ \t.\-_,~*]{1,3})){2,}[a-z0-9@$!|+(*#](?![a-z0-9\x80-\xff])")
+#: Such a gap that is none of the short plain ones; it is read as one space.
+_LONG_GAP = re.compile(rb"(?=" + _WIDE + rb"{4}|[ \t.\-_,~]*[\n\x0B-\r\x80-\xff])" + _WIDE + rb"++")
 _RUN = re.compile(rb"([a-z])\1")
 _RUNS = re.compile(rb"([a-z])\1+")
 _SAME = re.compile(rb"(.)\1*")
@@ -239,7 +244,7 @@ class Restorer:
 
     def spaced(self, low: bytes) -> list[bytes]:
         """Words restored from letters that stand apart."""
-        return [w for m in _SPACED.finditer(low) for w in self.joined(m[0])]
+        return [w for m in _SPACED.finditer(low) for w in self.joined(_LONG_GAP.sub(b" ", m[0]))]
 
     def joined(self, apart: bytes) -> list[bytes]:
         return [w for w in self.read(apart) if len(w) > 2]
@@ -272,7 +277,7 @@ class Model:
         """The document's indicators, in its restored text."""
         restorer = self.restorer = self.restorer or Restorer(self.cost, self.weights)
         low, memo, out = utf8.lower(), self.memo, set()
-        apart = {b" " + m[0] for m in _SPACED.finditer(low)}
+        apart = {b" " + _LONG_GAP.sub(b" ", m[0]) for m in _SPACED.finditer(low)}
         for token in {*low.split(), *apart}:
             hits = memo.get(token)
             if hits is None:

@@ -3,6 +3,7 @@ and tables with odd rows."""
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -108,6 +109,18 @@ def test_restores_obfuscated_words():
     assert r.words(b"house") == (b"house",) and r.words(b"(house),") == (b"house",) and r.words(b"###") == ()
 
 
+def test_letters_may_stand_any_way_apart():
+    r = T.Restorer(T.costs(T.trigram_counts(corpus())))
+    for gap in (" ", "   ", "     ", "\n", " \r\n\t ", "\u00a0", "\u2003\u200b", "\ufeff", "-----", " .\n. ", "\u2060"):
+        for word in ("idiot", "stupid", "worthless", "l0ser"):
+            assert word.replace("0", "o").encode() in r.spaced(f"you: {gap.join(word)} .".encode()), (gap, word)
+    assert r.spaced(b"a\nlist of one\nb\n") == [] and r.spaced("a\u00e9 b\u00e9 c\u00e9".encode()) == []
+    start = time.time()
+    for odd in (b"* " * 20000, b"a " * 50000 + b"bc", b"a\n\n\n" * 20000 + b"x\xc3", b" " * 200000 + b"a", b"a*" * 20000 + b"bc"):
+        list(T._SPACED.finditer(odd))
+    assert time.time() - start < 5
+
+
 def test_viterbi_finds_the_cheapest_path():
     cost = T.costs(T.trigram_counts(corpus()))
 
