@@ -17,9 +17,11 @@ judged on the input, so a passage stays whole in its first document.
    go back to their block, which cuts its documents. Blocks are read from the
    same exchange as in step 1.
 
-Memory follows a block, a bucket and the longest document. Buckets grow with
-distinct super-k-mers of a block, never with the number of documents that hold
-one.
+Memory follows a block, a bucket and the longest document. A bucket grows with the
+distinct super-k-mers of each block: a passage longer than a window costs one
+string per block, however many documents hold it, but a phrase of ``m`` words or
+more that stands in ever other surroundings costs one for each of them, all on
+its minimiser, which is not split.
 """
 
 from __future__ import annotations
