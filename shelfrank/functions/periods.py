@@ -78,9 +78,8 @@ def week_start(key, iso_label: bool = False) -> Column:
     y = F.substring(key, 1, 4).cast("int")
     w = F.substring(key, 7, 2).cast("int")
     if iso_label:
-        jan4 = F.make_date(y, F.lit(1), F.lit(4))
-        # Monday of the week holding 4 January
-        first_monday = F.date_sub(jan4, F.weekday(jan4))
+        # the first ISO week is the one with the first Thursday: 4 January is in it
+        first_monday = F.date_trunc("week", F.make_date(y, F.lit(1), F.lit(4))).cast("date")
     else:
         first_monday = F.next_day(F.make_date(y - 1, F.lit(12), F.lit(31)), "Mon")
     return F.date_add(first_monday, (w - 1) * 7)
