@@ -17,6 +17,7 @@ indicators. The words learned also enter the character model.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 from operator import itemgetter
@@ -218,6 +219,31 @@ class Restorer:
         self.known = known or {}
         self.memo: dict[bytes, tuple[bytes, ...]] = {}
         self.single = {_RUNS.sub(rb"\1", h) for h in self.known}
+        # one bit for each letter of each indicator without its runs; of each byte
+        # the letters that it may be, and those that it may follow as nothing new
+        spelled = sorted({h.rstrip() for h in self.single})
+        letters = b"".join(spelled)
+        self.first = sum(1 << at for at in itertools.accumulate(map(len, spelled[:-1]), initial=0)) if spelled else 0
+        self.last = self.first >> 1 | (1 << len(letters) >> 1)
+        self.steps = []
+        for c in range(256):
+            x = bytes([c])
+            may = LEET.get(x, b"") + x
+            step = sum(1 << at for at, letter in enumerate(letters) if letter in may)
+            stay = step if x.isalpha() or c >= 0x80 else (1 << len(letters)) - 1
+            self.steps.append((step, stay))
+
+    def possible(self, token: bytes) -> bool:
+        """Whether some path of the lattice may hold an indicator: its letters in
+        order, each read from a letter or sign, with only signs and repeats of the
+        letter between. No other token needs a search; one pass over the bytes."""
+        state, first, last, steps = 0, self.first, self.last, self.steps
+        for c in token:
+            step, stay = steps[c]
+            state = (state << 1 | first) & step | state & stay
+            if state & last:
+                return True
+        return False
 
     def read(self, part: bytes) -> list[bytes]:
         if self.known and _PLAIN.fullmatch(part):
@@ -283,7 +309,7 @@ class Model:
             if hits is None:
                 if len(memo) >= MEMO_TOKENS:
                     memo.clear()
-                words = restorer.joined(token[1:]) if token in apart else restorer.words(token)
+                words = () if not restorer.possible(token) else restorer.joined(token[1:]) if token in apart else restorer.words(token)
                 hits = memo[token] = [h for w in words for h in _heads(w) if h in self.weights]
             if hits:
                 out.update(hits)

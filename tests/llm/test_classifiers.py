@@ -207,6 +207,29 @@ def test_restoring_long_odd_text_takes_no_long_time():
     assert time.process_time() - start < 30
 
 
+def test_only_tokens_that_may_hold_an_indicator_are_searched(monkeypatch):
+    import random
+    rng = random.Random(4)
+    known = {b"idiot ": 1.0, b"loser": 1.0, b"asshole ": 1.0, b"trash ": 1.0, "pé".encode() + b"ss ": 1.0}
+    cost = T.costs(T.trigram_counts(corpus()))
+    pieces = [b"idiot", b"l053r", b"4$$h0l3", b"tr", b"a$h", b"1d", b"107", b"ss", b"sss", "pé".encode(), b"0", b"**", b"-", b".", b"xy", b" ", b"##", b"\xc2"]
+    m = T.Model(cost, known, 0.0, 1.0)
+    r = T.Restorer(cost, known)
+    held = 0
+    for _ in range(3000):
+        token = b"".join(rng.choices(pieces, k=rng.randint(1, 6)))
+        words = [w for t in token.split() for w in r.words(t)] + r.joined(token)
+        hits = {h for w in words for h in T._heads(w) if h in known}
+        held += bool(hits)
+        assert not hits or r.possible(token), token
+        assert {h for t in token.split() for w in r.words(t) for h in T._heads(w) if h in known} <= m.found(token), token
+    assert held > 300
+    searched = []
+    monkeypatch.setattr(T, "restorations", lambda part, *more, whole=T.restorations: searched.append(part) or whole(part, *more))
+    assert m.found(b" ".join(b"b%dq.u%d@mail-%d" % (i, i, i) for i in range(500)) + b" you id1ot") == {b"idiot "}
+    assert len(searched) < 20
+
+
 def test_long_words_are_hashed_whole():
     at = lambda t: Q.features(t)[0]
     words = {b"x" * 70 + bytes([97 + i]) + b"y" * (20 + j) + bytes([97 + k]) for i in range(5) for j in range(3) for k in range(5)}
