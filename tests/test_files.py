@@ -1,6 +1,8 @@
 """File sources (F-H): encodings, bad lines, required columns, workbooks."""
 
+import io
 import os
+import zipfile
 
 import pytest
 
@@ -196,6 +198,70 @@ def test_written_workbooks_follow_the_rows(spark, tmp_dir):
     assert {(r.a, float(r.b), r.c) for r in back.collect()} == {(str(i), i / 4, f"{1 + i % 9:02d}/01/2024") for i in range(2500)}
 
 
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def sheet_bytes(sheet, shared=True):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", files._WORKBOOK)
+        z.writestr("xl/_rels/workbook.xml.rels", files._RELS)
+        z.writestr("xl/styles.xml", files._STYLES)
+        if shared:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}"><si><t>one</t></si><si><t>t&amp;amp;wo</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    return out.getvalue()
+
+
+PLAIN = ('<row r="1" spans="1:4"><c r="A1" t="s"><v>1</v></c><c r="C1" t="inlineStr"><is><t xml:space="preserve"> a &amp; b&lt;</t></is></c></row>'
+         '<row r="2"/><row r="3"></row><row><c><v>12.50</v></c><c s="1"><v>45352</v></c><c r="C4"/><c r="E4" t="e"><v>#N/A</v></c></row>')
+PLAIN_ROWS = [["t&amp;wo", None, " a & b<"], [], [], ["12,5", "01/03/2024", None, None, None]]
+
+
+def test_plain_sheets_are_read_without_a_tree(monkeypatch):
+    # pieces of 256 KB, rows cut anywhere by them
+    head = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\r\n<worksheet xmlns="{MAIN}"><cols><col/></cols><sheetData>'
+    body = PLAIN.replace('t="s"><v>1</v>', 't="str"><v>t&amp;amp;wo</v>') * 3000
+    data = sheet_bytes(f"{head}{body}</sheetData><pageMargins/></worksheet>", shared=False)
+
+    built = []
+    monkeypatch.setattr(files.ET, "TreeBuilder", lambda whole=files.ET.TreeBuilder: built.append(1) or whole())
+    monkeypatch.delattr(files.ET, "iterparse")
+    assert list(files._first_sheet_rows(data)) == PLAIN_ROWS * 3000
+    assert len(built) == 3  # workbook, relations and styles
+
+
+@pytest.mark.parametrize(("odd", "row"), [
+    ('<row r="5"><c r="A5"><f>A1+1</f><v>3</v></c></row>', ["3"]),
+    ('<row r="5"><c r="A5" t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r></is></c></row>', ["ab"]),
+    ('<row r="5"><!-- </row><row> --><c r="A5" t="str"><v><![CDATA[</row>&]]></v></c></row>', ["</row>&"]),
+    ('<row r="5">\n <c t="str" r="B5"><v>&#65;\r\n</v></c>\n</row>', [None, "A\n"]),
+])
+def test_sheets_of_other_markup_give_the_same_rows(odd, row):
+    body = PLAIN * 3000 + odd + PLAIN
+    data = sheet_bytes(f'<worksheet xmlns="{MAIN}"><sheetData>{body}</sheetData></worksheet>')
+    assert list(files._first_sheet_rows(data)) == [*PLAIN_ROWS * 3000, row, *PLAIN_ROWS]
+
+
+def test_other_sheet_heads():
+    row = "<x:row><x:c><x:v>1</x:v></x:c></x:row>"
+    assert list(files._first_sheet_rows(sheet_bytes(f'<x:worksheet xmlns:x="{MAIN}"><x:sheetData>{row}</x:sheetData></x:worksheet>'))) == [["1"]]
+    assert list(files._first_sheet_rows(sheet_bytes(f'<worksheet xmlns="{MAIN}"><sheetData/></worksheet>'))) == []
+
+
+def test_columns_are_written_as_cells_are():
+    from datetime import date
+    from decimal import Decimal
+
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({
+        "a": pa.array(["x & <y>", None, ""]), "b": pa.array([1, None, -3], pa.int32()), "c": pa.array([Decimal("1.50"), Decimal("0.00"), None], pa.decimal128(18, 2)),
+        "d": pa.array([date(2024, 3, 1), None, date(1900, 1, 5)]), "e": [0.25, float("nan"), None], "f": [True, None, False]})
+    rows = zip(*(c.to_pylist() for c in batch.columns))
+    assert files._rows_xml(batch.slice(0), 7) == b"".join(files._row_xml(n, r) for n, r in enumerate(rows, 7))
+    assert files._rows_xml(batch.slice(1, 2), 8) == files._rows_xml(batch, 7).split(b"</row>", 1)[1]
+
+
 # ------------------------------------------------------------ cleaning options
 
 def test_numeric_columns_and_money_modes(spark):
